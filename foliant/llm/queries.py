@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, sharding
+from . import archives, audio, packing, sharding
 from .tables import table
 
 
@@ -14,12 +14,20 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op7_byte_shards)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op7_byte_shards, op8_ffd_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
