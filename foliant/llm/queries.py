@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, audio, packing, sharding
+from . import archives, audio, language, packing, quality, sharding
 from .tables import table
 
 
@@ -18,6 +18,10 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,12 @@ def op8_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op7_byte_shards, op8_ffd_packing)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op6_bradley_terry, op7_byte_shards, op8_ffd_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
