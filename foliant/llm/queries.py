@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, audio, language, packing, quality, sharding
+from . import archives, audio, decontaminate, language, packing, quality, sharding
 from .tables import table
 
 
@@ -34,9 +34,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op6_bradley_terry, op7_byte_shards, op8_ffd_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op6_bradley_terry, op7_byte_shards, op8_ffd_packing, op9_language_id, op10_prefix_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_prefix_decontamination": decontaminate.ORACLE}
