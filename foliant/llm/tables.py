@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_SETTING = "spark.checkpoint.dir"
 
@@ -44,3 +45,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """``left`` with the columns of ``right`` (a row a key) where the keys match, else nulls.
+
+    ``weight`` says how many rows of ``left`` have the key. Keys that would
+    fill a quarter of an average partition or more are looked up by broadcast:
+    there are four times as many as partitions at most. No task gathers a hot key.
+    """
+    parts = shuffle_partitions(left.sparkSession)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(weight) * 4 * parts > total))
+    values = [c for c in right.columns if c != key]
+    by_hot = left.join(hot, key, "left")
+    found = by_hot.filter(F.col(weight).isNotNull())
+    rest = by_hot.filter(F.col(weight).isNull()).drop(*values).join(right, key, "left")
+    columns = [*left.columns, *values]
+    return found.select(*columns).unionByName(rest.select(*columns))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for the undirected ``edges`` (a, b): comp is the smallest node that can be reached.
+
+    Every round takes the neighbours' smallest label and then the label's own
+    label, so long chains shrink by half; each round's labels are written.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(both.filter("a <> b").distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("next"))
+        jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
+        step = stored(step.join(jump, "next").select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") < F.col("comp")).alias("moved")), "labels")
+        labels = step.select("node", "comp")
+        if step.filter("moved").isEmpty():
+            return labels
