@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, audio, decontaminate, language, near, packing, pii, quality, sharding
+from . import archives, audio, decontaminate, language, near, packing, pii, quality, repeats, sharding
 from .tables import table
 
 
@@ -18,6 +18,10 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_hash_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_multi_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op4_multi_match_join, op5_weak_supervision_pii, op6_bradley_terry, op7_byte_shards, op8_ffd_packing, op9_language_id, op10_prefix_decontamination)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op3_hash_suffix_sort, op4_multi_match_join, op5_weak_supervision_pii, op6_bradley_terry, op7_byte_shards, op8_ffd_packing, op9_language_id, op10_prefix_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
