@@ -165,6 +165,15 @@ def decontaminate_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", bad)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+    found = contamination(docs, benchmark)
+    bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    bad = bad.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__text"))
+    return docs.join(bad, same, "left_anti")
+
+
 ORACLE = """
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id,

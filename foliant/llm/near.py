@@ -67,7 +67,7 @@ def _node(signature: bytes) -> int:
 
 
 def sized_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (from the signature of the set) and the signature."""
+    """doc_id, h (hash of the text), n_shingles, node (from the signature of the set) and the signature."""
 
     def work(batches):
         for b in batches:
@@ -78,18 +78,19 @@ def sized_sets(docs: DataFrame) -> DataFrame:
                     sizes.append(len(s))
                     nodes.append(_node(names[-1]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(names, pa.binary())],
-                ["doc_id", "n_shingles", "node", "signature"],
+                [b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(names, pa.binary())],
+                ["doc_id", "h", "n_shingles", "node", "signature"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long, signature binary")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return hashed.mapInArrow(work, "doc_id long, h long, n_shingles long, node long, signature binary")
 
 
 # ---- how often shingles occur ----
 
 
 def frequent_shingles(docs: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT_ROWS most frequent shingles (by 32 bits of their hash) and their document frequencies.
+    """Up to FREQUENT_ROWS most frequent shingles (by 32 bits of their hash) and their document frequencies.
 
     All shingles of all documents are counted. A task sends its sorted keys in
     compressed runs, one for each range of keys; the number of ranges follows
@@ -138,8 +139,15 @@ def frequent_shingles(docs: DataFrame, shingles: int) -> tuple[np.ndarray, np.nd
         return pd.DataFrame({"key": every[often].astype(np.int64), "df": df[often]})
 
     packed = docs.select("text").mapInArrow(count, "range int, n long, keys binary")
-    found = packed.groupBy("range").applyInPandas(total, "key long, df long")
-    top = found.orderBy(F.desc("df"), "key").limit(FREQUENT_ROWS).toPandas().sort_values("key")
+    found = stored(packed.groupBy("range").applyInPandas(total, "key long, df long"), "frequencies")
+    steps = found.groupBy(F.least("df", F.lit(1 << 16)).alias("df")).count().orderBy(F.desc("df")).collect()
+    least, rows = (1 << 16) + 1, 0
+    for step in steps:  # the lowest frequency down to which there are no more rows than FREQUENT_ROWS
+        rows += step["count"]
+        if rows > FREQUENT_ROWS:
+            break
+        least = step["df"]
+    top = found.filter(F.col("df") >= least).limit(FREQUENT_ROWS).toPandas().sort_values("key")
     return top["key"].to_numpy(np.uint32), top["df"].to_numpy(np.int64)
 
 
@@ -369,8 +377,36 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, partitions: in
     return ordered.mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that similar documents lead to, the document's own included.
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with its smallest doc_id (and of those the smallest hash), with all its columns.
+
+    Of equal repeated rows one stays; rows without doc_id or without words all stay. Only texts
+    whose ids a bitmap (2 MB) doesn't clear of being dropped are shuffled.
+    """
+    names = {"doc_id": "__id", "h": "__h"}
+    found = similarity_classes(docs).filter("doc_id is not null and n_shingles > 0").withColumnsRenamed(names)
+    found = found.groupBy("__id", "__h").agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("rows"))
+    touched = stored(found.filter("later or rows > 1"), "dropped")
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(touched.select(F.col("__id").alias("id"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(v: pd.Series) -> pd.Series:
+        at = v.to_numpy()
+        return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    rows = rows.withColumn("__maybe", F.col("__id").isNotNull() & maybe(F.pmod(F.xxhash64("__id"), F.lit(_FILTER_BITS))))
+    clear = rows.filter("not __maybe").select(*docs.columns)
+    checked = rows.filter("__maybe").withColumn("__h", F.xxhash64("text")).join(touched, ["__id", "__h"], "left")
+    once = checked.filter("later is null").select(*docs.columns)
+    several = checked.filter("not later").dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    return clear.unionByName(once).unionByName(several)
+
+
+def similarity_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id, and ``later``: whether another row comes first in the component.
+
+    component_id is the smallest doc_id that links of similar documents lead to, the document's own included.
 
     Equal sets are one node from the start, told apart by 128-bit signatures.
     Candidates come in two steps, and none is lost: first every set with the
@@ -388,13 +424,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sized = stored(sized_sets(rows), "sets")
     real = sized.filter("n_shingles > 0 and doc_id is not null")
     nodes = real.groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"),
+        F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"),
         F.min("signature").alias("low"), F.max("signature").alias("high"),
     )
     nodes = stored(nodes, "nodes")
     if not nodes.filter("low <> high").isEmpty():
         raise RuntimeError("two different sets have the same 63-bit node")
-    nodes = nodes.select("node", "rep", "copies", "n")
+    nodes = nodes.select("node", "first", F.col("first.doc_id").alias("rep"), "copies", "n")
     keys, df = frequent_shingles(rows, nodes.agg(F.sum("n")).first()[0] or 0)
     postings = stored(shared_postings(prefix_postings(rows, keys, df), parts), "postings")
     tried = stored(star_pairs(postings), "star-pairs")
@@ -403,9 +439,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = stored(remaining_pairs(postings, comps).join(tried, ["a", "b"], "left_anti"), "other-pairs")
     more = stored(verified(rows, left, nodes, parts), "other-links")
     comps = components(links.unionByName(more))
-    named = comps.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("first"))
-    of_node = comps.join(named, "comp").select("node", "first")
-    classes = nodes.join(of_node, "node", "left").select("node", F.coalesce("first", "rep").alias("component"), "copies")
-    found = lookup(sized.select("doc_id", "n_shingles", "node"), classes, "node", "copies")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    named = comps.join(nodes, "node").groupBy("comp").agg(F.min("first").alias("least"))
+    of_node = comps.join(named, "comp").select("node", "least")
+    classes = nodes.join(of_node, "node", "left").select("node", F.coalesce("least", "first").alias("least"), "copies")
+    found = lookup(sized.select("doc_id", "h", "n_shingles", "node"), classes, "node", "copies")
+    empty, known = F.col("n_shingles") == 0, F.col("doc_id").isNotNull()
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    later = F.struct("doc_id", "h") != F.col("least")
+    return found.select(
+        "doc_id", "h", "n_shingles", F.when(known, component).alias("component_id"), (known & ~empty & F.coalesce(later, F.lit(False))).alias("later")
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """The near-duplicate contract: doc_id, n_shingles, component_id."""
+    return similarity_classes(docs).select("doc_id", "n_shingles", "component_id")

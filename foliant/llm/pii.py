@@ -131,10 +131,12 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), text.alias("text"))
     found = found.withColumn("base", base_spans(F.col("text")))
-    wider = F.concat(*[_spans(F.col("text"), k, WIDER[k], WIDER_SIGN[k], False) for k in WIDER])
-    free = F.filter(wider, lambda s: _apart(s, F.col("base")))
-    judged = F.transform(free, lambda s: _judged(F.col("text"), s))
-    return found.select("doc_id", "h", "base", judged.alias("candidates"))
+    return found.select("doc_id", "h", "base", _candidates(F.col("text"), F.col("base")).alias("candidates"))
+
+
+def _candidates(text: Column, base: Column) -> Column:
+    wider = F.concat(*[_spans(text, k, WIDER[k], WIDER_SIGN[k], False) for k in WIDER])
+    return F.transform(F.filter(wider, lambda s: _apart(s, base)), lambda s: _judged(text, s))
 
 
 # ---- the label model: a few dozen rows of counts on the driver ----
@@ -205,15 +207,8 @@ def _chance(c: Column, w: list[float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
-def find_spans(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, h, base, spans): base spans, and those with the ones that the classifier adds.
-
-    A candidate is added if its chance is ``least`` or more and it touches no
-    base span and no added one before it. Spans are in code points, end
-    exclusive, by start and then kind as listed. Null and empty texts have
-    none. Rows are told apart by doc_id and ``h``, a hash of the text.
-    """
-    found = stored(with_candidates(docs), "pii-candidates")
+def train(found: DataFrame) -> list[float]:
+    """The span classifier's weights, from all ``candidates`` of with_candidates(); none without candidates."""
     each = found.select(F.explode("candidates").alias("c")).select("c.*")
     # Five labelers of three votes, two kinds, five lengths and a flag: at most 4860 rows, whatever the corpus.
     counts = each.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -223,17 +218,47 @@ def find_spans(docs: DataFrame, least: float = 0.8) -> DataFrame:
         votes[key] = votes.get(key, 0) + r["n"]
     posterior, _, _ = label_model(sorted(votes.items()))
     rows = [(_vector(r), posterior[tuple(r[c] for c in LABELERS)], r["n"]) for r in counts]
-    w = train_classifier(sorted(rows))
+    return train_classifier(sorted(rows))
+
+
+def all_spans(base: Column, candidates: Column, w: list[float], least: float = 0.8) -> Column:
+    """Base spans, and the candidates whose chance is ``least`` or more and that touch no base span and no added one before."""
     none = F.array().cast(SPAN)
-    if w:
-        likely = F.filter("candidates", lambda c: _chance(c, w) >= least)
-        bare = F.transform(likely, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-        ordered = F.array_sort(bare, _by_place)
-        added = F.aggregate(ordered, none, lambda out, s: F.when(_apart(s, out), F.concat(out, F.array(s))).otherwise(out))
-    else:
-        added = none
-    ordered_base = F.array_sort("base", _by_place)
-    return found.select("doc_id", "h", ordered_base.alias("base"), F.array_sort(F.concat("base", added), _by_place).alias("spans"))
+    if not w:
+        return F.array_sort(base, _by_place)
+    likely = F.filter(candidates, lambda c: _chance(c, w) >= least)
+    bare = F.transform(likely, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    ordered = F.array_sort(bare, _by_place)
+    added = F.aggregate(ordered, none, lambda out, s: F.when(_apart(s, out), F.concat(out, F.array(s))).otherwise(out))
+    return F.array_sort(F.concat(base, added), _by_place)
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, base, spans): base spans, and those with the ones that the classifier adds.
+
+    Spans are in code points, end exclusive, by start and then kind as listed.
+    Null and empty texts have none. Rows are told apart by doc_id and ``h``, a
+    hash of the text; repeated rows have a row each.
+    """
+    found = stored(with_candidates(docs), "pii-candidates")
+    spans = all_spans(F.col("base"), F.col("candidates"), train(found))
+    return found.select("doc_id", "h", F.array_sort("base", _by_place).alias("base"), spans.alias("spans"))
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """The documents with personal data replaced in ``text``, and ``n_chars`` (if there) of the new text.
+
+    The spans are found again where the text is, so no text is shuffled.
+    """
+    w = train(stored(with_candidates(docs), "pii-candidates"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.withColumn("__base", base_spans(text))
+    found = base.withColumn("__candidates", _candidates(text, F.col("__base")))
+    spans = found.withColumn("__spans", all_spans(F.col("__base"), F.col("__candidates"), w))
+    out = spans.withColumn("text", redacted(F.col("text"), F.col("__spans")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def _rank(kind: Column) -> Column:

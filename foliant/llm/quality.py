@@ -130,29 +130,44 @@ def held_out(modulus: int, kept: int) -> Column:
     return (F.crc32(text.cast("binary")) % F.lit(modulus)) == F.lit(kept)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_labelled: int = 20_000) -> DataFrame:
-    """The quality contract: every document's score and prediction.
+def train(features: DataFrame, labels: DataFrame, cut: float = 0.3, max_labelled: int = 20_000) -> Ranker:
+    """Fit on about ``max_labelled`` labelled rows of (doc_id, features) at most, chosen by hashes of their ids.
 
-    Features of all documents are computed once and written. The ranker is
-    fitted on at most ``max_labelled`` labelled rows, those with the smallest
-    hashes of their ids, none of them held out. An id that has both labels, or
-    a null one, teaches nothing. Repeated rows are scored each; no documents,
-    no rows.
+    Held-out ids, and ids with both labels or a null one, teach nothing.
     """
-    features = stored(with_features(docs), "quality-features")
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").alias("low"), F.max("quality").alias("label")
     )
     known = known.filter("low = label and label in (0, 1)").filter(~held_out(5, 0))
-    # At most max_labelled rows of numbers reach the driver.
-    sample = (
-        features.join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_labelled)
-        .select("features", "label")
-        .toPandas()
-    )
+    share = min(1.0, max_labelled / max(1, known.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
+    sample = features.join(known.filter(place < share), "doc_id").select("features", "label").toPandas()
     x = np.array(sample["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    ranker = fit(x, sample["label"].to_numpy(dtype=int), cut)
+    order = np.lexsort((*x.T, sample["label"]))  # the fit doesn't depend on the order of arrival
+    return fit(x[order], sample["label"].to_numpy(dtype=int)[order], cut)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_labelled: int = 20_000) -> DataFrame:
+    """The quality contract: every document's score and prediction.
+
+    Features of all documents are computed once and written; the ranker is
+    fitted on a bounded sample of them. Repeated rows are scored each; no
+    documents, no rows.
+    """
+    features = stored(with_features(docs), "quality-features")
+    ranker = train(features, labels, cut, max_labelled)
     scored = features.select("doc_id", held_out(5, 0).alias("held_out"), ranker.score(F.col("features")).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
+    """The documents that the ranker doesn't reject, with all their columns; texts are read again instead of shuffled."""
+    ranker = train(stored(with_features(docs), "quality-features"), labels, cut)
+    weights, threshold = np.array(ranker.weights), ranker.threshold
+
+    def work(batches):
+        for b in batches:
+            rows = [text_features(x) @ weights >= threshold for x in tb.blocks(b.column("text"))]
+            yield b.filter(pa.array(np.concatenate(rows))) if rows else b
+
+    return docs.mapInArrow(work, docs.schema)
