@@ -118,8 +118,28 @@ def _placed(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return anchor, low, low + (place & 255)
 
 
+def _known_earlier(seed: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which contexts equal an earlier one among these."""
+    out = np.zeros(len(seed), bool)
+    both = tb.mix(seed.view(np.uint64)) ^ context.view(np.uint64)
+    order = np.argsort(both, kind="stable")
+    same = both[order][1:] == both[order][:-1]
+    near = np.zeros(len(seed), bool)
+    near[1:] |= same
+    near[:-1] |= same
+    some = order[near]
+    some = some[np.lexsort((place[some], doc[some], context[some], seed[some]))]
+    out[some[1:]] = (seed[some][1:] == seed[some][:-1]) & (context[some][1:] == context[some][:-1])
+    return out
+
+
 def text_anchors(texts: DataFrame) -> DataFrame:
-    """(seed, context, doc, place) of every anchor of ``texts`` (doc, tag, text)."""
+    """(deal, seed, context, doc, place, known) of every anchor of ``texts`` (doc, tag, text).
+
+    A context that equals an earlier one nearby is ``known`` to be a repeat
+    and is dealt by its place; all others are dealt by their seed. So text
+    that repeats within documents doesn't pile up at one seed.
+    """
 
     def work(batches):
         for b in batches:
@@ -130,12 +150,17 @@ def text_anchors(texts: DataFrame) -> DataFrame:
                     if len(text):
                         row, off = rows[text], offset[text] - bounds[text]
                         place = _place(tags[row], anchor + off, low + off, high + off)
-                        arrays = [pa.array(np.ascontiguousarray(x)) for x in (seed, context, docs[row], place)]
-                        yield pa.RecordBatch.from_arrays(arrays, ["seed", "context", "doc", "place"])
+                        known = _known_earlier(seed, context, docs[row], place)
+                        spread = tb.mix(place.view(np.uint64) ^ tb.mix(docs[row].view(np.uint64))).view(np.int64)
+                        deal = np.where(known, spread, seed)
+                        arrays = [pa.array(np.ascontiguousarray(x)) for x in (deal, seed, context, docs[row], place, known)]
+                        yield pa.RecordBatch.from_arrays(arrays, _ANCHOR)
 
-    return texts.mapInArrow(work, "seed long, context long, doc long, place long")
+    return texts.mapInArrow(work, ANCHOR)
 
 
+ANCHOR = "deal long, seed long, context long, doc long, place long, known boolean"
+_ANCHOR = [x.split()[0] for x in ANCHOR.split(", ")]
 MATCH = "seed long, doc long, place long, whole boolean"
 
 
@@ -149,7 +174,10 @@ def matches(found: DataFrame, partitions: int) -> DataFrame:
     def work(batches):
         last, held = None, None  # the last (seed, context); the last first row and whether its seed has one before it
         for b in batches:
-            seed, context, doc, place = (b.column(k).to_numpy() for k in range(4))
+            seed, context, doc, place = (b.column(k).to_numpy() for k in range(1, 5))
+            known = b.column(5).to_numpy(zero_copy_only=False)
+            yield _match(seed[known], doc[known], place[known], True)
+            seed, context, doc, place = (x[~known] for x in (seed, context, doc, place))
             if not len(seed):
                 continue
             first = np.ones(len(seed), bool)
@@ -175,7 +203,7 @@ def matches(found: DataFrame, partitions: int) -> DataFrame:
         if held is not None and held[3]:
             yield _match(*[np.array([x], np.int64) for x in held[:3]], False)
 
-    ordered = found.repartition(partitions, "seed").sortWithinPartitions("seed", "context", "doc", "place")
+    ordered = found.repartition(partitions, "deal").sortWithinPartitions("known", "seed", "context", "doc", "place")
     return ordered.mapInArrow(work, MATCH)
 
 
