@@ -32,7 +32,9 @@ from .tables import shuffle_partitions, stored
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # k-grams in a window
-MOST_CONTEXTS = 512
+WALKED = 64  # contexts of a seed that are compared neighbour by neighbour in the sort
+MOST_CONTEXTS = 50_000  # that one task sorts: 9 MB of bytes at most
+BATCH = 4096
 _BASE2 = 0xD6E8FEB86659FD93
 _INVERSE2 = pow(_BASE2, -1, 1 << 64)
 tb._powers.setdefault(_BASE2, np.ones(1, np.uint64))
@@ -241,16 +243,20 @@ class Suffixes:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether suffix x sorts before y; equal ones as told."""
-        n = self.common(x, y)
-        a, b = self.start[x] + n, self.start[y] + n
-        at_end, other_end = a >= self.end[x], b >= self.end[y]
+    def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray, left: bool = False) -> np.ndarray:
+        """Whether suffix x sorts before y (to the left: read backwards); equal ones as told."""
+        n = self.common(x, y, left)
         size = len(self.data) - 1
-        smaller = self.data[np.minimum(a, size)] < self.data[np.minimum(b, size)]
+        if left:
+            a, b = self.start[x] - n - 1, self.start[y] - n - 1
+            at_end, other_end = a < self.begin[x], b < self.begin[y]
+        else:
+            a, b = self.start[x] + n, self.start[y] + n
+            at_end, other_end = a >= self.end[x], b >= self.end[y]
+        smaller = self.data[np.clip(a, 0, size)] < self.data[np.clip(b, 0, size)]
         return np.where(at_end, ~other_end | or_equal, ~other_end & smaller)
 
-    def sort(self, first: np.ndarray) -> np.ndarray:
+    def sort(self, first: np.ndarray, left: bool = False) -> np.ndarray:
         """Mergesort of each group first[g]:first[g + 1], all groups level by level.
 
         An item's place in the merged run is its place in its own and its rank in the other run, by binary search.
@@ -263,14 +269,14 @@ class Suffixes:
         width = 1
         while len(sizes) and width < sizes.max():
             run = local // width
-            left = run % 2 == 0
+            earlier = run % 2 == 0
             other = base + (run ^ 1) * width
             low, high = np.minimum(other, stop), np.minimum(other + width, stop)
             begin = low.copy()
             live = np.flatnonzero(low < high)
             while len(live):
                 mid = (low[live] + high[live]) >> 1
-                before = self.less(order[mid], order[live], ~left[live])  # of equals, those of the left run come first
+                before = self.less(order[mid], order[live], ~earlier[live], left)  # of equals, those of the earlier run come first
                 low[live] = np.where(before, mid + 1, low[live])
                 high[live] = np.where(before, high[live], mid)
                 live = live[low[live] < high[live]]
@@ -297,6 +303,34 @@ def _verified(s: Suffixes, x: np.ndarray, y: np.ndarray, left: np.ndarray, right
     return left, right
 
 
+def shared_windows_of_many(s: Suffixes, windows: np.ndarray) -> np.ndarray:
+    """shared_windows() of one group of any size, in time n log n.
+
+    The suffixes are sorted to the right and to the left. Members whose first
+    r bytes agree are neighbours in the one sort, and with l bytes before the
+    anchor in common they are in the other, so two numbers name a window:
+    there are SPAN splits of its length into l and r.
+    """
+    n = len(s.start)
+    out = np.zeros((n, SPAN), bool)
+    group = np.array([0, n])
+    right, left = s.sort(group), s.sort(group, left=True)
+    none = np.zeros(n - 1, np.int64)
+    _, r = _verified(s, right[:-1], right[1:], none, s.common(right[:-1], right[1:]))
+    back, _ = _verified(s, left[:-1], left[1:], s.common(left[:-1], left[1:], left=True), none)
+    reach, names = s.start - s.begin, np.empty((2, n), np.int64)
+    for l in range(SPAN):
+        names[0][right] = np.cumsum(np.concatenate([[0], r < LENGTH - l]))
+        names[1][left] = np.cumsum(np.concatenate([[0], back < l]))
+        at = reach - l  # where the window begins behind ``begin``
+        has = np.flatnonzero((at >= 0) & (at < windows))
+        order = has[np.lexsort((has, names[1][has], names[0][has]))]  # members are in document order
+        again = (names[:, order[1:]] == names[:, order[:-1]]).all(axis=0)
+        late = order[1:][again]
+        out[late, at[late]] = True
+    return out
+
+
 def shared_windows(s: Suffixes, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Which windows of each suffix's context an earlier member of its group has too: a row of SPAN flags each.
 
@@ -335,8 +369,8 @@ def shared_windows(s: Suffixes, first: np.ndarray, windows: np.ndarray) -> np.nd
 PART = "key long, second long, doc long, tag long, low long, high long, open boolean"
 
 
-def _sorted_group(seeds, docs, places, contexts) -> pa.RecordBatch:
-    """Removed windows of whole groups of contexts, by suffix sort."""
+def _sorted_group(seeds, docs, places, contexts, many: bool = False) -> pa.RecordBatch:
+    """Removed windows of whole groups of contexts, by suffix sort; ``many``: of one large group."""
     sizes = np.array([len(c) for c in contexts])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     place = np.array(places, np.int64)
@@ -344,7 +378,7 @@ def _sorted_group(seeds, docs, places, contexts) -> pa.RecordBatch:
     s = Suffixes(np.frombuffer(b"".join(contexts), np.uint8), begin, begin + anchor - low, begin + sizes)
     seed = np.array(seeds, np.int64)
     first = np.concatenate([[0], np.flatnonzero(seed[1:] != seed[:-1]) + 1, [len(seed)]])
-    flags = shared_windows(s, first, high - low + 1)
+    flags = shared_windows_of_many(s, high - low + 1) if many else shared_windows(s, first, high - low + 1)
     edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edge == 1)
     _, stop = np.nonzero(edge == -1)
@@ -376,11 +410,13 @@ def sorted_contexts(contexts: DataFrame, partitions: int) -> DataFrame:
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if row[0] != seed:
-                    if not large:
+                    if len(group[0]) > WALKED:
+                        yield _sorted_group(*group, many=True)
+                    elif not large:
                         for x, y in zip(done, group, strict=True):
                             x += y
                     group, large, seed = [[], [], [], []], False, row[0]
-                    if len(done[0]) > 8 * MOST_CONTEXTS:
+                    if len(done[0]) > BATCH:
                         yield _sorted_group(*done)
                         done = [[], [], [], []]
                 if large:
@@ -393,8 +429,11 @@ def sorted_contexts(contexts: DataFrame, partitions: int) -> DataFrame:
                     for held in zip(*group[1:], strict=True):
                         yield _open_windows(*held)
                     group = [[], [], [], []]
-        for x, y in zip(done, group, strict=True):
-            x += y
+        if len(group[0]) > WALKED:
+            yield _sorted_group(*group, many=True)
+        else:
+            for x, y in zip(done, group, strict=True):
+                x += y
         if done[0]:
             yield _sorted_group(*done)
 
