@@ -22,7 +22,12 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register queries; importing again does nothing."""
+    from . import catalog_queries, page_queries, retrieval_queries, text_queries  # noqa: F401
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries() -> dict[str, Query]:
