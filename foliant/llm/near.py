@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,10 @@ SHINGLE = 5
 MOST_MATCHES = 4
 FREQUENT_ROWS = 1 << 18  # so many shingles have their frequency known exactly in the order
 LEAST_FREQUENT = 8
+_SPARE_BITS = 5
+GROUP = 1024  # sets of a block; two blocks meet in a task
+GROUP_SHINGLES = 4_000_000  # and so many shingles
+COLUMNS = 2048
 _FACTORS = tb.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _FILTER_BITS = 1 << 24
 
@@ -89,15 +94,44 @@ def sized_sets(docs: DataFrame) -> DataFrame:
 # ---- how often shingles occur ----
 
 
-def frequent_shingles(docs: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to FREQUENT_ROWS most frequent shingles (by 32 bits of their hash) and their document frequencies.
+@dataclass(frozen=True)
+class Frequencies:
+    """What is known of how many documents have a shingle, in bounded space.
 
-    All shingles of all documents are counted. A task sends its sorted keys in
-    compressed runs, one for each range of keys; the number of ranges follows
-    the number of shingles, so a range's counts stay small.
+    ``shared`` has a bit for each of a power of two of hash values: if it isn't
+    set, no other document has the shingle. ``keys`` and ``df`` are the most
+    frequent shingles, FREQUENT_ROWS at most.
     """
-    ranges = 1 << max(4, min(16, (shingles >> 20).bit_length()))
-    shift = 32 - ranges.bit_length() + 1
+
+    key_bits: int
+    shared: np.ndarray
+    keys: np.ndarray
+    df: np.ndarray
+
+    def others(self, s: np.ndarray) -> np.ndarray:
+        """Estimated number of other documents with each shingle; 0 is certain."""
+        key = s >> np.uint64(64 - self.key_bits)
+        bit = (key >> np.uint64(self.key_bits - (len(self.shared) * 8 - 1).bit_length())).astype(np.int64)
+        out = (self.shared[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(float)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.df[at] - 1.0, out)
+        return out
+
+
+def count_shingles(docs: DataFrame, shingles: int) -> Frequencies:
+    """Count all shingles of all documents, by 32 bits of their hash or up to 40 if there are very many.
+
+    A task sends its sorted keys in compressed runs, one for each range of
+    keys; the number of ranges follows the number of shingles, so a range's
+    counts stay small. Back come a bit a key (2**20 to 2**30 bits in all, one
+    for each shingle up to there) and the most frequent keys.
+    """
+    filter_bits = min(30, max(20, (shingles - 1).bit_length()))
+    key_bits = max(32, filter_bits + _SPARE_BITS)
+    spare = key_bits - filter_bits
+    range_bits = max(4, key_bits - 32, min(16, (shingles >> 20).bit_length()))
+    ranges, shift = 1 << range_bits, key_bits - range_bits
 
     def flush(parts):
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -106,22 +140,21 @@ def frequent_shingles(docs: DataFrame, shingles: int) -> tuple[np.ndarray, np.nd
         for r in range(ranges):
             a, b = cuts[r], cuts[r + 1]
             if a < b:
-                gaps = np.diff(keys[a:b], prepend=np.uint32(0)).astype("<u4")
+                gaps = np.diff(keys[a:b] - (np.uint64(r) << np.uint64(shift)), prepend=np.uint64(0)).astype("<u4")
                 planes = gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
                 few = np.minimum(counts[a:b], 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                 rows.append((r, int(b - a), zlib.compress(planes + few, 1)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["range", "n", "keys"]
-        )
+        types = (pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], ["range", "n", "keys"])
 
     def count(batches):
         parts, n = [], 0
         for b in batches:
             for block in tb.blocks(b.column("text")):
                 for s in shingle_sets(block):
-                    parts.append((s >> np.uint64(32)).astype(np.uint32))
+                    parts.append(s >> np.uint64(64 - key_bits))
                     n += len(s)
-                if n > 4_000_000:
+                if n > 3_000_000:
                     yield flush(parts)
                     parts, n = [], 0
         if n:
@@ -131,24 +164,33 @@ def frequent_shingles(docs: DataFrame, shingles: int) -> tuple[np.ndarray, np.nd
         keys, counts = [], []
         for n, packed in zip(part["n"], part["keys"], strict=True):
             raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, n)
-            keys.append(np.cumsum(np.ascontiguousarray(raw[:4].T).view("<u4").ravel(), dtype=np.uint32))
+            keys.append(np.cumsum(np.ascontiguousarray(raw[:4].T).view("<u4").ravel(), dtype=np.uint64))
             counts.append(np.ascontiguousarray(raw[4:].T).view("<u4").ravel())
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         df = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+        bits = np.zeros(1 << max(0, shift - spare), np.uint8)
+        bits[(every[df > 1] >> np.uint64(spare)).astype(np.int64)] = 1
         often = df >= LEAST_FREQUENT
-        return pd.DataFrame({"key": every[often].astype(np.int64), "df": df[often]})
+        whole = every.astype(np.int64) | int(part["range"].iloc[0]) << shift
+        first = pd.DataFrame({"key": [-1], "df": [int(part["range"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        return pd.concat([first, pd.DataFrame({"key": whole[often], "df": df[often], "bits": None})])
 
     packed = docs.select("text").mapInArrow(count, "range int, n long, keys binary")
-    found = stored(packed.groupBy("range").applyInPandas(total, "key long, df long"), "frequencies")
-    steps = found.groupBy(F.least("df", F.lit(1 << 16)).alias("df")).count().orderBy(F.desc("df")).collect()
-    least, rows = (1 << 16) + 1, 0
-    for step in steps:  # the lowest frequency down to which there are no more rows than FREQUENT_ROWS
-        rows += step["count"]
+    found = stored(packed.groupBy("range").applyInPandas(total, "key long, df long, bits binary"), "frequencies")
+    shared = np.zeros(max(ranges, 1 << filter_bits - 3), np.uint8)
+    size = len(shared) // ranges
+    for row in found.filter("key < 0").toLocalIterator():  # 2**27 bytes at most, all ranges together
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        shared[row["df"] * size : row["df"] * size + len(part)] = part
+    rows, least = 0, (1 << 16) + 1
+    counted = found.filter("key >= 0")
+    for step in counted.groupBy(F.least("df", F.lit(1 << 16)).alias("df")).count().orderBy(F.desc("df")).collect():
+        rows += step["count"]  # down to which frequency are there no more rows than FREQUENT_ROWS?
         if rows > FREQUENT_ROWS:
             break
         least = step["df"]
-    top = found.filter(F.col("df") >= least).limit(FREQUENT_ROWS).toPandas().sort_values("key")
-    return top["key"].to_numpy(np.uint32), top["df"].to_numpy(np.int64)
+    top = counted.filter(F.col("df") >= least).select("key", "df").limit(FREQUENT_ROWS).toPandas().sort_values("key")
+    return Frequencies(key_bits, shared, top["key"].to_numpy(np.uint64), top["df"].to_numpy(np.int64))
 
 
 # ---- prefixes ----
@@ -159,147 +201,99 @@ def needed(n: int) -> int:
     return (3 * n + 3) // 4
 
 
-def adaptive_prefix(s: np.ndarray, keys: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def adaptive_prefix(s: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(shingles of the prefix in order, the level from which each counts, matches required).
 
-    The estimated cost of L matches is the length of the lists looked up plus
-    that of verifying the candidates, which fall by half or more with each
-    further match required.
+    ``others`` estimates how many other sets have each shingle. The cost of L
+    matches is the length of the lists looked up plus that of verifying the
+    candidates, which fall by half or more with each further match required.
+    Shingles that certainly no other set has are in the prefix, but are left
+    out of what is returned.
     """
     n = len(s)
     first = n - needed(n) + 1
     most = min(MOST_MATCHES, needed(n), n - first + 1)
-    others = np.zeros(n)
-    if len(keys):
-        short = (s >> np.uint64(32)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-        others = np.where(keys[at] == short, df[at] - 1.0, 0.0)
-        order = np.argsort(others, kind="stable")  # the hashes ascend already
-        s, others = s[order], others[order]
-    lists = np.cumsum(others[: first + most - 1])[first - 1 :]
+    order = np.argsort(others, kind="stable")[: first + most - 1]  # the hashes ascend already
+    s, others = s[order], others[order]
+    lists = np.cumsum(others)[first - 1 :]
     matches = np.arange(1, most + 1)
     cost = lists + n * lists / (matches * 2.0 ** (matches - 1))
     chosen = int(np.argmin(cost)) + 1
     levels = np.ones(first + chosen - 1, np.int64)
     levels[first:] = np.arange(2, chosen + 1)
-    return s[: first + chosen - 1], levels, chosen
+    known = others[: len(levels)] > 0
+    return s[: len(levels)][known], levels[known], chosen
 
 
-def prefix_postings(docs: DataFrame, keys: np.ndarray, df: np.ndarray) -> DataFrame:
-    """token, node, meta (size, level and matches required, packed) for each prefix shingle of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast((keys, df))  # FREQUENT_ROWS rows at most
+def prefix_postings(docs: DataFrame, frequencies: Frequencies) -> DataFrame:
+    """token, node and size of the set for each prefix shingle that another document may have."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies)  # bounded, see there
 
     def work(batches):
-        keys, df = shared.value
+        known = shared.value
         for b in batches:
             for block in tb.blocks(b.column("text")):
-                tokens, nodes, metas = [], [], []
-                for s in shingle_sets(block):
-                    if len(s):
-                        prefix, levels, matches = adaptive_prefix(s, keys, df)
+                tokens, nodes, sizes = [], [], []
+                sets = shingle_sets(block)
+                others = known.others(np.concatenate(sets)) if sets else np.empty(0)
+                at = 0
+                for s in sets:
+                    own, at = others[at : at + len(s)], at + len(s)
+                    if own.any():
+                        prefix = adaptive_prefix(s, own)[0]
                         tokens.append(prefix)
                         nodes.append(np.full(len(prefix), _node(_signature(s)), np.int64))
-                        metas.append(np.int64(len(s) << 8 | matches) | levels << 4)
+                        sizes.append(np.full(len(prefix), len(s), np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(np.concatenate(tokens)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(metas))],
-                        ["token", "node", "meta"],
+                        [_signed(np.concatenate(tokens)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
+                        ["token", "node", "size"],
                     )
 
-    return docs.filter("doc_id is not null").select("text").mapInArrow(work, "token long, node long, meta long")
+    return docs.filter("doc_id is not null").select("text").mapInArrow(work, "token long, node long, size long")
 
 
-POSTING = "token long, node long, meta long, leader long, leader_meta long, before long, before_meta long"
+POSTING = "node long, size long, leader long"
 
 
 def shared_postings(postings: DataFrame, partitions: int) -> DataFrame:
-    """Postings of the shingles that two different sets have in their prefixes, each with its list's first and previous node.
+    """(node, size, leader) of the shingles that two different sets have in their prefixes; leader is the list's first node.
 
     Lists are read in order and never held: a list of any length needs the
     memory of one batch.
     """
 
     def work(batches):
-        held = None  # the last row, its list's first row, and whether a row of the same list went before
+        held = None  # the last row (token, node, size), its list's leader, and whether a row of the same list went before
         for b in batches:
-            token, node, meta = (b.column(k).to_numpy() for k in range(3))
+            rows = [b.column(k).to_numpy() for k in range(3)]
             if held is not None:
-                token, node, meta = (np.concatenate([[held[0][k]], x]) for k, x in enumerate((token, node, meta)))
+                rows = [np.concatenate([[x], y]) for x, y in zip(held[0], rows, strict=True)]
+            token, node, size = rows
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, meta = token[new], node[new], meta[new]
+            token, node, size = token[new], node[new], size[new]
             if not len(token):
                 continue
-            begins = np.ones(len(token), bool)
-            begins[1:] = token[1:] != token[:-1]
-            lead = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-            leader, leader_meta = node[lead], meta[lead]
-            before, before_meta = np.concatenate([node[:1], node[:-1]]), np.concatenate([meta[:1], meta[:-1]])
-            before, before_meta = np.where(begins, node, before), np.where(begins, meta, before_meta)
-            more = ~begins
+            more = np.zeros(len(token), bool)
+            more[1:] = token[1:] == token[:-1]
+            lead = np.maximum.accumulate(np.where(more, 0, np.arange(len(token))))
+            leader = node[lead]
             if held is not None:
-                inner = lead == 0
-                leader, leader_meta = np.where(inner, held[1][0], leader), np.where(inner, held[1][1], leader_meta)
-                before[0], before_meta[0], more[0] = *held[2], held[3]
+                leader, more[0] = np.where(lead == 0, held[1], leader), held[2]
             keep = more.copy()
             keep[:-1] |= more[1:]
             keep[-1] = False
-            made = [x[keep] for x in (token, node, meta, leader, leader_meta, before, before_meta)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], _POSTING)
-            held = (
-                (token[-1], node[-1], meta[-1]), (leader[-1], leader_meta[-1]), (before[-1], before_meta[-1]), bool(more[-1])
-            )
-        if held is not None and held[3]:
-            values = [*held[0], *held[1], *held[2]]
-            yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in values], _POSTING)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, size, leader)], ["node", "size", "leader"])
+            held = ((token[-1], node[-1], size[-1]), leader[-1], bool(more[-1]))
+        if held is not None and held[2]:
+            last = [pa.array([int(x)], pa.int64()) for x in (held[0][1], held[0][2], held[1])]
+            yield pa.RecordBatch.from_arrays(last, ["node", "size", "leader"])
 
     ordered = postings.repartition(partitions, "token").sortWithinPartitions("token", "node")
     return ordered.mapInArrow(work, POSTING)
 
 
-_POSTING = [x.split()[0] for x in POSTING.split(", ")]
-
-
-def _may_match(n, m):
-    """Whether sets of these sizes can be similar."""
-    return F.least(n, m) * 4 >= F.greatest(n, m) * 3
-
-
-def _size(meta):
-    return F.shiftrightunsigned(meta, 8)
-
-
-def star_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): each set with its list's first and with the one before it, where sizes allow."""
-    one = postings.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_meta").alias("am"), F.col("meta").alias("bm"))
-    two = postings.select(F.col("before").alias("a"), F.col("node").alias("b"), F.col("before_meta").alias("am"), F.col("meta").alias("bm"))
-    every = one.unionByName(two).filter((F.col("a") < F.col("b")) & _may_match(_size(F.col("am")), _size(F.col("bm"))))
-    return every.select("a", "b").distinct()
-
-
-def remaining_pairs(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b) of different components that have as many prefix shingles in common as both require.
-
-    Lists within one component are left out before anything is joined.
-    """
-    rows = postings.select("token", "node", "meta").join(comps, "node", "left")
-    rows = rows.withColumn("comp", F.coalesce("comp", "node"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    rows = rows.join(mixed.select("token"), "token", "left_semi")
-    rows = rows.select(
-        "token", "node", "comp", _size(F.col("meta")).alias("n"),
-        F.shiftrightunsigned("meta", 4).bitwiseAND(F.lit(15)).alias("level"), F.col("meta").bitwiseAND(F.lit(15)).alias("need"),
-    )
-    other = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
-    both = F.least("need", "o_need")
-    on = (
-        (F.col("token") == F.col("o_token")) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp"))
-        & _may_match(F.col("n"), F.col("o_n")) & (F.greatest("level", "o_level") <= both)
-    )
-    joined = rows.join(other, on).groupBy(F.col("node").alias("a"), F.col("o_node").alias("b"))
-    return joined.agg(F.count(F.lit(1)).alias("common"), F.first(both).alias("need")).filter("common >= need").select("a", "b")
-
-
 # ---- verification ----
 
 
@@ -316,63 +310,140 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles binary) of the documents ``wanted`` (node, id), a row a node.
+SETS = "id long, node long, size long, unique long, need long, shingles binary"
+
 
-    A small bitmap keeps most other texts from being read further; the join decides.
+def wanted_sets(docs: DataFrame, wanted: DataFrame, frequencies: Frequencies) -> DataFrame:
+    """node, size, unique, need and shingles of the documents ``wanted`` (node, id), a row a node.
+
+    ``shingles`` has those that another document may have, in prefix order;
+    ``unique`` counts the others, which come before them. A small bitmap keeps
+    most other texts from being read further; the join decides.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast((_id_filter(wanted), frequencies))
 
     def work(batches):
-        known = bits.value
+        bits, known = shared.value
         for b in batches:
             v = b.column("v").to_numpy()
-            take = np.flatnonzero(known[v >> 3] >> (v & 7).astype(np.uint8) & 1)
-            chosen = b.take(pa.array(take))
-            sets = [s for block in tb.blocks(chosen.column("text")) for s in shingle_sets(block)]
-            nodes = pa.array([_node(_signature(s)) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [chosen.column("doc_id"), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "node", "shingles"]
-            )
+            chosen = b.take(pa.array(np.flatnonzero(bits[v >> 3] >> (v & 7).astype(np.uint8) & 1)))
+            out = []
+            for block in tb.blocks(chosen.column("text")):
+                for s in shingle_sets(block):
+                    others = known.others(s)
+                    order = np.argsort(others, kind="stable")
+                    unique = int((others == 0).sum())
+                    need = adaptive_prefix(s, others)[2] if len(s) else 1
+                    out.append((_node(_signature(s)), len(s), unique, need, s[order[unique:]].tobytes()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            rows = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([chosen.column("doc_id"), *rows], [x.split()[0] for x in SETS.split(", ")])
 
     hashed = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("v"))
-    rows = hashed.mapInArrow(work, "id long, node long, shingles binary")
-    return rows.join(wanted, ["node", "id"], "left_semi").select("node", "shingles")
+    return hashed.mapInArrow(work, SETS).join(wanted, ["node", "id"], "left_semi").drop("id")
+
+
+def _overlaps(owner: np.ndarray, token: np.ndarray, members: int) -> np.ndarray:
+    """How many of its tokens each member shares with each other one: products of 0/1 matrices, some columns at a time."""
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    column = np.cumsum(new) - 1
+    several = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)  # the rest is nobody else's here
+    owner, column = owner[several], column[several]
+    out = np.zeros((members, members), np.float32)
+    if not len(column):
+        return out
+    column = np.cumsum(np.concatenate([[0], np.diff(column) > 0]))
+    for at in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((members, min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, partitions: int, members: int = 256) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection.
+def similar(sizes: np.ndarray, unique: np.ndarray, need: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each member of a group, the first member that links lead to.
 
-    The members of a hub are dealt into groups of about ``members`` with the
-    hub's set in each, so a hub with any number of pairs is spread.
+    Only members that share as many prefix shingles with another one as both
+    require are verified, by their exact overlap.
+    """
+    k = len(sets)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    token = np.concatenate(sets)
+    place = np.concatenate([np.arange(len(s)) + u for s, u in zip(sets, unique, strict=True)])
+    first = sizes - (3 * sizes + 3) // 4 + 1
+    level = np.maximum(1, place - first[owner] + 2)
+    both = np.minimum(need[:, None], need[None])
+    candidate = np.zeros((k, k), bool)
+    for n in np.unique(both):
+        inside = (level <= n) & (need[owner] >= n)
+        candidate |= (both == n) & (_overlaps(owner[inside], token[inside], k) >= n)
+    total = sizes[:, None] + sizes[None]
+    candidate &= 4 * np.minimum(sizes[:, None], sizes[None]) >= 3 * np.maximum(sizes[:, None], sizes[None])
+    np.fill_diagonal(candidate, False)
+    chosen = np.flatnonzero(candidate.any(axis=1))
+    label = np.arange(k)
+    if not len(chosen):
+        return label
+    at = np.full(k, -1)
+    at[chosen] = np.arange(len(chosen))
+    inside = at[owner] >= 0
+    common = _overlaps(at[owner[inside]], token[inside], len(chosen))
+    linked = candidate[np.ix_(chosen, chosen)] & (7 * common >= 3 * total[np.ix_(chosen, chosen)])  # 100 * common >= 75 * union
+    for i in range(len(chosen)):
+        if label[chosen[i]] != chosen[i]:
+            continue
+        front = np.array([i])
+        while len(front):  # all that can be reached from i
+            reached = np.flatnonzero(linked[front].any(axis=0))
+            front = reached[label[chosen[reached]] == chosen[reached]]
+            front = front[front != i]
+            label[chosen[front]] = chosen[i]
+    return label
+
+
+def similar_pairs(docs: DataFrame, postings: DataFrame, nodes: DataFrame, frequencies: Frequencies, partitions: int) -> DataFrame:
+    """(a, b): links that connect all sets that similar pairs connect.
+
+    Lists with one leader have much the same nodes, so they are verified
+    together: a set goes once to each of its leaders, not to each partner. Two
+    sets with a prefix shingle in common meet at its leader. The sets of a
+    leader with very many are dealt into blocks, and every two blocks meet.
     """
-    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = lookup(pairs, hubs, "a", "n")
-    groups = F.ceil(F.col("n") / members)
-    dealt = stored(dealt.select("a", "b", F.pmod(F.xxhash64("b"), groups).alias("part")), "pairs")
-    sides = dealt.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("member"))
-    hub = dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("node"), F.lit(0).alias("member"))
-    sides = sides.unionByName(hub)
-    wanted = sides.select("node").distinct().join(nodes.select("node", F.col("rep").alias("id")), "node")
-    rows = sides.join(wanted_sets(docs, wanted), "node")
-    ordered = rows.select("a", "part", "member", "node", "shingles").repartition(partitions, "a", "part")
-    ordered = ordered.sortWithinPartitions("a", "part", "member")
+    members = postings.groupBy("leader", "node").agg(F.max("size").alias("size"))
+    members = stored(members, "members")
+    groups = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    dealt = lookup(members, groups, "leader", "n")
+    blocks = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    dealt = dealt.select("leader", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = dealt.select("leader", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("id")), "node")
+    rows = rows.join(wanted_sets(docs, wanted, frequencies), "node")
+    ordered = rows.select("leader", "x", "y", "node", "size", "unique", "need", "shingles").repartition(partitions, "leader", "x", "y")
+    ordered = ordered.sortWithinPartitions("leader", "x", "y", "node")
+
+    def settle(group: list[tuple]) -> pa.RecordBatch:
+        group = [g for i, g in enumerate(group) if not i or g[0] != group[i - 1][0]]
+        node, size, unique, need = (np.array([g[k] for g in group], np.int64) for k in range(4))
+        label = similar(size, unique, need, [np.frombuffer(g[4], np.uint64) for g in group])
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(node[label[far]]), pa.array(node[far])], ["a", "b"])
 
     def work(batches):
-        of, own = None, None
+        key, group = None, []
         for b in batches:
-            found_a, found_b = [], []
-            cols = (b.column(k).to_pylist() for k in range(5))
-            for a, part, member, node, raw in zip(*cols, strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                if not member:
-                    of, own = (a, part), s
-                elif of == (a, part):
-                    common = len(np.intersect1d(own, s, assume_unique=True))
-                    if 7 * common >= 3 * (len(own) + len(s)):  # 100 * common >= 75 * union
-                        found_a.append(a)
-                        found_b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+            for row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if row[:3] != key:
+                    if len(group) > 1:
+                        yield settle(group)
+                    key, group = row[:3], []
+                group.append(row[3:])
+        if len(group) > 1:
+            yield settle(group)
 
     return ordered.mapInArrow(work, "a long, b long")
 
@@ -409,10 +480,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links of similar documents lead to, the document's own included.
 
     Equal sets are one node from the start, told apart by 128-bit signatures.
-    Candidates come in two steps, and none is lost: first every set with the
-    first and the previous one of each list, which links dense groups with few
-    pairs; then all pairs that share enough of their prefixes and are not yet
-    in one component.
+    All pairs that share enough of their prefixes are verified, where their
+    sets meet; only links that connect what is found leave the task.
 
     A document without words (null, empty, white space) is in its own
     component. A row without doc_id takes part in nothing and has a null
@@ -431,14 +500,10 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     if not nodes.filter("low <> high").isEmpty():
         raise RuntimeError("two different sets have the same 63-bit node")
     nodes = nodes.select("node", "first", F.col("first.doc_id").alias("rep"), "copies", "n")
-    keys, df = frequent_shingles(rows, nodes.agg(F.sum("n")).first()[0] or 0)
-    postings = stored(shared_postings(prefix_postings(rows, keys, df), parts), "postings")
-    tried = stored(star_pairs(postings), "star-pairs")
-    links = stored(verified(rows, tried, nodes, parts), "star-links")
+    frequencies = count_shingles(rows, nodes.agg(F.sum("n")).first()[0] or 1)
+    postings = stored(shared_postings(prefix_postings(rows, frequencies), parts), "postings")
+    links = stored(similar_pairs(rows, postings, nodes, frequencies, parts), "links")
     comps = components(links)
-    left = stored(remaining_pairs(postings, comps).join(tried, ["a", "b"], "left_anti"), "other-pairs")
-    more = stored(verified(rows, left, nodes, parts), "other-links")
-    comps = components(links.unionByName(more))
     named = comps.join(nodes, "node").groupBy("comp").agg(F.min("first").alias("least"))
     of_node = comps.join(named, "comp").select("node", "least")
     classes = nodes.join(of_node, "node", "left").select("node", F.coalesce("least", "first").alias("least"), "copies")
