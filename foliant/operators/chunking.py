@@ -8,8 +8,10 @@ the other, runs on one file at a time.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +81,7 @@ def label(first: int, last: int, section: str | None) -> str:
     return pages + (f"\n[Section: {section}]" if section else "")
 
 
+@lru_cache(maxsize=1 << 14)
 def count(text: str) -> int:
     return len(_PIECE.findall(text))
 
@@ -92,8 +95,9 @@ def _joined(group: list[Unit]) -> str:
 
 
 def _size(group: list[Unit]) -> int:
+    """Pieces of the chunk with its label; they add up, as units are joined by white space."""
     head = label(min(u.page_start for u in group), max(u.page_end for u in group), group[-1].section)
-    return count(head) + count(_joined(group))
+    return count(head) + sum(count(u.text) for u in group)
 
 
 def split_large(unit: Unit, size: ChunkSize) -> list[Unit]:
@@ -138,11 +142,9 @@ def _tail(group: list[Unit], own: list[Unit], size: ChunkSize) -> tuple[list[Uni
         return [], 0
     text = _joined(group)
     spots = [m.start() for m in _PIECE.finditer(text)]
-    for n in range(min(size.overlap, len(spots)), 0, -1):
-        unit = Unit(text[spots[-n] :], group[-1].page_end, group[-1].page_end, own[0].section, "overlap")
-        if _size([unit, *own]) <= size.most:
-            return [unit], n
-    return [], 0
+    empty = Unit("", group[-1].page_end, group[-1].page_end, own[0].section, "overlap")
+    n = min(size.overlap, len(spots), size.most - _size([empty, *own]))
+    return ([replace(empty, text=text[spots[-n] :])], n) if n > 0 else ([], 0)
 
 
 CHUNK = (
@@ -151,19 +153,17 @@ CHUNK = (
 )
 
 
-def _chunk_file(found: pd.DataFrame, size: ChunkSize) -> pd.DataFrame:
-    found = found.sort_values(["page_number", "paragraph", "item"])
-    rows = zip(found["text"], found["page_number"], found["section"], found["kind"], strict=True)
-    every = [u for t, p, s, k in rows for u in split_large(Unit(t, int(p), int(p), s, k), size) if u.text.strip()]
+def _chunk_file(file: str, rows: list[tuple], size: ChunkSize) -> list[tuple]:
+    """Chunks from (page_number, text, section, kind) rows in order."""
+    every = [u for page, text, section, kind in rows for u in split_large(Unit(text, page, page, section, kind), size) if u.text.strip()]
     groups, out = pack(every, size), []
     for i, own in enumerate(groups):
         extra, n = _tail(groups[i - 1], own, size) if i else ([], 0)
         whole = [*extra, *own]
         first, last = min(u.page_start for u in whole), max(u.page_end for u in whole)
-        passage = _joined(whole)
-        content = label(first, last, own[-1].section) + "\n" + passage
-        out.append((found["file"].iloc[0], i, passage, content, first, last, own[-1].section, count(content), n, list(dict.fromkeys(u.kind for u in whole))))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
+        content = label(first, last, own[-1].section) + "\n" + _joined(whole)
+        out.append((file, i, _joined(whole), content, first, last, own[-1].section, _size(whole), n, list(dict.fromkeys(u.kind for u in whole))))
+    return out
 
 
 def content_hash(passage: Column, first: Column, last: Column, section: Column, version: Column) -> Column:
@@ -172,18 +172,37 @@ def content_hash(passage: Column, first: Column, last: Column, section: Column,
     return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
 
 
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    whole, text = pa.int32(), pa.string()
+    types = [text, whole, text, text, whole, whole, text, whole, whole, pa.list_(text)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
 def chunk_pages(pages: DataFrame, size: ChunkSize = ChunkSize()) -> DataFrame:
     """Chunks of (file, page_number, cleaned_text): passages with label, pages, section, counts, kinds and hash.
 
-    Of chunks of a file with one hash the first stays. Each file is packed by
-    itself, so a file must fit in a task's memory.
+    Of chunks of a file with one hash the first stays. Files are read one
+    after the other from sorted rows, so a task holds one file at a time.
     """
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        return _chunk_file(part, ChunkSize(**settings))
-
     settings = asdict(size)
-    made = units(pages).groupBy("file").applyInPandas(work, CHUNK)
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+
+    def work(batches):
+        own, file, rows = ChunkSize(**settings), None, []
+        for b in batches:
+            out = []
+            for name, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if name != file and rows:
+                    out += _chunk_file(file, rows, own)
+                    rows = []
+                file = name
+                rows.append(row)
+            yield _batch(out, names)
+        if rows:
+            yield _batch(_chunk_file(file, rows, own), names)
+
+    ordered = units(pages).repartition("file").sortWithinPartitions("file", "page_number", "paragraph", "item")
+    made = ordered.select("file", F.col("page_number").cast("int"), "text", "section", "kind").mapInArrow(work, CHUNK)
     own = content_hash(F.col("passage_text"), F.col("page_start"), F.col("page_end"), F.col("section_title"), F.lit(VERSION))
     first = Window.partitionBy("file", "content_hash").orderBy("chunk_index")
     rows = made.withColumn("content_hash", own).withColumn("__n", F.row_number().over(first))

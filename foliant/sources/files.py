@@ -15,7 +15,10 @@ CASES = (
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` with the first rule that each breaks, or null: name, size, signature within the first kilobyte."""
+    """Files below ``path`` with the first rule that each breaks, or null: name, size, signature within the first kilobyte.
+
+    Spark's readers leave files without bytes out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), "length", upload_problem(name, F.col("length"), F.col("content")).alias("problem"))
