@@ -40,8 +40,9 @@ def _chunks(texts: list[str | None]):
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashed n-grams of each order over the joined texts, the bounds of the texts there, and who has letters.
 
-    Lower case; every character that is no letter counts as a space, and each
-    text has one before and behind it. An n-gram that begins at position p has
+    Lower case; every character that is no letter counts as a space, and so do
+    letters in a run with digits (keys, numbers), which are no language. Each
+    text has a space before and behind it. An n-gram that begins at position p has
     its hash there; the last ones of a text reach into the next text's space only.
     """
     parts = [(" " + t.lower() + "  ").encode("utf-32-le", "surrogatepass") for t in texts]
@@ -50,7 +51,12 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     letter = _letters()[code]
     count = np.concatenate([[0], np.cumsum(letter, dtype=np.int64)])
     has = np.diff(count[bounds]) > 0
-    c = np.where(letter, code, np.uint32(32)).astype(np.uint64)
+    digit = (code >= 48) & (code <= 57)
+    inside = letter | digit
+    run = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]))
+    mixed_run = np.zeros(int(run[-1]) + 1 if len(run) else 1, bool)
+    mixed_run[run[digit]] = True
+    c = np.where(letter & ~mixed_run[run], code, np.uint32(32)).astype(np.uint64)
     out, key = [], np.zeros(len(c), np.uint64)
     for n in range(max(ORDERS)):
         key = key * np.uint64(0x100000001B3) + np.concatenate([c[n:], np.full(n, 32, np.uint64)]) + np.uint64(1)
