@@ -313,3 +313,15 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
     place = path or scratch_path(spark, "warc")
     write_warc(convert(legacy_archives(with_revisits(pages, min_bytes))), place)
     return read_pages(spark, place)
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(url, '-') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to,
+  '<urn:page:' || page_id || '>' AS warc_record_id, '2008-04-30T20:48:25Z' AS warc_date, regexp_replace(url, '\\\\s', '', 'g') AS target_uri, true AS digest_verified
+FROM p JOIN f USING (h)
+"""

@@ -55,4 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_prefix_decontamination": decontaminate.ORACLE}
+    return {
+        "op1_arc_to_warc": archives.ORACLE,
+        "op4_multi_match_join": near.ORACLE,
+        "op10_prefix_decontamination": decontaminate.ORACLE,
+    }
