@@ -132,3 +132,27 @@ def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in corpus_queries.queries()} == {f"op{k}" for k in range(1, 11)}
     assert "pipeline" in names and set(corpus_queries.queries()) <= set(names)
     assert [near, decontaminate, pii, packing]
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from foliant.llm import tables
+
+    kept = tables.stored(spark.range(3), "numbers")
+    place = tables.shared_dir(spark).removeprefix("file://") + "/foliant"
+    assert kept.count() == 3 and os.listdir(place)
+    tables.drop_scratch(spark)
+    assert not os.path.exists(place)
+
+
+def test_lookup_and_components(spark):
+    from foliant.llm import tables
+
+    left = spark.createDataFrame([(7, i) for i in range(500)] + [(i, i) for i in range(20)], "k long, v long")
+    right = spark.createDataFrame([(7, "hot", 501), (3, "x", 1), (99, "y", 0)], "k long, name string, n long")
+    found = {(r.k, r.v): r.name for r in tables.lookup(left, right, "k", "n").collect()}
+    assert len(found) == 519 and found[7, 3] == "hot" and found[3, 3] == "x" and found[4, 4] is None
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 200), (102, 100)]
+    rows = tables.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.comp for r in rows} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
