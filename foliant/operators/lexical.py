@@ -79,7 +79,9 @@ def exact_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     by_anchor = rows.groupBy("anchor").agg(F.collect_list(F.struct("query_id", "needle")).alias("queries"))
     each = docs.select("doc_id", F.lower("text").alias("low"), T.word_set(F.col("text")).alias("words"))
     anchors = by_anchor.agg(F.collect_list("anchor").alias("anchors"))  # one row
-    held = each.join(F.broadcast(anchors)).select("doc_id", "low", F.explode(F.array_intersect(F.concat("words", F.array(F.lit(""))), "anchors")).alias("anchor"))
+    each, anchors = each.withColumn("all", F.lit(0)), F.broadcast(anchors.withColumn("all", F.lit(0)))
+    own = F.array_intersect(F.concat("words", F.array(F.lit(""))), "anchors")
+    held = each.join(anchors, "all").select("doc_id", "low", F.explode(own).alias("anchor"))
     joined = held.join(F.broadcast(by_anchor), "anchor")
     found = F.filter("queries", lambda q: F.call_function("instr", F.col("low"), q["needle"]) > 0)
     return joined.select(F.explode(found).alias("q"), "doc_id").select("q.query_id", "doc_id")
