@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once; inside folds Spark repeats what is written twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def greedy_select(
     candidates: DataFrame, top_k: int = 8, duplicate: float = 0.8, threshold: float | None = None, same_document: str | None = None
 ) -> DataFrame:
@@ -27,21 +32,28 @@ def greedy_select(
     out_t = "array<struct<item_id:bigint,rank:int,decision:string,duplicate_of:bigint>>"
     start = F.struct(F.array().cast(kept_t).alias("kept"), F.array().cast(out_t).alias("out"))
 
+    def alike(k: Column, c: Column) -> Column:
+        total = F.size(k["words"]) + F.size(c["words"])
+        share = _let(F.size(F.array_intersect(k["words"], c["words"])), lambda n: F.coalesce(n / F.when(total > n, total - n), F.lit(1.0)))
+        return (k["doc"] == c["doc"]) & (share >= duplicate)
+
     def step(acc: Column, c: Column) -> Column:
         low = F.lit(False) if threshold is None else F.coalesce(c["score"] < threshold, F.lit(True))
-        alike = F.filter(acc["kept"], lambda k: (k["doc"] == c["doc"]) & (T.jaccard(k["words"], c["words"]) >= duplicate))
-        of = F.try_element_at(alike, F.lit(1))["item_id"]
-        decision = F.when(low, "below_threshold").when(of.isNotNull(), "near_duplicate").otherwise("kept")
-        row = F.struct(
-            c["item_id"].cast("bigint").alias("item_id"), c["rank"].cast("int").alias("rank"), decision.alias("decision"),
-            F.when(~low, of).cast("bigint").alias("duplicate_of"),
-        )
-        keep = F.array(F.struct(c["item_id"].cast("bigint").alias("item_id"), c["doc"].alias("doc"), c["words"].alias("words")))
-        grown = F.struct(
-            F.when(decision == "kept", F.concat(acc["kept"], keep)).otherwise(acc["kept"]).alias("kept"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
-        )
-        return F.when(F.size(acc["kept"]) >= top_k, acc).otherwise(grown)
+
+        def decided(of: Column) -> Column:
+            decision = F.when(low, "below_threshold").when(of.isNotNull(), "near_duplicate").otherwise("kept")
+            row = F.struct(
+                c["item_id"].cast("bigint").alias("item_id"), c["rank"].cast("int").alias("rank"), decision.alias("decision"),
+                F.when(~low, of).cast("bigint").alias("duplicate_of"),
+            )
+            keep = F.array(F.struct(c["item_id"].cast("bigint").alias("item_id"), c["doc"].alias("doc"), c["words"].alias("words")))
+            return F.struct(
+                F.when(decision == "kept", F.concat(acc["kept"], keep)).otherwise(acc["kept"]).alias("kept"),
+                F.concat(acc["out"], F.array(row)).alias("out"),
+            )
+
+        first = F.try_element_at(F.filter(acc["kept"], lambda k: alike(k, c)), F.lit(1))["item_id"]
+        return F.when(F.size(acc["kept"]) >= top_k, acc).otherwise(_let(first, decided))
 
     folded = F.aggregate("list", start, step, lambda acc: acc["out"])
     return rows.select("query_id", F.explode(folded).alias("d")).select("query_id", "d.*")
