@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# What counts as a page's edge, as recurring, as little text, and as a long paragraph.
 EDGE_LINES = 2
 LONGEST_EDGE_LINE = 120
 FEWEST_PAGES = 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The longest rewrite, and the pattern of capitalised names of up to six words.
 LONGEST = 500
 NAMES = r"\b(?:[A-Z][A-Za-z0-9]*(?:['’+.-][A-Za-z0-9]+)*)(?:\s+(?:[A-Z][A-Za-z0-9]*(?:['’+.-][A-Za-z0-9]+)*)){0,5}\b"
 

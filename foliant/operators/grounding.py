@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Shares of the words of a claim, of a clause, and of a serial list that quotes must have.
 CLAIM_SUPPORT = 0.4
 CLAUSE_SUPPORT = 0.4
 SERIAL_SUPPORT = 0.3

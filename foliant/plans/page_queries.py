@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import chunking, cleaning, evidence
+from ..operators import chunking, cleaning, evidence, numbering
 from .registry import register, table
 from .retrieval_queries import LEX, lexical_topk
 
@@ -20,8 +19,8 @@ def _pages(spark, d: str) -> DataFrame:
 
 
 def _numbered(spark, d: str) -> DataFrame:
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select(F.col("source").alias("file"), F.row_number().over(order).alias("page_number"), "doc_id", "text")
+    docs = table(spark, d, "documents").select(F.col("source").alias("file"), "doc_id", "text")
+    return numbering.number_rows(docs, "file", "doc_id", "page_number")
 
 
 def _files(spark, d: str) -> DataFrame:
@@ -52,9 +51,11 @@ def warned(spark, d: str) -> DataFrame:
 
 
 def adjacent_similarity(spark, d: str) -> DataFrame:
-    beside = Window.partitionBy("file").orderBy("page_number")
-    rows = _numbered(spark, d).withColumn("next", F.lead("text").over(beside)).filter(F.col("next").isNotNull())
-    return rows.select("file", F.col("page_number").cast("long").alias("page_number"), F.round(T.jaccard(T.word_set(F.col("text")), T.word_set(F.col("next"))), 6).alias("similarity"))
+    """Neighbouring pages meet by an equality join on (file, page), which deals every file over all tasks."""
+    pages = _numbered(spark, d).select("file", "page_number", T.word_set(F.col("text")).alias("words"))
+    after = pages.select("file", (F.col("page_number") - 1).alias("page_number"), F.col("words").alias("next"))
+    rows = pages.join(after, ["file", "page_number"])
+    return rows.select("file", F.col("page_number").cast("long").alias("page_number"), F.round(T.jaccard(F.col("words"), F.col("next")), 6).alias("similarity"))
 
 
 def _anchors(spark, d: str, k: int) -> DataFrame:

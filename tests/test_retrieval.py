@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import dense, evaluation, evidence, expansion, fusion, grounding, lexical, rerank
+from foliant.operators import dense, evaluation, evidence, expansion, fusion, grounding, lexical, numbering, rerank
 
 
 def ranked(spark, rows):
@@ -163,3 +163,13 @@ def test_grading(spark):
     assert (w.correctness, w.faithfulness, w.citation_accuracy, w.completeness, w.unsupported_claim_rate, w.answer_success) == (0, 0, 0, 0, 1, False)
     stage = evaluation.failure_stage({"indexed": F.lit(True), "retrieved": F.lit(False), "fused": F.lit(False)})
     assert spark.range(1).select(stage.alias("s")).first().s == "retrieved"
+
+
+def test_numbering_across_runs(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), i) for i in rng.sample(range(-50, 1000), 200)] + [(None, 5), (None, 700)]
+    df = spark.createDataFrame(rows, "file string, doc_id long").repartition(3)
+    found = {(r.file, r.doc_id): r.page for r in numbering.number_rows(df, "file", "doc_id", "page", 40).collect()}
+    for file in ("a", "b", None):
+        own = sorted(i for f, i in rows if f == file)
+        assert [found[file, i] for i in own] == list(range(1, len(own) + 1))
