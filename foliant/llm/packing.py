@@ -172,7 +172,7 @@ def pack(found: DataFrame, length: int = 2048, group_size: int = 4096) -> DataFr
     rest = found.filter(F.col("length") < length)
     groups = max(1, -(-rest.count() // group_size))
 
-    def place(key, part: pd.DataFrame) -> pd.DataFrame:
+    def place(key, part):
         part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
         spots = np.array(first_fit_decreasing(part["length"].tolist(), length), dtype="int64").reshape(-1, 2)
         used = np.bincount(spots[:, 0], weights=part["length"].to_numpy()).astype("int64")
