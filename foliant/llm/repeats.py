@@ -35,6 +35,7 @@ SPAN = LENGTH - GRAM + 1  # k-grams in a window
 WALKED = 64  # contexts of a seed that are compared neighbour by neighbour in the sort
 MOST_CONTEXTS = 50_000  # that one task sorts: 9 MB of bytes at most
 BATCH = 4096
+NEARBY = 500_000  # contexts that are compared with each other before they are dealt
 _BASE2 = 0xD6E8FEB86659FD93
 _INVERSE2 = pow(_BASE2, -1, 1 << 64)
 tb._powers.setdefault(_BASE2, np.ones(1, np.uint64))
@@ -140,10 +141,18 @@ def text_anchors(texts: DataFrame) -> DataFrame:
 
     A context that equals an earlier one nearby is ``known`` to be a repeat
     and is dealt by its place; all others are dealt by their seed. So text
-    that repeats within documents doesn't pile up at one seed.
+    that repeats within documents, or in many, doesn't pile up at one seed.
     """
 
+    def settle(parts: list[tuple]) -> pa.RecordBatch:
+        seed, context, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        known = _known_earlier(seed, context, doc, place)
+        spread = tb.mix(place.view(np.uint64) ^ tb.mix(doc.view(np.uint64))).view(np.int64)
+        deal = np.where(known, spread, seed)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, seed, context, doc, place, known)], _ANCHOR)
+
     def work(batches):
+        parts, held = [], 0
         for b in batches:
             docs, tags = (b.column(k).to_numpy() for k in range(2))
             for block in tb.blocks(b.column("text")):
@@ -152,11 +161,13 @@ def text_anchors(texts: DataFrame) -> DataFrame:
                     if len(text):
                         row, off = rows[text], offset[text] - bounds[text]
                         place = _place(tags[row], anchor + off, low + off, high + off)
-                        known = _known_earlier(seed, context, docs[row], place)
-                        spread = tb.mix(place.view(np.uint64) ^ tb.mix(docs[row].view(np.uint64))).view(np.int64)
-                        deal = np.where(known, spread, seed)
-                        arrays = [pa.array(np.ascontiguousarray(x)) for x in (deal, seed, context, docs[row], place, known)]
-                        yield pa.RecordBatch.from_arrays(arrays, _ANCHOR)
+                        parts.append((seed, context, docs[row], place))
+                        held += len(seed)
+                if held > NEARBY:
+                    yield settle(parts)
+                    parts, held = [], 0
+        if parts:
+            yield settle(parts)
 
     return texts.mapInArrow(work, ANCHOR)
 
