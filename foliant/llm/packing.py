@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import cache
 
@@ -18,6 +19,9 @@ PACKED_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long, padded_to long"
 )
+#: tiktoken's regular expressions keep a state for each character of a run of white space and fail near a million.
+LONG_RUN = 500_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -32,8 +36,9 @@ class Encoder:
 
     The file's vocabulary is run by ``tiktoken``, which is three times as fast
     here. Each worker first compares it with ``tokenizers`` on ``probes`` and
-    uses ``tokenizers`` itself if any id differs. The names of special tokens
-    in a text are ordinary text.
+    uses ``tokenizers`` itself if any id differs, and for any text with a long
+    run of white space or on which ``tiktoken`` fails. The names of special
+    tokens in a text are ordinary text.
     """
 
     def __init__(self, vocabulary: str, probes: tuple[str, ...] = ()):
@@ -65,8 +70,12 @@ class Encoder:
         return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self._fast:
-            return self._fast.encode_ordinary(text)
+        if self._fast and not (len(text) >= LONG_RUN and _LONG_SPACE.search(text)):
+            try:
+                return self._fast.encode_ordinary(text)
+            except BaseException as e:  # a panic in Rust is no Exception, and its class can't be imported
+                if type(e).__name__ != "PanicException":
+                    raise
         return self._slow().encode(text, add_special_tokens=False).ids
 
 

@@ -97,6 +97,33 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert fast.ids(text) == own.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space_have_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    fast = packing.Encoder(path, packing.PROBES)
+    assert fast._fast is not None
+    texts = [" " * 1_500_000, "\n" * 1_500_000, "a b" + " \n\t\u00a0" * 400_000 + "c d"]
+    expected = [own.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [fast.ids(text) for text in texts] == expected
+    monkeypatch.setattr(packing, "LONG_RUN", 10**9)  # not seen beforehand: tiktoken fails, and tokenizers takes over
+    assert [fast.ids(text) for text in texts] == expected
+    assert fast.ids("and short ones after that") == own.encode("and short ones after that", add_special_tokens=False).ids
+
+
+def test_packing_documents_of_white_space(spark):
+    rows = [(1, " " * 1_500_000, None), (2, "\n" * 1_500_000, None), (3, "short", None)]
+    encode = packing.encoder(packing.vocabulary_path("byte_bpe_50k.json")).ids
+    ids = {i: np.array([*encode(t), 1], "<u4") for i, t, _ in rows}
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(documents(spark, rows)).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and zlib.crc32(own.tobytes()) == r.ids_crc32
+        pieces[r.doc_id].append(own)
+    assert {i: sum(map(len, own)) for i, own in pieces.items()} == {i: len(own) for i, own in ids.items()}
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(10)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
