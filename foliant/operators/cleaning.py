@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..llm import tables
 
 # What counts as a page's edge, as recurring, as little text, and as a long paragraph.
 EDGE_LINES = 2
@@ -51,11 +52,21 @@ def remove_edges(pages: DataFrame, heads: DataFrame, feet: DataFrame) -> DataFra
     """Add ``kept`` (lines), ``removed_headers`` and ``removed_footers``; the first page of a file loses nothing.
 
     A line goes only from the edge at which it recurs, and as a header if it could be either.
+    A page's own edge lines, four at most, are looked up among the repeated
+    ones by (file, key), and only those found go back to the page.
     """
-    keys = heads.groupBy("file").agg(F.collect_set("key").alias("head_keys"))
-    keys = keys.join(feet.groupBy("file").agg(F.collect_set("key").alias("foot_keys")), "file", "full_outer")
     none = F.array().cast("array<string>")
-    rows = pages.join(keys, "file", "left").withColumn("every", F.split(T.normalized_spacing(F.coalesce("raw_text", F.lit(""))), "\n", -1))
+    page = F.xxhash64("page_number", "raw_text")  # pages with the same hash share their keys, which are all the file's
+    text = T.normalized_spacing(F.coalesce("raw_text", F.lit("")))
+    sides = {"head": (True, heads), "foot": (False, feet)}
+    edge = lambda side: F.transform(_edge(T.lines(text), sides[side][0]), lambda x: F.struct(F.lit(side).alias("side"), T.furniture_key(x).alias("key")))
+    own = pages.select("file", page.alias("__page"), F.explode(F.array_distinct(F.concat(edge("head"), edge("foot")))).alias("e")).distinct()
+    own = own.select("__page", F.struct("file", "e.side", "e.key").alias("edge"))
+    known = [found.select(F.struct("file", F.lit(side).alias("side"), "key").alias("edge"), "pages") for side, (_, found) in sides.items()]
+    matched = tables.lookup(own, tables.stored(known[0].unionByName(known[1]), "edges"), "edge", "pages").filter(F.col("pages").isNotNull())
+    of_side = lambda side: F.collect_set(F.when(F.col("edge.side") == side, F.col("edge.key")))
+    keys = matched.groupBy(F.col("edge.file").alias("file"), "__page").agg(of_side("head").alias("head_keys"), of_side("foot").alias("foot_keys"))
+    rows = pages.withColumn("__page", page).join(keys, ["file", "__page"], "left").withColumn("every", F.split(text, "\n", -1))
     full = F.filter(F.transform("every", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
     spared = F.col("page_number") == 1
 
@@ -68,7 +79,8 @@ def remove_edges(pages: DataFrame, heads: DataFrame, feet: DataFrame) -> DataFra
 
     rows = rows.withColumn("roles", F.transform("every", role))
     pick = lambda kind: F.transform(F.filter("roles", lambda r: r["kind"] == kind), lambda r: r["line"])
-    out = {"kept": pick("kept"), "removed_headers": F.transform(pick("head"), F.trim), "removed_footers": F.transform(pick("foot"), F.trim)}
+    trimmed = lambda kind: F.transform(pick(kind), lambda x: F.trim(x))  # noqa: E731  F.trim itself would trim by the index
+    out = {"kept": pick("kept"), "removed_headers": trimmed("head"), "removed_footers": trimmed("foot")}
     return rows.withColumns(out).select(*pages.columns, *out)
 
 

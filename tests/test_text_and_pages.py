@@ -70,6 +70,34 @@ def test_recurring_edges_go_from_later_pages(spark):
     assert totals["f"].pages == 5 and totals["g"].pages_with_warnings == 3
 
 
+def test_edges_of_a_file_with_very_many_keys(spark):
+    """A page meets only its own keys, so no row or task holds all those of a file."""
+    rows = [("hot", n, f"Title {n // 2}\n \nCommon   LINE\nbody {n}\nlast of {n // 3}\n{n}") for n in range(1, 601)]
+    rows += [("hot", 7, "common line\nother text\nof page 7"), ("cold", 1, "common line\nx\ny\nz"), ("cold", 5, "common line\nx\ny\nz"), ("cold", None, "common line\nk\ny\nz"), ("cold", 6, None), (None, 3, "common line")]
+    rows += [("cold", 8, "common" + " " * 130 + "line\n\t\nk\nl\nm"), ("one", 2, "only line")] * 2
+    pages = spark.createDataFrame(rows, "file string, page_number int, raw_text string")
+    heads, feet = (cleaning.repeated_edges(pages, start, 2, 0.0) for start in (True, False))
+    known = [{(r.file, r.key) for r in found.collect()} for found in (heads, feet)]
+    key = lambda x: "<page-number>" if (k := " ".join(x.lower().split())).removeprefix("page").strip().isdigit() else k
+
+    def plain(file, page, text):
+        every, out = (text or "").split("\n"), ([], [], [])
+        full = [i for i, x in enumerate(every) if x.strip(" ")]
+        for i, x in enumerate(every):
+            head, foot = (i in at and (file, key(x)) in found for at, found in zip((full[:2], full[-2:]), known, strict=True))
+            role = 0 if page == 1 or not x.strip(" ") else 1 if head else 2 if foot else 0
+            out[role].append(x if role == 0 else x.strip(" "))
+        return file, page, text, *out
+
+    done = cleaning.remove_edges(pages, heads, feet)
+    assert done.columns == [*pages.columns, "kept", "removed_headers", "removed_footers"]
+    found = sorted(map(tuple, done.collect()), key=repr)
+    assert found == sorted((plain(*r) for r in rows), key=repr) and sum(len(r[4]) for r in found) > 1000
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_set" in line]
+    assert gathered and all("__page" in line.split("]")[0] for line in gathered)
+
+
 def test_spacing_penalty_and_samples(spark):
     r = one(
         spark, s=T.normalized_spacing(F.lit("a\r\nb\rc d\x03e")), p=T.quality_penalty(F.lit("�� Th\nese are")),
