@@ -288,8 +288,8 @@ READ_SCHEMA = (
 )
 
 
-def read_media(media: DataFrame, every: int = 100) -> DataFrame:
-    """Parse stored streams: payload digests, exact duration, feature, and the offset of every ``every``-th frame."""
+def read_media(media: DataFrame, every: int = 1) -> DataFrame:
+    """Parse stored streams: payload digests, exact duration, feature, and the offsets of all frames, or of every ``every``-th."""
 
     def parse(batches):
         for b in batches:

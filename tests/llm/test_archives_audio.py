@@ -5,6 +5,8 @@ import pytest
 
 from foliant.llm import archives, audio
 
+from .conftest import documents
+
 PAGES = [
     (3, "http://a/1", "<p>one</p>"), (1, "http://a/2", "<p>one</p>"), (2, None, None), (5, "http://b c/3", ""),
     (7, "http://d", "é\r\n\r\nWARC/1.1\r\n" * 50), (8, "http://e", "x" * 300_000), (None, "http://f", "<p>one</p>"), (9, "http://g", "\n"),
@@ -83,3 +85,11 @@ def test_texts_as_media(edge_docs, no_docs):
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-64:])
     assert len({(r.media_sha256, r.feature) for r in rows if r.doc_id in (5, 6)}) == 1
     assert audio.store_texts(no_docs).collect() == []
+
+
+def test_every_frame_can_be_sought(spark):
+    media = audio.encode_texts(documents(spark, [(1, "some words " * 2000, "en"), (2, None, None)])).cache()
+    streams = {r.doc_id: audio.read_stream(bytes(r.media)) for r in media.collect()}
+    found = {r.doc_id: r.seek_offsets for r in audio.read_media(media).collect()}
+    assert found == {i: [s.offsets[k] for k in s.audio] for i, s in streams.items()}
+    assert len(found["1"]) > 10
