@@ -34,10 +34,10 @@ def passages(seed, n):
         yield i, text + "a" * rng.choice([0, 0, 99, 100, 300]) + "ab" * rng.choice([0, 0, 150])
 
 
-@pytest.mark.parametrize("walked,most", [(64, 50_000), (1, 50_000), (2, 3)])
-def test_repeats_by_every_path(spark, monkeypatch, walked, most):
-    monkeypatch.setattr(repeats, "WALKED", walked)
+@pytest.mark.parametrize("most,batch", [(50_000, 4096), (3, 5), (1, 1)])
+def test_repeats_by_every_path(spark, monkeypatch, most, batch):
     monkeypatch.setattr(repeats, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(repeats, "BATCH", batch)
     rows = [*passages(5, 80), (1001, None), (1002, ""), (1003, "x" * 99), (1004, "x" * 100), (1005, "y" * 101)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, repeats.remove_repeats(docs).collect())) == brute_repeats(rows)
@@ -58,6 +58,45 @@ def test_repeats_edges(edge_docs, no_docs):
     assert repeats.remove_repeats(no_docs).collect() == []
 
 
+def test_repeats_of_rows_without_ids_and_of_repeated_ids(spark):
+    """Rows of one id are ordered by the hash of the text; equal rows are one document."""
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcd ") for _ in range(150)) for _ in range(30)]
+    made = ["".join(rng.choice(base)[: rng.randint(90, 150)] for _ in range(rng.randint(1, 3))) for _ in range(2000)]
+    rows = [(None if k < 1600 else k % 7, t) for k, t in enumerate(made)]
+    rows += rng.choices(rows, k=150) + [(3, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text or "": r.h for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) h").collect()}
+    ordered = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    found = dict(zip(ordered, brute_repeats(ordered), strict=True))
+    expected = [found[i, t or ""] for i, t in rows]
+    by = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, repeats.remove_repeats(docs).collect()), key=by) == sorted(expected, key=by)
+
+
+def test_common_prefixes_come_from_the_order():
+    rng = random.Random(5)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    parts = [p + q for p in parts[:5] for q in parts]
+    first = np.array([0, 1, 2, 50, 400, len(parts)])
+    end = np.cumsum([len(p) for p in parts])
+    begin = np.concatenate([[0], end[:-1]])
+    s = repeats.Suffixes(np.frombuffer(b"".join(parts), np.uint8), begin, begin, end)
+    expected = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        for p in parts[a:b]:
+            expected.append(next((k for k in range(min(len(p), len(parts[a]))) if p[k] != parts[a][k]), min(len(p), len(parts[a]))))
+    assert repeats.shared_prefixes(s, first).tolist() == expected
+
+
+def test_a_false_claim_removes_nothing(monkeypatch):
+    cell = b"c" * 1100
+    row = lambda text, at: (1, 2, 0, 1, 9, 9, 40, at, text)
+    rows = [row(b"c" * 300, 5), row(b"c" * 150 + b"d" + b"c" * 149, 5), row(b"d" * 200, 7)]
+    found = repeats._sorted_copies([cell], [0, 0, 0], rows).to_pydict()
+    assert sorted(zip(found["low"], found["high"], strict=True)) == [(40, 90), (40, 240)]
+
+
 def test_suffix_sort_is_a_sort():
     rng = random.Random(3)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode(), np.uint8)
