@@ -36,9 +36,9 @@ class Encoder:
 
     The file's vocabulary is run by ``tiktoken``, which is three times as fast
     here. Each worker first compares it with ``tokenizers`` on ``probes`` and
-    uses ``tokenizers`` itself if any id differs, and for any text with a long
-    run of white space or on which ``tiktoken`` fails. The names of special
-    tokens in a text are ordinary text.
+    uses ``tokenizers`` itself if any id differs, and for any text with the name
+    of an added token (such as ``<|endoftext|>``, which has an id of its own),
+    with a long run of white space, or on which ``tiktoken`` fails.
     """
 
     def __init__(self, vocabulary: str, probes: tuple[str, ...] = ()):
@@ -51,16 +51,16 @@ class Encoder:
     def _slow(self):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(self._vocabulary)
-        own.encode_special_tokens = True
-        return own
+        return Tokenizer.from_file(self._vocabulary)
 
     def _build(self):
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(self._vocabulary, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self._names = [token["content"] for token in file["added_tokens"]]
         letters = byte_alphabet()
         ranks = {}
         for word, rank in model["vocab"].items():
@@ -70,7 +70,8 @@ class Encoder:
         return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self._fast and not (len(text) >= LONG_RUN and _LONG_SPACE.search(text)):
+        plain = not any(name in text for name in self._names)
+        if self._fast and plain and not (len(text) >= LONG_RUN and _LONG_SPACE.search(text)):
             try:
                 return self._fast.encode_ordinary(text)
             except BaseException as e:  # a panic in Rust is no Exception, and its class can't be imported

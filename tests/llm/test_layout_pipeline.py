@@ -91,12 +91,27 @@ def test_ids_are_those_of_the_tokenizers_library():
     fast = packing.encoder(path)
     assert fast._fast is not None
     rng = random.Random(9)
-    letters = "abc ABC 'sté\n\t0129 .,!  \U0001f600東ǅß"
-    for _ in range(300):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 200)))
+    parts = [*"abc ABC 'sté\n\t0129 .,!  \U0001f600東ǅß\x00\x85\u2028\u200d", "'ll", "<|endoftext|>", "<|", "|>", "endoftext", " the", "\r\n"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 200)))
         assert fast.ids(text) == own.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_are_those_of_the_library(spark):
+    """Names of added tokens have their own ids; the expected ones don't come from this module."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "hello <|endoftext|> world", None), (2, "<|endoftext|>" * 3000, None), (3, "no special name: <|endoftext |>", None), (4, None, None)]
+    ids = {i: np.array([*own.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t, _ in rows}
+    assert ids[1].tolist() == [31373, 220, 50256, 995, 1]
+    found = packing.pack_documents(documents(spark, rows)).collect()
+    for r in found:
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()))
+    assert sum(r.length for r in found) == sum(map(len, ids.values()))
+
+
 def test_long_runs_of_white_space_have_ids(monkeypatch):
     from tokenizers import Tokenizer
 
