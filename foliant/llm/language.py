@@ -16,6 +16,7 @@ BITS = 15
 ORDERS = (1, 2, 3)
 PER = 100.0  # term frequencies are per so many n-grams
 BLOCK_CHARS = 1 << 19
+ONE = 1 << 24  # weights are summed in whole parts of so many
 
 
 @cache
@@ -42,10 +43,13 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
     Lower case; every character that is no letter counts as a space, and so do
     letters in a run with digits (keys, numbers), which are no language. Each
-    text has a space before and behind it. An n-gram that begins at position p has
-    its hash there; the last ones of a text reach into the next text's space only.
+    text has as many spaces before it as the longest n-gram reaches beyond its
+    first character, and the same behind it. An n-gram that begins at position p
+    has its hash there; those at the end of a text reach only into the spaces
+    before the next one, so a text's n-grams don't depend on what else is joined.
     """
-    parts = [(" " + t.lower() + "  ").encode("utf-32-le", "surrogatepass") for t in texts]
+    pad = " " * (max(ORDERS) - 1)
+    parts = [(pad + t.lower() + pad).encode("utf-32-le", "surrogatepass") for t in texts]
     bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
     code = np.frombuffer(b"".join(parts), np.uint32)
     letter = _letters()[code]
@@ -210,7 +214,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language and its calibrated chance; ``und`` with 0 for texts without letters."""
     languages = np.array(model.languages if model else ["und"], dtype=object)
     k = len(languages)
-    per_gram = (model.idf[:, None] * model.weights * PER).astype(np.float32) if model else None
+    # Whole numbers, so that a sum doesn't depend on its order or on what else is in the batch.
+    per_gram = np.rint(model.idf[:, None] * model.weights * PER * ONE).astype(np.int64) if model else None
 
     def work(batches):
         for b in batches:
@@ -224,8 +229,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     logits = np.empty((len(texts), k))
                     for j in range(k):
                         column = np.ascontiguousarray(per_gram[:, j])
-                        total = sum(np.add.reduceat(column[g], bounds[:-1], dtype=np.float64) for g in orders)
-                        logits[:, j] = total / size + model.bias[j]
+                        total = sum(np.add.reduceat(column[g], bounds[:-1]) for g in orders)
+                        logits[:, j] = total / ONE / size + model.bias[j]
                     chance = _softmax(logits / model.temperature)
                 best = chance.argmax(axis=1)
                 names += np.where(has, languages[best], "und").tolist()

@@ -183,6 +183,47 @@ def test_language_on_held_out_rows(spark, edge_docs, no_docs):
     assert language.identify_documents(no_docs).collect() == []
 
 
+def plain_prediction(text, model):
+    """predict() for one text, n-gram by n-gram."""
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low):
+        return "und", 0.0
+    low = "  " + low + "  "
+    runs = [m.span() for m in re.finditer(r"(?:[0-9]|[^\W\d_])+", low)]
+    spoilt = {k for a, b in runs if re.search("[0-9]", low[a:b]) for k in range(a, b)}
+    codes = [ord(c) if c.isalpha() and k not in spoilt else 32 for k, c in enumerate(low)] + [32, 32]
+    totals, mask = [0] * len(model.languages), (1 << 64) - 1
+    for p in range(len(low)):
+        key = 0
+        for n in range(3):
+            key = (key * 0x100000001B3 + codes[p + n] + 1) & mask
+            gram = (((key ^ key >> 29) * 0x9E3779B97F4A7C15) & mask) >> (64 - language.BITS)
+            for j in range(len(totals)):
+                totals[j] += round(float(model.idf[gram] * model.weights[gram, j] * language.PER * language.ONE))
+    logits = [t / language.ONE / (3 * len(low)) + b for t, b in zip(totals, model.bias, strict=True)]
+    e = [math.exp((x - max(logits)) / model.temperature) for x in logits]
+    best = e.index(max(e))
+    return model.languages[best], e[best] / sum(e)
+
+
+def test_predictions_depend_on_their_own_text_alone(spark):
+    rng = np.random.default_rng(3)
+    weights = np.where(rng.random((1 << language.BITS, 3)) < 0.5, rng.normal(size=(1 << language.BITS, 3)), 0.0)
+    model = language.Model(["de", "en", "fr"], 1 + rng.random(1 << language.BITS), weights, np.array([0.1, -0.1, 0.0]), 0.7)
+    letters = [*"abc  d\t1é.ß中", "ok", "x9"]
+    texts = ["ok", "", None, "a", "zz top", "12", "ab" * 9000] + ["".join(rng.choice(letters) for _ in range(rng.integers(0, 60))) for _ in range(150)]
+    expected = {k: plain_prediction(t, model) for k, t in enumerate(texts)}
+    rows = list(enumerate(texts))
+    seen = []
+    for part, order in ((1, rows), (1, rows[::-1]), (7, rows)):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(part)
+        seen.append({r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model).collect()})
+    assert seen[0] == seen[1] == seen[2]
+    for k, (name, score) in expected.items():
+        assert seen[0][k][0] == name and math.isclose(seen[0][k][1], score, rel_tol=1e-9), texts[k]
+    assert all(np.array_equal(a[:4], b[:4]) for a, b in zip(language.grams(["ok", "x"])[0], language.grams(["ok", "y"])[0], strict=True))
+
+
 def test_temperature_and_sparsity():
     rng = np.random.default_rng(1)
     logits = rng.normal(size=(2000, 3))
