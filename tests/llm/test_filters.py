@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,7 @@ def test_base_spans_against_python(spark, no_docs):
     rows = [(i, "".join(rng.choice(BITS) for _ in range(rng.randint(0, 25))), None) for i in range(600)]
     rows += [(9001, None, None), (9002, "", None), (9003, "a" * 20_000 + "@" + "b" * 20_000 + ".c", None), (None, "a@b.c", None)]
     rows += [(9004, "1 " * 30_000, None), (9005, "same@mail.org", None), (9005, "same@mail.org", None)]
+    rows += [(9100 + i, "".join(rng.choice(BITS) for _ in range(n)), None) for i, n in enumerate((500, 1500, 4000))]  # more than a block of matches
     texts = {i: t for i, t, _ in rows}
     found = pii.find_personal_data(documents(spark, rows)).collect()
     assert len(found) == len(rows)
@@ -71,6 +73,50 @@ def test_method_adds_spans_and_redacts(spark):
     assert clean[101].text == dict((i, t) for i, t, _ in rows)[101]
 
 
+FORMS = [
+    ("cards 4539148803436467 4539148803436467 both", ["card:6:22", "card:23:39"]),  # together no base match passes
+    ("card 4539.1488.0343.6467 here", ["card:5:24"]),
+    ("the server address 10[.]20[.]30[.]44 again", ["ip:19:36"]),
+    ("write to jo.x @ mail.example.org today", ["email:9:32"]),
+    ("mail jo at mail dot example dot org now", ["email:5:35"]),
+    ("telefon 030/1234567 abends", ["phone:8:19"]),
+    ("appel 01 23 45 67 89 demain", ["phone:6:20"]),
+    ("card 4539.1488.0343.6468 here", []),  # fails the checksum
+    ("invoice no. 10.20.30.444 paid", []),
+    ("release 1 . 2 . 3 . 4", []),
+    ("look at the dot and go", []),
+]
+
+
+def test_added_spans_of_every_kind(spark):
+    rows = [(1000 * k + i, t, None) for k, (t, _) in enumerate(FORMS) for i in range(20)]
+    rows += [(90_000 + i, f"mail m{i}@mail.org, call +1 415 555 {1000 + i}, host 10.2.3.{i}, card 4539 1488 0343 6467.", None) for i in range(60)]
+    found = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    got = [sorted(found[1000 * k]) for k in range(len(FORMS))]
+    assert got == [sorted(e) for _, e in FORMS]
+
+
+def test_many_spans_in_one_text(spark):
+    """Redaction is in order, block by block, and linear in the spans."""
+    rng = random.Random(12)
+    text = "".join(rng.choice(BITS) for _ in range(3000)) + "tail"
+    many = " ".join(f"m{i}@mail.org" for i in range(40_000))
+    docs = documents(spark, [(1, text, None), (2, many, None), (3, None, None), (4, "", None), (None, "none", None), (None, "none", None)])
+    began = time.time()
+    out = {r.doc_id: r.text for r in pii.redact_documents(docs).collect()}
+    assert time.time() - began < 60
+    spans = next(r for r in pii.find_spans(docs).collect() if r.doc_id == 1).spans
+    assert len(spans) > 200
+    at, expected = 0, []
+    for s in spans:
+        if s["start"] >= at:
+            expected += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
+        at = max(at, s["end"])
+    assert out[1] == "".join(expected) + text[at:]
+    assert out[2] == " ".join(["<EMAIL>"] * 40_000) and out[3] is None and out[4] == "" and out[None] == "none"
+    assert pii.redact_documents(documents(spark, [])).collect() == []
+
+
 def test_label_model_learns_who_is_right():
     rng = random.Random(7)
     counts = {}
