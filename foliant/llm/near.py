@@ -5,7 +5,9 @@ one's and ceil(3m/4) of the other's shingles. So in any order of all shingles
 the first n - ceil(3n/4) + L of the one and as many of the other have L in
 common, for every L up to the required overlap. Here the order is by rarity,
 and each document picks its own L: a longer prefix is dearer to look up but
-lets only pairs with L matches through to verification.
+lets only pairs with L matches through to verification. Matches are counted on
+the prefixes alone; only sets that have a partner with enough of them, and of a
+size that allows a link, are brought together and verified.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from . import textbytes as tb
 from .tables import components, lookup, shuffle_partitions, stored
 
 SHINGLE = 5
-MOST_MATCHES = 4
+MOST_MATCHES = 64  # verification costs 2**-63 of a list by then, so more never pay
 FREQUENT_ROWS = 1 << 18  # so many shingles have their frequency known exactly in the order
 LEAST_FREQUENT = 8
 _SPARE_BITS = 5
@@ -67,8 +69,9 @@ def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _node(signature: bytes) -> int:
-    return int.from_bytes(signature[:8], "little") >> 1
+def _node(signature: bytes, renamed: dict[bytes, int]) -> int:
+    """The number that stands for a set: 63 bits of its signature, or its own where two sets would have the same."""
+    return renamed.get(signature) or int.from_bytes(signature[:8], "little") >> 1
 
 
 def sized_sets(docs: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def sized_sets(docs: DataFrame) -> DataFrame:
                 for s in shingle_sets(block):
                     names.append(_signature(s))
                     sizes.append(len(s))
-                    nodes.append(_node(names[-1]))
+                    nodes.append(_node(names[-1], {}))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(names, pa.binary())],
                 ["doc_id", "h", "n_shingles", "node", "signature"],
@@ -91,6 +94,29 @@ def sized_sets(docs: DataFrame) -> DataFrame:
     return hashed.mapInArrow(work, "doc_id long, h long, n_shingles long, node long, signature binary")
 
 
+def distinct_nodes(sized: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
+    """``sized`` with a node of its own for each different set, and the nodes of those sets that were renamed.
+
+    Two sets have 63 bits of their signatures in common once in 2**64 pairs: of
+    a billion sets, in one corpus of twenty. All but one are named by the other
+    half of their signatures, until no two have the same.
+    """
+    spark, renamed = sized.sparkSession, {}
+    while True:
+        names = sized.filter("n_shingles > 0").groupBy("node").agg(F.min("signature").alias("low"), F.max("signature").alias("high"))
+        clashes = stored(names.filter("low <> high").select("node", "low"), "clashes")
+        if clashes.isEmpty():
+            return sized, renamed
+        late = sized.filter("n_shingles > 0").join(F.broadcast(clashes), "node").filter("signature <> low").select("signature").distinct()
+        for row in late.toLocalIterator():  # none or a few
+            signature = bytes(row["signature"])
+            before = renamed.get(signature, int.from_bytes(signature[8:], "little"))
+            renamed[signature] = (before * 0x9E3779B97F4A7C15 + 1) % (1 << 63) or 1
+        own = spark.createDataFrame([(bytearray(k), v) for k, v in renamed.items()], "signature binary, own long")
+        found = sized.drop("own").join(F.broadcast(own), "signature", "left").withColumn("node", F.coalesce("own", "node"))
+        sized = found.select("doc_id", "h", "n_shingles", "node", "signature")
+
+
 # ---- how often shingles occur ----
 
 
@@ -107,6 +133,7 @@ class Frequencies:
     shared: np.ndarray
     keys: np.ndarray
     df: np.ndarray
+    renamed: dict[bytes, int]  # see distinct_nodes()
 
     def others(self, s: np.ndarray) -> np.ndarray:
         """Estimated number of other documents with each shingle; 0 is certain."""
@@ -119,7 +146,7 @@ class Frequencies:
         return out
 
 
-def count_shingles(docs: DataFrame, shingles: int) -> Frequencies:
+def count_shingles(docs: DataFrame, shingles: int, renamed: dict[bytes, int]) -> Frequencies:
     """Count all shingles of all documents, by 32 bits of their hash or up to 40 if there are very many.
 
     A task sends its sorted keys in compressed runs, one for each range of
@@ -190,7 +217,7 @@ def count_shingles(docs: DataFrame, shingles: int) -> Frequencies:
             break
         least = step["df"]
     top = counted.filter(F.col("df") >= least).select("key", "df").limit(FREQUENT_ROWS).toPandas().sort_values("key")
-    return Frequencies(key_bits, shared, top["key"].to_numpy(np.uint64), top["df"].to_numpy(np.int64))
+    return Frequencies(key_bits, shared, top["key"].to_numpy(np.uint64), top["df"].to_numpy(np.int64), renamed)
 
 
 # ---- prefixes ----
@@ -226,57 +253,70 @@ def adaptive_prefix(s: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def prefix_postings(docs: DataFrame, frequencies: Frequencies) -> DataFrame:
-    """token, node and size of the set for each prefix shingle that another document may have."""
+    """token, node and what() of each prefix shingle that another document may have."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)  # bounded, see there
 
     def work(batches):
-        known = shared.value
+        known, seen = shared.value, set()
         for b in batches:
+            if len(seen) > 1 << 18:
+                seen = set()
             for block in tb.blocks(b.column("text")):
-                tokens, nodes, sizes = [], [], []
+                tokens, nodes, about = [], [], []
                 sets = shingle_sets(block)
                 others = known.others(np.concatenate(sets)) if sets else np.empty(0)
                 at = 0
                 for s in sets:
                     own, at = others[at : at + len(s)], at + len(s)
-                    if own.any():
-                        prefix = adaptive_prefix(s, own)[0]
-                        tokens.append(prefix)
-                        nodes.append(np.full(len(prefix), _node(_signature(s)), np.int64))
-                        sizes.append(np.full(len(prefix), len(s), np.int64))
+                    node = _node(_signature(s), known.renamed) if own.any() else None
+                    if node is None or node in seen:  # copies here have the same postings
+                        continue
+                    seen.add(node)
+                    prefix, levels, need = adaptive_prefix(s, own)
+                    tokens.append(prefix)
+                    nodes.append(np.full(len(prefix), node, np.int64))
+                    about.append(what(len(s), need, levels))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(np.concatenate(tokens)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
-                        ["token", "node", "size"],
+                        [_signed(np.concatenate(tokens)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(about))],
+                        ["token", "node", "what"],
                     )
 
-    return docs.filter("doc_id is not null").select("text").mapInArrow(work, "token long, node long, size long")
+    return docs.filter("doc_id is not null").select("text").mapInArrow(work, "token long, node long, what long")
+
+
+def what(size, need, level):
+    """Size of a set, matches that it requires and the level from which a shingle counts, in one number."""
+    return np.int64(size) << 16 | np.int64(need) << 8 | np.asarray(level, np.int64)
 
 
-POSTING = "node long, size long, leader long"
+POSTING = "token long, node long, what long, leader long"
 
 
 def shared_postings(postings: DataFrame, partitions: int) -> DataFrame:
-    """(node, size, leader) of the shingles that two different sets have in their prefixes; leader is the list's first node.
+    """(token, node, what, leader) of the shingles that two different sets of like size have in their prefixes.
 
-    Lists are read in order and never held: a list of any length needs the
-    memory of one batch.
+    A list is in order of size, and ends where the next set is too large for a
+    link with the last: only neighbours in such a list can be similar. The
+    leader is the list's first node. Lists are read in order and never held: a
+    list of any length needs the memory of one batch.
     """
 
     def work(batches):
-        held = None  # the last row (token, node, size), its list's leader, and whether a row of the same list went before
+        held = None  # the last row (token, node, what), its list's leader, and whether a row of the same list went before
         for b in batches:
             rows = [b.column(k).to_numpy() for k in range(3)]
             if held is not None:
                 rows = [np.concatenate([[x], y]) for x, y in zip(held[0], rows, strict=True)]
-            token, node, size = rows
+            token, node, about = rows
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, size = token[new], node[new], size[new]
+            token, node, about = token[new], node[new], about[new]
             if not len(token):
                 continue
+            size = about >> 16
             more = np.zeros(len(token), bool)
-            more[1:] = token[1:] == token[:-1]
+            more[1:] = (token[1:] == token[:-1]) & (4 * size[:-1] >= 3 * size[1:])
             lead = np.maximum.accumulate(np.where(more, 0, np.arange(len(token))))
             leader = node[lead]
             if held is not None:
@@ -284,16 +324,19 @@ def shared_postings(postings: DataFrame, partitions: int) -> DataFrame:
             keep = more.copy()
             keep[:-1] |= more[1:]
             keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, size, leader)], ["node", "size", "leader"])
-            held = ((token[-1], node[-1], size[-1]), leader[-1], bool(more[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, about, leader)], _POSTING)
+            held = ((token[-1], node[-1], about[-1]), leader[-1], bool(more[-1]))
         if held is not None and held[2]:
-            last = [pa.array([int(x)], pa.int64()) for x in (held[0][1], held[0][2], held[1])]
-            yield pa.RecordBatch.from_arrays(last, ["node", "size", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (*held[0], held[1])], _POSTING)
 
-    ordered = postings.repartition(partitions, "token").sortWithinPartitions("token", "node")
+    size = F.shiftright("what", 16)
+    ordered = postings.repartition(partitions, "token").sortWithinPartitions("token", size, "node")
     return ordered.mapInArrow(work, POSTING)
 
 
+_POSTING = [x.split()[0] for x in POSTING.split(", ")]
+
+
 # ---- verification ----
 
 
@@ -310,14 +353,13 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-SETS = "id long, node long, size long, unique long, need long, shingles binary"
+SETS = "id long, node long, size long, shingles binary"
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, frequencies: Frequencies) -> DataFrame:
-    """node, size, unique, need and shingles of the documents ``wanted`` (node, id), a row a node.
+    """node, size and shingles of the documents ``wanted`` (node, id), a row a node.
 
-    ``shingles`` has those that another document may have, in prefix order;
-    ``unique`` counts the others, which come before them. A small bitmap keeps
+    ``shingles`` has those that another document may have. A small bitmap keeps
     most other texts from being read further; the join decides.
     """
     shared = docs.sparkSession.sparkContext.broadcast((_id_filter(wanted), frequencies))
@@ -330,17 +372,13 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, frequencies: Frequencies) ->
             out = []
             for block in tb.blocks(chosen.column("text")):
                 for s in shingle_sets(block):
-                    others = known.others(s)
-                    order = np.argsort(others, kind="stable")
-                    unique = int((others == 0).sum())
-                    need = adaptive_prefix(s, others)[2] if len(s) else 1
-                    out.append((_node(_signature(s)), len(s), unique, need, s[order[unique:]].tobytes()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    out.append((_node(_signature(s), known.renamed), len(s), s[known.others(s) > 0].tobytes()))
+            types = (pa.int64(), pa.int64(), pa.binary())
             rows = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([chosen.column("doc_id"), *rows], [x.split()[0] for x in SETS.split(", ")])
 
     hashed = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("v"))
-    return hashed.mapInArrow(work, SETS).join(wanted, ["node", "id"], "left_semi").drop("id")
+    return hashed.mapInArrow(work, SETS).join(wanted, ["node", "id"], "left_semi").drop("id")  # repeated rows give repeated sets
 
 
 def _overlaps(owner: np.ndarray, token: np.ndarray, members: int) -> np.ndarray:
@@ -364,88 +402,114 @@ def _overlaps(owner: np.ndarray, token: np.ndarray, members: int) -> np.ndarray:
     return out
 
 
-def similar(sizes: np.ndarray, unique: np.ndarray, need: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """For each member of a group, the first member that links lead to.
+def _alike(sizes: np.ndarray) -> np.ndarray:
+    """Which pairs are of sizes that a link allows; no set is its own partner."""
+    out = 4 * np.minimum(sizes[:, None], sizes[None]) >= 3 * np.maximum(sizes[:, None], sizes[None])
+    np.fill_diagonal(out, False)
+    return out
 
-    Only members that share as many prefix shingles with another one as both
-    require are verified, by their exact overlap.
-    """
-    k = len(sets)
-    owner = np.repeat(np.arange(k), [len(s) for s in sets])
-    token = np.concatenate(sets)
-    place = np.concatenate([np.arange(len(s)) + u for s, u in zip(sets, unique, strict=True)])
-    first = sizes - (3 * sizes + 3) // 4 + 1
-    level = np.maximum(1, place - first[owner] + 2)
+
+def with_partner(about: list[np.ndarray], tokens: list[np.ndarray]) -> np.ndarray:
+    """Members of a group that share as many prefix shingles with another one as both require."""
+    k = len(tokens)
+    owner = np.repeat(np.arange(k), [len(t) for t in tokens])
+    token, every = np.concatenate(tokens), np.concatenate(about)
+    level = every & 255
+    sizes, need = np.array([a[0] >> 16 for a in about]), np.array([a[0] >> 8 & 255 for a in about])
     both = np.minimum(need[:, None], need[None])
     candidate = np.zeros((k, k), bool)
     for n in np.unique(both):
         inside = (level <= n) & (need[owner] >= n)
         candidate |= (both == n) & (_overlaps(owner[inside], token[inside], k) >= n)
-    total = sizes[:, None] + sizes[None]
-    candidate &= 4 * np.minimum(sizes[:, None], sizes[None]) >= 3 * np.maximum(sizes[:, None], sizes[None])
-    np.fill_diagonal(candidate, False)
-    chosen = np.flatnonzero(candidate.any(axis=1))
+    return np.flatnonzero((candidate & _alike(sizes)).any(axis=1))
+
+
+def similar(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each member of a group, the first member that links lead to, by the exact overlap of all pairs."""
+    k = len(sets)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    common = _overlaps(owner, np.concatenate(sets), k)
+    linked = _alike(sizes) & (7 * common >= 3 * (sizes[:, None] + sizes[None]))  # 100 * common >= 75 * union
     label = np.arange(k)
-    if not len(chosen):
-        return label
-    at = np.full(k, -1)
-    at[chosen] = np.arange(len(chosen))
-    inside = at[owner] >= 0
-    common = _overlaps(at[owner[inside]], token[inside], len(chosen))
-    linked = candidate[np.ix_(chosen, chosen)] & (7 * common >= 3 * total[np.ix_(chosen, chosen)])  # 100 * common >= 75 * union
-    for i in range(len(chosen)):
-        if label[chosen[i]] != chosen[i]:
+    for i in range(k):
+        if label[i] != i:
             continue
         front = np.array([i])
         while len(front):  # all that can be reached from i
             reached = np.flatnonzero(linked[front].any(axis=0))
-            front = reached[label[chosen[reached]] == chosen[reached]]
+            front = reached[label[reached] == reached]
             front = front[front != i]
-            label[chosen[front]] = chosen[i]
+            label[front] = i
     return label
 
 
-def similar_pairs(docs: DataFrame, postings: DataFrame, nodes: DataFrame, frequencies: Frequencies, partitions: int) -> DataFrame:
-    """(a, b): links that connect all sets that similar pairs connect.
-
-    Lists with one leader have much the same nodes, so they are verified
-    together: a set goes once to each of its leaders, not to each partner. Two
-    sets with a prefix shingle in common meet at its leader. The sets of a
-    leader with very many are dealt into blocks, and every two blocks meet.
-    """
-    members = postings.groupBy("leader", "node").agg(F.max("size").alias("size"))
-    members = stored(members, "members")
-    groups = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
-    dealt = lookup(members, groups, "leader", "n")
-    blocks = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    dealt = dealt.select("leader", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = dealt.select("leader", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node")
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("id")), "node")
-    rows = rows.join(wanted_sets(docs, wanted, frequencies), "node")
-    ordered = rows.select("leader", "x", "y", "node", "size", "unique", "need", "shingles").repartition(partitions, "leader", "x", "y")
-    ordered = ordered.sortWithinPartitions("leader", "x", "y", "node")
-
-    def settle(group: list[tuple]) -> pa.RecordBatch:
-        group = [g for i, g in enumerate(group) if not i or g[0] != group[i - 1][0]]
-        node, size, unique, need = (np.array([g[k] for g in group], np.int64) for k in range(4))
-        label = similar(size, unique, need, [np.frombuffer(g[4], np.uint64) for g in group])
-        far = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(node[label[far]]), pa.array(node[far])], ["a", "b"])
+def _in_groups(rows: DataFrame, schema: str, partitions: int, settle) -> DataFrame:
+    """``settle`` of the rows (without repeated nodes) of each (leader, x, y) with more than one; rows are read in order."""
+    n = len(rows.columns)
 
     def work(batches):
         key, group = None, []
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            for row in zip(*(b.column(k).to_pylist() for k in range(n)), strict=True):
                 if row[:3] != key:
                     if len(group) > 1:
-                        yield settle(group)
+                        yield settle(key, group)
                     key, group = row[:3], []
-                group.append(row[3:])
+                if not group or group[-1][0] != row[3]:
+                    group.append(row[3:])
         if len(group) > 1:
-            yield settle(group)
+            yield settle(key, group)
+
+    ordered = rows.repartition(partitions, "leader", "x", "y").sortWithinPartitions("leader", "x", "y", "node")
+    return ordered.mapInArrow(work, schema)
+
+
+CANDIDATE = "leader long, x int, y int, node long"
+
+
+def candidates(postings: DataFrame, partitions: int) -> DataFrame:
+    """(leader, x, y, node) of the sets to verify: they share enough of their prefixes with another one of block x or y of the leader.
+
+    Lists with one leader have much the same nodes, so they are counted
+    together: a set's prefix goes once to each of its leaders, not to each
+    partner. Two sets with a prefix shingle in common meet at its leader. The
+    sets of a leader with very many are dealt into blocks, and every two blocks
+    meet.
+    """
+    members = postings.groupBy("node").agg(F.collect_list(F.struct("token", "what")).alias("tokens"), F.collect_set("leader").alias("leaders"))
+    members = members.select("node", "tokens", F.explode("leaders").alias("leader"))
+    sized = postings.select("leader", "node", F.shiftright("what", 16).alias("size")).distinct()
+    groups = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    dealt = lookup(members, groups, "leader", "n")
+    blocks = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    dealt = dealt.select("leader", "node", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = dealt.select("leader", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "tokens.token", "tokens.what")
+
+    def settle(key, group: list[tuple]) -> pa.RecordBatch:
+        chosen = with_partner([np.array(g[2], np.int64) for g in group], [np.array(g[1], np.int64) for g in group])
+        made = [np.full(len(chosen), k) for k in key] + [np.array([g[0] for g in group], np.int64)[chosen]]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], _CANDIDATE)
+
+    return _in_groups(rows, CANDIDATE, partitions, settle)
 
-    return ordered.mapInArrow(work, "a long, b long")
+
+_CANDIDATE = [x.split()[0] for x in CANDIDATE.split(", ")]
+
+
+def similar_pairs(docs: DataFrame, postings: DataFrame, nodes: DataFrame, frequencies: Frequencies, partitions: int) -> DataFrame:
+    """(a, b): links that connect all sets that similar pairs connect, by exact overlaps of the candidates."""
+    found = stored(candidates(postings, partitions), "candidates")
+    wanted = found.select("node").distinct().join(nodes.select("node", F.col("rep").alias("id")), "node")
+    rows = found.join(wanted_sets(docs, wanted, frequencies), "node").select("leader", "x", "y", "node", "size", "shingles")
+
+    def settle(_key, group: list[tuple]) -> pa.RecordBatch:
+        node = np.array([g[0] for g in group], np.int64)
+        label = similar(np.array([g[1] for g in group], np.int64), [np.frombuffer(g[2], np.uint64) for g in group])
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(node[label[far]]), pa.array(node[far])], ["a", "b"])
+
+    return _in_groups(rows, "a long, b long", partitions, settle)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -456,8 +520,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     names = {"doc_id": "__id", "h": "__h"}
     found = similarity_classes(docs).filter("doc_id is not null and n_shingles > 0").withColumnsRenamed(names)
-    found = found.groupBy("__id", "__h").agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("rows"))
-    touched = stored(found.filter("later or rows > 1"), "dropped")
+    found = found.groupBy("__id", "__h").agg(F.max("later").alias("__later"), F.count(F.lit(1)).alias("__rows"))
+    touched = stored(found.filter("__later or __rows > 1"), "dropped")
     bits = docs.sparkSession.sparkContext.broadcast(_id_filter(touched.select(F.col("__id").alias("id"))))
 
     @F.pandas_udf("boolean")
@@ -469,8 +533,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__maybe", F.col("__id").isNotNull() & maybe(F.pmod(F.xxhash64("__id"), F.lit(_FILTER_BITS))))
     clear = rows.filter("not __maybe").select(*docs.columns)
     checked = rows.filter("__maybe").withColumn("__h", F.xxhash64("text")).join(touched, ["__id", "__h"], "left")
-    once = checked.filter("later is null").select(*docs.columns)
-    several = checked.filter("not later").dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    once = checked.filter("__later is null").select(*docs.columns)
+    several = checked.filter("not __later").dropDuplicates(["__id", "__h"]).select(*docs.columns)
     return clear.unionByName(once).unionByName(several)
 
 
@@ -490,17 +554,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = shuffle_partitions(spark)
-    sized = stored(sized_sets(rows), "sets")
+    sized, renamed = distinct_nodes(stored(sized_sets(rows), "sets"))
     real = sized.filter("n_shingles > 0 and doc_id is not null")
-    nodes = real.groupBy("node").agg(
-        F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"),
-        F.min("signature").alias("low"), F.max("signature").alias("high"),
-    )
-    nodes = stored(nodes, "nodes")
-    if not nodes.filter("low <> high").isEmpty():
-        raise RuntimeError("two different sets have the same 63-bit node")
-    nodes = nodes.select("node", "first", F.col("first.doc_id").alias("rep"), "copies", "n")
-    frequencies = count_shingles(rows, nodes.agg(F.sum("n")).first()[0] or 1)
+    nodes = real.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"))
+    nodes = stored(nodes, "nodes").select("node", "first", F.col("first.doc_id").alias("rep"), "copies", "n")
+    frequencies = count_shingles(rows, nodes.agg(F.sum("n")).first()[0] or 1, renamed)
     postings = stored(shared_postings(prefix_postings(rows, frequencies), parts), "postings")
     links = stored(similar_pairs(rows, postings, nodes, frequencies, parts), "links")
     comps = components(links)

@@ -167,6 +167,31 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, group):
     assert sorted(map(tuple, near.near_duplicates(docs).collect())) == brute_components(rows)
 
 
+def test_sets_whose_numbers_clash(spark, monkeypatch):
+    """With numbers of three bits nearly all sets clash and are renamed."""
+    monkeypatch.setattr(near, "_node", lambda signature, renamed: renamed.get(signature) or signature[0] & 7)
+    rows = [*families(3)]
+    docs = documents(spark, [(i, t, None) for i, t in rows])
+    assert sorted(map(tuple, near.near_duplicates(docs).collect())) == brute_components(rows)
+
+
+def test_lists_end_where_sizes_allow_no_link(spark):
+    rows = [(7, n, int(near.what(size, 1, 1))) for n, size in ((1, 40), (2, 50), (3, 60), (4, 90), (5, 200), (6, 266), (7, 266))]
+    rows += [(8, 1, int(near.what(40, 1, 1))), (8, 4, int(near.what(90, 1, 1)))]
+    found = near.shared_postings(spark.createDataFrame(rows, "token long, node long, what long"), 2).collect()
+    assert sorted((r.token, r.node, r.leader) for r in found) == [(7, 1, 1), (7, 2, 1), (7, 3, 1), (7, 5, 5), (7, 6, 5), (7, 7, 5)]
+
+
+def test_names_of_columns_do_not_clash(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(1, "a b c d e f g", None), (2, "a b c d e f g", None), (2, "a b c d e f g", None), (3, "else", None)])
+    for name in ("later", "rows", "component_id", "n_shingles", "id", "v", "leader", "first", "copies", "comp", "least"):
+        docs = docs.withColumn(name, F.lit(5))
+    left = near.keep_first(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 def test_keep_first(spark, edge_docs, no_docs):
     rows = [*families(2)]
     docs = documents(spark, [(i, t, None) for i, t in rows])
