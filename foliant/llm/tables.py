@@ -17,9 +17,11 @@ _OWN_SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only if there is none (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset a local master (tests) gets one of its own; a cluster has to name it."""
     place = spark.conf.get(_OWN_SETTING, None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_OWN_SETTING} to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set(_OWN_SETTING, place)
     return place.rstrip("/")
