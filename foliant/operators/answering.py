@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,28 +44,29 @@ def extractive_answers(context: DataFrame, questions: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(T.grounding_terms(F.col("text")), T.content_terms(F.col("question"))))
     best = Window.partitionBy("query_id", "source_id").orderBy(F.desc("shared"), "at")
     rows = rows.withColumn("shared", shared).filter("shared > 0").withColumn("__n", F.row_number().over(best)).filter("__n = 1")
-    order = Window.partitionBy("query_id").orderBy("source_id")
+    order = Window.partitionBy("query_id").orderBy(F.length("source_id"), "source_id")  # S2 comes before S10
     supports = F.array(F.struct("source_id", F.col("text").alias("quote")))
     return rows.select("query_id", (F.row_number().over(order) - 1).alias("claim_idx"), "text", supports.alias("supports"))
 
 
 def grounded_answers(
-    questions: DataFrame, fused: DataFrame, docs: DataFrame, scores: DataFrame | None = None, cutoff: int = 1, final_k: int = 5, duplicate: float = 0.82
+    questions: DataFrame, fused: DataFrame, docs: DataFrame, scores: DataFrame | None = None, cutoff: int = 2, final_k: int = 5, duplicate: float = 0.82
 ) -> DataFrame:
     """(query_id, status, n_claims, sources, problem): one plan for all questions.
 
     ``questions`` is (query_id, question), ``fused`` (query_id, doc_id,
     fused_rank), ``docs`` (doc_id, text). Texts join after the ranking, for
     the few candidates only. Without scores the overlap scorer gives them.
-    Unscored candidates never become evidence; a question without evidence,
-    or with an invalid answer, is refused.
+    Unscored candidates never become evidence, and only near copies within one
+    document are left out; a question without evidence, or with an invalid
+    answer, is refused.
     """
     texts = fused.join(docs.select("doc_id", "text"), "doc_id").join(questions, "query_id")
     if scores is None:
         scores = texts.select("query_id", "doc_id", rerank.overlap_score(F.col("question"), F.col("text")).alias("score"))
     order = rerank.rerank(fused, scores, 10, final_k, cutoff).filter("selected")
     found = order.join(docs.select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("item_id"), F.col("reranked_rank").alias("rank"), "score", "text")
-    kept = evidence.greedy_select(found, final_k, duplicate, cutoff).filter("decision = 'kept'").select("query_id", "item_id", "rank")
+    kept = evidence.greedy_select(found, final_k, duplicate, cutoff, "item_id").filter("decision = 'kept'").select("query_id", "item_id", "rank")
     place = Window.partitionBy("query_id").orderBy("rank")
     context = kept.withColumn("position", F.row_number().over(place)).join(found.select("query_id", "item_id", "text"), ["query_id", "item_id"])
     context = evidence.with_source_ids(context).select("query_id", "source_id", "item_id", F.col("text").alias("passage"))
@@ -78,16 +81,17 @@ def grounded_answers(
 
 
 def stage_trace(gold: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
-    """(case_id, first_lost): the first stage, in order, none of whose labels (case_id, label) is a gold one; null if none."""
-    rows = gold.select("case_id").distinct()
-    for name, labels in stages.items():
-        hit = labels.join(gold, ["case_id", "label"], "left_semi").select("case_id").distinct().withColumn(f"has_{name}", F.lit(True))
-        rows = rows.join(hit, "case_id", "left")
-    lost = None
-    for name in stages:
-        missing = F.col(f"has_{name}").isNull()
-        lost = F.when(missing, name) if lost is None else lost.when(missing, name)
-    return rows.select("case_id", lost.alias("first_lost"))
+    """(case_id, first_lost): the first stage, in order, none of whose labels (case_id, label) is a gold one; null if none.
+
+    One union and one grouping, however many stages.
+    """
+    rows = [df.select("case_id", "label", F.lit(name).alias("stage")) for name, df in stages.items()]
+    every = reduce(DataFrame.unionByName, rows)
+    hits = every.join(gold.select("case_id", "label").distinct(), ["case_id", "label"])
+    both = hits.select("case_id", "stage").unionByName(gold.select("case_id", F.lit(None).cast("string").alias("stage")))
+    held = both.groupBy("case_id").agg(F.collect_set("stage").alias("held"))
+    lost = F.filter(T.words_literal(list(stages)), lambda s: ~F.array_contains("held", s))
+    return held.select("case_id", F.try_element_at(lost, F.lit(1)).alias("first_lost"))
 
 
 def adjacency_gain(anchors: DataFrame, expanded: DataFrame, relevant: DataFrame) -> DataFrame:

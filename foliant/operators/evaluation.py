@@ -11,22 +11,29 @@ from ..functions import text as T
 CUTOFFS = (1, 3, 5, 10)
 
 
-def case_metrics(run: DataFrame, judgments: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+def case_metrics(run: DataFrame, judgments: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, relevant: DataFrame | None = None) -> DataFrame:
     """First relevant rank, reciprocal rank, and Hit, Recall and nDCG at each cutoff for every judged case.
 
     ``run`` is (case_id, rank, label), ``judgments`` (case_id, label, grade)
     with grades above 0. A label that is retrieved again gains nothing more.
     The ideal order takes all judged grades, cut at k; recall divides by all
-    relevant labels.
+    relevant labels. Where all grades are 1, ``relevant`` (case_id, relevant) can
+    say how many labels each case has; judgments then need no others than those
+    of retrieved labels.
     """
     again = Window.partitionBy("case_id", "label").orderBy("rank")
     found = run.withColumn("__n", F.row_number().over(again)).filter("__n = 1")
     gains = found.join(judgments, ["case_id", "label"]).select("case_id", "rank", "grade")
     gain = lambda g: F.pow(F.lit(2.0), g) - 1
-    best = Window.partitionBy("case_id").orderBy(F.desc("grade"), "label")
-    ideal = judgments.withColumn("place", F.row_number().over(best))
-    top = [F.sum(F.when(F.col("place") <= k, gain(F.col("grade")) / F.log2(F.col("place") + 1))).alias(f"idcg_{k}") for k in cutoffs]
-    ideal = ideal.groupBy("case_id").agg(F.count(F.lit(1)).alias("relevant"), *top)
+    if relevant is None:
+        best = Window.partitionBy("case_id").orderBy(F.desc("grade"), "label")
+        ideal = judgments.withColumn("place", F.row_number().over(best))
+        top = [F.sum(F.when(F.col("place") <= k, gain(F.col("grade")) / F.log2(F.col("place") + 1))).alias(f"idcg_{k}") for k in cutoffs]
+        ideal = ideal.groupBy("case_id").agg(F.count(F.lit(1)).alias("relevant"), *top)
+    else:
+        places = lambda k: F.sequence(F.lit(1), F.least(F.lit(k), F.col("relevant").cast("int")))
+        top = [F.aggregate(places(k), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1)).alias(f"idcg_{k}") for k in cutoffs]
+        ideal = relevant.filter("relevant > 0").select("case_id", "relevant", *top)
     per_k = []
     for k in cutoffs:
         inside = F.col("rank") <= k
@@ -60,6 +67,35 @@ def best_configuration(results: DataFrame, order: list[str], ordinal: str, name:
     return results.agg(F.max_by(name, key).alias(name))
 
 
+def run_summary(metrics: DataFrame, cases: DataFrame, run: DataFrame) -> DataFrame:
+    """One row: means over answerable cases, and how many of the unanswerable ones rightly find nothing.
+
+    ``cases`` is (case_id, answerable); an answerable case without a judged
+    result counts as zero in every mean.
+    """
+    names = [c for c in metrics.columns if c not in ("case_id", "first_rank")]
+    some = run.select("case_id").distinct().withColumn("found", F.lit(True))
+    rows = cases.join(metrics, "case_id", "left").join(some, "case_id", "left")
+    asked, silent = F.col("answerable"), F.col("found").isNull()
+    return rows.agg(
+        F.count(F.when(asked, 1)).alias("answerable_cases"), F.count(F.when(~asked, 1)).alias("unanswerable_cases"),
+        F.round(F.avg(F.when(~asked, silent.cast("double"))), 6).alias("unanswerable_correct"),
+        *[F.round(F.coalesce(F.avg(F.when(asked, F.coalesce(c, F.lit(0.0)))), F.lit(0.0)), 6).alias(c) for c in names],
+    )
+
+
+def answer_summary(grades: DataFrame) -> DataFrame:
+    """One row: how many answers, how many succeed or are fallbacks, and the mean of every score that a case has."""
+    scores = ["correctness", "faithfulness", "citation_accuracy", "completeness", "refusal_accuracy", "unsupported_claim_rate"]
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    return grades.agg(F.count(F.lit(1)).alias("cases"), share("answer_success").alias("success_rate"), F.sum(F.col("used_fallback").cast("long")).alias("fallbacks"), *[share(c).alias(c) for c in scores])
+
+
+def failure_histogram(rows: DataFrame, stage: str = "failure_stage") -> DataFrame:
+    """(stage, cases): how many cases each stage lost; those that nothing lost are ``none``."""
+    return rows.groupBy(F.coalesce(stage, F.lit("none")).alias(stage)).agg(F.count(F.lit(1)).alias("cases"))
+
+
 def matches_expectation(claim: Column, term_groups: Column) -> Column:
     """Whether a claim has, of every group, one alternative as whole words."""
     padded = F.concat(F.lit(" "), T.graded_text(claim), F.lit(" "))

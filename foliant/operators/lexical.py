@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
 BODY_WEIGHT = 0.4
-TITLE_WEIGHT = 1.0
 EXACT_BOOST = 0.25
 BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 16_000_000
 
 
 def parse_questions(queries: DataFrame, text: str = "question") -> DataFrame:
@@ -41,8 +43,8 @@ def ranked(rows: DataFrame, k: int, *order, key: str = "query_id", name: str = "
     return rows.withColumn(name, F.row_number().over(at)).filter(F.col(name) <= k)
 
 
-def lexical_scores(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, fts_score): r / (r + 1) of the summed weight of every occurrence of a query's words.
+def term_counts(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, term, tf) of the words (query_id, term) that documents have.
 
     The words of the queries are broadcast to the documents if they are few
     (BROADCAST_ROWS), else both sides are dealt by word; words that no query
@@ -53,7 +55,12 @@ def lexical_scores(terms: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = known.select("term").distinct()
     wanted = F.broadcast(wanted) if known is not terms else wanted
     counted = each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = counted.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum("tf").alias("n"))
+    return counted.join(known, "term").select("query_id", "doc_id", "term", "tf")
+
+
+def lexical_scores(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, fts_score): r / (r + 1) of the summed weight of every occurrence of a query's words."""
+    raw = term_counts(terms, docs).groupBy("query_id", "doc_id").agg(F.sum("tf").alias("n"))
     weight = F.col("n") * F.lit(BODY_WEIGHT)
     return raw.select("query_id", "doc_id", F.round(weight / (weight + 1), 9).alias("fts_score"))
 
@@ -63,28 +70,92 @@ def search(terms: DataFrame, docs: DataFrame, k: int = 30) -> DataFrame:
     return ranked(lexical_scores(terms, docs), k, F.desc("fts_score"), "doc_id")
 
 
+def in_blocks(rows: DataFrame, size: Column, work) -> DataFrame:
+    """``work`` of parts of ``rows`` that may be broadcast, all together.
+
+    Rows are dealt by their hash into as few parts as keep each at about
+    BROADCAST_ROWS rows and BROADCAST_CHARS characters; each part is a pass.
+    """
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(1, -(-n // BROADCAST_ROWS), -(-chars // BROADCAST_CHARS))
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    return reduce(DataFrame.unionByName, [work(rows.filter(place == k) if parts > 1 else rows) for k in range(parts)])
+
+
 def exact_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents that hold the whole text of a query, whatever its case.
+    """(query_id, doc_id): documents that hold the whole text of a query, whatever its case; a row for each row of a query.
 
     A document is only searched for the queries whose longest inner word it
-    has. Queries are broadcast as one row; they must be few (BROADCAST_ROWS).
+    has: these are looked up by an equality join. Queries go out in blocks.
     """
     words = T.tokens(F.col("text"))
     inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
     longest = F.array_sort(inner, lambda a, b: F.length(b) - F.length(a))
     keyed = queries.select("query_id", F.lower("text").alias("needle"), F.coalesce(F.try_element_at(longest, F.lit(1)), F.lit("")).alias("anchor"))
-    if keyed.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("search for literal texts in blocks of queries")
-    rows = keyed.filter("needle <> ''")
-    by_anchor = rows.groupBy("anchor").agg(F.collect_list(F.struct("query_id", "needle")).alias("queries"))
-    each = docs.select("doc_id", F.lower("text").alias("low"), T.word_set(F.col("text")).alias("words"))
-    anchors = by_anchor.agg(F.collect_list("anchor").alias("anchors"))  # one row
-    each, anchors = each.withColumn("all", F.lit(0)), F.broadcast(anchors.withColumn("all", F.lit(0)))
-    own = F.array_intersect(F.concat("words", F.array(F.lit(""))), "anchors")
-    held = each.join(anchors, "all").select("doc_id", "low", F.explode(own).alias("anchor"))
-    joined = held.join(F.broadcast(by_anchor), "anchor")
-    found = F.filter("queries", lambda q: F.call_function("instr", F.col("low"), q["needle"]) > 0)
-    return joined.select(F.explode(found).alias("q"), "doc_id").select("q.query_id", "doc_id")
+    own = F.array_append(T.word_set(F.col("text")), F.lit(""))
+    each = docs.select("doc_id", F.lower("text").alias("low"), F.explode(own).alias("anchor"))
+    inside = F.call_function("instr", F.col("low"), F.col("needle")) > 0
+
+    def found(block: DataFrame) -> DataFrame:
+        return each.join(F.broadcast(block), "anchor").filter(inside).select("query_id", "doc_id")
+
+    return in_blocks(keyed.filter("needle <> ''"), F.length("needle"), found)
+
+
+def exact_term_counts(parsed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, exact_match_count): how many of a query's ``exact_terms`` a document holds, whatever their case."""
+    terms = parsed.select("query_id", F.explode(F.array_distinct(F.transform("exact_terms", F.lower))).alias("text"))
+    return exact_matches(terms, docs).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("exact_match_count"))
+
+
+def phrase_matches(phrases: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, phrase, doc_id, tf): how often the words of a phrase (query_id, phrase) stand next to each other.
+
+    The longest word of a phrase is looked up, and the words around each of its places are compared.
+    """
+    words = T.tokens(F.col("phrase"))
+    lengths = F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("at"), w.alias("w")))
+    keyed = phrases.distinct().withColumn("words", words).filter(F.size("words") > 0).withColumn("best", F.array_max(lengths))
+    keyed = keyed.select("query_id", "phrase", "words", F.col("best.w").alias("term"), (-F.col("best.at")).alias("ahead"))
+    each = docs.select("doc_id", T.tokens(F.col("text")).alias("all")).select("doc_id", "all", F.posexplode("all").alias("at", "term"))
+    start = F.col("at") - F.col("ahead")
+    same = (start >= 0) & (F.slice("all", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+
+    def found(block: DataFrame) -> DataFrame:
+        return each.join(F.broadcast(block), "term").filter(same).select("query_id", "phrase", "doc_id")
+
+    return in_blocks(keyed, F.length("phrase"), found).groupBy("query_id", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def clause_search(parsed: DataFrame, docs: DataFrame, k: int = 30, boost: float = EXACT_BOOST) -> DataFrame:
+    """(query_id, doc_id, fts_score, exact_match_count, lexical_score, matched_terms, lexical_rank): any clause of a parsed question matches.
+
+    ``parsed`` has the columns of parse_questions(). A word counts by its
+    occurrences, a quoted phrase by those of its words side by side; exact
+    terms add to the score, and find documents of their own. ``matched_terms``
+    lists what was found, in order of spelling.
+    """
+    each = parsed.select("query_id", F.explode(F.split("search_text", " OR ")).alias("clause"))
+    quoted = F.col("clause").startswith('"')
+    stop = T.words_literal(T.QUESTION_STOP_WORDS)
+    loose = each.filter(~quoted).select("query_id", F.explode(F.array_except(T.word_set(F.col("clause")), stop)).alias("term")).distinct()
+    asked = each.filter(quoted).select("query_id", F.expr("substring(clause, 2, length(clause) - 2)").alias("phrase"))
+    counted = term_counts(loose, docs).withColumn("tf", F.col("tf").cast("long"))
+    both = counted.unionByName(phrase_matches(asked, docs).withColumnRenamed("phrase", "term"))
+    raw = both.groupBy("query_id", "doc_id").agg(F.sum("tf").alias("n"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    weight = F.col("n") * F.lit(BODY_WEIGHT)
+    scores = raw.select("query_id", "doc_id", F.round(weight / (weight + 1), 9).alias("fts_score"), "matched_terms")
+    rows = scores.join(exact_term_counts(parsed, docs), ["query_id", "doc_id"], "full").fillna(0, ["fts_score", "exact_match_count"])
+    rows = rows.withColumn("lexical_score", F.round(F.col("fts_score") + boost * F.col("exact_match_count"), 9))
+    rows = rows.withColumn("matched_terms", F.coalesce("matched_terms", F.array().cast("array<string>")))
+    return ranked(rows, k, F.desc("lexical_score"), F.desc("fts_score"), "doc_id")
+
+
+def of_ready_documents(docs: DataFrame, catalog: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``docs`` that are ready in the catalog (document_id, filename, status), of some files (filename) if given."""
+    ready = catalog.filter("status = 'ready'")
+    ready = ready if files is None else ready.join(files, "filename", "left_semi")
+    return docs.join(ready.select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi")
 
 
 def supplemented(fts: DataFrame, exact: DataFrame, k: int = 20, boost: float = EXACT_BOOST) -> DataFrame:

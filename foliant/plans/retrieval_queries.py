@@ -26,13 +26,17 @@ def _nearest(spark, d: str, metric: str, k: int = K) -> DataFrame:
     return dense.nearest(queries, items, k, metric)
 
 
-def _run(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """(run, judgments) of vector search, where items with the query's label are relevant."""
+def _run(spark, d: str) -> tuple[DataFrame, DataFrame, tuple[int, ...], DataFrame]:
+    """Arguments of case_metrics() for vector search, where items with the query's label are relevant.
+
+    Only retrieved items are judged one by one; of the others a label's count is enough.
+    """
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("l"))
     run = _nearest(spark, d, "cosine").select(F.col("query_id").alias("case_id"), F.col("dense_rank").alias("rank"), F.col("item_id").alias("label"))
     queries = labels.filter(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("case_id"), "l")
-    same = queries.join(labels, "l").filter(F.col("case_id") != F.col("item_id"))
-    return run, same.select("case_id", F.col("item_id").alias("label"), F.lit(1).alias("grade"))
+    judged = run.join(queries, "case_id").join(labels.select(F.col("item_id").alias("label"), F.col("l").alias("m")), "label").filter("l = m")
+    counts = queries.join(labels.groupBy("l").agg((F.count(F.lit(1)) - 1).alias("relevant")), "l")
+    return run, judged.select("case_id", "label", F.lit(1).alias("grade")), evaluation.CUTOFFS, counts.select("case_id", "relevant")
 
 
 def _terms(spark, d: str) -> DataFrame:
@@ -83,11 +87,10 @@ def four_way_fusion(spark, d: str) -> DataFrame:
 
 
 def reranked(spark, d: str) -> DataFrame:
-    """Fused candidates reranked by the overlap scorer; queries whose id is divisible by 7 lack a score and fall back."""
+    """Fused candidates reranked by the overlap scorer, which has no score for passages of fewer than 400 characters."""
     fused = hybrid_retrieval(spark, d).select("query_id", "doc_id", "fused_rank")
     texts = fused.join(_documents(spark, d), "doc_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
-    scores = texts.select("query_id", "doc_id", "fused_rank", rerank.overlap_score(F.col("question"), F.col("text")).alias("score"))
-    usable = scores.filter("query_id % 7 <> 0 or fused_rank <> 1").select("query_id", "doc_id", "score")
+    usable = texts.filter(F.length("text") >= 400).select("query_id", "doc_id", rerank.overlap_score(F.col("question"), F.col("text")).alias("score"))
     out = rerank.rerank(fused, usable, 10, 5, 1)
     return out.select("query_id", "doc_id", "fused_rank", "score", "fallback", "reranked_rank", "selected")
 
@@ -211,7 +214,8 @@ _QT = "regexp_extract_all(lower(question), '[a-z0-9]+(?:[+./,''’-][a-z0-9]+|\\
 RERANK = f"""{HYBRID}, q AS (SELECT f.query_id, f.doc_id, fused_rank, b.text AS question, d.text AS passage FROM fused f JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id)),
   t AS (SELECT *, list_filter(list_distinct({_QT}), lambda x: length(x) >= 3 AND x NOT IN ({STOP})) AS terms FROM q),
   sh AS (SELECT *, len(list_intersect(terms, list_distinct(regexp_extract_all(lower(passage), '[\\p{{L}}\\p{{N}}_]+'))))::DOUBLE / nullif(len(terms), 0) AS share FROM t),
-  sc AS (SELECT query_id, doc_id, fused_rank, query_id % 7 = 0 AS fallback, CASE WHEN query_id % 7 = 0 THEN NULL WHEN share >= 0.75 THEN 3 WHEN share >= 0.5 THEN 2 WHEN share >= 0.25 THEN 1 ELSE 0 END AS score FROM sh),
+  fb AS (SELECT *, bool_or(length(passage) < 400) OVER (PARTITION BY query_id) AS fallback FROM sh),
+  sc AS (SELECT query_id, doc_id, fused_rank, fallback, CASE WHEN fallback THEN NULL WHEN share >= 0.75 THEN 3 WHEN share >= 0.5 THEN 2 WHEN share >= 0.25 THEN 1 ELSE 0 END AS score FROM fb),
   rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, fused_rank) AS reranked_rank FROM sc),
   rk AS (SELECT *, (fallback OR score >= 1) AND sum((fallback OR score >= 1)::INT) OVER (PARTITION BY query_id ORDER BY reranked_rank) <= 5 AS selected FROM rr)"""
 register("reranked", reranked, f"WITH {RERANK} SELECT query_id, doc_id, fused_rank, score, fallback, reranked_rank, selected FROM rk")

@@ -80,7 +80,22 @@ register("document_terms", lambda s, d: table(s, d, "documents").select("doc_id"
          f"SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents)")
 register("term_frequencies", lambda s, d: lexical.postings(table(s, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")),
          f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents) GROUP BY term")
-register("parsed_questions", parsed)
+TOKEN_SQL = "[A-Za-z0-9]+(?:[+./,''’-][A-Za-z0-9]+|\\([A-Za-z0-9]+\\))*\\+?"
+QUOTED_SQL = '"([^"\\r\\n]+)"'
+
+
+def _first(col: str) -> str:
+    """Distinct values whatever their case, each as first written."""
+    return f"list_filter({col}, lambda x, i: list_position(list_transform({col}, lambda y: lower(y)), lower(x)) = i)"
+
+
+PARSED = f"""WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS question FROM conversations),
+  a AS (SELECT *, list_filter(list_transform(regexp_extract_all(question, '{QUOTED_SQL}', 1), lambda x: trim(x)), lambda x: x <> '') AS p0, regexp_extract_all(regexp_replace(question, '{QUOTED_SQL}', ' ', 'g'), '{TOKEN_SQL}') AS f0 FROM q),
+  b AS (SELECT *, {_first("p0")} AS p, {_first("f0")} AS f FROM a),
+  c AS (SELECT *, list_concat(list_transform(p, lambda x: '"' || x || '"'), f) AS clauses, list_concat(p, list_filter(f, lambda x: regexp_matches(x, '[+/(),.\\-]') OR (length(x) >= 3 AND upper(x) = x AND regexp_matches(x, '[A-Za-z]')))) AS e0 FROM b)
+  SELECT conv_id, turn, array_to_string(clauses, ' OR ') AS search_text, coalesce(array_to_string({_first("e0")}, '|'), '') AS exact_terms,
+    CASE WHEN trim(question) = '' THEN 'query cannot be empty' WHEN len(clauses) = 0 THEN 'query contains no searchable text' END AS problem FROM c"""
+register("parsed_questions", parsed, PARSED)
 register("protected_terms", protected)
 register("rewrite_verdicts", verdicts)
 register("quote_support", supported, f"""WITH {CLAIMS} SELECT query_id, doc_id, contains({_ascii("text")}, {_ascii("claim")}) AS quoted, round(len(list_intersect({_terms("claim")}, {_terms("text")}))::DOUBLE / nullif(len({_terms("claim")}), 0), 6) AS coverage FROM claims""")

@@ -17,7 +17,7 @@ def test_answers_end_to_end(spark):
     docs = spark.createDataFrame([(10, "Rain fell. The bank did close after losses in March."), (11, "The bank did close after losses in March. Rain fell."), (12, "Nothing to see.")], "doc_id long, text string")
     fused = spark.createDataFrame([(q, d, d - 9) for q in (1, 2) for d in (10, 11, 12)], "query_id long, doc_id long, fused_rank int")
     rows = {r.query_id: r for r in answering.grounded_answers(questions, fused, docs).collect()}
-    assert (rows[1].status, rows[1].n_claims, rows[1].sources) == ("answered", 1, "S1")  # the second passage has the same words
+    assert (rows[1].status, rows[1].n_claims, rows[1].sources) == ("answered", 2, "S1,S2")  # copies in different documents both stay
     assert (rows[2].status, rows[2].n_claims) == ("insufficient_evidence", 0)
     broken = spark.createDataFrame([(1, 10, 9)], "query_id long, doc_id long, score int")
     refused = {r.query_id: r.status for r in answering.grounded_answers(questions, fused, docs, broken).collect()}
@@ -65,3 +65,39 @@ def test_answer_cases_labels_and_migrations(spark, tmp_path):
         (tmp_path / name).write_text(sql)
     state = {(r.version, r.name): r.problem for r in judgments.migrations(spark, str(tmp_path)).collect()}
     assert state == {(1, "first"): None, (2, "x"): "version twice", (2, "y"): "version twice", (3, "empty"): "empty"}
+
+
+def test_summaries_of_runs_and_answers(spark):
+    from foliant.operators import evaluation
+
+    metrics = spark.createDataFrame([(1, 1, 1.0, 0.5), (2, None, 0.0, 0.0)], "case_id long, first_rank int, rr double, recall_5 double")
+    cases = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False), (5, False)], "case_id long, answerable boolean")
+    run = spark.createDataFrame([(1,), (5,)], "case_id long")
+    row = evaluation.run_summary(metrics, cases, run).first()
+    assert tuple(row) == (3, 2, 0.5, 0.333333, 0.166667)
+    grades = spark.createDataFrame([(1, 1.0, None, True, False), (2, 0.5, 0.5, False, True)], "case_id long, correctness double, completeness double, answer_success boolean, used_fallback boolean")
+    for c in ("faithfulness", "citation_accuracy", "refusal_accuracy", "unsupported_claim_rate"):
+        grades = grades.withColumn(c, F.lit(1.0))
+    row = evaluation.answer_summary(grades).first()
+    assert (row.cases, row.success_rate, row.fallbacks, row.correctness, row.completeness) == (2, 0.5, 1, 0.75, 0.5)
+    stages = spark.createDataFrame([("retrieval",), (None,), ("retrieval",)], "failure_stage string")
+    assert {tuple(r) for r in evaluation.failure_histogram(stages).collect()} == {("retrieval", 2), ("none", 1)}
+
+
+def test_phrases_exact_terms_and_clauses(spark, monkeypatch):
+    from foliant.operators import lexical
+
+    docs = spark.createDataFrame([(1, "The red fox, the RED fox. NATO-2 met"), (2, "fox red nato 2 met"), (3, None), (4, "")], "doc_id long, text string")
+    for most in (100_000, 1):  # in one block, and in several
+        monkeypatch.setattr(lexical, "BROADCAST_ROWS", most)
+        phrases = spark.createDataFrame([(7, "red fox"), (7, "Fox the"), (8, "met"), (8, "met more")], "query_id long, phrase string")
+        found = {tuple(r) for r in lexical.phrase_matches(phrases, docs).collect()}
+        assert found == {(7, "red fox", 1, 2), (7, "Fox the", 1, 1), (8, "met", 1, 1), (8, "met", 2, 1)}
+        parsed = lexical.parse_questions(spark.createDataFrame([(1, 'who saw "red fox" at NATO-2'), (2, "the")], "query_id long, question string"))
+        assert {tuple(r) for r in lexical.exact_term_counts(parsed, docs).collect()} == {(1, 1, 2)}
+        rows = {(r.query_id, r.doc_id): r for r in lexical.clause_search(parsed, docs).collect()}
+        assert set(rows) == {(1, 1), (1, 2)} and rows[1, 1].lexical_rank == 1 and rows[1, 1].matched_terms == ["2", "nato", "red fox"]
+        assert rows[1, 1].fts_score == round(0.4 * 4 / (0.4 * 4 + 1), 9) and rows[1, 1].lexical_score == round(rows[1, 1].fts_score + 0.5, 9)
+    ready = spark.createDataFrame([(1, "a", "ready"), (2, "b", "ready"), (3, "a", "failed")], "document_id long, filename string, status string")
+    files = spark.createDataFrame([("a",)], "filename string")
+    assert [r.doc_id for r in lexical.of_ready_documents(docs, ready, files).collect()] == [1]
