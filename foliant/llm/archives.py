@@ -168,28 +168,51 @@ def to_warc(record: ArcRecord, refers_to: int | None = None) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+def _inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, of all its gzip members if it is compressed, ``step`` at a time."""
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[at : at + step] for at in range(0, len(content), step))
+        return
+    while content:
+        member, rest = zlib.decompressobj(31), content
+        while not member.eof:
+            made = member.decompress(rest, step)
+            rest = member.unconsumed_tail
+            if not made and not rest and not member.eof:
+                raise ValueError("a compressed file ends too early")
+            yield made
+        content = member.unused_data
+
+
 def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record, by Content-Length; gzip members are opened first."""
-    if content[:2] == b"\x1f\x8b":
-        parts = []
-        while content:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(content))
-            content = member.unused_data
-        content = b"".join(parts)
-    at = 0
-    while at < len(content):
-        if not content.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = content.index(b"\r\n\r\n", at)
-        pairs = (x.partition(": ") for x in content[at:end].decode("utf-8").split("\r\n")[1:])
-        fields = {k.lower(): v for k, _, v in pairs}
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield fields, content[start:stop]
-        at = stop + 4
+    """(header fields, block) of each record, by Content-Length; gzip members are opened as they are read.
+
+    No more than a record and a megabyte is held beside ``content``.
+    """
+    held, at, least, done = bytearray(), 0, 0, 0  # ``at`` is where the next record begins in ``held``
+    for chunk in _inflated(content):
+        held += chunk
+        while len(held) - at > least:
+            end = held.find(b"\r\n\r\n", at)
+            if not held.startswith(b"WARC/"[: len(held) - at], at):
+                raise ValueError(f"no record at byte {done}")
+            if end < 0:
+                break
+            pairs = (x.partition(": ") for x in held[at:end].decode("utf-8").split("\r\n")[1:])
+            fields = {k.lower(): v for k, _, v in pairs}
+            start = end + 4
+            stop = start + int(fields["content-length"])
+            if len(held) < stop + 4:
+                least = stop + 3 - at  # nothing to do before all of the record is there
+                break
+            if held[stop : stop + 4] != b"\r\n\r\n":
+                raise ValueError(f"the record at byte {done} doesn't end where it says")
+            yield fields, bytes(held[start:stop])
+            done, at, least = done + stop + 4 - at, stop + 4, 0
+        del held[:at]
+        at = 0
+    if held:
+        raise ValueError(f"the record at byte {done} doesn't end where it says")
 
 
 def _page_arc(page_id, url, html, date: str, name: str) -> bytes:
@@ -236,6 +259,15 @@ def convert(archives: DataFrame) -> DataFrame:
     return archives.mapInPandas(change, "record string")
 
 
+FILE_BYTES = 64 << 20
+
+
+def records_per_file(pages: DataFrame, most: int = 4000) -> int:
+    """So many records keep a file at about FILE_BYTES before compression, by the mean size of all pages; ``most`` at most."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 1024)).first()[0] or 1
+    return max(1, min(most, int(FILE_BYTES / mean)))
+
+
 def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
     """Write gzipped WARC files through Spark's committed text sink; a file has so many records at most."""
     (
@@ -252,7 +284,13 @@ def read_pages(spark, path: str) -> DataFrame:
     def parse(batches):
         for b in batches:
             for content in b["content"]:
-                yield pd.DataFrame([_page_row(f, block) for f, block in read_warc(bytes(content))], columns=_COLUMNS)
+                rows = []
+                for fields, block in read_warc(bytes(content)):
+                    rows.append(_page_row(fields, block))  # no payload stays
+                    if len(rows) == 4000:
+                        yield pd.DataFrame(rows, columns=_COLUMNS)
+                        rows = []
+                yield pd.DataFrame(rows, columns=_COLUMNS)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.filter(F.col("length") > 0).select("content").mapInPandas(parse, PAGE_SCHEMA)
@@ -311,7 +349,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
     """
     spark = pages.sparkSession
     place = path or scratch_path(spark, "warc")
-    write_warc(convert(legacy_archives(with_revisits(pages, min_bytes))), place)
+    write_warc(convert(legacy_archives(with_revisits(pages, min_bytes))), place, records_per_file(pages))
     return read_pages(spark, place)
 
 
@@ -322,6 +360,6 @@ SELECT page_id, strlen(html) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to,
-  '<urn:page:' || page_id || '>' AS warc_record_id, '2008-04-30T20:48:25Z' AS warc_date, regexp_replace(url, '\\\\s', '', 'g') AS target_uri, true AS digest_verified
+  '<urn:page:' || page_id || '>' AS warc_record_id, '2008-04-30T20:48:25Z' AS warc_date, regexp_replace(url, '\\s', '', 'g') AS target_uri, true AS digest_verified
 FROM p JOIN f USING (h)
 """

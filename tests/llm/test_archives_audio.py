@@ -93,3 +93,20 @@ def test_every_frame_can_be_sought(spark):
     found = {r.doc_id: r.seek_offsets for r in audio.read_media(media).collect()}
     assert found == {i: [s.offsets[k] for k in s.audio] for i, s in streams.items()}
     assert len(found["1"]) > 10
+
+
+def test_warc_is_read_a_piece_at_a_time(monkeypatch):
+    import gzip
+
+    blocks = [b"x" * n for n in (0, 1, 7, 5000, 300, 0)]
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\nA: %d\r\n\r\n" % (len(x), k) + x + b"\r\n\r\n" for k, x in enumerate(blocks)]
+    whole = b"".join(records)
+    several = b"".join(gzip.compress(r) for r in records)
+    small = archives._inflated
+    for step in (1, 13, 1 << 20):
+        monkeypatch.setattr(archives, "_inflated", lambda content, step=step: small(content, step))
+        for content in (whole, gzip.compress(whole), several):
+            assert [(f["a"], b) for f, b in archives.read_warc(content)] == [(str(k), x) for k, x in enumerate(blocks)]
+        for broken in (whole[:-1], b"x" + whole, gzip.compress(whole)[:-20]):
+            with pytest.raises(ValueError):
+                list(archives.read_warc(broken))
