@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..llm import tables
+from .. import tables
 
 # What counts as a page's edge, as recurring, as little text, and as a long paragraph.
 EDGE_LINES = 2
