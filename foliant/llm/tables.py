@@ -1,77 +1,13 @@
-"""Shared storage and small helpers for the corpus operators.
-
-Intermediate tables are written as Parquet below ``spark.checkpoint.dir``, the
-one folder that the driver and all executors share. A written table cuts the
-lineage, so losing an executor never recomputes more than the current step.
-"""
+"""Tables of the corpus operators: what the library has for them, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN_SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset a local master (tests) gets one of its own; a cluster has to name it."""
-    place = spark.conf.get(_OWN_SETTING, None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_OWN_SETTING} to a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set(_OWN_SETTING, place)
-    return place.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/foliant/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    out = df if partitions is None else df.coalesce(partitions)
-    out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..tables import drop_scratch, lookup, scratch_path, shared_dir, shuffle_partitions, stored, table
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this package; results not yet read can't be read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliant")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """``left`` with the columns of ``right`` (a row a key) where the keys match, else nulls.
-
-    ``weight`` says how many rows of ``left`` have the key. Keys that would
-    fill a quarter of an average partition or more are looked up by broadcast:
-    there are four times as many as partitions at most. No task gathers a hot key.
-    """
-    parts = shuffle_partitions(left.sparkSession)
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(right.filter(F.col(weight) * 4 * parts > total))
-    values = [c for c in right.columns if c != key]
-    by_hot = left.join(hot, key, "left")
-    found = by_hot.filter(F.col(weight).isNotNull())
-    rest = by_hot.filter(F.col(weight).isNull()).drop(*values).join(right, key, "left")
-    columns = [*left.columns, *values]
-    return found.select(*columns).unionByName(rest.select(*columns))
+__all__ = ["components", "drop_scratch", "lookup", "scratch_path", "shared_dir", "shuffle_partitions", "stored", "table"]
 
 
 def components(edges: DataFrame) -> DataFrame:
