@@ -86,18 +86,21 @@ def exact_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents that hold the whole text of a query, whatever its case; a row for each row of a query.
 
     A document is only searched for the queries whose longest inner word it
-    has: these are looked up by an equality join. Queries go out in blocks.
+    has. Queries go out in blocks, each as one row.
     """
     words = T.tokens(F.col("text"))
     inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
     longest = F.array_sort(inner, lambda a, b: F.length(b) - F.length(a))
     keyed = queries.select("query_id", F.lower("text").alias("needle"), F.coalesce(F.try_element_at(longest, F.lit(1)), F.lit("")).alias("anchor"))
-    own = F.array_append(T.word_set(F.col("text")), F.lit(""))
-    each = docs.select("doc_id", F.lower("text").alias("low"), F.explode(own).alias("anchor"))
-    inside = F.call_function("instr", F.col("low"), F.col("needle")) > 0
+    each = docs.select("doc_id", F.lower("text").alias("low"), T.word_set(F.col("text")).alias("words"), F.lit(0).alias("all"))
 
     def found(block: DataFrame) -> DataFrame:
-        return each.join(F.broadcast(block), "anchor").filter(inside).select("query_id", "doc_id")
+        by_anchor = block.groupBy("anchor").agg(F.collect_list(F.struct("query_id", "needle")).alias("queries"))
+        anchors = F.broadcast(by_anchor.agg(F.collect_list("anchor").alias("anchors")).withColumn("all", F.lit(0)))  # one row
+        own = F.array_intersect(F.concat("words", F.array(F.lit(""))), "anchors")
+        joined = each.join(anchors, "all").select("doc_id", "low", F.explode(own).alias("anchor")).join(F.broadcast(by_anchor), "anchor")
+        inside = F.filter("queries", lambda q: F.call_function("instr", F.col("low"), q["needle"]) > 0)
+        return joined.select(F.explode(inside).alias("q"), "doc_id").select("q.query_id", "doc_id")
 
     return in_blocks(keyed.filter("needle <> ''"), F.length("needle"), found)
 
