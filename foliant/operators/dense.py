@@ -108,3 +108,12 @@ def calibrate_threshold(scores: DataFrame, places: int = 2) -> DataFrame:
     above = F.sum("good").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     total = F.sum(F.col("good") + F.col("bad")).over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return step.select("threshold", F.round((below + above) / total, 6).alias("accuracy"))
+
+
+def embedding_problems(items: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """(item_id, problem) where a batch of vectors (item_id, embedding) doesn't answer its items one for one; empty if it does."""
+    asked = items.select("item_id").withColumn("asked", F.lit(True))
+    got = vectors.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.size("embedding"), F.lit(0)) != size).alias("wrong"))
+    rows = asked.join(got, "item_id", "full")
+    problem = F.when(F.col("n").isNull(), "no vector").when(F.col("asked").isNull(), "no item").when(F.col("n") > 1, "several vectors").when(F.col("wrong"), "wrong size")
+    return rows.select("item_id", problem.alias("problem")).filter(F.col("problem").isNotNull())

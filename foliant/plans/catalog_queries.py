@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rerank
+from ..operators import dense, rerank
 from ..sources import catalog
 from .registry import register, table
 
@@ -29,12 +29,32 @@ def deleted(spark, d: str) -> DataFrame:
 
 
 def failed(spark, d: str) -> DataFrame:
-    errors = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.lit("no text").alias("error"))
-    all_of = table(spark, d, "documents").select(F.col("doc_id").alias("document_id")).filter("document_id % 3 = 0").withColumn("error", F.lit("no text"))
-    out = catalog.mark_failed(_catalog(spark, d), errors.unionByName(all_of).distinct())
+    """Documents with fewer than 300 visible characters fail, and those with a toxic label."""
+    short = table(spark, d, "documents").filter(F.length(F.regexp_replace("text", r"\s", "")) < 300)
+    toxic = table(spark, d, "labels").filter("toxic = 1")
+    errors = toxic.select(F.col("doc_id").alias("document_id"), F.lit("toxic text").alias("error")).unionByName(
+        short.select(F.col("doc_id").alias("document_id"), F.lit("too little text").alias("error"))
+    )
+    out = catalog.mark_failed(_catalog(spark, d), errors.groupBy("document_id").agg(F.min("error").alias("error")))
     return out.groupBy("status", "processing_error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def listed(spark, d: str) -> DataFrame:
+    return catalog.listing(catalog.supersede(_catalog(spark, d)))
+
+
+def looked_up(spark, d: str) -> DataFrame:
+    """The documents of all labels, looked up in the catalog as it is after superseding."""
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"))
+    return catalog.found(catalog.supersede(_catalog(spark, d)), ids).select("document_id", "found", "filename", "status")
+
+
+def embedding_gaps(spark, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return dense.embedding_problems(docs, vectors, 64)
+
+
 def usage_cost(spark, d: str) -> DataFrame:
     """Events as model calls: the value is input tokens, a tenth of it output tokens."""
     rows = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.floor("value")).alias("input_tokens"), F.sum(F.floor(F.col("value") / 10)).alias("output_tokens"))
@@ -47,7 +67,13 @@ register("catalog_current", lambda s, d: catalog.newest_ready(_catalog(s, d)), f
 register("catalog_superseded", lambda s, d: catalog.supersede(_catalog(s, d)).groupBy("filename", "status").agg(F.count(F.lit(1)).alias("n")),
          f"WITH {CATALOG}, m AS (SELECT filename, max(doc_id) AS top FROM catalog WHERE status = 'ready' GROUP BY filename) SELECT filename, CASE WHEN status = 'ready' AND doc_id <> top THEN 'superseded' ELSE status END AS status, count(*) AS n FROM catalog LEFT JOIN m USING (filename) GROUP BY ALL")
 register("catalog_deleted", deleted, f"WITH {CATALOG} SELECT filename, count(*) AS documents, sum(n_chars)::BIGINT AS characters FROM catalog WHERE NOT (coalesce(toxic, 0) = 1 AND status <> 'processing') GROUP BY filename")
-register("catalog_failed", failed, f"""WITH {CATALOG} SELECT CASE WHEN f THEN 'failed' ELSE status END AS status, CASE WHEN f THEN 'no text' END AS processing_error, count(*) AS n
-  FROM (SELECT *, status = 'processing' AND (doc_id % 3 = 0 OR doc_id IN (SELECT doc_id FROM labels)) AS f FROM catalog) GROUP BY ALL""")
+register("catalog_failed", failed, f"""WITH {CATALOG}, e AS (SELECT doc_id, CASE WHEN length(regexp_replace(text, '\\s', '', 'g')) < 300 THEN 'too little text' ELSE 'toxic text' END AS error FROM documents LEFT JOIN labels USING (doc_id)
+    WHERE length(regexp_replace(text, '\\s', '', 'g')) < 300 OR toxic = 1), f AS (SELECT *, status = 'processing' AND error IS NOT NULL AS fails FROM catalog LEFT JOIN e USING (doc_id))
+  SELECT CASE WHEN fails THEN 'failed' ELSE status END AS status, CASE WHEN fails THEN error END AS processing_error, count(*) AS n FROM f GROUP BY ALL""")
+SUPERSEDED = f"{CATALOG}, m AS (SELECT filename, max(doc_id) AS top FROM catalog WHERE status = 'ready' GROUP BY filename), c AS (SELECT doc_id, filename, CASE WHEN status = 'ready' AND doc_id <> top THEN 'superseded' ELSE status END AS status FROM catalog LEFT JOIN m USING (filename))"
+register("catalog_listing", listed, f"WITH {SUPERSEDED} SELECT doc_id AS document_id, filename, status, doc_id AS updated_at, CASE WHEN status = 'failed' THEN '{catalog.FAILED_NOTICE}' END AS processing_error FROM c WHERE status <> 'superseded'")
+register("catalog_lookup", looked_up, f"WITH {SUPERSEDED} SELECT l.doc_id AS document_id, c.doc_id IS NOT NULL AS found, c.filename, c.status FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN (SELECT * FROM c WHERE status <> 'superseded') c USING (doc_id)")
+register("embedding_gaps", embedding_gaps, """SELECT coalesce(d.doc_id, v.vec_id) AS item_id, CASE WHEN v.vec_id IS NULL THEN 'no vector' WHEN d.doc_id IS NULL THEN 'no item' ELSE 'wrong size' END AS problem
+  FROM documents d FULL JOIN embeddings v ON v.vec_id = d.doc_id WHERE v.vec_id IS NULL OR d.doc_id IS NULL OR coalesce(len(v.embedding), 0) <> 64""")
 register("usage_cost", usage_cost, """SELECT event_type, count(*) AS calls, sum(floor(value))::BIGINT AS input_tokens, sum(floor(value / 10))::BIGINT AS output_tokens,
   round((sum(floor(value)) * 0.15 + sum(floor(value / 10)) * 0.6) / 1000000.0, 6) AS cost FROM events GROUP BY event_type""")

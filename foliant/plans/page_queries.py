@@ -14,8 +14,7 @@ TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 
 
 def _pages(spark, d: str) -> DataFrame:
-    """Pages named by their doc_id, plus 2, so that no page is a file's first by name."""
-    return table(spark, d, "documents").select(F.col("source").alias("file"), (F.col("doc_id") + 2).alias("page_number"), F.col("text").alias("raw_text"))
+    return _numbered(spark, d).select("file", "page_number", F.col("text").alias("raw_text"))
 
 
 def _numbered(spark, d: str) -> DataFrame:
@@ -24,9 +23,45 @@ def _numbered(spark, d: str) -> DataFrame:
 
 
 def _files(spark, d: str) -> DataFrame:
-    """Every document as a file of one page."""
-    docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("page_number"), F.col("text").alias("cleaned_text"))
+    """Every document as a file, with a page for every four lines, each line a paragraph."""
+    lines = F.split("text", "\n", -1)
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4)), lambda i: F.array_join(F.slice(lines, i.cast("int") * 4 + 1, 4), "\n\n"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(pages).alias("at", "cleaned_text"))
+    return rows.select("file", (F.col("at") + 1).alias("page_number"), "cleaned_text")
+
+
+def edge_lines(spark, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    sides = [cleaning.repeated_edges(pages, start, 2, 0.0).withColumn("side", F.lit(side)) for side, start in (("head", True), ("foot", False))]
+    return sides[0].unionByName(sides[1])
+
+
+def best_texts(spark, d: str) -> DataFrame:
+    """A page's text, or its reading without line ends where that is less damaged."""
+    layout = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    return table(spark, d, "documents").select("doc_id", F.sha2(cleaning.best_text(F.col("text"), layout), 256).alias("sha256"))
+
+
+def extraction_summary(spark, d: str) -> DataFrame:
+    """Pages by file with all kinds of warnings; a page whose text isn't in a known language counts as an extraction error."""
+    error = F.when(F.col("lang").isNull(), "no language")
+    rows = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("text").alias("cleaned_text"), cleaning.warnings(F.col("text"), error).alias("warnings"))
+    return cleaning.summary(rows)
+
+
+def samples(spark, d: str) -> DataFrame:
+    counts = table(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("pages"))
+    return counts.select("file", F.explode(cleaning.sample_pages(F.col("pages"))).alias("page_number"))
+
+
+def evidence_chunks(spark, d: str) -> DataFrame:
+    """Which character chunks hold evidence: a document's first and second word, or its third, on its first two pages."""
+    words = F.split(F.regexp_replace(T.casefold(F.substring("text", 1, 200)), r"[^a-z ]", " "), " +")
+    plain = F.filter(words, lambda w: w != "")
+    groups = F.array(F.slice(plain, 1, 2), F.slice(plain, 3, 1))
+    asked = table(spark, d, "documents").filter(F.size(plain) >= 3).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file"), F.array(F.lit(1), F.lit(2)).alias("pages"), groups.alias("pattern_groups"))
+    pages = _files(spark, d).select("file", F.col("page_number").alias("chunk_index"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), F.col("cleaned_text").alias("passage_text"))
+    return chunking.matching_chunks(pages, asked)
 
 
 def removed_edges(spark, d: str) -> DataFrame:
@@ -105,6 +140,12 @@ LINES = "list_filter(list_transform(string_split(n, chr(10)), lambda x: trim(x,
 NORMAL = "regexp_replace(translate(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160) || chr(8199) || chr(8239), '   '), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')"
 
 
+def _key_sql(line: str) -> str:
+    """The key of an edge line."""
+    plain = f"replace(replace(lower(trim(regexp_replace({line}, '\\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
+    return f"CASE WHEN regexp_full_match({plain}, '(page\\s*)?[0-9]+') THEN '<page-number>' ELSE {plain} END"
+
+
 def _edge_sql(name: str, start: bool) -> str:
     edge = "l[1:2]" if start else "l[-2:]"
     return f"""{name}_e AS (SELECT file, page_number, unnest(list_filter({edge}, lambda x: length(x) <= 120)) AS line, generate_subscripts(list_filter({edge}, lambda x: length(x) <= 120), 1) AS pos FROM lines),
@@ -113,11 +154,27 @@ def _edge_sql(name: str, start: bool) -> str:
     {name} AS (SELECT file, key, count(DISTINCT page_number) AS pages, arg_min(line, row(page_number, pos)) AS line FROM {name}_k WHERE key <> '' GROUP BY file, key HAVING count(DISTINCT page_number) >= 2)"""
 
 
-BASE = f"base AS (SELECT source AS file, doc_id + 2 AS page_number, {NORMAL} AS n FROM documents), lines AS (SELECT file, page_number, n, {LINES} AS l FROM base)"
+BASE = f"{NUMBERED}, base AS (SELECT file, page_number, {NORMAL} AS n FROM numbered), lines AS (SELECT file, page_number, n, {LINES} AS l FROM base)"
 EDGES = f"{BASE}, {_edge_sql('heads', True)}, {_edge_sql('feet', False)}"
 
-register("repeated_edge_lines", lambda s, d: cleaning.repeated_edges(_pages(s, d), True, 2, 0.0), f"WITH {EDGES} SELECT file, key, pages, line FROM heads WHERE file IN (SELECT file FROM lines WHERE len(l) > 0 GROUP BY file HAVING count(*) >= 2)")
-register("removed_edge_lines", removed_edges)
+ENOUGH = "file IN (SELECT file FROM lines WHERE len(l) > 0 GROUP BY file HAVING count(*) >= 2)"
+register("repeated_edge_lines", edge_lines, f"WITH {EDGES} SELECT file, key, pages, line, 'head' AS side FROM heads WHERE {ENOUGH} UNION ALL SELECT file, key, pages, line, 'foot' FROM feet WHERE {ENOUGH}")
+register("removed_edge_lines", removed_edges, f"""WITH {EDGES}, el AS (SELECT file, page_number, unnest(string_split(n, chr(10))) AS x, generate_subscripts(string_split(n, chr(10)), 1) AS i FROM base),
+  f AS (SELECT file, page_number, i, row_number() OVER (PARTITION BY file, page_number ORDER BY i) AS a, row_number() OVER (PARTITION BY file, page_number ORDER BY i DESC) AS z, {_key_sql("trim(x, ' ')")} AS key FROM el WHERE trim(x, ' ') <> ''),
+  r AS (SELECT file, page_number, i, CASE WHEN page_number = 1 THEN NULL WHEN a <= 2 AND (file, key) IN (SELECT (file, key) FROM heads WHERE {ENOUGH}) THEN 'head' WHEN z <= 2 AND (file, key) IN (SELECT (file, key) FROM feet WHERE {ENOUGH}) THEN 'foot' END AS role FROM f)
+  SELECT file, page_number, count(*) FILTER (role = 'head') AS removed_headers, count(*) FILTER (role = 'foot') AS removed_footers, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (role IS NULL), '')) AS kept_sha256
+  FROM el LEFT JOIN r USING (file, page_number, i) GROUP BY file, page_number""")
+_PENALTY = "(10 * (length({0}) - length(replace({0}, chr(65533), ''))) + len(regexp_extract_all({0}, '\\b[A-Z][A-Za-z]{{0,2}}\\n[a-z]{{3,}}')))"
+register("best_page_text", best_texts, f"SELECT doc_id, sha256(CASE WHEN {_PENALTY.format('text')} > 0 AND {_PENALTY.format('flat')} < {_PENALTY.format('text')} THEN flat ELSE text END) AS sha256 FROM (SELECT doc_id, text, replace(text, chr(10), ' ') AS flat FROM documents)")
+register("extraction_summary", extraction_summary, """WITH w AS (SELECT source AS file, length(text) AS n, (lang IS NULL)::INT + (length(regexp_replace(text, '\\s', '', 'g')) < 40)::INT AS w FROM documents)
+  SELECT file, count(*) AS pages, sum(n)::BIGINT AS characters, sum(w)::BIGINT AS n_warnings, sum((w > 0)::INT)::BIGINT AS pages_with_warnings FROM w GROUP BY file""")
+register("page_samples", samples, """WITH c AS (SELECT source AS file, count(*) AS n FROM documents GROUP BY 1), p AS (SELECT DISTINCT file, n, unnest([1, 2, greatest(1, round_even(n * 0.25, 0)), greatest(1, round_even(n * 0.5, 0)), greatest(1, round_even(n * 0.75, 0)), n])::INT AS page_number FROM c)
+  SELECT file, page_number FROM p WHERE page_number BETWEEN 1 AND n""")
+FILES = "fl AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), pg AS (SELECT doc_id, unnest(range(0, (len(l) - 1) // 4 + 1)) AS p, l FROM fl), files AS (SELECT doc_id::VARCHAR AS file, (p + 1)::INT AS page_number, array_to_string(l[p * 4 + 1:p * 4 + 4], chr(10) || chr(10)) AS cleaned_text FROM pg)"
+FOLD = "replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ')"
+register("evidence_chunks", evidence_chunks, f"""WITH {FILES}, q AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace({FOLD.format("substr(text, 1, 200)")}, '[^a-z ]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM documents),
+  t AS (SELECT doc_id, file, page_number AS chunk_index, {FOLD.format("cleaned_text")} AS c, w FROM files JOIN q ON file = doc_id::VARCHAR WHERE len(w) >= 3 AND page_number <= 2)
+  SELECT doc_id AS id, file, chunk_index FROM t WHERE (contains(c, w[1]) AND contains(c, w[2])) OR contains(c, w[3])""")
 register("normalized_text", normalized, f"SELECT doc_id, sha256(n) AS sha256, (10 * (length(n) - length(replace(n, chr(65533), ''))) + len(regexp_extract_all(n, '\\b[A-Z][A-Za-z]{{0,2}}\\n[a-z]{{3,}}'))) AS penalty, len({LINES}) AS lines FROM (SELECT doc_id, {NORMAL} AS n FROM documents)")
 register("page_warnings", warned, "SELECT source AS file, count(*) AS pages, sum(length(text))::BIGINT AS characters, sum((length(regexp_replace(text, '\\s', '', 'g')) BETWEEN 1 AND 39)::INT)::BIGINT AS low_text_pages FROM documents GROUP BY source")
 register("adjacent_similarity", adjacent_similarity, f"""WITH {NUMBERED}, w AS (SELECT file, page_number, list_distinct({TOKENS.format("text")}) AS a, lead(list_distinct({TOKENS.format("text")})) OVER (PARTITION BY file ORDER BY page_number) AS b FROM numbered)
@@ -133,6 +190,12 @@ register("reading_order", islands, f"""WITH {LEX}, {NUMBERED}, a AS (SELECT quer
 register("folded_lines", folded)
 register("structural_chunks", chunks)
 register("chunk_size_sweep", chunk_sizes)
-register("character_chunks", lambda s, d: chunking.character_chunks(_files(s, d)))
+_TAIL = "reverse(substr(text, greatest(s, s + 800) + 1, 200))"
+_BREAK = "CASE " + " ".join(f"WHEN strpos({_TAIL}, {m}) > 0 THEN s + 1000 - strpos({_TAIL}, {m}) + 1" for m in ("chr(10) || chr(10)", "' .'", "' !'", "' ?'", "chr(10)")) + " ELSE s + 1000 END"
+register("character_chunks", lambda s, d: chunking.character_chunks(_files(s, d), 1000, 200), f"""WITH RECURSIVE {FILES}, f AS (SELECT file, page_number, cleaned_text AS text, length(cleaned_text) AS n FROM files),
+  cuts AS (SELECT file, page_number, 0::BIGINT AS s, (CASE WHEN n <= 1000 THEN n ELSE (SELECT {_BREAK} FROM (SELECT 0 AS s)) END)::BIGINT AS e FROM f WHERE n > 0
+    UNION ALL SELECT file, page_number, s, (CASE WHEN s + 1000 >= n THEN n ELSE {_BREAK} END)::BIGINT FROM (SELECT file, page_number, text, n, CASE WHEN e - 200 > s THEN e - 200 ELSE e END AS s FROM cuts JOIN f USING (file, page_number)) WHERE s < n),
+  c AS (SELECT file, page_number, s, regexp_replace(substr(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') AS body FROM cuts JOIN f USING (file, page_number))
+  SELECT file, page_number, (row_number() OVER (PARTITION BY file, page_number ORDER BY s) - 1)::INT AS chunk_index, '[Source page ' || page_number || ']' || chr(10) || body AS content FROM c WHERE body <> ''""")
 register("content_identities", identities, """SELECT content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM
   (SELECT doc_id, sha256(CAST(to_json({'chunking_version': 'v1', 'page_end': 1, 'page_start': 1, 'passage_text': text, 'section_title': NULL}) AS VARCHAR)) AS content_hash FROM documents) GROUP BY content_hash HAVING count(*) > 1""")

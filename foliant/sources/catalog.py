@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 STATES = ["processing", "ready", "failed", "superseded"]
 ERROR_LENGTH = 2000
+FAILED_NOTICE = "Indexing failed; see the logs and upload the file again."
 
 
 def document_id(filename, content_hash):
@@ -44,6 +45,19 @@ def delete(catalog: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataF
     return catalog.join(gone, "document_id", "left_anti"), chunks.join(gone, "document_id", "left_anti")
 
 
+def listing(catalog: DataFrame) -> DataFrame:
+    """What a client sees, newest first: documents that aren't superseded, with a fixed sentence in place of a stored error."""
+    shown = catalog.filter("status <> 'superseded'")
+    rows = shown.select(*[c for c in catalog.columns if c != "processing_error"], F.when(F.col("status") == "failed", FAILED_NOTICE).alias("processing_error"))
+    return rows.orderBy(F.desc("updated_at"), F.desc("document_id"))
+
+
+def found(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+    """(document_id, found, ...) for every id asked for; a superseded document is not found."""
+    known = catalog.filter("status <> 'superseded'").withColumn("found", F.lit(True))
+    return ids.select("document_id").distinct().join(known, "document_id", "left").fillna(False, ["found"])
+
+
 def is_current(catalog: DataFrame, expected: dict) -> DataFrame:
     """Add ``current``: ready, with chunks, and made by the versions and settings expected (structs compare as wholes)."""
     good = (F.col("status") == "ready") & (F.col("chunk_count") > 0)
