@@ -43,3 +43,29 @@ def with_verdict(rewrites: DataFrame) -> DataFrame:
         .when(~F.arrays_overlap(T.content_terms(old), T.content_terms(new)), "no content overlap")
     )
     return rewrites.withColumn("problem", problem).withColumn("accepted", F.col("problem").isNull())
+
+
+def expanded_questions(questions: DataFrame, rewrites: DataFrame) -> DataFrame:
+    """Every question (query_id, question) with its rewrite (query_id, alternative, intent_preserved), if any.
+
+    Adds ``used_expansion`` and ``fallback_reason``: why a question is searched
+    alone, which is that there is no rewrite, or the rule that it breaks. A
+    rejected rewrite stays visible.
+    """
+    rows = with_verdict(questions.join(rewrites, "query_id", "left"))
+    reason = F.when(F.col("alternative").isNull(), "no rewrite").otherwise(F.col("problem"))
+    return rows.withColumns({"used_expansion": reason.isNull(), "fallback_reason": reason}).drop("problem", "accepted")
+
+
+def synonym_rewrites(questions: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(query_id, alternative, intent_preserved): questions with words replaced by their synonyms (term, synonym), where any word has one.
+
+    Words are between spaces and looked up in lower case; of several synonyms
+    the first by spelling is taken.
+    """
+    one = synonyms.groupBy(F.lower("term").alias("term")).agg(F.min("synonym").alias("synonym"))
+    words = questions.select("query_id", F.posexplode(F.split("question", " ", -1)).alias("at", "word")).withColumn("term", F.lower("word"))
+    each = words.join(one, "term", "left").groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("synonym", "word").alias("word")))).alias("words"), F.count("synonym").alias("replaced")
+    )
+    return each.filter("replaced > 0").select("query_id", F.array_join("words.word", " ").alias("alternative"), F.lit(True).alias("intent_preserved"))

@@ -240,22 +240,4 @@ def answers(spark, d: str) -> DataFrame:
     return answering.grounded_answers(questions, fused, _documents(spark, d))
 
 
-def expanded(spark, d: str) -> DataFrame:
-    """Lexical lists with those of a rewrite, the passage's second half; rewrites of even ids are accepted."""
-    whole = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    half = whole.withColumn("text", F.substring("text", (F.floor(F.length("text") / 2) + 1).cast("int"), F.length("text")))
-    lists = {}
-    for name, queries in (("own", whole), ("rewritten", half)):
-        found = lexical.search(lexical.query_terms(queries), _documents(spark, d), 20)
-        lists[name] = found.select("query_id", "doc_id", F.col("lexical_rank").alias("rank"))
-    verdicts = whole.select("query_id", (F.col("query_id") % 2 == 0).alias("accepted"))
-    out = answering.expanded_fusion({"lexical": lists["own"]}, {"lexical": lists["rewritten"]}, verdicts)
-    return out.select("query_id", "doc_id", "lexical_rank", "expanded_lexical_rank", "rrf_score", "source_count", "fused_rank", "used_expansion")
-
-
-LEX2 = LEX.replace("terms AS", "terms2 AS").replace("FROM benchmark", "FROM (SELECT item_id, substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS text FROM benchmark)")
-for _name in ("wanted", "words", "tf", "scores", "lex"):
-    LEX2 = LEX2.replace(f"{_name} AS (", f"{_name}2 AS (")
-LEX2 = LEX2.replace("FROM terms WHERE", "FROM terms2 WHERE").replace("FROM words WHERE", "FROM words2 WHERE").replace("FROM wanted)", "FROM wanted2)").replace("FROM tf JOIN wanted ", "FROM tf2 JOIN wanted2 ").replace("FROM scores)", "FROM scores2)")
 register("grounded_answers", answers)
-register("expanded_fusion", expanded, f"WITH {LEX}, {LEX2}, " + _fuse_sql({"lexical": LEX_LIST, "expanded_lexical": "SELECT query_id, doc_id, lexical_rank AS rank FROM lex2 WHERE query_id % 2 = 0"}, 10) + " SELECT *, query_id % 2 = 0 AS used_expansion FROM fused")
