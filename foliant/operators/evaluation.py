@@ -96,6 +96,24 @@ def failure_histogram(rows: DataFrame, stage: str = "failure_stage") -> DataFram
     return rows.groupBy(F.coalesce(stage, F.lit("none")).alias(stage)).agg(F.count(F.lit(1)).alias("cases"))
 
 
+def of_cases(rows: DataFrame, ids: DataFrame, key: str = "case_id") -> DataFrame:
+    """The rows whose case is one of ``ids``, as for a split of a dataset."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def regraded(saved: DataFrame, again: DataFrame) -> DataFrame:
+    """(case_id, state): whether grades made again are those saved: same, changed, lost (saved only) or new.
+
+    Grading saved answers again changes nothing, so any other state means that
+    answers, expectations or rules are not those of the saved run.
+    """
+    values = [c for c in saved.columns if c != "case_id"]
+    whole = lambda df, name: df.select("case_id", F.struct(*values).alias(name))
+    rows = whole(saved, "a").join(whole(again, "b"), "case_id", "full")
+    state = F.when(F.col("b").isNull(), "lost").when(F.col("a").isNull(), "new").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
+    return rows.select("case_id", state.alias("state"))
+
+
 def matches_expectation(claim: Column, term_groups: Column) -> Column:
     """Whether a claim has, of every group, one alternative as whole words."""
     padded = F.concat(F.lit(" "), T.graded_text(claim), F.lit(" "))

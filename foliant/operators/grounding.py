@@ -11,6 +11,7 @@ from ..functions import text as T
 CLAIM_SUPPORT = 0.4
 CLAUSE_SUPPORT = 0.4
 SERIAL_SUPPORT = 0.3
+LIMITATION = "Not answered: "
 
 
 def _coverage(terms: Column, support: Column) -> Column:
@@ -80,11 +81,37 @@ def repaired(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def rendered(claims: DataFrame) -> DataFrame:
-    """(query_id, answer): claims in order, each followed by its sources in brackets."""
+def repair_feedback(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(query_id, claim_idx, support, source_id, problem): what is wrong with each claim (support null) and with each support by itself.
+
+    A support is checked as if it were the claim's only one, so a claim that
+    fails says which of its quotes are to blame.
+    """
+    whole = claim_problems(claims, evidence).select("query_id", "claim_idx", F.lit(None).cast("int").alias("support"), F.lit(None).cast("string").alias("source_id"), "problem")
+    each = claims.select("query_id", "claim_idx", "text", F.posexplode("supports").alias("support", "s"))
+    alone = claim_problems(each.withColumn("supports", F.array("s")), evidence).select("query_id", "claim_idx", "support", F.col("s.source_id").alias("source_id"), "problem")
+    return whole.unionByName(alone).filter("problem is not null")
+
+
+def rendered(claims: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(query_id, answer): claims in order, each followed by its sources in brackets; a partial answer of ``answers``
+    (query_id, status, insufficient_reason) ends with what it lacks."""
     marks = F.array_join(F.transform("supports", lambda s: F.concat(F.lit("["), s["source_id"], F.lit("]"))), "")
     line = F.concat_ws(" ", "text", marks)
-    return claims.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_idx", line.alias("line")))), lambda x: x["line"]), " ").alias("answer"))
+    rows = claims.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_idx", line.alias("line")))), lambda x: x["line"]), " ").alias("answer"))
+    if answers is None:
+        return rows
+    known = rows.join(answers.select("query_id", "status", "insufficient_reason"), "query_id")
+    lacks = F.when(F.col("status") == "partially_answered", F.concat(F.lit(LIMITATION), F.trim("insufficient_reason")))
+    return known.select("query_id", F.concat_ws(" ", "answer", lacks).alias("answer"))
+
+
+def cited_evidence(claims: DataFrame, evidence: DataFrame, preview: int = 240) -> DataFrame:
+    """The evidence (query_id, source_id, position, passage) that some claim cites, with a preview; ``position`` is its order."""
+    named = claims.select("query_id", F.explode("supports").alias("s")).select("query_id", F.col("s.source_id").alias("source_id"))
+    flat = F.trim(F.regexp_replace("passage", r"\s+", " "))
+    cut = F.when(F.length(flat) > preview, F.concat(F.rtrim(F.substring(flat, 1, preview)), F.lit("..."))).otherwise(flat)
+    return evidence.join(named, ["query_id", "source_id"], "left_semi").select("query_id", "source_id", "position", cut.alias("preview"))
 
 
 def citations(claims: DataFrame) -> DataFrame:

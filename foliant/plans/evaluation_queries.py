@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answering, evaluation, evidence, fusion, lexical
+from ..operators import answering, evaluation, evidence, fusion, grounding, lexical
+from ..sources import files
 from . import page_queries, retrieval_queries, text_queries
 from .registry import register, table
 from .retrieval_queries import EXACT, HYBRID, LEX
@@ -218,3 +219,106 @@ register("answer_grades", grades, f"WITH {GRADES} SELECT case_id, case_type, use
 register("answer_summary", lambda s, d: evaluation.answer_summary(grades(s, d)), f"WITH {GRADES} SELECT count(*) AS cases, round(avg(answer_success::INT), 6) AS success_rate, 0::BIGINT AS fallbacks, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM gr")
 register("answer_failures", failures, f"""WITH {GRADES}, st AS (SELECT CASE WHEN case_id NOT IN (SELECT query_id FROM lex JOIN exact USING (query_id, doc_id)) THEN 'retrieval' WHEN NOT held THEN 'ranking' WHEN NOT answered THEN 'generation' WHEN NOT answer_success THEN 'grading' ELSE 'none' END AS failure_stage FROM gr WHERE answerable)
   SELECT failure_stage, count(*) AS cases FROM st GROUP BY 1""")
+
+
+def regraded(spark, d: str) -> DataFrame:
+    """Grades of the labelled half of the cases against grades of all: the other half is new."""
+    again = grades(spark, d)
+    labelled = table(spark, d, "labels").select(F.col("doc_id").alias("case_id"))
+    return evaluation.regraded(evaluation.of_cases(again, labelled), again)
+
+
+def report(spark, d: str) -> DataFrame:
+    every = grades(spark, d)
+    return files.report_rows(files.run_id("answers"), {"summary": evaluation.answer_summary(every), "failures": failures(spark, d), "cases": every}).select("run_id", "section", F.get_json_object("json", "$.case_id").alias("case_id"), F.get_json_object("json", "$.answer_success").alias("success"))
+
+
+# ---- claims that keep or break each rule: a quote is the first twelve words of the best document ----
+
+
+def _rule_claims(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = text_queries._claims(spark, d)
+    evidence = rows.select("query_id", F.concat(F.lit("S"), F.col("lexical_rank").cast("string")).alias("source_id"), F.col("lexical_rank").alias("position"), F.col("text").alias("passage"))
+    words = F.split(F.col("text"), r"\s+")
+    part = lambda first, n: F.array_join(F.slice(words, first, n), " ")
+    plain = lambda c: F.regexp_replace(c, r"(?i)\b(and|but|whereas|while)\b", "or")
+    quote = part(1, 12)
+    other = lambda n: plain(F.array_join(F.slice(F.split(F.col("claim"), r"\s+"), 13, n), " "))
+    none = F.array().cast("array<struct<source_id:string,quote:string>>")
+    one = lambda q, source="S1": F.array(F.struct(F.lit(source).alias("source_id"), q.alias("quote")))
+    said = plain(quote)
+    cases = [
+        (said, one(quote)), (F.lit("  "), one(quote)), (said, none), (said, F.concat(one(quote), one(quote))), (said, one(quote, "S9")), (said, one(F.lit(" "))),
+        (said, F.concat(one(quote), one(F.concat(F.col("claim"), F.lit(" zzzz")), "S2"))), (F.lit("qqqq xxxx"), one(quote)), (F.concat(said, F.lit(" "), other(40)), one(quote)),
+        (F.concat(said, F.lit("; "), other(6)), one(quote)), (said, one(F.concat(part(1, 6), F.lit(" ... "), part(8, 5)))),
+    ]
+    made = F.array(*[F.struct(F.lit(i).alias("claim_idx"), t.alias("text"), s.alias("supports")) for i, (t, s) in enumerate(cases)])
+    claims = rows.filter("lexical_rank = 1").select("query_id", F.explode(made).alias("c")).select("query_id", "c.*")
+    return claims, evidence
+
+
+def claim_rules(spark, d: str) -> DataFrame:
+    claims, evidence = _rule_claims(spark, d)
+    return grounding.claim_problems(claims, evidence).select("query_id", "claim_idx", "problem")
+
+
+def feedback(spark, d: str) -> DataFrame:
+    claims, evidence = _rule_claims(spark, d)
+    return grounding.repair_feedback(claims, evidence)
+
+
+def cited(spark, d: str) -> DataFrame:
+    claims, evidence = _rule_claims(spark, d)
+    return grounding.cited_evidence(claims, evidence)
+
+
+def _part(col: str, first: int, n: int) -> str:
+    return f"array_to_string(regexp_split_to_array({col}, '\\s+')[{first}:{first + n - 1}], ' ')"
+
+
+def _plain(sql: str) -> str:
+    return f"regexp_replace({sql}, '(?i)\\b(and|but|whereas|while)\\b', 'or', 'g')"
+
+
+_Q, _SAID = _part("text", 1, 12), _plain(_part("text", 1, 12))
+_OTHER = {n: _plain(_part("claim", 13, n)) for n in (6, 40)}
+_CASES = [
+    (_SAID, [("S1", _Q)]), ("'  '", [("S1", _Q)]), (_SAID, []), (_SAID, [("S1", _Q), ("S1", _Q)]), (_SAID, [("S9", _Q)]), (_SAID, [("S1", "' '")]),
+    (_SAID, [("S1", _Q), ("S2", "claim || ' zzzz'")]), ("'qqqq xxxx'", [("S1", _Q)]), (f"{_SAID} || ' ' || {_OTHER[40]}", [("S1", _Q)]),
+    (f"{_SAID} || '; ' || {_OTHER[6]}", [("S1", _Q)]), (_SAID, [("S1", f"{_part('text', 1, 6)} || ' ... ' || {_part('text', 8, 5)}")]),
+]
+
+
+def _made(at: int, text: str, pairs: list[tuple[str, str]]) -> str:
+    supports = ", ".join(f"struct_pack(s := '{s}', q := {q})" for s, q in pairs)
+    return f"SELECT query_id, {at} AS claim_idx, {text} AS text, CAST([{supports}] AS STRUCT(s VARCHAR, q VARCHAR)[]) AS supports FROM claims WHERE lexical_rank = 1"
+
+
+def _rules_sql(name: str, rows: str) -> str:
+    """A step that adds ``problem`` to ``rows`` with text, supports and the map m of passages; its claims have no clauses but those between semicolons."""
+    norm = lambda c: f"array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ')"
+    terms = text_queries._terms
+    parts = f"list_filter(list_transform(regexp_split_to_array(s.q, '\\.{{3,}}|…'), lambda y: {norm('y')}), lambda y: y <> '')"
+    inside = norm("m[s.s]")
+    held = f"(len({parts}) > 0 AND contains({inside}, {parts}[1]) AND (len({parts}) = 1 OR contains(substr({inside}, strpos({inside}, {parts}[1]) + length({parts}[1])), {parts}[2])))"
+    least = f"CASE WHEN length(text) - length(replace(text, ',', '')) >= 2 THEN {grounding.SERIAL_SUPPORT} ELSE {grounding.CLAIM_SUPPORT} END"
+    some = lambda x, bad: f"len(list_filter({x}, lambda s: {bad})) > 0"
+    return f"""{name}_t AS (SELECT *, {terms("text")} AS tt, list_distinct(flatten(list_transform(supports, lambda s: {terms("s.q")}))) AS qt, list_transform(supports, lambda s: s.s) AS ids FROM {rows}),
+  {name} AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty claim' WHEN len(supports) = 0 THEN 'no citation' WHEN len(ids) <> len(list_distinct(ids)) THEN 'repeated citation' WHEN {some("supports", "m[s.s] IS NULL")} THEN 'unknown source'
+    WHEN {some("supports", "trim(s.q) = ''")} THEN 'empty quote' WHEN {some("supports", f"NOT {held}")} THEN 'quote not found' WHEN {some("supports", f"len(list_intersect(tt, {terms('s.q')})) = 0")} THEN 'no overlap'
+    WHEN len(list_intersect(tt, qt))::DOUBLE / nullif(len(tt), 0) < {least} THEN 'low claim coverage'
+    WHEN len(list_filter(list_transform(string_split(text, ';'), lambda c: {terms("c")}), lambda t: len(t) > 0 AND len(list_intersect(t, qt))::DOUBLE / nullif(len(t), 0) < {least})) > 0 THEN 'low clause coverage' END AS problem FROM {name}_t)"""
+
+
+RULES = f"""{text_queries.CLAIMS}, made AS ({" UNION ALL ".join(_made(i, t, p) for i, (t, p) in enumerate(_CASES))}),
+  passages AS (SELECT query_id, map_from_entries(list(struct_pack(k := 'S' || lexical_rank, v := text))) AS m FROM claims GROUP BY query_id), each AS (SELECT * FROM made JOIN passages USING (query_id)), {_rules_sql("whole", "each")}"""
+register("claim_rules", claim_rules, f"WITH {RULES} SELECT query_id, claim_idx, problem FROM whole")
+register("repair_feedback", feedback, f"""WITH {RULES}, apart AS (SELECT query_id, claim_idx, text, m, unnest(supports) AS one, generate_subscripts(supports, 1) - 1 AS support FROM each),
+  singles AS (SELECT query_id, claim_idx, text, m, support, [one] AS supports, one.s AS source_id FROM apart), {_rules_sql("alone", "singles")}
+  SELECT query_id, claim_idx, NULL::INT AS support, NULL::VARCHAR AS source_id, problem FROM whole WHERE problem IS NOT NULL UNION ALL SELECT query_id, claim_idx, support::INT, source_id, problem FROM alone WHERE problem IS NOT NULL""")
+register("cited_evidence", cited, f"""WITH {RULES}, named AS (SELECT DISTINCT query_id, unnest(list_transform(supports, lambda s: s.s)) AS source_id FROM made),
+  flat AS (SELECT query_id, 'S' || lexical_rank AS source_id, lexical_rank AS position, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM claims)
+  SELECT query_id, source_id, position, CASE WHEN length(f) > 240 THEN rtrim(substr(f, 1, 240)) || '...' ELSE f END AS preview FROM flat JOIN named USING (query_id, source_id)""")
+register("answer_regrade", regraded, "SELECT b.item_id AS case_id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'same' END AS state FROM benchmark b LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = b.item_id")
+register("answer_report", report, f"""WITH {GRADES} SELECT '{files.run_id("answers")}' AS run_id, 'cases' AS section, case_id::VARCHAR AS case_id, answer_success::VARCHAR AS success FROM gr UNION ALL SELECT '{files.run_id("answers")}', 'summary', NULL, NULL
+  UNION ALL SELECT '{files.run_id("answers")}', 'failures', NULL, NULL FROM (SELECT DISTINCT CASE WHEN case_id NOT IN (SELECT query_id FROM lex JOIN exact USING (query_id, doc_id)) THEN 'retrieval' WHEN NOT held THEN 'ranking' WHEN NOT answered THEN 'generation' WHEN NOT answer_success THEN 'grading' ELSE 'none' END FROM gr WHERE answerable)""")

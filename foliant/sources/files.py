@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,17 @@ def write_report(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
+def run_id(seed: str) -> str:
+    """Twelve hexadecimal digits that the same seed (dataset, settings, time) always gives."""
+    return hashlib.sha256(seed.encode()).hexdigest()[:12]
+
+
+def report_rows(run: str, sections: dict[str, DataFrame]) -> DataFrame:
+    """(run_id, section, json): every row of every section as a JSON text, however many there are."""
+    of = lambda name, df: df.select(F.lit(run).alias("run_id"), F.lit(name).alias("section"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return reduce(DataFrame.unionByName, [of(name, df) for name, df in sections.items()])
+
+
 def newest_report(spark: SparkSession, path: str) -> DataFrame:
     """The path and content of the file below ``path`` that was changed last."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
