@@ -58,5 +58,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": archives.ORACLE,
         "op4_multi_match_join": near.ORACLE,
+        "op7_byte_shards": sharding.ORACLE,
         "op10_prefix_decontamination": decontaminate.ORACLE,
     }

@@ -101,3 +101,13 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: CRC-32 by half bytes: sixteen steps of the polynomial as a list, then a fold over each text's hexadecimal digits, low half first.
+ORACLE = """WITH t AS MATERIALIZED (SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i)) AS t),
+  b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+  n AS (SELECT doc_id, size, CASE WHEN size = 1 THEN []::BIGINT[] ELSE list_transform(range(len(h)), lambda i: instr('0123456789ABCDEF', h[(i // 2) * 2 + 2 - (i % 2)]) - 1) END AS n FROM b),
+  c AS (SELECT doc_id, size, xor(list_reduce(n, lambda r, x: xor(r >> 4, t[(xor(r, x) & 15) + 1]), 4294967295), 4294967295) AS text_crc32 FROM n, t),
+  p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM c),
+  s AS (SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::INT AS shard FROM p)
+  SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s"""
