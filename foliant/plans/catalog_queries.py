@@ -29,13 +29,14 @@ def deleted(spark, d: str) -> DataFrame:
 
 
 def failed(spark, d: str) -> DataFrame:
-    """Documents with fewer than 300 visible characters fail, and those with a toxic label."""
-    short = table(spark, d, "documents").filter(F.length(F.regexp_replace("text", r"\s", "")) < 300)
-    toxic = table(spark, d, "labels").filter("toxic = 1")
-    errors = toxic.select(F.col("doc_id").alias("document_id"), F.lit("toxic text").alias("error")).unionByName(
-        short.select(F.col("doc_id").alias("document_id"), F.lit("too little text").alias("error"))
-    )
-    out = catalog.mark_failed(_catalog(spark, d), errors.groupBy("document_id").agg(F.min("error").alias("error")))
+    """Documents with fewer than 300 visible characters fail, and those whose text another document had before."""
+    docs = table(spark, d, "documents")
+    short = docs.filter(F.length(F.regexp_replace("text", r"\s", "")) < 300).select(F.col("doc_id").alias("document_id"), F.lit("too little text").alias("error"))
+    key = F.sha2("text", 256)
+    firsts = docs.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"))
+    again = docs.select(F.col("doc_id").alias("document_id"), key.alias("key")).join(firsts, "key").filter("document_id <> first").select("document_id", F.lit("repeated text").alias("error"))
+    errors = short.unionByName(again).groupBy("document_id").agg(F.min("error").alias("error"))
+    out = catalog.mark_failed(_catalog(spark, d), errors)
     return out.groupBy("status", "processing_error").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -67,8 +68,8 @@ register("catalog_current", lambda s, d: catalog.newest_ready(_catalog(s, d)), f
 register("catalog_superseded", lambda s, d: catalog.supersede(_catalog(s, d)).groupBy("filename", "status").agg(F.count(F.lit(1)).alias("n")),
          f"WITH {CATALOG}, m AS (SELECT filename, max(doc_id) AS top FROM catalog WHERE status = 'ready' GROUP BY filename) SELECT filename, CASE WHEN status = 'ready' AND doc_id <> top THEN 'superseded' ELSE status END AS status, count(*) AS n FROM catalog LEFT JOIN m USING (filename) GROUP BY ALL")
 register("catalog_deleted", deleted, f"WITH {CATALOG} SELECT filename, count(*) AS documents, sum(n_chars)::BIGINT AS characters FROM catalog WHERE NOT (coalesce(toxic, 0) = 1 AND status <> 'processing') GROUP BY filename")
-register("catalog_failed", failed, f"""WITH {CATALOG}, e AS (SELECT doc_id, CASE WHEN length(regexp_replace(text, '\\s', '', 'g')) < 300 THEN 'too little text' ELSE 'toxic text' END AS error FROM documents LEFT JOIN labels USING (doc_id)
-    WHERE length(regexp_replace(text, '\\s', '', 'g')) < 300 OR toxic = 1), f AS (SELECT *, status = 'processing' AND error IS NOT NULL AS fails FROM catalog LEFT JOIN e USING (doc_id))
+register("catalog_failed", failed, f"""WITH {CATALOG}, e AS (SELECT doc_id, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN 'repeated text' WHEN length(regexp_replace(text, '\\s', '', 'g')) < 300 THEN 'too little text' END AS error FROM documents),
+  f AS (SELECT *, status = 'processing' AND error IS NOT NULL AS fails FROM catalog LEFT JOIN e USING (doc_id))
   SELECT CASE WHEN fails THEN 'failed' ELSE status END AS status, CASE WHEN fails THEN error END AS processing_error, count(*) AS n FROM f GROUP BY ALL""")
 SUPERSEDED = f"{CATALOG}, m AS (SELECT filename, max(doc_id) AS top FROM catalog WHERE status = 'ready' GROUP BY filename), c AS (SELECT doc_id, filename, CASE WHEN status = 'ready' AND doc_id <> top THEN 'superseded' ELSE status END AS status FROM catalog LEFT JOIN m USING (filename))"
 register("catalog_listing", listed, f"WITH {SUPERSEDED} SELECT doc_id AS document_id, filename, status, doc_id AS updated_at, CASE WHEN status = 'failed' THEN '{catalog.FAILED_NOTICE}' END AS processing_error FROM c WHERE status <> 'superseded'")

@@ -37,9 +37,11 @@ def edge_lines(spark, d: str) -> DataFrame:
 
 
 def best_texts(spark, d: str) -> DataFrame:
-    """A page's text, or its reading without line ends where that is less damaged."""
-    layout = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    return table(spark, d, "documents").select("doc_id", F.sha2(cleaning.best_text(F.col("text"), layout), 256).alias("sha256"))
+    """Two readings of each page: one breaks lines behind short capitalised words, the other loses every c with cedilla."""
+    plain = F.regexp_replace("text", r"(^|\s)([A-Z][A-Za-z]{0,2}) ([a-z]{3,})", "$1$2\n$3")
+    layout = F.replace(F.col("text"), F.lit("ç"), F.lit("\ufffd"))
+    best = cleaning.best_text(plain, layout)
+    return table(spark, d, "documents").select("doc_id", F.sha2(best, 256).alias("sha256"), (best == layout).alias("layout"))
 
 
 def extraction_summary(spark, d: str) -> DataFrame:
@@ -165,7 +167,8 @@ register("removed_edge_lines", removed_edges, f"""WITH {EDGES}, el AS (SELECT fi
   SELECT file, page_number, count(*) FILTER (role = 'head') AS removed_headers, count(*) FILTER (role = 'foot') AS removed_footers, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (role IS NULL), '')) AS kept_sha256
   FROM el LEFT JOIN r USING (file, page_number, i) GROUP BY file, page_number""")
 _PENALTY = "(10 * (length({0}) - length(replace({0}, chr(65533), ''))) + len(regexp_extract_all({0}, '\\b[A-Z][A-Za-z]{{0,2}}\\n[a-z]{{3,}}')))"
-register("best_page_text", best_texts, f"SELECT doc_id, sha256(CASE WHEN {_PENALTY.format('text')} > 0 AND {_PENALTY.format('flat')} < {_PENALTY.format('text')} THEN flat ELSE text END) AS sha256 FROM (SELECT doc_id, text, replace(text, chr(10), ' ') AS flat FROM documents)")
+register("best_page_text", best_texts, f"""WITH r AS (SELECT doc_id, regexp_replace(text, '(^|\\s)([A-Z][A-Za-z]{{0,2}}) ([a-z]{{3,}})', '\\1\\2' || chr(10) || '\\3', 'g') AS plain, replace(text, 'ç', chr(65533)) AS layout FROM documents),
+  b AS (SELECT doc_id, layout, CASE WHEN {_PENALTY.format("plain")} > 0 AND {_PENALTY.format("layout")} < {_PENALTY.format("plain")} THEN layout ELSE plain END AS best FROM r) SELECT doc_id, sha256(best) AS sha256, best = layout AS layout FROM b""")
 register("extraction_summary", extraction_summary, """WITH w AS (SELECT source AS file, length(text) AS n, (lang IS NULL)::INT + (length(regexp_replace(text, '\\s', '', 'g')) < 40)::INT AS w FROM documents)
   SELECT file, count(*) AS pages, sum(n)::BIGINT AS characters, sum(w)::BIGINT AS n_warnings, sum((w > 0)::INT)::BIGINT AS pages_with_warnings FROM w GROUP BY file""")
 register("page_samples", samples, """WITH c AS (SELECT source AS file, count(*) AS n FROM documents GROUP BY 1), p AS (SELECT DISTINCT file, n, unnest([1, 2, greatest(1, round_even(n * 0.25, 0)), greatest(1, round_even(n * 0.5, 0)), greatest(1, round_even(n * 0.75, 0)), n])::INT AS page_number FROM c)
