@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, audio, decontaminate, language, near, packing, pii, quality, repeats, sharding
+from . import archives, audio, codes, decontaminate, language, near, packing, periods, pii, quality, repeats, sharding, tokens
 from .tables import table
 
 
@@ -50,8 +50,24 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_bitmask_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.document_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_mpeg_audio, op3_hash_suffix_sort, op4_multi_match_join, op5_weak_supervision_pii, op6_bradley_terry, op7_byte_shards, op8_ffd_packing, op9_language_id, op10_prefix_decontamination)}
+    made = (
+        op1_arc_to_warc, op2_mpeg_audio, op3_hash_suffix_sort, op4_multi_match_join, op5_weak_supervision_pii, op6_bradley_terry, op7_byte_shards,
+        op8_ffd_packing, op9_language_id, op10_prefix_decontamination, op11_token_counts, op12_bitmask_codes, op13_periodic_runs,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,4 +76,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_multi_match_join": near.ORACLE,
         "op7_byte_shards": sharding.ORACLE,
         "op10_prefix_decontamination": decontaminate.ORACLE,
+        "op12_bitmask_codes": codes.ORACLE,
+        "op13_periodic_runs": periods.ORACLE,
     }
