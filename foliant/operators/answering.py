@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..tables import stacked
 from . import evidence, fusion, grounding, rerank
 
 
@@ -86,9 +85,9 @@ def stage_trace(gold: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
     One union and one grouping, however many stages.
     """
     rows = [df.select("case_id", "label", F.lit(name).alias("stage")) for name, df in stages.items()]
-    every = reduce(DataFrame.unionByName, rows)
+    every = stacked(*rows)
     hits = every.join(gold.select("case_id", "label").distinct(), ["case_id", "label"])
-    both = hits.select("case_id", "stage").unionByName(gold.select("case_id", F.lit(None).cast("string").alias("stage")))
+    both = stacked(hits.select("case_id", "stage"), gold.select("case_id", F.lit(None).cast("string").alias("stage")))
     held = both.groupBy("case_id").agg(F.collect_set("stage").alias("held"))
     lost = F.filter(T.words_literal(list(stages)), lambda s: ~F.array_contains("held", s))
     return held.select("case_id", F.try_element_at(lost, F.lit(1)).alias("first_lost"))

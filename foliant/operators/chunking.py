@@ -61,7 +61,7 @@ def units(pages: DataFrame) -> DataFrame:
     def step(acc: Column, line: Column) -> Column:
         joined = F.array_join(F.concat(acc["heads"], F.array(line)), " ")
         label = line.rlike(r"(?i)^(?:table|figure|source|note)\b") & (F.size(acc["heads"]) > 0)
-        fits = (F.length(joined) <= 120) & (F.size(T.pieces(joined)) <= 18)
+        fits = (F.length(joined) <= T.HEADING_CHARS) & (F.size(T.pieces(joined)) <= T.HEADING_TOKENS)
         more = acc["going"] & T.is_heading(line) & ~label & fits
         return F.struct(F.when(more, F.concat(acc["heads"], F.array(line))).otherwise(acc["heads"]).alias("heads"), more.alias("going"))
 
@@ -104,7 +104,7 @@ def split_large(unit: Unit, size: ChunkSize) -> list[Unit]:
     """A unit that fits by itself, else its sentences, else runs of pieces."""
     if _size([unit]) <= size.most:
         return [unit]
-    parts = [p for p in regex.split(r"""(?<=[.!?])\s+(?=[A-Z0-9"'“‘(])""", unit.text.strip()) if p.strip()]
+    parts = [p for p in regex.split(T.SENTENCE_END, unit.text.strip()) if p.strip()]
     if len(parts) > 1:
         return [u for p in parts for u in split_large(replace(unit, text=p.strip(), kind="sentence"), size)]
     room = size.most - count(label(unit.page_start, unit.page_end, unit.section))

@@ -63,7 +63,7 @@ def remove_edges(pages: DataFrame, heads: DataFrame, feet: DataFrame) -> DataFra
     own = pages.select("file", page.alias("__page"), F.explode(F.array_distinct(F.concat(edge("head"), edge("foot")))).alias("e")).distinct()
     own = own.select("__page", F.struct("file", "e.side", "e.key").alias("edge"))
     known = [found.select(F.struct("file", F.lit(side).alias("side"), "key").alias("edge"), "pages") for side, (_, found) in sides.items()]
-    matched = tables.lookup(own, tables.stored(known[0].unionByName(known[1]), "edges"), "edge", "pages").filter(F.col("pages").isNotNull())
+    matched = tables.lookup(own, tables.stored(tables.stacked(*known), "edges"), "edge", "pages").filter(F.col("pages").isNotNull())
     of_side = lambda side: F.collect_set(F.when(F.col("edge.side") == side, F.col("edge.key")))
     keys = matched.groupBy(F.col("edge.file").alias("file"), "__page").agg(of_side("head").alias("head_keys"), of_side("foot").alias("foot_keys"))
     rows = pages.withColumn("__page", page).join(keys, ["file", "__page"], "left").withColumn("every", F.split(text, "\n", -1))

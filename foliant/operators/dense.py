@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors
+from ..tables import stacked
 
 QUERIES_PER_BLOCK = 2048
 
@@ -53,7 +54,7 @@ def nearest(
         ids = block["query_id"].to_numpy(np.int64)
         known = spark.sparkContext.broadcast((ids, np.array(block["embedding"].tolist(), float).reshape(len(ids), -1)))
         part = items.select("item_id", "embedding").mapInPandas(_scan(known, k, metric, places, keep_self), "query_id long, item_id long, distance double")
-        found = part if found is None else found.unionByName(part)
+        found = part if found is None else stacked(found, part)
     order = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return found.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
 
@@ -102,7 +103,7 @@ def calibrate_threshold(scores: DataFrame, places: int = 2) -> DataFrame:
     step = scores.select(F.round("score", places).alias("threshold"), F.col("relevant").cast("int").alias("r"))
     step = step.groupBy("threshold").agg(F.sum("r").alias("good"), F.sum(1 - F.col("r")).alias("bad"))
     ends = scores.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, good long, bad long")
-    step = step.unionByName(ends).groupBy("threshold").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    step = stacked(step, ends).groupBy("threshold").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     up = Window.orderBy("threshold")
     below = F.coalesce(F.sum("bad").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     above = F.sum("good").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))

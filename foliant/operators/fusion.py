@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import stacked
+
 
 def contribution(rank: Column, k: int) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(float(k)) + rank), F.lit(0.0))
@@ -19,7 +21,7 @@ def fuse(lists: dict[str, DataFrame], rrf_k: int = 60, top_k: int | None = None)
     One union and one grouping, however many lists; a list that lacks a
     document adds nothing. Order: score, number of lists, best rank, doc_id.
     """
-    rows = reduce(DataFrame.unionByName, [df.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.lit(name).alias("list")) for name, df in lists.items()])
+    rows = stacked(*[df.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.lit(name).alias("list")) for name, df in lists.items()])
     of = {name: F.min(F.when(F.col("list") == name, F.col("rank"))) for name in lists}
     fused = rows.groupBy("query_id", "doc_id").agg(
         *[c.alias(f"{name}_rank") for name, c in of.items()], F.min("rank").alias("best_rank")
@@ -34,9 +36,7 @@ def fuse(lists: dict[str, DataFrame], rrf_k: int = 60, top_k: int | None = None)
 
 def union_statistics(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two lists (query_id, doc_id): sizes, union and overlap by query."""
-    rows = a.select("query_id", "doc_id", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(
-        b.select("query_id", "doc_id", F.lit(0).alias("x"), F.lit(1).alias("y"))
-    )
+    rows = stacked(*[df.select("query_id", "doc_id", F.lit(x).alias("x"), F.lit(1 - x).alias("y")) for df, x in ((a, 1), (b, 0))])
     each = rows.groupBy("query_id", "doc_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
     return each.groupBy("query_id").agg(
         F.sum("x").alias("first_size"), F.sum("y").alias("second_size"), F.count(F.lit(1)).alias("union_size"),

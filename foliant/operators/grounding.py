@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import stacked
 
 # Shares of the words of a claim, of a clause, and of a serial list that quotes must have.
 CLAIM_SUPPORT = 0.4
@@ -90,7 +91,7 @@ def repair_feedback(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     whole = claim_problems(claims, evidence).select("query_id", "claim_idx", F.lit(None).cast("int").alias("support"), F.lit(None).cast("string").alias("source_id"), "problem")
     each = claims.select("query_id", "claim_idx", "text", F.posexplode("supports").alias("support", "s"))
     alone = claim_problems(each.withColumn("supports", F.array("s")), evidence).select("query_id", "claim_idx", "support", F.col("s.source_id").alias("source_id"), "problem")
-    return whole.unionByName(alone).filter("problem is not null")
+    return stacked(whole, alone).filter("problem is not null")
 
 
 def rendered(claims: DataFrame, answers: DataFrame | None = None) -> DataFrame:

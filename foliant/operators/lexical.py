@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..tables import stacked
 
 BODY_WEIGHT = 0.4
 EXACT_BOOST = 0.25
@@ -17,13 +16,13 @@ BROADCAST_CHARS = 16_000_000
 
 
 def parse_questions(queries: DataFrame, text: str = "question") -> DataFrame:
-    """Add ``search_text`` (clauses joined by OR, quoted phrases first) and ``exact_terms``; ``problem`` names what can't be searched."""
+    """Add ``clauses`` (quoted phrases first, in quotes), ``search_text`` (the clauses joined by OR, to be shown) and ``exact_terms``; ``problem`` names what can't be searched."""
     quoted = T.first_spellings(T.phrases(F.col(text)))
     found = T.first_spellings(T.query_tokens(F.regexp_replace(F.col(text), T.QUOTED, " ")))
     clauses = F.concat(F.transform(quoted, lambda p: F.concat(F.lit('"'), p, F.lit('"'))), found)
     exact = T.first_spellings(F.concat(quoted, F.filter(found, T.is_exact_signal)))
     problem = F.when(F.trim(F.col(text)) == "", "query cannot be empty").when(F.size(clauses) == 0, "query contains no searchable text")
-    return queries.withColumns({"search_text": F.array_join(clauses, " OR "), "exact_terms": exact, "problem": problem})
+    return queries.withColumns({"clauses": clauses, "search_text": F.array_join(clauses, " OR "), "exact_terms": exact, "problem": problem})
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -79,7 +78,7 @@ def in_blocks(rows: DataFrame, size: Column, work) -> DataFrame:
     n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     parts = max(1, -(-n // BROADCAST_ROWS), -(-chars // BROADCAST_CHARS))
     place = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
-    return reduce(DataFrame.unionByName, [work(rows.filter(place == k) if parts > 1 else rows) for k in range(parts)])
+    return stacked(*[work(rows.filter(place == k) if parts > 1 else rows) for k in range(parts)])
 
 
 def exact_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -138,13 +137,13 @@ def clause_search(parsed: DataFrame, docs: DataFrame, k: int = 30, boost: float
     terms add to the score, and find documents of their own. ``matched_terms``
     lists what was found, in order of spelling.
     """
-    each = parsed.select("query_id", F.explode(F.split("search_text", " OR ")).alias("clause"))
+    each = parsed.select("query_id", F.explode("clauses").alias("clause"))
     quoted = F.col("clause").startswith('"')
     stop = T.words_literal(T.QUESTION_STOP_WORDS)
     loose = each.filter(~quoted).select("query_id", F.explode(F.array_except(T.word_set(F.col("clause")), stop)).alias("term")).distinct()
     asked = each.filter(quoted).select("query_id", F.expr("substring(clause, 2, length(clause) - 2)").alias("phrase"))
     counted = term_counts(loose, docs).withColumn("tf", F.col("tf").cast("long"))
-    both = counted.unionByName(phrase_matches(asked, docs).withColumnRenamed("phrase", "term"))
+    both = stacked(counted, phrase_matches(asked, docs).withColumnRenamed("phrase", "term"))
     raw = both.groupBy("query_id", "doc_id").agg(F.sum("tf").alias("n"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
     weight = F.col("n") * F.lit(BODY_WEIGHT)
     scores = raw.select("query_id", "doc_id", F.round(weight / (weight + 1), 9).alias("fts_score"), "matched_terms")
@@ -169,7 +168,7 @@ def supplemented(fts: DataFrame, exact: DataFrame, k: int = 20, boost: float = E
     first = ranked(fts, k, F.desc("fts_score"), "doc_id").select("query_id", "doc_id", "fts_score")
     counts = exact.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("exact_match_count"))
     some = ranked(counts.join(fts, ["query_id", "doc_id"], "left").fillna(0.0, ["fts_score"]), k, F.desc("exact_match_count"), F.desc("fts_score"), "doc_id")
-    union = first.unionByName(some.select("query_id", "doc_id", "fts_score")).dropDuplicates(["query_id", "doc_id"])
+    union = stacked(first, some.select("query_id", "doc_id", "fts_score")).dropDuplicates(["query_id", "doc_id"])
     both = union.join(counts, ["query_id", "doc_id"], "left").fillna(0, ["exact_match_count"])
     both = both.withColumn("lexical_score", F.round(F.col("fts_score") + boost * F.col("exact_match_count"), 9))
     return ranked(both, k, F.desc("lexical_score"), F.desc("fts_score"), "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dense, rerank
 from ..sources import catalog
+from ..tables import stacked
 from .registry import register, table
 
 
@@ -35,7 +36,7 @@ def failed(spark, d: str) -> DataFrame:
     key = F.sha2("text", 256)
     firsts = docs.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"))
     again = docs.select(F.col("doc_id").alias("document_id"), key.alias("key")).join(firsts, "key").filter("document_id <> first").select("document_id", F.lit("repeated text").alias("error"))
-    errors = short.unionByName(again).groupBy("document_id").agg(F.min("error").alias("error"))
+    errors = stacked(short, again).groupBy("document_id").agg(F.min("error").alias("error"))
     out = catalog.mark_failed(_catalog(spark, d), errors)
     return out.groupBy("status", "processing_error").agg(F.count(F.lit(1)).alias("n"))
 

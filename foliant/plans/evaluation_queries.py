@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answering, evaluation, evidence, fusion, grounding, lexical
 from ..sources import files
+from ..tables import stacked
 from . import page_queries, retrieval_queries, text_queries
 from .registry import register, table
 from .retrieval_queries import EXACT, HYBRID, LEX
@@ -89,7 +90,7 @@ def losses(spark, d: str) -> DataFrame:
     gold = retrieval_queries.exact_matches(spark, d).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("label"))
     named = lambda df: df.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("label"))
     lists = [retrieval_queries._dense_of_items(spark, d), retrieval_queries._lexical_list(spark, d)]
-    union = named(lists[0]).unionByName(named(lists[1]))
+    union = stacked(named(lists[0]), named(lists[1]))
     fused = fusion.fuse({"dense": lists[0], "lexical": lists[1]}, 60, retrieval_queries.K)
     return answering.stage_trace(gold, {"candidates": union, "fusion": named(fused), "first_three": named(fused.filter("fused_rank <= 3"))})
 
@@ -181,7 +182,7 @@ def grades(spark, d: str) -> DataFrame:
     groups = F.array(F.slice(w, 1, 1), F.slice(w, 2, 2))
     needed = rows.filter(F.size(w) >= 5).select("case_id", F.lit("first").alias("expectation_id"), F.lit(True).alias("required"), groups.alias("term_groups"))
     more = rows.filter(F.size(w) >= 5).select("case_id", F.lit("more").alias("expectation_id"), F.lit(False).alias("required"), F.array(F.slice(w, 5, 1)).alias("term_groups"))
-    return evaluation.grade_answers(answers, own.unionByName(other), needed.unionByName(more))
+    return evaluation.grade_answers(answers, stacked(own, other), stacked(needed, more))
 
 
 def failures(spark, d: str) -> DataFrame:

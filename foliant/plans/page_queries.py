@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, cleaning, evidence, numbering
+from ..tables import stacked
 from .registry import register, table
 from .retrieval_queries import LEX, lexical_topk
 
@@ -33,7 +34,7 @@ def _files(spark, d: str) -> DataFrame:
 def edge_lines(spark, d: str) -> DataFrame:
     pages = _pages(spark, d)
     sides = [cleaning.repeated_edges(pages, start, 2, 0.0).withColumn("side", F.lit(side)) for side, start in (("head", True), ("foot", False))]
-    return sides[0].unionByName(sides[1])
+    return stacked(*sides)
 
 
 def best_texts(spark, d: str) -> DataFrame:
@@ -124,7 +125,7 @@ def chunk_sizes(spark, d: str) -> DataFrame:
     out = None
     for part in parts:
         row = chunking.summarize(part, F.col("configuration"))
-        out = row if out is None else out.unionByName(row)
+        out = row if out is None else stacked(out, row)
     return out
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import share_code
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -31,8 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    """Every query by name; each makes sure that workers find this package."""
     _load()
-    return dict(_QUERIES)
+    return {name: shared(query) for name, query in _QUERIES.items()}
+
+
+def shared(query: Query) -> Query:
+    """``query``, in a session whose workers find this package."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_code(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from . import retrieval_queries
 from .registry import register, table
 from .retrieval_queries import LEX, STOP, lexical_topk
 
-WORD = "[\\p{L}\\p{N}_]+"
+WORD = T.TOKEN
 
 
 def parsed(spark, d: str) -> DataFrame:
@@ -81,8 +81,7 @@ register("document_terms", lambda s, d: table(s, d, "documents").select("doc_id"
          f"SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents)")
 register("term_frequencies", lambda s, d: lexical.postings(table(s, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")),
          f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents) GROUP BY term")
-TOKEN_SQL = "[A-Za-z0-9]+(?:[+./,''’-][A-Za-z0-9]+|\\([A-Za-z0-9]+\\))*\\+?"
-QUOTED_SQL = '"([^"\\r\\n]+)"'
+TOKEN_SQL, QUOTED_SQL, NAMES_SQL = (p.replace("'", "''") for p in (T.QUERY_TOKEN, T.QUOTED, expansion.NAMES))
 
 
 def _first(col: str) -> str:
@@ -98,7 +97,6 @@ PARSED = f"""WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS question FRO
     CASE WHEN trim(question) = '' THEN 'query cannot be empty' WHEN len(clauses) = 0 THEN 'query contains no searchable text' END AS problem FROM c"""
 register("parsed_questions", parsed, PARSED)
 PREFIXES, QUESTION_STOP = (", ".join(f"'{w}'" for w in ws) for ws in (T.QUESTION_PREFIXES, T.QUESTION_STOP_WORDS))
-NAMES_SQL = "\\b(?:[A-Z][A-Za-z0-9]*(?:[''’+.-][A-Za-z0-9]+)*)(?:\\s+(?:[A-Z][A-Za-z0-9]*(?:[''’+.-][A-Za-z0-9]+)*)){0,5}\\b"
 STRONG_SQL = "regexp_matches({0}, '[0-9+/(),.\\-]') OR (length({0}) >= 2 AND upper({0}) = {0} AND regexp_matches({0}, '[A-Za-z]'))"
 
 

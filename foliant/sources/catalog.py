@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import stacked
+
 STATES = ["processing", "ready", "failed", "superseded"]
 ERROR_LENGTH = 2000
 FAILED_NOTICE = "Indexing failed; see the logs and upload the file again."
@@ -68,7 +70,7 @@ def is_current(catalog: DataFrame, expected: dict) -> DataFrame:
 
 def replace_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """The chunks with those of every document in ``new`` replaced."""
-    return chunks.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
+    return stacked(chunks.join(new.select("document_id").distinct(), "document_id", "left_anti"), new)
 
 
 def migration_status(known: DataFrame, applied: DataFrame) -> DataFrame:

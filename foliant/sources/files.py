@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import stacked
+
 MOST_BYTES = 25 * 1024 * 1024
 SIGNATURE = "%PDF-"
 
@@ -83,7 +84,7 @@ def run_id(seed: str) -> str:
 def report_rows(run: str, sections: dict[str, DataFrame]) -> DataFrame:
     """(run_id, section, json): every row of every section as a JSON text, however many there are."""
     of = lambda name, df: df.select(F.lit(run).alias("run_id"), F.lit(name).alias("section"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
-    return reduce(DataFrame.unionByName, [of(name, df) for name, df in sections.items()])
+    return stacked(*[of(name, df) for name, df in sections.items()])
 
 
 def newest_report(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stacked(*parts: DataFrame) -> DataFrame:
+    """The rows of all parts, columns by name; every union of this package is made here.
+
+    Spark 4.1 may keep a union's rows where they are if its parts are dealt by
+    the same keys. Parts that reuse each other's exchange under other column
+    names are then planned as if equal keys were together, and are not, so a
+    grouping above gives several rows a key. The optimisation is turned off in
+    the session where such a plan is made.
+    """
+    parts[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """``left`` with the columns of ``right`` (a row a key) where the keys match, else nulls.
 
@@ -71,4 +85,4 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
     found = by_hot.filter(F.col(weight).isNotNull())
     rest = by_hot.filter(F.col(weight).isNull()).drop(*values).join(right, key, "left")
     columns = [*left.columns, *values]
-    return found.select(*columns).unionByName(rest.select(*columns))
+    return stacked(found.select(*columns), rest.select(*columns))

@@ -25,7 +25,6 @@ def spark():
         "spark.sql.warehouse.dir": f"{place}/warehouse",
         "spark.checkpoint.dir": f"file://{place}/shared",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.unionOutputPartitioning": "false",  # as share_code() sets it
     }
     session = SparkSession.builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import dense, evaluation, evidence, expansion, fusion, grounding, lexical, numbering, rerank
+from foliant.plans import registry
 
 
 def ranked(spark, rows):
@@ -173,3 +174,29 @@ def test_numbering_across_runs(spark):
     for file in ("a", "b", None):
         own = sorted(i for f, i in rows if f == file)
         assert [found[file, i] for i in own] == list(range(1, len(own) + 1))
+
+
+def test_unions_group_right_in_any_session(spark):
+    """Parts that reuse each other's exchange under other names; a session that keeps Spark's defaults."""
+    import duckdb
+
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.unionOutputPartitioning", "true")
+    place = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("benchmark", "documents", "embeddings"):
+        con.execute(f"create view {name} as select * from '{place}/{name}.parquet'")
+    for name in ("stage_losses", "hybrid_retrieval"):
+        found = registry.queries()[name](plain, place)
+        made = con.execute(registry.oracle_sql()[name])
+        order = [[c[0] for c in made.description].index(c) for c in found.columns]
+        want = [tuple(row[i] for i in order) for row in made.fetchall()]
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+
+
+def test_a_quoted_phrase_may_hold_the_word_or(spark):
+    asked = spark.createDataFrame([(1, '"alpha OR beta" gamma')], "query_id long, question string")
+    docs = spark.createDataFrame([(1, "alph z"), (2, "alpha or beta"), (3, "beta"), (4, "gamma")], "doc_id long, text string")
+    parsed = lexical.parse_questions(asked)
+    assert parsed.first().clauses == ['"alpha OR beta"', "gamma"]
+    assert sorted(r.doc_id for r in lexical.clause_search(parsed, docs).collect()) == [2, 4]
