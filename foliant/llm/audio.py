@@ -1,8 +1,9 @@
 """MPEG audio columns: frames, tags, seek tables, checksums, durations and seek offsets.
 
-``read_stream`` takes any bytes: it skips an ID3v2 tag, finds the first frame
+``read_stream`` takes any bytes: it reads an ID3v2 tag, finds the first frame
 by a header whose successor is a header too, walks from frame to frame and
-resynchronises after damage. ``write_stream`` makes a Layer III stream whose
+resynchronises after damage in the same way. Layer III with a stated bit rate is
+read; the free format is not. ``write_stream`` makes a Layer III stream whose
 frames carry a payload as ancillary data behind empty granules, which players
 take as silence: a lossless store in the format's own units.
 """
@@ -13,6 +14,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -93,7 +95,10 @@ def _syncsafe(n: int) -> bytes:
 
 
 def _unsyncsafe(b: bytes) -> int:
-    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+    out = 0
+    for x in b:
+        out = out << 7 | x & 127
+    return out
 
 
 @dataclass
@@ -107,87 +112,156 @@ class Stream:
     has_table: bool = False
     crc_errors: int = 0
     resyncs: int = 0
+    entry_bytes: list[int] = field(default_factory=list)  # of a VBRI table: bytes of each run of frames_per_entry frames
+    frames_per_entry: int = 0
 
     @property
     def audio(self) -> range:
         """Indexes of the frames that sound."""
         return range(int(self.has_table), len(self.offsets))
 
+    def samples(self) -> dict[int, int]:
+        """How many samples sound at each rate, in samples a second; a stream may change its rate."""
+        out: dict[int, int] = {}
+        for i in self.audio:
+            h = self.headers[i]
+            out[h.rate] = out.get(h.rate, 0) + h.samples
+        return out
+
     @property
-    def duration(self) -> tuple[int, int]:
-        """Samples and samples a second; exact, as a rate never changes within a stream here."""
-        first = self.headers[0] if self.headers else None
-        return (len(self.audio) * first.samples, first.rate) if first else (0, RATE)
+    def duration(self) -> Fraction:
+        """Seconds, exactly: each rate's samples by that rate."""
+        return sum((Fraction(n, rate) for rate, n in self.samples().items()), Fraction(0))
 
     def seek(self, sample: int) -> int:
-        """Byte offset of the frame that plays ``sample``."""
-        at = min(sample // self.headers[0].samples, len(self.audio) - 1)
-        return self.offsets[self.audio[at]]
+        """Byte offset of the frame that plays ``sample``; beyond the end, of the last one."""
+        ends = np.cumsum([self.headers[i].samples for i in self.audio])
+        return self.offsets[self.audio[min(int(np.searchsorted(ends, sample, "right")), len(ends) - 1)]]
+
+
+#: The text encodings of ID3v2 by their byte; others, which no version defines, are read as Latin-1.
+ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _whole(data: bytes) -> bytes:
+    """Bytes without the zeros that unsynchronisation puts behind 0xFF."""
+    return data.replace(b"\xff\0", b"\xff")
+
+
+def _frame_body(body: bytes, version: int, flags: int) -> bytes:
+    """A tag frame's content: grouping, length, unsynchronisation and compression undone; empty if it is encrypted or broken."""
+    if version == 4:
+        group, packed, secret, spread, sized = flags & 0x40, flags & 8, flags & 4, flags & 2, flags & 1
+    else:
+        group, packed, secret, spread, sized = flags & 0x20, flags & 0x80, flags & 0x40, 0, flags & 0x80
+    if secret:
+        return b""
+    body = body[(1 if group else 0) + (4 if sized else 0) :]
+    body = _whole(body) if spread else body
+    if not packed:
+        return body
+    try:
+        return zlib.decompressobj().decompress(body, 1 << 20)
+    except zlib.error:
+        return b""
 
 
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
-    """ID3v2.3/2.4 text frames, and where the tag ends."""
+    """The text frames of an ID3v2.2, 2.3 or 2.4 tag, and where the tag (and its footer) ends."""
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
-    end, at, out = 10 + _unsyncsafe(data[6:10]), 10, {}
-    while at + 10 <= end and data[at]:
-        name = data[at : at + 4].decode("latin-1")
-        size = _unsyncsafe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : at + 10 + size]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}[body[0]], "replace")
-            key, _, value = text.partition("\0")
-            out[f"{name}:{key}" if name == "TXXX" else name] = value if name == "TXXX" else key
-        at += 10 + size
+    version, flags, size = data[3], data[5], _unsyncsafe(data[6:10])
+    end, body = 10 + size + (10 if version == 4 and flags & 0x10 else 0), data[10 : 10 + size]
+    if version not in (2, 3, 4) or version == 2 and flags & 0x40:
+        return {}, end
+    if flags & 0x80 and version < 4:
+        body = _whole(body)
+    at, out = 0, {}
+    if flags & 0x40:
+        at = _unsyncsafe(body[:4].ljust(4, b"\0")) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    letters, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at]:
+        name = body[at : at + letters].decode("latin-1")
+        raw = body[at + letters : at + 2 * letters]
+        length = _unsyncsafe(raw) if version == 4 else int.from_bytes(raw, "big")
+        content = body[at + head : at + head + length]
+        if version > 2:
+            marks = body[at + 9] | (2 if version == 4 and flags & 0x80 else 0)
+            content = _frame_body(content, version, marks)
+        if name[0] == "T" and content:
+            key, _, value = content[1:].decode(ENCODINGS.get(content[0], "latin-1"), "replace").partition("\0")
+            own = name in ("TXXX", "TXX")
+            out[f"{name}:{key}" if own else name] = value.lstrip("\ufeff") if own else key
+        at += head + length
     return out, end
 
 
+def _follows(data: bytes, at: int, end: int) -> Header | None:
+    """The header at ``at`` if its frame ends at another header or at ``end``."""
+    head = parse_header(data, at)
+    if head and at + head.length <= end and (at + head.length == end or parse_header(data, at + head.length)):
+        return head
+    return None
+
+
 def _sync(data: bytes, at: int, end: int) -> int:
-    """The next place from ``at`` with a header whose frame ends at another header or at ``end``; -1: none."""
+    """The next place from ``at`` with a header that _follows() accepts; -1: none."""
     while 0 <= (at := data.find(b"\xff", at, end)):
-        if (h := parse_header(data, at)) and (at + h.length == end or parse_header(data, at + h.length)):
+        if _follows(data, at, end):
             return at
         at += 1
     return -1
 
 
 def read_stream(data: bytes) -> Stream:
+    """Frames, tags, tables and checks of any bytes.
+
+    A frame that begins where the one before it ends needs its header only; the
+    first one, and one behind bytes that are no frame, need a successor too.
+    """
     out = Stream()
     out.tags, at = _tags(data)
     end = len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    joined = False
     while at < end:
-        head = parse_header(data, at)
+        head = parse_header(data, at) if joined else _follows(data, at, end)
         if head is None or at + head.length > end:
-            found = _sync(data, at + 1, end)
+            at, joined = _sync(data, at + 1, end), False
             out.resyncs += 1
-            if found < 0:
+            if at < 0:
                 break
-            at = found
             continue
         if not out.offsets:
             out.has_table = _table(data, at, head, out)
         out.offsets.append(at)
         out.headers.append(head)
-        at += head.length
+        at, joined = at + head.length, True
     out.crc_errors = _check(data, out)
     return out
 
 
 def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
-    """Read a Xing or Info table from the first frame."""
-    start = at + 4 + 2 * head.protected + head.side
-    if data[start : start + 4] not in (b"Xing", b"Info"):
+    """Read a Xing, Info or VBRI table from the first frame."""
+    inside = data[at : at + head.length]
+    start = 4 + 2 * head.protected + head.side
+    if inside[start : start + 4] in (b"Xing", b"Info"):
+        flags, start = int.from_bytes(inside[start + 4 : start + 8], "big"), start + 8
+        if flags & 1:
+            out.table_frames, start = int.from_bytes(inside[start : start + 4], "big"), start + 4
+        if flags & 2:
+            out.table_bytes, start = int.from_bytes(inside[start : start + 4], "big"), start + 4
+        if flags & 4:
+            out.seek_table = inside[start : start + 100]
+        return True
+    if inside[36:40] != b"VBRI" or len(inside) < 62:  # always 32 bytes behind the header
         return False
-    flags, start = int.from_bytes(data[start + 4 : start + 8], "big"), start + 8
-    if flags & 1:
-        out.table_frames, start = int.from_bytes(data[start : start + 4], "big"), start + 4
-    if flags & 2:
-        out.table_bytes, start = int.from_bytes(data[start : start + 4], "big"), start + 4
-    if flags & 4:
-        out.seek_table = data[start : start + 100]
+    out.table_bytes, out.table_frames = int.from_bytes(inside[46:50], "big"), int.from_bytes(inside[50:54], "big")
+    entries, scale, width, out.frames_per_entry = (int.from_bytes(inside[k : k + 2], "big") for k in (54, 56, 58, 60))
+    table = inside[62 : 62 + entries * width]
+    out.entry_bytes = [scale * int.from_bytes(table[k : k + width], "big") for k in range(0, len(table) - width + 1, width)] if width else []
     return True
 
 
@@ -253,12 +327,12 @@ def payload_of(data: bytes, stream: Stream) -> bytes:
 
 def feature(stream: Stream) -> str:
     """Exact duration, rates, table and checks of a stream, and a digest of its seek offsets, as one text."""
-    samples, rate = stream.duration
+    samples = stream.samples() or {RATE: 0}
     rates = sorted({h.bitrate for h in (stream.headers[i] for i in stream.audio)})
     seek = np.array([stream.offsets[i] for i in stream.audio], dtype="<u8")
     agree = stream.table_frames == len(stream.audio)
     return (
-        f"frames={len(stream.audio)};samples={samples};rate={rate};kbps={rates[0] if rates else 0}-{rates[-1] if rates else 0};"
+        f"frames={len(stream.audio)};samples={'+'.join(map(str, samples.values()))};rate={'+'.join(map(str, samples))};kbps={rates[0] if rates else 0}-{rates[-1] if rates else 0};"
         f"table={'agrees' if agree else 'differs'};crc_errors={stream.crc_errors};resyncs={stream.resyncs};"
         f"first={int(seek[0]) if len(seek) else 0};last={int(seek[-1]) if len(seek) else 0};seek_crc={zlib.crc32(seek.tobytes())}"
     )
@@ -284,7 +358,7 @@ def encode_texts(docs: DataFrame, unit: int = 64) -> DataFrame:
 
 READ_SCHEMA = (
     "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, samples long, sample_rate long, seek_offsets array<long>"
+    "media_sha256 string, feature string, duration_num long, duration_den long, seek_offsets array<long>"
 )
 
 
@@ -298,9 +372,9 @@ def read_media(media: DataFrame, every: int = 1) -> DataFrame:
                 data = bytes(data)
                 stream = read_stream(data)
                 payload = payload_of(data, stream)
-                samples, rate = stream.duration
+                seconds = stream.duration
                 out.append(
-                    (doc_id, int(stream.tags.get("TXXX:bytes", 0)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), samples, rate, [stream.offsets[i] for i in stream.audio[::every]])
+                    (doc_id, int(stream.tags.get("TXXX:bytes", 0)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), seconds.numerator, seconds.denominator, [stream.offsets[i] for i in stream.audio[::every]])
                 )
             yield pd.DataFrame(out, columns=[x.split()[0] for x in READ_SCHEMA.split(", ")])
 
@@ -317,5 +391,5 @@ def store_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     encode_texts(docs).write.option("compression", "zstd").parquet(place)
     found = read_media(spark.read.schema(MEDIA_SCHEMA).parquet(place))
     return found.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
-        "duration_s", F.col("samples") / F.col("sample_rate")
+        "duration_s", F.col("duration_num") / F.col("duration_den")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import stored
+from .tables import stacked, stored, unused
 
 #: Bytes that separate words, once A-Z are lower case: all ASCII but digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,7 +78,7 @@ def frequencies(docs: DataFrame, grams: DataFrame, widths: list[int], most_rows:
         for block in _blocks(grams.filter(F.col("width") == width), F.lit(32), most_rows, most_rows * 32):
             own = block.select("gram")
             if not parts:
-                own = own.unionByName(own.sparkSession.range(1).select(F.col("id").alias("gram")))  # the documents themselves
+                own = stacked(own, own.sparkSession.range(1).select(F.col("id").alias("gram")))  # the documents themselves
             found = _places(docs, width)
             if parts:
                 found = found.filter("pos > 0")
@@ -86,7 +86,7 @@ def frequencies(docs: DataFrame, grams: DataFrame, widths: list[int], most_rows:
             itself = F.col("pos") == 0
             keys = [F.when(itself, F.col(c)).alias(c) for c in ("doc_id", "h", "n_words")]
             parts.append(found.groupBy(*keys, F.lit(width).alias("width"), itself.alias("document"), "gram").agg(F.count(F.lit(1)).alias("n")))
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(*parts)
 
 
 def prefix_tokens(items: DataFrame, shingled: DataFrame, often: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def verified_windows(docs: DataFrame, tokens: DataFrame, widths: list[int], most
             hits = found.filter(fits).select("doc_id", "h", "item_id", "length", shift.alias("shift"), F.explode(F.filter(begins, same)).alias("begin"))
             first = F.col("begin") + F.col("shift")
             parts.append(hits.select("doc_id", "h", "item_id", first.alias("first"), (first + F.col("length") - 1).alias("last")))
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(*parts)
 
 
 def contamination(
@@ -197,18 +197,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     other; no documents, no rows. Only the texts of which a bitmap of hashes
     (2 MB, whatever their number) doesn't say that they stay are shuffled.
     """
-    found = stored(contamination(docs, benchmark).filter(_bad()).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__text")).distinct(), "contaminated")
-    place = lambda doc, text: F.pmod(F.xxhash64(doc, text), F.lit(BITMAP))
-    bits = found.select(place("__doc", "__text").alias("v")).groupBy(F.expr("v div 32768").alias("__part"))
-    bits = bits.agg(F.bitmap_construct_agg(F.expr("v % 32768")).alias("__bits"))  # 512 rows of 4 KB at most
-    rows = docs.withColumn("__h", F.xxhash64("text")).withColumn("__v", place(F.col("doc_id").cast("long"), F.col("__h")))
-    rows = rows.withColumn("__part", F.expr("__v div 32768")).join(F.broadcast(bits), "__part", "left")
-    byte = F.conv(F.hex(F.expr("substring(__bits, (__v % 32768) div 8 + 1, 1)")), 16, 10).cast("int")
-    maybe = F.coalesce(F.getbit(byte, F.expr("cast(__v % 8 as int)")) == 1, F.lit(False))
-    rows = rows.withColumn("__maybe", maybe)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__text"))
-    checked = rows.filter("__maybe").join(found, same, "left_anti")
-    return rows.filter("not __maybe").select(*docs.columns).unionByName(checked.select(*docs.columns))
+    id_, h, place, part, bits, check = unused(docs, "id", "h", "place", "part", "bits", "check")
+    found = contamination(docs, benchmark).filter(_bad()).select(F.col("doc_id").alias(id_), F.col("h").alias(h)).distinct()
+    found = stored(found, "contaminated")
+    placed = F.pmod(F.xxhash64(F.col(id_), F.col(h)), F.lit(BITMAP))
+    known = found.withColumn(place, placed).groupBy(F.floor(F.col(place) / 32768).alias(part))
+    known = known.agg(F.bitmap_construct_agg(F.col(place) % 32768).alias(bits))  # 512 rows of 4 KB at most
+    rows = docs.withColumns({id_: F.col("doc_id").cast("long"), h: F.xxhash64("text")}).withColumn(place, placed)
+    rows = rows.withColumn(part, F.floor(F.col(place) / 32768)).join(F.broadcast(known), part, "left")
+    at = F.floor(F.col(place) % 32768 / 8).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), at + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
+    rows = rows.withColumn(check, maybe).drop(place, part, bits)
+    sought = found.withColumnsRenamed({id_: id_ + "2", h: h + "2"})
+    same = F.col(id_).eqNullSafe(F.col(id_ + "2")) & (F.col(h) == F.col(h + "2"))
+    checked = rows.filter(check).join(sought, same, "left_anti")
+    return stacked(rows.filter(~F.col(check)).select(*docs.columns), checked.select(*docs.columns))
 
 
 ORACLE = """

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .tables import components, lookup, shuffle_partitions, stored
+from .tables import components, lookup, shuffle_partitions, stacked, stored, unused
 
 SHINGLE = 5
 MOST_MATCHES = 64  # verification costs 2**-63 of a list by then, so more never pay
@@ -518,24 +518,24 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of equal repeated rows one stays; rows without doc_id or without words all stay. Only texts
     whose ids a bitmap (2 MB) doesn't clear of being dropped are shuffled.
     """
-    names = {"doc_id": "__id", "h": "__h"}
-    found = similarity_classes(docs).filter("doc_id is not null and n_shingles > 0").withColumnsRenamed(names)
-    found = found.groupBy("__id", "__h").agg(F.max("later").alias("__later"), F.count(F.lit(1)).alias("__rows"))
-    touched = stored(found.filter("__later or __rows > 1"), "dropped")
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(touched.select(F.col("__id").alias("id"))))
+    id_, h, later, copies, check = unused(docs, "id", "h", "later", "copies", "check")
+    found = similarity_classes(docs).filter("doc_id is not null and n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h)).agg(F.max("later").alias(later), F.count(F.lit(1)).alias(copies))
+    touched = stored(found.filter(F.col(later) | (F.col(copies) > 1)), "dropped")
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(touched.select(F.col(id_).alias("id"))))
 
     @F.pandas_udf("boolean")
     def maybe(v: pd.Series) -> pd.Series:
         at = v.to_numpy()
         return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    rows = rows.withColumn("__maybe", F.col("__id").isNotNull() & maybe(F.pmod(F.xxhash64("__id"), F.lit(_FILTER_BITS))))
-    clear = rows.filter("not __maybe").select(*docs.columns)
-    checked = rows.filter("__maybe").withColumn("__h", F.xxhash64("text")).join(touched, ["__id", "__h"], "left")
-    once = checked.filter("__later is null").select(*docs.columns)
-    several = checked.filter("not __later").dropDuplicates(["__id", "__h"]).select(*docs.columns)
-    return clear.unionByName(once).unionByName(several)
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long"))
+    rows = rows.withColumn(check, F.col(id_).isNotNull() & maybe(F.pmod(F.xxhash64(id_), F.lit(_FILTER_BITS))))
+    clear = rows.filter(~F.col(check)).select(*docs.columns)
+    checked = rows.filter(check).withColumn(h, F.xxhash64("text")).join(touched, [id_, h], "left")
+    once = checked.filter(F.col(later).isNull()).select(*docs.columns)
+    several = checked.filter(~F.col(later)).dropDuplicates([id_, h]).select(*docs.columns)
+    return stacked(clear, once, several)
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import stacked, stored
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group_at double"
 PACKED_SCHEMA = (
@@ -196,7 +196,7 @@ def pack(found: DataFrame, length: int = 2048, group_size: int = 4096) -> DataFr
 
     dealt = rest.withColumn("grp", F.floor(F.col("group_at") * groups).cast("long"))
     packed = dealt.groupBy("grp").applyInPandas(place, PACKED_SCHEMA)
-    return full.unionByName(packed)
+    return stacked(full, packed)
 
 
 _KEPT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import stored, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -379,8 +379,9 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """
     w = train(stored(with_evidence(docs).select("evidence"), "pii-evidence"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.withColumn("__spans", _let(_evidence(text), lambda e: all_spans(e, w)))
-    out = spans.withColumn("text", redacted(F.col("text"), F.col("__spans")))
+    (found,) = unused(docs, "spans")
+    spans = docs.withColumn(found, _let(_evidence(text), lambda e: all_spans(e, w)))
+    out = spans.withColumn("text", redacted(F.col("text"), F.col(found)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

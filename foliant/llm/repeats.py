@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .tables import shuffle_partitions, stored
+from .tables import shuffle_partitions, stacked, stored
 
 LENGTH = 100
 GRAM = 32
@@ -686,4 +686,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     out = dealt.join(gone, ["doc", "h"], "left").select("doc", "text", "ranges").mapInArrow(work, RESULT)
     doc_id = F.when(F.col("doc") != _NO_ID, F.col("doc"))
-    return out.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(short)
+    return stacked(out.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"), short)

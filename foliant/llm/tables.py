@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import drop_scratch, lookup, scratch_path, shared_dir, shuffle_partitions, stored, table
+from ..tables import drop_scratch, lookup, scratch_path, shared_dir, shuffle_partitions, stacked, stored, table
 
-__all__ = ["components", "drop_scratch", "lookup", "scratch_path", "shared_dir", "shuffle_partitions", "stored", "table"]
+__all__ = ["components", "drop_scratch", "lookup", "scratch_path", "shared_dir", "shuffle_partitions", "stacked", "stored", "table", "unused"]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names after ``names`` that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the neighbours' smallest label and then the label's own
     label, so long chains shrink by half; each round's labels are written.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stacked(edges.select("a", "b"), edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.filter("a <> b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:

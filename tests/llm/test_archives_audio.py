@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from fractions import Fraction
 
 import pytest
 
@@ -52,7 +53,7 @@ def test_stream_round_trip_and_damage():
         assert audio.payload_of(data, stream) == payload
         assert stream.table_frames == len(stream.audio) and stream.crc_errors == 0 and stream.resyncs == 0
         assert stream.table_bytes == len(data) - audio._tags(data)[1]
-        assert stream.duration == (len(stream.audio) * 1152, 32000)
+        assert stream.duration == Fraction(len(stream.audio) * 1152, 32000)
     assert stream.seek(5 * 1152) == stream.offsets[6]
     hurt = bytearray(data)
     hurt[stream.offsets[5] : stream.offsets[5] + 4] = b"junk"
