@@ -89,10 +89,14 @@ def _first(col: str) -> str:
     return f"list_filter({col}, lambda x, i: list_position(list_transform({col}, lambda y: lower(y)), lower(x)) = i)"
 
 
-PARSED = f"""WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS question FROM conversations),
-  a AS (SELECT *, list_filter(list_transform(regexp_extract_all(question, '{QUOTED_SQL}', 1), lambda x: trim(x)), lambda x: x <> '') AS p0, regexp_extract_all(regexp_replace(question, '{QUOTED_SQL}', ' ', 'g'), '{TOKEN_SQL}') AS f0 FROM q),
-  b AS (SELECT *, {_first("p0")} AS p, {_first("f0")} AS f FROM a),
-  c AS (SELECT *, list_concat(list_transform(p, lambda x: '"' || x || '"'), f) AS clauses, list_concat(p, list_filter(f, lambda x: regexp_matches(x, '[+/(),.\\-]') OR (length(x) >= 3 AND upper(x) = x AND regexp_matches(x, '[A-Za-z]')))) AS e0 FROM b)
+def parsed_sql(name: str, rows: str) -> str:
+    """Steps that add ``clauses`` and ``e0`` (exact terms, not yet told apart) to ``rows`` with a question."""
+    return f"""{name}_a AS (SELECT *, list_filter(list_transform(regexp_extract_all(question, '{QUOTED_SQL}', 1), lambda x: trim(x)), lambda x: x <> '') AS p0, regexp_extract_all(regexp_replace(question, '{QUOTED_SQL}', ' ', 'g'), '{TOKEN_SQL}') AS f0 FROM {rows}),
+  {name}_b AS (SELECT *, {_first("p0")} AS p, {_first("f0")} AS f FROM {name}_a),
+  {name} AS (SELECT *, list_concat(list_transform(p, lambda x: '"' || x || '"'), f) AS clauses, list_concat(p, list_filter(f, lambda x: regexp_matches(x, '[+/(),.\\-]') OR (length(x) >= 3 AND upper(x) = x AND regexp_matches(x, '[A-Za-z]')))) AS e0 FROM {name}_b)"""
+
+
+PARSED = f"""WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS question FROM conversations), {parsed_sql("c", "q")}
   SELECT conv_id, turn, array_to_string(clauses, ' OR ') AS search_text, coalesce(array_to_string({_first("e0")}, '|'), '') AS exact_terms,
     CASE WHEN trim(question) = '' THEN 'query cannot be empty' WHEN len(clauses) = 0 THEN 'query contains no searchable text' END AS problem FROM c"""
 register("parsed_questions", parsed, PARSED)
