@@ -1,7 +1,9 @@
-"""Exact vector search: query blocks against all vectors, top k kept in the tasks."""
+"""Exact vector search: blocks of queries against all vectors, the k best kept in the tasks."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors
-from ..tables import stacked
+from ..tables import shuffle_partitions, stacked, stored
 
 QUERIES_PER_BLOCK = 2048
+#: What is broadcast as one block has no more than so many numbers (32 MB).
+BLOCK_NUMBERS = 1 << 22
+ITEMS_PER_CELL = 65_536
+#: Cells of a query whose best are merged at a time.
+FAN_IN = 64
 
 
 def check_sizes(candidate_k: int, top_k: int) -> None:
@@ -29,57 +36,97 @@ def _distances(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarra
     return np.sqrt(np.maximum(squares, 0))
 
 
+def candidates(queries: DataFrame, items: DataFrame, top_k: int, candidate_k: int | None = None, metric: str = "cosine") -> DataFrame:
+    """nearest() with as many candidates as a choice of ``top_k`` of them needs: three times as many, if not said."""
+    candidate_k = 3 * top_k if candidate_k is None else candidate_k
+    check_sizes(candidate_k, top_k)
+    return nearest(queries, items, candidate_k, metric)
+
+
 def nearest(
     queries: DataFrame, items: DataFrame, k: int = 30, metric: str = "cosine", places: int = 9, keep_self: bool = False
 ) -> DataFrame:
     """(query_id, item_id, distance, dense_rank): the k nearest items of each query, exactly.
 
     ``queries`` is (query_id, embedding), ``items`` (item_id, embedding).
-    Queries go out in blocks of QUERIES_PER_BLOCK (1 MB at 64 dimensions), with
-    a pass over the items for each block. A task keeps k items a query whatever
-    it reads, so what is shuffled is k rows a query and task. Distances are
-    rounded before they are compared; ties go to the smaller id. A vector
-    without length is at cosine distance 1.
+    Queries that fit one block (QUERIES_PER_BLOCK rows of BLOCK_NUMBERS numbers
+    together) are broadcast, and no item is shuffled. More are dealt into
+    blocks, items into cells of about ITEMS_PER_CELL, and every block meets
+    every cell in a task of its own: one job, however many queries. Either way
+    a task holds one block, one batch or cell, their distances a slice at a
+    time, and k items a query. Distances are rounded before they are compared;
+    ties go to the smaller id. A vector without length is at cosine distance 1.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric is cosine or l2")
-    spark = queries.sparkSession
-    count = queries.count()
-    blocks = max(1, -(-count // QUERIES_PER_BLOCK))
-    found = None
-    for n in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas()
-        if block.empty and found is not None:
-            continue
-        ids = block["query_id"].to_numpy(np.int64)
-        known = spark.sparkContext.broadcast((ids, np.array(block["embedding"].tolist(), float).reshape(len(ids), -1)))
-        part = items.select("item_id", "embedding").mapInPandas(_scan(known, k, metric, places, keep_self), "query_id long, item_id long, distance double")
-        found = part if found is None else stacked(found, part)
-    order = Window.partitionBy("query_id").orderBy("distance", "item_id")
+    queries, items = queries.select("query_id", "embedding"), items.select("item_id", "embedding")
+    count, numbers = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    best = Best(k, metric, places, keep_self)
+    if count <= QUERIES_PER_BLOCK and numbers <= BLOCK_NUMBERS:
+        block = queries.toPandas()
+        known = queries.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(np.int64), _matrix(block["embedding"])))
+
+        def scan(batches):
+            yield best.of(*known.value, batches)
+
+        found = items.mapInPandas(scan, Best.SCHEMA)
+    else:
+        found = _grid(queries, items, max(-(-count // QUERIES_PER_BLOCK), -(-numbers // BLOCK_NUMBERS)), best)
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int, *within: str) -> DataFrame:
+    order = Window.partitionBy("query_id", *within).orderBy("distance", "item_id")
     return found.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
 
 
-def _scan(known, k: int, metric: str, places: int, keep_self: bool):
-    def scan(batches):
-        ids, queries = known.value
+def _grid(queries: DataFrame, items: DataFrame, blocks: int, best: Best) -> DataFrame:
+    """Every block of queries with every cell of items; the best of many cells are merged in two steps."""
+    cells = max(1, -(-items.count() // ITEMS_PER_CELL))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = queries.select("*", dealt("query_id", blocks).alias("block"), every(cells).alias("cell")).groupBy("block", "cell")
+    right = items.select("*", dealt("item_id", cells).alias("cell"), every(blocks).alias("block")).groupBy("block", "cell")
+
+    def meet(key, block: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        found = best.of(block["query_id"].to_numpy(np.int64), _matrix(block["embedding"]), [cell])
+        return found.assign(group=int(key[1]) // FAN_IN)
+
+    found = left.cogroup(right).applyInPandas(meet, f"{Best.SCHEMA}, group int")
+    return (_ranked(found, best.k, "group").drop("dense_rank") if cells > FAN_IN else found).drop("group")
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+@dataclass(frozen=True)
+class Best:
+    """The k nearest items of each query among batches of (item_id, embedding)."""
+
+    k: int
+    metric: str
+    places: int
+    keep_self: bool
+    SCHEMA = "query_id long, item_id long, distance double"
+    SLICE = 1024  # items whose distances are held at a time
+
+    def of(self, ids: np.ndarray, queries: np.ndarray, batches) -> pd.DataFrame:
         best_d = np.full((len(ids), 0), np.inf)
         best_i = np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            if not len(ids) or b.empty:
-                continue
-            own = b["item_id"].to_numpy(np.int64)
-            d = np.round(_distances(queries, np.array(b["embedding"].tolist(), float), metric), places)
-            if not keep_self:
-                d[ids[:, None] == own[None]] = np.inf
-            every_d = np.concatenate([best_d, d], axis=1)
-            every_i = np.concatenate([best_i, np.broadcast_to(own, d.shape)], axis=1)
-            order = np.lexsort((every_i, every_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_i, order, 1)
+        for whole in batches:
+            for at in range(0, len(whole) if len(ids) else 0, self.SLICE):
+                b = whole.iloc[at : at + self.SLICE]
+                own = b["item_id"].to_numpy(np.int64)
+                d = np.round(_distances(queries, _matrix(b["embedding"]), self.metric), self.places)
+                if not self.keep_self:
+                    d[ids[:, None] == own[None]] = np.inf
+                every_d = np.concatenate([best_d, d], axis=1)
+                every_i = np.concatenate([best_i, np.broadcast_to(own, d.shape)], axis=1)
+                order = np.lexsort((every_i, every_d), axis=1)[:, : self.k]
+                best_d, best_i = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_i, order, 1)
         real = np.isfinite(best_d)
-        rows = np.nonzero(real)[0]
-        yield pd.DataFrame({"query_id": ids[rows], "item_id": best_i[real], "distance": best_d[real]})
-
-    return scan
+        return pd.DataFrame({"query_id": ids[np.nonzero(real)[0]], "item_id": best_i[real], "distance": best_d[real]})
 
 
 def with_similarity(ranked: DataFrame, metric: str) -> DataFrame:
@@ -94,21 +141,29 @@ def norm_statistics(items: DataFrame) -> DataFrame:
     )
 
 
-def calibrate_threshold(scores: DataFrame, places: int = 2) -> DataFrame:
-    """(threshold, accuracy): how often ``score >= threshold`` says what ``relevant`` says, for each distinct score, 0 and 1.
+def calibrate_threshold(scores: DataFrame) -> DataFrame:
+    """(threshold, accuracy): how often ``score >= threshold`` says what ``relevant`` says, for every distinct score, 0 and 1.
 
-    Scores are rounded first, so there are 10**places + 1 thresholds at most
-    and the running sums over them are over a bounded table.
+    Scores are counted, dealt into ranges and summed up there; the totals of
+    the ranges, a row each, say where a range's sums begin. So no task orders
+    more than a range, however many different scores there are.
     """
-    step = scores.select(F.round("score", places).alias("threshold"), F.col("relevant").cast("int").alias("r"))
+    spark = scores.sparkSession
+    step = scores.select(F.col("score").cast("double").alias("threshold"), F.col("relevant").cast("int").alias("r")).filter("threshold is not null")
     step = step.groupBy("threshold").agg(F.sum("r").alias("good"), F.sum(1 - F.col("r")).alias("bad"))
-    ends = scores.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, good long, bad long")
+    ends = spark.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, good long, bad long")
     step = stacked(step, ends).groupBy("threshold").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    up = Window.orderBy("threshold")
-    below = F.coalesce(F.sum("bad").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    above = F.sum("good").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    total = F.sum(F.col("good") + F.col("bad")).over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return step.select("threshold", F.round((below + above) / total, 6).alias("accuracy"))
+    ranged = step.repartitionByRange(shuffle_partitions(spark), "threshold").withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "thresholds")  # a range must keep its rows
+    totals = ranged.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))  # as many rows as partitions
+    up = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(up), F.lit(0)).alias(f"{c}_before") for c in ("good", "bad")]
+    starts = totals.select("range", *sums, F.sum("good").over(Window.partitionBy()).alias("all_good"), F.sum(F.col("good") + F.col("bad")).over(Window.partitionBy()).alias("all"))
+    inside = Window.partitionBy("range").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
+    below = {c: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"{c}_before") for c in ("good", "bad")}
+    rows = ranged.join(F.broadcast(starts), "range")
+    right = below["bad"] + F.col("all_good") - below["good"]
+    return rows.select("threshold", F.round(F.try_divide(right, F.col("all")), 6).alias("accuracy"))
 
 
 def embedding_problems(items: DataFrame, vectors: DataFrame, size: int) -> DataFrame:

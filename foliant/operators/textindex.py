@@ -19,7 +19,9 @@ from ..tables import shuffle_partitions, stacked, stored
 
 #: What an occurrence in the title and in the body counts.
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
-DOCS_PER_BLOCK = 32
+DOCS_PER_BLOCK = 8
+#: Times k documents that are scored first, so that their k-th is a good one.
+PROBE = 4
 #: Length classes an octave; blocks of a class have documents of like length.
 CLASSES = 4
 ROUNDING = 1e-9
@@ -39,7 +41,7 @@ def analyzed(docs: DataFrame, title: Column | None = None, body: Column | None =
 def write_index(rows: DataFrame, path: str, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
     """Write the index of analyzed() documents below ``path`` and read it again.
 
-    (lexeme, block, max_weight, entries of (doc_id, n_title, weight, places)).
+    (lexeme, block, max_weight, docs, entries of (doc_id, n_title, weight, places)).
     A class of lengths is dealt into as many blocks as its documents need, by
     id, so a block's size is bounded however common a lexeme is, and a lexeme
     of many blocks is spread over files. Equal ids are one document of several rows.
@@ -53,7 +55,7 @@ def write_index(rows: DataFrame, path: str, docs_per_block: int = DOCS_PER_BLOCK
     weight = F.aggregate("places", F.lit(0.0), lambda total, p: total + F.when(p <= F.col("n_title"), TITLE_WEIGHT).otherwise(BODY_WEIGHT))
     ranged = each.withColumn("weight", weight).repartitionByRange(shuffle_partitions(rows.sparkSession), "lexeme", "block")
     entry = F.struct("doc_id", "n_title", "weight", "places")
-    blocks = ranged.groupBy("lexeme", "block").agg(F.max("weight").alias("max_weight"), F.collect_list(entry).alias("entries"))
+    blocks = ranged.groupBy("lexeme", "block").agg(F.max("weight").alias("max_weight"), F.count(F.lit(1)).alias("docs"), F.collect_list(entry).alias("entries"))
     blocks.sortWithinPartitions("lexeme", "block").write.option("compression", "zstd").parquet(path)
     return read_index(rows.sparkSession, path)
 
@@ -71,9 +73,9 @@ def lexemes_of(queries: DataFrame, text: str = "text", stems: bool = True) -> Da
 
 
 def block_bounds(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, block, bound): no document of the block weighs more for the query."""
-    known = index.select("lexeme", "block", "max_weight").join(terms, "lexeme")
-    return known.groupBy("query_id", "block").agg(F.sum("max_weight").alias("bound"))
+    """(query_id, block, bound, docs): no document of the block weighs more for the query, and at least ``docs`` of them weigh something."""
+    known = index.select("lexeme", "block", "max_weight", "docs").join(terms, "lexeme")
+    return known.groupBy("query_id", "block").agg(F.sum("max_weight").alias("bound"), F.max("docs").alias("docs"))
 
 
 def weights_of(index: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -87,15 +89,15 @@ def weights_of(index: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFra
 def best_documents(index: DataFrame, terms: DataFrame, k: int = 30) -> DataFrame:
     """(query_id, doc_id, fts_score, lexical_rank): the k best documents of each query (query_id, lexeme), and no other block scored than needed.
 
-    First the blocks with the highest bounds that may hold k documents are
-    scored; the weight of the k-th document found is the least that counts.
+    First blocks are scored in order of their bounds, until they hold PROBE
+    times k documents; the weight of the k-th best of these is the least that counts.
     Then blocks whose bound reaches it are scored. Ties go to the smaller id,
     so a block that can only reach a tie is scored too.
     """
     terms = terms.distinct()
     bounds = stored(block_bounds(index, terms), "block-bounds")
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    first = bounds.withColumn("n", F.row_number().over(by_bound)).filter(F.col("n") <= -(-k // DOCS_PER_BLOCK))
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = bounds.withColumn("before", F.coalesce(F.sum("docs").over(by_bound), F.lit(0))).filter(F.col("before") < PROBE * k)
     scored = stored(weights_of(index, terms, first), "best-blocks")
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"))
     least = scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k).select("query_id", F.col("raw").alias("least"))

@@ -120,7 +120,7 @@ def calibration(spark, d: str) -> DataFrame:
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("l"))
     found = _nearest(spark, d, "cosine").join(labels, "item_id")
     found = found.join(labels.select(F.col("item_id").alias("query_id"), F.col("l").alias("m")), "query_id")
-    return dense.calibrate_threshold(found.select((1 - F.col("distance")).alias("score"), (F.col("l") == F.col("m")).alias("relevant")))
+    return dense.calibrate_threshold(found.select(F.round(1 - F.col("distance"), 9).alias("score"), (F.col("l") == F.col("m")).alias("relevant")))
 
 
 def metrics_by_label(spark, d: str) -> DataFrame:
@@ -187,9 +187,9 @@ METRICS = f"""{_near_sql("cosine")},
     FROM ideal LEFT JOIN got USING (case_id))"""
 _NAMES = ["rr", *[f"{m}_{k}" for k in evaluation.CUTOFFS for m in ("hit", "recall", "ndcg")]]
 _MEANS = ", ".join(f"round(coalesce(avg({n}), 0), 6) AS {n}" for n in _NAMES)
-CALIBRATION = f"""WITH {_near_sql("cosine")}, s AS (SELECT round(1 - distance, 2) AS score, (a.label = b.label)::INT AS r FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = item_id),
-  t AS (SELECT score AS threshold FROM s UNION SELECT 0.0 UNION SELECT 1.0)
-  SELECT threshold, round(avg(CASE WHEN (score >= threshold) = (r = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM t, s GROUP BY threshold"""
+CALIBRATION = f"""WITH {_near_sql("cosine")}, s AS (SELECT round(1 - distance, 9) AS score, (a.label = b.label)::INT AS r FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = item_id),
+  t AS (SELECT threshold, sum(good) AS good, sum(bad) AS bad FROM (SELECT score AS threshold, r AS good, 1 - r AS bad FROM s UNION ALL SELECT 0.0::DOUBLE, 0, 0 UNION ALL SELECT 1.0::DOUBLE, 0, 0) GROUP BY threshold)
+  SELECT threshold, round((coalesce(sum(bad) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(good) OVER (ORDER BY threshold ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE / sum(good + bad) OVER (), 6) AS accuracy FROM t"""
 FIRST = "min(rank) FILTER ((query_id, doc_id) IN (SELECT (query_id, doc_id) FROM exact)) AS first_rank"
 
 register("dense_topk_cosine", lambda s, d: dense.with_similarity(_nearest(s, d, "cosine"), "cosine").withColumn("similarity", F.round("similarity", 9)), f"WITH {_near_sql('cosine')} SELECT *, round(1 - distance, 9) AS similarity FROM near")

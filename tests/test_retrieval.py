@@ -12,9 +12,12 @@ def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id long, doc_id long, rank int")
 
 
+@pytest.mark.parametrize("block", [3, 100])
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-def test_nearest_against_a_loop(spark, monkeypatch, metric):
-    monkeypatch.setattr(dense, "QUERIES_PER_BLOCK", 3)
+def test_nearest_against_a_loop(spark, monkeypatch, metric, block):
+    monkeypatch.setattr(dense, "QUERIES_PER_BLOCK", block)
+    monkeypatch.setattr(dense, "ITEMS_PER_CELL", 7)
+    monkeypatch.setattr(dense, "FAN_IN", 2)
     rng = random.Random(1)
     items = [(i, [rng.choice([-1.0, 0.0, 1.0, 0.5]) for _ in range(4)]) for i in range(60)] + [(99, [0.0] * 4)]
     df = spark.createDataFrame(items, "item_id long, embedding array<float>").repartition(3)
@@ -200,3 +203,22 @@ def test_a_quoted_phrase_may_hold_the_word_or(spark):
     parsed = lexical.parse_questions(asked)
     assert parsed.first().clauses == ['"alpha OR beta"', "gamma"]
     assert sorted(r.doc_id for r in lexical.clause_search(parsed, docs).collect()) == [2, 4]
+
+
+def test_candidates_are_three_times_as_many(spark):
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "item_id long, embedding array<float>")
+    queries = items.filter("item_id = 3").withColumnRenamed("item_id", "query_id")
+    assert dense.candidates(queries, items, 2).count() == 6 and dense.candidates(queries, items, 2, 4).count() == 4
+    with pytest.raises(ValueError):
+        dense.candidates(queries, items, 5, 4)
+
+
+def test_every_distinct_score_is_a_threshold(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([0.1234567, 0.1234568, 0.5, -0.25, 1.5, rng.random()]), rng.random() < 0.4) for _ in range(300)]
+    df = spark.createDataFrame([*rows, (None, True)], "score double, relevant boolean")
+    found = {r.threshold: r.accuracy for r in dense.calibrate_threshold(df).collect()}
+    want = {t: round(sum((s >= t) == good for s, good in rows) / len(rows), 6) for t in {0.0, 1.0, *(s for s, _ in rows)}}
+    assert found == want
+    none = dense.calibrate_threshold(df.limit(0)).collect()
+    assert {r.threshold for r in none} == {0.0, 1.0} and all(r.accuracy is None for r in none)
