@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..tables import stacked
+from ..tables import stacked, stored
 from . import evidence, fusion, grounding, rerank
 
 
@@ -34,49 +34,90 @@ def relevance_decision(score: Column, selected: Column, used: Column, cutoff: in
     )
 
 
-def extractive_answers(context: DataFrame, questions: DataFrame) -> DataFrame:
+def extractive_answers(context: DataFrame, questions: DataFrame, quote_words: int | None = None) -> DataFrame:
     """The default generator: of each evidence row (query_id, source_id, passage) the sentence with most of the question's words.
 
-    Gives claims (query_id, claim_idx, text, supports); a sentence that shares no word with the question says nothing.
+    Gives claims (query_id, claim_idx, text, supports); a sentence that shares
+    no word with the question says nothing. The whole sentence is quoted, or
+    its first ``quote_words`` words.
     """
     rows = context.join(questions, "query_id").select("query_id", "source_id", F.posexplode(T.sentences(F.col("passage"))).alias("at", "text"), "question")
     shared = F.size(F.array_intersect(T.grounding_terms(F.col("text")), T.content_terms(F.col("question"))))
     best = Window.partitionBy("query_id", "source_id").orderBy(F.desc("shared"), "at")
     rows = rows.withColumn("shared", shared).filter("shared > 0").withColumn("__n", F.row_number().over(best)).filter("__n = 1")
     order = Window.partitionBy("query_id").orderBy(F.length("source_id"), "source_id")  # S2 comes before S10
-    supports = F.array(F.struct("source_id", F.col("text").alias("quote")))
+    quote = F.col("text") if quote_words is None else F.array_join(F.slice(F.split("text", r"\s+"), 1, quote_words), " ")
+    supports = F.array(F.struct("source_id", quote.alias("quote")))
     return rows.select("query_id", (F.row_number().over(order) - 1).alias("claim_idx"), "text", supports.alias("supports"))
 
 
-def grounded_answers(
+def requoted(claims: DataFrame, feedback: DataFrame, context: DataFrame) -> DataFrame:
+    """The default repair: claims that their quotes cover too little are quoted whole; those with another problem go."""
+    whole = feedback.filter("support is null").select("query_id", "claim_idx", "problem")
+    rows = claims.join(whole, ["query_id", "claim_idx"], "left").filter(F.col("problem").isNull() | F.col("problem").isin("low claim coverage", "low clause coverage"))
+    full = F.transform("supports", lambda s: F.struct(s["source_id"].alias("source_id"), F.col("text").alias("quote")))
+    return rows.select("query_id", "claim_idx", "text", F.when(F.col("problem").isNull(), F.col("supports")).otherwise(full).alias("supports"))
+
+
+def chosen_context(
     questions: DataFrame, fused: DataFrame, docs: DataFrame, scores: DataFrame | None = None, cutoff: int = 2, final_k: int = 5, duplicate: float = 0.82
 ) -> DataFrame:
-    """(query_id, status, n_claims, sources, problem): one plan for all questions.
+    """(query_id, source_id, position, item_id, passage): each question's evidence in reading order.
 
-    ``questions`` is (query_id, question), ``fused`` (query_id, doc_id,
-    fused_rank), ``docs`` (doc_id, text). Texts join after the ranking, for
-    the few candidates only. Without scores the overlap scorer gives them.
-    Unscored candidates never become evidence, and only near copies within one
-    document are left out; a question without evidence, or with an invalid
-    answer, is refused.
+    ``docs`` is (doc_id, text), and may say the ``file`` and ``page_number`` of
+    each; else a document is a file. Texts join after the ranking, for the few
+    candidates only. Without scores the overlap scorer gives them. Unscored
+    candidates never become evidence, and copies are left out within a file.
     """
-    texts = fused.join(docs.select("doc_id", "text"), "doc_id").join(questions, "query_id")
+    own = {"file": F.col("doc_id").cast("string"), "page_number": F.lit(1)}
+    docs = docs.withColumns({n: c for n, c in own.items() if n not in docs.columns}).select("doc_id", "text", *own)
     if scores is None:
+        texts = fused.join(docs, "doc_id").join(questions, "query_id")
         scores = texts.select("query_id", "doc_id", rerank.overlap_score(F.col("question"), F.col("text")).alias("score"))
-    order = rerank.rerank(fused, scores, 10, final_k, cutoff).filter("selected")
-    found = order.join(docs.select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("item_id"), F.col("reranked_rank").alias("rank"), "score", "text")
-    kept = evidence.greedy_select(found, final_k, duplicate, cutoff, "item_id").filter("decision = 'kept'").select("query_id", "item_id", "rank")
-    place = Window.partitionBy("query_id").orderBy("rank")
-    context = kept.withColumn("position", F.row_number().over(place)).join(found.select("query_id", "item_id", "text"), ["query_id", "item_id"])
-    context = evidence.with_source_ids(context).select("query_id", "source_id", "item_id", F.col("text").alias("passage"))
-    claims = grounding.claim_problems(extractive_answers(context.select("query_id", "source_id", "passage"), questions), context.select("query_id", "source_id", "passage"))
-    each = claims.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_claims"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("claim_idx"))).alias("problem"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("supports", lambda s: s["source_id"]))))), ",").alias("sources"),
-    )
-    rows = questions.select("query_id").join(each, "query_id", "left").fillna(0, ["n_claims"])
-    status = F.when((F.col("n_claims") > 0) & F.col("problem").isNull(), "answered").otherwise("insufficient_evidence")
-    return rows.select("query_id", status.alias("status"), "n_claims", "sources", "problem")
+    order = rerank.rerank(fused, scores, 10, final_k, cutoff).filter("selected and not fallback")
+    found = order.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("item_id"), F.col("reranked_rank").alias("rank"), "score", "text", "file", "page_number", F.sha2("text", 256).alias("hash"))
+    kept = evidence.greedy_select(found, final_k, duplicate, cutoff, "file", "hash").filter("decision = 'kept'").select("query_id", "item_id")
+    placed = evidence.with_source_ids(evidence.reading_order(found.join(kept, ["query_id", "item_id"])))
+    return placed.select("query_id", "source_id", "position", "item_id", F.col("text").alias("passage"))
+
+
+def attempt_verdicts(claims: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, status, problem) of one attempt at the questions ``asked``: without claims it refuses, which is valid."""
+    first = F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("claim_idx")))
+    each = claims.groupBy("query_id").agg(F.lit("answered").alias("status"), first.alias("problem"))
+    return asked.select("query_id").distinct().join(each, "query_id", "left").fillna("insufficient_evidence", ["status"])
+
+
+def grounded_answers(
+    questions: DataFrame, fused: DataFrame, docs: DataFrame, scores: DataFrame | None = None, cutoff: int = 2, final_k: int = 5, duplicate: float = 0.82,
+    generate=extractive_answers, repair=requoted,
+) -> DataFrame:
+    """(query_id, status, attempt, used_fallback, n_claims, sources, answer): one plan for all questions.
+
+    ``questions`` is (query_id, question), ``fused`` (query_id, doc_id,
+    fused_rank); evidence is chosen_context(). ``generate`` makes claims of the
+    context and the questions. Where a claim breaks a rule, and only there,
+    ``repair`` makes the claims again from the feedback; they are checked in
+    the same way. An attempt with a broken rule is never shown: the second
+    replaces it, or the question is refused (``used_fallback``). A question
+    without evidence is refused without an attempt.
+    """
+    context = stored(chosen_context(questions, fused, docs, scores, cutoff, final_k, duplicate), "context")
+    first = stored(grounding.claim_problems(generate(context, questions), context), "claims")
+    broken = first.filter("problem is not null").select("query_id").distinct()
+    of_broken = lambda df: df.join(broken, "query_id", "left_semi")
+    claims, evident = of_broken(first.drop("problem")), of_broken(context)
+    second = stored(grounding.claim_problems(repair(claims, grounding.repair_feedback(claims, evident), evident), evident), "claims")
+    verdicts = attempt_verdicts(second, broken)
+    empty = (F.col("status") == "insufficient_evidence") & F.col("problem").isNull()
+    verdicts = verdicts.withColumn("problem", F.when(empty, "answer without claims").otherwise(F.col("problem")))
+    state = grounding.repaired(attempt_verdicts(first, context), verdicts)
+    shown = stacked(first.withColumn("attempt", F.lit(1)), second.withColumn("attempt", F.lit(2))).join(state.filter("status = 'answered'"), ["query_id", "attempt"])
+    ids = F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("supports", lambda s: F.struct(F.length(s["source_id"]), s["source_id"].alias("id"))))))), lambda x: x["id"])
+    told = shown.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_claims"), F.array_join(ids, ",").alias("sources")).join(grounding.rendered(shown), "query_id")
+    rows = questions.select("query_id").join(state, "query_id", "left").join(told, "query_id", "left")
+    rows = rows.fillna("insufficient_evidence", ["status"]).fillna(False, ["used_fallback"]).fillna(0, ["n_claims"])
+    return rows.select("query_id", "status", "attempt", "used_fallback", "n_claims", "sources", "answer")
 
 
 def stage_trace(gold: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,54 +11,59 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once; inside folds Spark repeats what is written twice."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+DECISIONS = "query_id {query_id}, item_id long, rank int, decision string, duplicate_of long"
+
+
+def word_hashes(text: Column) -> Column:
+    """A text's distinct words as sorted 64-bit hashes: what similarities are counted on."""
+    return F.array_sort(F.transform(T.word_set(text), lambda w: F.xxhash64(w)))
 
 
 def greedy_select(
-    candidates: DataFrame, top_k: int = 8, duplicate: float = 0.8, threshold: float | None = None, same_document: str | None = None
+    candidates: DataFrame, top_k: int = 8, duplicate: float = 0.8, threshold: float | None = None, same_document: str | None = None, identity: str | None = None
 ) -> DataFrame:
-    """Add ``decision`` and ``duplicate_of`` to candidates (query_id, item_id, rank, score, text), for those that are decided.
+    """(query_id, item_id, rank, decision, duplicate_of) of the candidates (query_id, item_id, rank, score, text) that are decided.
 
     In rank order: ``below_threshold`` if the score is null or too low,
-    ``near_duplicate`` of the first kept one that is similar enough (in the
-    same document, if a column says which), else ``kept``; candidates after
-    the last that fits are not decided. Candidate lists are short, so each
-    query is one fold inside one row.
+    ``duplicate`` of a kept one with the same ``identity`` (in the same
+    document), ``near_duplicate`` of the first kept one whose words are similar
+    enough (in the same document, if a column says which), else ``kept``;
+    candidates after the last that fits are not decided. Only hashes of the
+    words are shuffled, and a query's short list is one group.
     """
-    extra = [F.col(same_document).cast("string").alias("doc")] if same_document else [F.lit("").alias("doc")]
-    item = F.struct("rank", "item_id", "score", *extra, T.word_set(F.col("text")).alias("words"))
-    rows = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("list"))
-    kept_t = "array<struct<item_id:bigint,doc:string,words:array<string>>>"
-    out_t = "array<struct<item_id:bigint,rank:int,decision:string,duplicate_of:bigint>>"
-    start = F.struct(F.array().cast(kept_t).alias("kept"), F.array().cast(out_t).alias("out"))
-
-    def alike(k: Column, c: Column) -> Column:
-        total = F.size(k["words"]) + F.size(c["words"])
-        share = _let(F.size(F.array_intersect(k["words"], c["words"])), lambda n: F.coalesce(n / F.when(total > n, total - n), F.lit(1.0)))
-        return (k["doc"] == c["doc"]) & (share >= duplicate)
-
-    def step(acc: Column, c: Column) -> Column:
-        low = F.lit(False) if threshold is None else F.coalesce(c["score"] < threshold, F.lit(True))
-
-        def decided(of: Column) -> Column:
-            decision = F.when(low, "below_threshold").when(of.isNotNull(), "near_duplicate").otherwise("kept")
-            row = F.struct(
-                c["item_id"].cast("bigint").alias("item_id"), c["rank"].cast("int").alias("rank"), decision.alias("decision"),
-                F.when(~low, of).cast("bigint").alias("duplicate_of"),
-            )
-            keep = F.array(F.struct(c["item_id"].cast("bigint").alias("item_id"), c["doc"].alias("doc"), c["words"].alias("words")))
-            return F.struct(
-                F.when(decision == "kept", F.concat(acc["kept"], keep)).otherwise(acc["kept"]).alias("kept"),
-                F.concat(acc["out"], F.array(row)).alias("out"),
-            )
-
-        first = F.try_element_at(F.filter(acc["kept"], lambda k: alike(k, c)), F.lit(1))["item_id"]
-        return F.when(F.size(acc["kept"]) >= top_k, acc).otherwise(_let(first, decided))
-
-    folded = F.aggregate("list", start, step, lambda acc: acc["out"])
-    return rows.select("query_id", F.explode(folded).alias("d")).select("query_id", "d.*")
+    text_of = lambda name: (F.lit("") if name is None else F.coalesce(F.col(name).cast("string"), F.lit("")))
+    rows = candidates.select(
+        "query_id", F.col("item_id").cast("long").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"),
+        text_of(same_document).alias("document"), (F.lit(None).cast("string") if identity is None else F.col(identity).cast("string")).alias("identity"),
+        word_hashes(F.col("text")).alias("words"),
+    )
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple] = []
+        out = []
+        for r in group.sort_values(["rank", "item_id"]).itertuples(index=False):
+            if len(kept) >= top_k:
+                break
+            if threshold is not None and not r.score >= threshold:
+                out.append((r.query_id, r.item_id, r.rank, "below_threshold", None))
+                continue
+            own = [k for k in kept if k.document == r.document]
+            copy = next((k for k in own if r.identity is not None and k.identity == r.identity), None)
+            near = copy or next((k for k in own if _alike(k.words, r.words) >= duplicate), None)
+            out.append((r.query_id, r.item_id, r.rank, "duplicate" if copy else "near_duplicate" if near else "kept", near.item_id if near else None))
+            if near is None:
+                kept.append(r)
+        made = pd.DataFrame(out, columns=["query_id", "item_id", "rank", "decision", "duplicate_of"])
+        return made.astype({"duplicate_of": "Int64"})
+
+    return rows.groupBy("query_id").applyInPandas(choose, DECISIONS.format(query_id=candidates.schema["query_id"].dataType.simpleString()))
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared by all distinct hashes; two empty lists are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = len(a) + len(b) - both
+    return both / every if every else 1.0
 
 
 def with_neighbours(anchors: DataFrame, pages: DataFrame, window: int = 1) -> DataFrame:

@@ -242,12 +242,11 @@ def _rule_claims(spark, d: str) -> tuple[DataFrame, DataFrame]:
     evidence = rows.select("query_id", F.concat(F.lit("S"), F.col("lexical_rank").cast("string")).alias("source_id"), F.col("lexical_rank").alias("position"), F.col("text").alias("passage"))
     words = F.split(F.col("text"), r"\s+")
     part = lambda first, n: F.array_join(F.slice(words, first, n), " ")
-    plain = lambda c: F.regexp_replace(c, r"(?i)\b(and|but|whereas|while)\b", "or")
     quote = part(1, 12)
-    other = lambda n: plain(F.array_join(F.slice(F.split(F.col("claim"), r"\s+"), 13, n), " "))
+    other = lambda n: F.array_join(F.slice(F.split(F.col("claim"), r"\s+"), 13, n), " ")
     none = F.array().cast("array<struct<source_id:string,quote:string>>")
     one = lambda q, source="S1": F.array(F.struct(F.lit(source).alias("source_id"), q.alias("quote")))
-    said = plain(quote)
+    said = quote
     cases = [
         (said, one(quote)), (F.lit("  "), one(quote)), (said, none), (said, F.concat(one(quote), one(quote))), (said, one(quote, "S9")), (said, one(F.lit(" "))),
         (said, F.concat(one(quote), one(F.concat(F.col("claim"), F.lit(" zzzz")), "S2"))), (F.lit("qqqq xxxx"), one(quote)), (F.concat(said, F.lit(" "), other(40)), one(quote)),
@@ -277,12 +276,8 @@ def _part(col: str, first: int, n: int) -> str:
     return f"array_to_string(regexp_split_to_array({col}, '\\s+')[{first}:{first + n - 1}], ' ')"
 
 
-def _plain(sql: str) -> str:
-    return f"regexp_replace({sql}, '(?i)\\b(and|but|whereas|while)\\b', 'or', 'g')"
-
-
-_Q, _SAID = _part("text", 1, 12), _plain(_part("text", 1, 12))
-_OTHER = {n: _plain(_part("claim", 13, n)) for n in (6, 40)}
+_Q = _SAID = _part("text", 1, 12)
+_OTHER = {n: _part("claim", 13, n) for n in (6, 40)}
 _CASES = [
     (_SAID, [("S1", _Q)]), ("'  '", [("S1", _Q)]), (_SAID, []), (_SAID, [("S1", _Q), ("S1", _Q)]), (_SAID, [("S9", _Q)]), (_SAID, [("S1", "' '")]),
     (_SAID, [("S1", _Q), ("S2", "claim || ' zzzz'")]), ("'qqqq xxxx'", [("S1", _Q)]), (f"{_SAID} || ' ' || {_OTHER[40]}", [("S1", _Q)]),
@@ -295,8 +290,17 @@ def _made(at: int, text: str, pairs: list[tuple[str, str]]) -> str:
     return f"SELECT query_id, {at} AS claim_idx, {text} AS text, CAST([{supports}] AS STRUCT(s VARCHAR, q VARCHAR)[]) AS supports FROM claims WHERE lexical_rank = 1"
 
 
+def clauses_sql(col: str) -> str:
+    """A claim's clauses. RE2 can't look ahead: an ``and`` is marked with all that must follow, and again, as that may hold another."""
+    verb = T.CLAUSE_AND.removeprefix("(?i)").replace("'", "''").replace("(?=", "(")
+    marked = "c"
+    for _ in range(8):
+        marked = f"regexp_replace({marked}, '(?i){verb}', chr(1) || '\1', 'g')"
+    return f"flatten(list_transform(regexp_split_to_array({col}, '{T.CONTRAST}'), lambda c: CASE WHEN length(c) - length(replace(c, ',', '')) >= 2 THEN [c] ELSE string_split({marked}, chr(1)) END))"
+
+
 def _rules_sql(name: str, rows: str) -> str:
-    """A step that adds ``problem`` to ``rows`` with text, supports and the map m of passages; its claims have no clauses but those between semicolons."""
+    """Steps that add ``problem`` to ``rows`` with text, supports and the map m of passages."""
     norm = lambda c: f"array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ')"
     terms = text_queries._terms
     parts = f"list_filter(list_transform(regexp_split_to_array(s.q, '\\.{{3,}}|…'), lambda y: {norm('y')}), lambda y: y <> '')"
@@ -308,7 +312,7 @@ def _rules_sql(name: str, rows: str) -> str:
   {name} AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty claim' WHEN len(supports) = 0 THEN 'no citation' WHEN len(ids) <> len(list_distinct(ids)) THEN 'repeated citation' WHEN {some("supports", "m[s.s] IS NULL")} THEN 'unknown source'
     WHEN {some("supports", "trim(s.q) = ''")} THEN 'empty quote' WHEN {some("supports", f"NOT {held}")} THEN 'quote not found' WHEN {some("supports", f"len(list_intersect(tt, {terms('s.q')})) = 0")} THEN 'no overlap'
     WHEN len(list_intersect(tt, qt))::DOUBLE / nullif(len(tt), 0) < {least} THEN 'low claim coverage'
-    WHEN len(list_filter(list_transform(string_split(text, ';'), lambda c: {terms("c")}), lambda t: len(t) > 0 AND len(list_intersect(t, qt))::DOUBLE / nullif(len(t), 0) < {least})) > 0 THEN 'low clause coverage' END AS problem FROM {name}_t)"""
+    WHEN len(list_filter(list_transform({clauses_sql("text")}, lambda c: {terms("c")}), lambda t: len(t) > 0 AND len(list_intersect(t, qt))::DOUBLE / nullif(len(t), 0) < {least})) > 0 THEN 'low clause coverage' END AS problem FROM {name}_t)"""
 
 
 RULES = f"""{text_queries.CLAIMS}, made AS ({" UNION ALL ".join(_made(i, t, p) for i, (t, p) in enumerate(_CASES))}),

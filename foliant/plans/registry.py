@@ -25,7 +25,7 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 def _load() -> None:
     """Import the modules that register queries; importing again does nothing."""
-    from . import catalog_queries, evaluation_queries, index_queries, page_queries, retrieval_queries, text_queries  # noqa: F401
+    from . import answer_queries, catalog_queries, evaluation_queries, index_queries, page_queries, retrieval_queries, text_queries  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -145,8 +145,8 @@ def synonyms(spark, d: str) -> DataFrame:
 
 
 def _asked(spark, d: str) -> DataFrame:
-    """The first line of each item as a question."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 300).alias("question"))
+    """Each item as a question."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def expanded_questions(spark, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def expanded(spark, d: str) -> DataFrame:
 
 
 TURNS = "turns AS (SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question, text AS alternative, role = 'user' AS intent_preserved FROM conversations)"
-ASKED = """asked AS (SELECT item_id AS query_id, substr(string_split(text, chr(10))[1], 1, 300) AS question FROM benchmark),
+ASKED = """asked AS (SELECT item_id AS query_id, text AS question FROM benchmark),
   bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark), sy AS (SELECT arg_min(w, row(length(w), w)) AS term, arg_max(w, row(length(w), w)) AS synonym FROM bw WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY substr(w, 1, 4)),
   ew AS (SELECT query_id, unnest(string_split(question, ' ')) AS word, generate_subscripts(string_split(question, ' '), 1) AS i FROM asked),
   rewrites AS (SELECT query_id, string_agg(coalesce(synonym, word), ' ' ORDER BY i) AS alternative, true AS intent_preserved FROM ew LEFT JOIN (SELECT * FROM sy WHERE term <> synonym) ON term = lower(word) GROUP BY query_id HAVING count(synonym) > 0),

@@ -1,6 +1,10 @@
+import hashlib
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import answering
+from foliant.operators import answering, embedding
 from foliant.sources import judgments
 
 
@@ -19,6 +23,8 @@ def test_answers_end_to_end(spark):
     rows = {r.query_id: r for r in answering.grounded_answers(questions, fused, docs).collect()}
     assert (rows[1].status, rows[1].n_claims, rows[1].sources) == ("answered", 2, "S1,S2")  # copies in different documents both stay
     assert (rows[2].status, rows[2].n_claims) == ("insufficient_evidence", 0)
+    assert (rows[1].attempt, rows[1].used_fallback, rows[2].attempt) == (1, False, None)
+    assert rows[1].answer == "The bank did close after losses in March. [S1] The bank did close after losses in March. [S2]"
     broken = spark.createDataFrame([(1, 10, 9)], "query_id long, doc_id long, score int")
     refused = {r.query_id: r.status for r in answering.grounded_answers(questions, fused, docs, broken).collect()}
     assert set(refused.values()) == {"insufficient_evidence"}
@@ -101,3 +107,53 @@ def test_phrases_exact_terms_and_clauses(spark, monkeypatch):
     ready = spark.createDataFrame([(1, "a", "ready"), (2, "b", "ready"), (3, "a", "failed")], "document_id long, filename string, status string")
     files = spark.createDataFrame([("a",)], "filename string")
     assert [r.doc_id for r in lexical.of_ready_documents(docs, ready, files).collect()] == [1]
+
+
+def test_only_failing_questions_are_tried_again(spark):
+    text = "The river bank did close its northern gates after heavy losses in the month of March last year."
+    questions = spark.createDataFrame([(q, "When did the river bank close its gates after losses") for q in (1, 2, 3, 4)], "query_id long, question string")
+    docs = spark.createDataFrame([(10, text, "a", 2), (11, text, "a", 1), (12, text + " Rain fell.", "b", 7), (13, "Nothing.", "b", 8), (14, "First the bank did close its gates after losses.", "b", 6)], "doc_id long, text string, file string, page_number int")
+    fused = spark.createDataFrame([(q, d, d - 9) for q in (1, 2, 3) for d in (10, 11, 12, 14)] + [(4, 13, 1)], "query_id long, doc_id long, fused_rank int")
+    seen = []
+
+    def generate(context, asked):
+        made = answering.extractive_answers(context, asked, 4)  # covers too little
+        fine = answering.extractive_answers(context, asked)
+        return made.filter("query_id <> 1").unionByName(fine.filter("query_id = 1"))
+
+    def repair(claims, feedback, context):
+        seen.append({r.query_id for r in claims.collect()} | {r.query_id for r in feedback.collect()} | {r.query_id for r in context.collect()})
+        good = answering.requoted(claims, feedback, context)
+        return good.filter("query_id = 2").unionByName(claims.filter("query_id = 3"))
+
+    rows = {r.query_id: r for r in answering.grounded_answers(questions, fused, docs, generate=generate, repair=repair).collect()}
+    assert seen == [{2, 3}]
+    state = {q: (r.status, r.attempt, r.used_fallback, r.n_claims, r.sources) for q, r in rows.items()}
+    answered = ("answered", 1, False, 3, "S1,S2,S3")  # 11 is a copy of 10 in its file, and 12 and 14 are neighbours, in the order of their pages
+    assert state == {1: answered, 2: (answered[0], 2, *answered[2:]), 3: ("insufficient_evidence", None, True, 0, None), 4: ("insufficient_evidence", None, False, 0, None)}
+    context = answering.chosen_context(questions, fused, docs).filter("query_id = 1")
+    assert [r.item_id for r in context.orderBy("position").collect()] == [10, 12, 14] or [r.item_id for r in context.orderBy("position").collect()] == [10, 14, 12]
+
+
+def test_batches_of_an_embedder_are_checked(spark):
+    rows = spark.createDataFrame([(i, None if i == 5 else "t" * i) for i in range(10)], "id long, text string").coalesce(1)
+    sizes = lambda texts: [(i, [float(len(texts)), float(len(t))]) for i, t in reversed(list(enumerate(texts)))]
+    found = {r.id: r.embedding for r in embedding.embedded(rows, sizes, batch=4).collect()}
+    assert {i: v[1] for i, v in found.items()} == {i: 0.0 if i == 5 else float(i) for i in range(10)} and {v[0] for v in found.values()} == {4.0, 2.0}
+    assert embedding.ordered([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]]
+    for wrong in ([(0, [1.0])], [(0, [1.0]), (0, [2.0])], [(0, [1.0]), (1, [1.0, 2.0])]):
+        with pytest.raises(ValueError):
+            embedding.ordered(wrong, 2)
+
+
+def test_hashed_ngrams_are_sums_of_signs(spark):
+    texts = [None, "", "one", "one two one", "Two ONE two " * 9000, "é x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    for r in embedding.hashed_ngrams(rows).collect():
+        words = re.findall(r"\w+", (texts[r.id] or "").lower())
+        grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        bits = [[(b >> (7 - k) & 1) * 2 - 1 for b in hashlib.md5(g.encode()).digest()[:8] for k in range(8)] for g in grams]
+        assert r.embedding == [float(sum(c)) for c in zip(*bits)] or (not grams and r.embedding == [0.0] * 64)
+    near = {r.id: r.embedding for r in embedding.hashed_ngrams(spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g x"), (3, "q r s t u v w z")], "id long, text string")).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(near[a], near[b]))
+    assert dot(1, 2) > 3 * abs(dot(1, 3))
