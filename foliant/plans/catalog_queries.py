@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dense, rerank
-from ..sources import catalog
-from ..tables import stacked
+from ..sources import catalog, snapshots
+from ..tables import scratch_path, stacked
 from .registry import register, table
 
 
@@ -79,3 +79,48 @@ register("embedding_gaps", embedding_gaps, """SELECT coalesce(d.doc_id, v.vec_id
   FROM documents d FULL JOIN embeddings v ON v.vec_id = d.doc_id WHERE v.vec_id IS NULL OR d.doc_id IS NULL OR coalesce(len(v.embedding), 0) <> 64""")
 register("usage_cost", usage_cost, """SELECT event_type, count(*) AS calls, sum(floor(value))::BIGINT AS input_tokens, sum(floor(value / 10))::BIGINT AS output_tokens,
   round((sum(floor(value)) * 0.15 + sum(floor(value / 10)) * 0.6) / 1000000.0, 6) AS cost FROM events GROUP BY event_type""")
+
+
+def history(spark, d: str) -> DataFrame:
+    """Every version of a catalog whose files are sources: their first documents, their last, and the first again.
+
+    A document with fewer than 300 visible characters fails, but not when its
+    file's first one is tried again. Two writers finish from one snapshot: the second loses.
+    """
+    docs = table(spark, d, "documents").select(F.col("source").alias("filename"), "doc_id", "text", F.sha2("text", 256).alias("content_hash"))
+    firsts = docs.groupBy("filename").agg(F.min(F.struct("doc_id", "content_hash", "text")).alias("f")).select("filename", "f.*")
+    others = docs.join(firsts.select("filename", F.col("content_hash").alias("first")), "filename").filter("content_hash <> first")
+    lasts = others.groupBy("filename").agg(F.max(F.struct("doc_id", "content_hash", "text")).alias("f")).select("filename", "f.*")
+    store = snapshots.Snapshots(spark, scratch_path(spark, "catalog"))
+
+    def process(rows: DataFrame, failing: bool, base=None):
+        own = rows.withColumn("document_id", catalog.document_id(F.col("filename"), F.col("content_hash")))
+        chunks = own.select("document_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("chunk_index", "text"))
+        short = F.length(F.regexp_replace("text", r"\s", "")) < 300
+        errors = own.filter(short if failing else F.lit(False)).select("document_id", F.lit("too little text").alias("error"))
+        return store.finish(chunks.withColumn("chunk_index", F.col("chunk_index").cast("long")), errors, base)
+
+    at = lambda rows, time: rows.select("filename", "content_hash", F.lit(time).cast("long").alias("updated_at"))
+    base = store.ingest(at(firsts, 1))
+    process(firsts, True, base)
+    try:
+        process(firsts, False, base)  # from the same snapshot, too late
+    except snapshots.Conflict:
+        pass
+    store.ingest(at(firsts.join(store.read().documents.filter("status = 'ready'"), ["filename", "content_hash"], "left_semi"), 9))  # known and ready: no version
+    store.ingest(at(lasts, 2))
+    process(lasts, True)
+    store.ingest(at(firsts, 3))
+    process(firsts, False)
+    rows = [s.documents.join(s.chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("held")), "document_id", "left").withColumn("version", F.lit(v)) for v in store.versions() for s in [store.read(v)]]
+    return stacked(*rows).select("version", "filename", "content_hash", "status", "updated_at", "chunk_count", F.coalesce("held", F.lit(0)).alias("held"), "processing_error")
+
+
+register("catalog_history", history, """WITH n AS (SELECT source AS filename, doc_id, text, sha256(text) AS h, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS c, length(regexp_replace(text, '\\s', '', 'g')) < 300 AS short FROM documents),
+  a AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY filename ORDER BY doc_id) = 1), b AS (SELECT n.* FROM n JOIN a ON a.filename = n.filename AND a.h <> n.h QUALIFY row_number() OVER (PARTITION BY n.filename ORDER BY n.doc_id DESC) = 1),
+  s AS (SELECT a.filename, a.h, 'a' AS w, a.c, a.short, NOT coalesce(b.short, true) AS followed FROM a LEFT JOIN b USING (filename) UNION ALL SELECT filename, h, 'b', c, short, true FROM b),
+  v AS (SELECT *, CASE WHEN w = 'a' THEN CASE version WHEN 1 THEN 'processing' WHEN 2 THEN CASE WHEN short THEN 'failed' ELSE 'ready' END WHEN 3 THEN CASE WHEN short THEN 'failed' ELSE 'ready' END
+      WHEN 4 THEN CASE WHEN short THEN 'failed' WHEN followed THEN 'superseded' ELSE 'ready' END WHEN 5 THEN CASE WHEN short OR followed THEN 'processing' ELSE 'ready' END ELSE 'ready' END
+    ELSE CASE WHEN version = 3 THEN 'processing' WHEN short THEN 'failed' WHEN version < 6 THEN 'ready' ELSE 'superseded' END END AS status FROM s, (SELECT unnest(range(1, 7)) AS version) WHERE w = 'a' OR version >= 3)
+  SELECT version::INT AS version, filename, h AS content_hash, status, CASE WHEN w = 'b' THEN 2 WHEN version >= 5 AND (short OR followed) THEN 3 ELSE 1 END::BIGINT AS updated_at,
+    CASE WHEN w = 'a' AND (version = 1 OR (short AND version < 6)) OR w = 'b' AND (version = 3 OR short) THEN 0 ELSE c END AS chunk_count, CASE WHEN w = 'a' AND (version = 1 OR (short AND version < 6)) OR w = 'b' AND (version = 3 OR short) THEN 0 ELSE c END AS held, CASE WHEN status = 'failed' THEN 'too little text' END AS processing_error FROM v""")
