@@ -102,7 +102,7 @@ def of_cases(rows: DataFrame, ids: DataFrame, key: str = "case_id") -> DataFrame
 
 
 def regraded(saved: DataFrame, again: DataFrame) -> DataFrame:
-    """(case_id, state): whether grades made again are those saved: same, changed, lost (saved only) or new.
+    """(case_id, state, fields): whether grades made again are those saved: same, changed (in ``fields``), lost (saved only) or new.
 
     Grading saved answers again changes nothing, so any other state means that
     answers, expectations or rules are not those of the saved run.
@@ -111,7 +111,8 @@ def regraded(saved: DataFrame, again: DataFrame) -> DataFrame:
     whole = lambda df, name: df.select("case_id", F.struct(*values).alias(name))
     rows = whole(saved, "a").join(whole(again, "b"), "case_id", "full")
     state = F.when(F.col("b").isNull(), "lost").when(F.col("a").isNull(), "new").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
-    return rows.select("case_id", state.alias("state"))
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in values]))
+    return rows.select("case_id", state.alias("state"), F.when(state == "changed", F.array_join(differs, ",")).alias("fields"))
 
 
 def matches_expectation(claim: Column, term_groups: Column) -> Column:

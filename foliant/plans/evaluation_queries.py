@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answering, evaluation, evidence, fusion, grounding, lexical
 from ..sources import files
-from ..tables import stacked
+from ..tables import scratch_path, stacked
 from . import page_queries, retrieval_queries, text_queries
 from .registry import register, table
 from .retrieval_queries import EXACT, HYBRID, LEX
@@ -160,17 +160,18 @@ register("run_summary", summary, f"WITH {_SUMMARY}")
 # ---- answers: a case is a benchmark text, its claims the text itself and the beginning of the best document ----
 
 
-def _best(spark, d: str) -> DataFrame:
+def _best(spark, d: str, least: float = 0.95) -> DataFrame:
     found = retrieval_queries.lexical_topk(spark, d).filter("lexical_rank = 1").join(_documents(spark, d), "doc_id")
     exact = retrieval_queries.exact_matches(spark, d).withColumn("held", F.lit(True))
     best = found.join(exact, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "fts_score", F.col("text").alias("passage"), F.coalesce("held", F.lit(False)).alias("held"))
     some = exact.select("query_id").distinct().withColumn("answerable", F.lit(True))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return items.join(best, "query_id", "left").join(some, "query_id", "left").fillna(False, ["answerable", "held"]).withColumn("answered", F.coalesce(F.col("fts_score") >= 0.95, F.lit(False)))
+    return items.join(best, "query_id", "left").join(some, "query_id", "left").fillna(False, ["answerable", "held"]).withColumn("answered", F.coalesce(F.col("fts_score") >= least, F.lit(False)))
 
 
-def grades(spark, d: str) -> DataFrame:
-    rows = _best(spark, d).withColumnRenamed("query_id", "case_id")
+def grades(spark, d: str, least: float = 0.95) -> DataFrame:
+    """Graded cases; a case is answered if its best document has a score of ``least`` or more."""
+    rows = _best(spark, d, least).withColumnRenamed("query_id", "case_id")
     status = F.when(F.col("answered"), "answered").otherwise("insufficient_evidence")
     kind = F.when(F.col("answerable"), "answerable").otherwise("unanswerable")
     answers = rows.select("case_id", kind.alias("case_type"), status.alias("status"), F.array(F.when(F.col("answerable"), "answered").otherwise("insufficient_evidence")).alias("expected_statuses"),
@@ -205,8 +206,9 @@ def _matched(text: str) -> str:
     return f"({_has(text, 'w[1]')} AND ({_has(text, 'w[2]')} OR {_has(text, 'w[3]')})), {_has(text, 'w[5]')}"
 
 
-GRADES = f"""{LEX}, {EXACT}, best AS (SELECT query_id, doc_id, fts_score, text AS passage, (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM exact) AS held FROM lex JOIN documents USING (doc_id) WHERE lexical_rank = 1),
-  cs AS (SELECT b.item_id AS case_id, b.text, {WORDS.replace("text", "b.text")} AS w, coalesce(passage, '') AS passage, coalesce(held, false) AS held, b.item_id IN (SELECT query_id FROM exact) AS answerable, coalesce(fts_score >= 0.95, false) AS answered FROM benchmark b LEFT JOIN best ON query_id = item_id),
+def _grades_sql(least: float = 0.95) -> str:
+    return f"""{LEX}, {EXACT}, best AS (SELECT query_id, doc_id, fts_score, text AS passage, (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM exact) AS held FROM lex JOIN documents USING (doc_id) WHERE lexical_rank = 1),
+  cs AS (SELECT b.item_id AS case_id, b.text, {WORDS.replace("text", "b.text")} AS w, coalesce(passage, '') AS passage, coalesce(held, false) AS held, b.item_id IN (SELECT query_id FROM exact) AS answerable, coalesce(fts_score >= {least}, false) AS answered FROM benchmark b LEFT JOIN best ON query_id = item_id),
   c0 AS (SELECT case_id, held AS faithful, len(w) >= 5 AS has, [{_matched("text")}] AS m FROM cs WHERE answered UNION ALL SELECT case_id, true, len(w) >= 5, [{_matched("substr(passage, 1, 200)")}] FROM cs WHERE answered),
   ag AS (SELECT case_id, count(*) AS n, sum((has AND (m[1] OR m[2]))::INT) AS matched, sum(faithful::INT) AS faithful, max((has AND m[1])::INT) AS met FROM c0 GROUP BY case_id),
   g AS (SELECT cs.case_id, answerable, answered, held, CASE WHEN answerable THEN 'answerable' ELSE 'unanswerable' END AS case_type, false AS used_fallback, coalesce(n, 0) AS n, coalesce(met, 0) AS met, len(w) >= 5 AS required,
@@ -215,6 +217,9 @@ GRADES = f"""{LEX}, {EXACT}, best AS (SELECT query_id, doc_id, fts_score, text A
     CASE WHEN answerable AND len(w) >= 5 THEN round(coalesce(met, 0)::DOUBLE, 6) END AS completeness, (answerable = answered)::INT::DOUBLE AS refusal_accuracy, round(coalesce(1 - faithful::DOUBLE / n, 0), 6) AS unsupported_claim_rate
     FROM cs LEFT JOIN ag USING (case_id)),
   gr AS (SELECT *, correctness = 1 AND faithfulness = 1 AND citation_accuracy = 1 AND refusal_accuracy = 1 AND coalesce(completeness, 1) = 1 AND unsupported_claim_rate = 0 AS answer_success FROM g)"""
+
+
+GRADES = _grades_sql()
 SCORES = ["correctness", "faithfulness", "citation_accuracy", "completeness", "refusal_accuracy", "unsupported_claim_rate"]
 register("answer_grades", grades, f"WITH {GRADES} SELECT case_id, case_type, used_fallback, {', '.join(SCORES)}, answer_success FROM gr")
 register("answer_summary", lambda s, d: evaluation.answer_summary(grades(s, d)), f"WITH {GRADES} SELECT count(*) AS cases, round(avg(answer_success::INT), 6) AS success_rate, 0::BIGINT AS fallbacks, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM gr")
@@ -222,16 +227,26 @@ register("answer_failures", failures, f"""WITH {GRADES}, st AS (SELECT CASE WHEN
   SELECT failure_stage, count(*) AS cases FROM st GROUP BY 1""")
 
 
+CASE = "case_id long, case_type string, used_fallback boolean, correctness double, faithfulness double, citation_accuracy double, completeness double, refusal_accuracy double, unsupported_claim_rate double, answer_success boolean"
+
+
+def _report(spark, d: str, cases: DataFrame) -> DataFrame:
+    sections = {"summary": evaluation.answer_summary(cases), "failures": failures(spark, d), "cases": cases}
+    return files.report_rows(files.run_id("answers"), sections)
+
+
 def regraded(spark, d: str) -> DataFrame:
-    """Grades of the labelled half of the cases against grades of all: the other half is new."""
-    again = grades(spark, d)
+    """A saved report of the labelled cases, against a stricter rule for answering, over the cases of at least 36 words."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), "text")
     labelled = table(spark, d, "labels").select(F.col("doc_id").alias("case_id"))
-    return evaluation.regraded(evaluation.of_cases(again, labelled), again)
+    place = scratch_path(spark, "report")
+    files.save_report(_report(spark, d, evaluation.of_cases(grades(spark, d), labelled)), place, dataset=d)
+    saved = files.section(files.saved_report(spark, place, dataset=d), "cases", CASE)
+    return evaluation.regraded(saved, evaluation.of_cases(grades(spark, d, 0.98), items.filter(F.size(T.tokens(F.col("text"))) >= 36)))
 
 
 def report(spark, d: str) -> DataFrame:
-    every = grades(spark, d)
-    return files.report_rows(files.run_id("answers"), {"summary": evaluation.answer_summary(every), "failures": failures(spark, d), "cases": every}).select("run_id", "section", F.get_json_object("json", "$.case_id").alias("case_id"), F.get_json_object("json", "$.answer_success").alias("success"))
+    return _report(spark, d, grades(spark, d))
 
 
 # ---- claims that keep or break each rule: a quote is the first twelve words of the best document ----
@@ -324,6 +339,13 @@ register("repair_feedback", feedback, f"""WITH {RULES}, apart AS (SELECT query_i
 register("cited_evidence", cited, f"""WITH {RULES}, named AS (SELECT DISTINCT query_id, unnest(list_transform(supports, lambda s: s.s)) AS source_id FROM made),
   flat AS (SELECT query_id, 'S' || lexical_rank AS source_id, lexical_rank AS position, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM claims)
   SELECT query_id, source_id, position, CASE WHEN length(f) > 240 THEN rtrim(substr(f, 1, 240)) || '...' ELSE f END AS preview FROM flat JOIN named USING (query_id, source_id)""")
-register("answer_regrade", regraded, "SELECT b.item_id AS case_id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'same' END AS state FROM benchmark b LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = b.item_id")
-register("answer_report", report, f"""WITH {GRADES} SELECT '{files.run_id("answers")}' AS run_id, 'cases' AS section, case_id::VARCHAR AS case_id, answer_success::VARCHAR AS success FROM gr UNION ALL SELECT '{files.run_id("answers")}', 'summary', NULL, NULL
-  UNION ALL SELECT '{files.run_id("answers")}', 'failures', NULL, NULL FROM (SELECT DISTINCT CASE WHEN case_id NOT IN (SELECT query_id FROM lex JOIN exact USING (query_id, doc_id)) THEN 'retrieval' WHEN NOT held THEN 'ranking' WHEN NOT answered THEN 'generation' WHEN NOT answer_success THEN 'grading' ELSE 'none' END FROM gr WHERE answerable)""")
+_FIELDS = ["case_type", "used_fallback", *SCORES, "answer_success"]
+register("answer_regrade", regraded, f"""WITH saved AS (SELECT case_id, {", ".join(_FIELDS)} FROM (WITH {GRADES} SELECT * FROM gr) WHERE case_id IN (SELECT doc_id FROM labels)),
+  made AS (SELECT case_id, {", ".join(_FIELDS)} FROM (WITH {_grades_sql(0.98)} SELECT * FROM gr) WHERE case_id IN (SELECT item_id FROM benchmark WHERE len({WORDS}) >= 36)),
+  b AS (SELECT coalesce(a.case_id, m.case_id) AS case_id, a.case_id IS NULL AS fresh, m.case_id IS NULL AS gone, array_to_string(list_filter([{", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM m.{c} THEN '{c}' END" for c in _FIELDS)}], lambda x: x IS NOT NULL), ',') AS fields FROM saved a FULL JOIN made m ON a.case_id = m.case_id)
+  SELECT case_id, CASE WHEN gone THEN 'lost' WHEN fresh THEN 'new' WHEN fields = '' THEN 'same' ELSE 'changed' END AS state, CASE WHEN NOT gone AND NOT fresh AND fields <> '' THEN fields END AS fields FROM b""")
+_RUN = f"'{files.run_id('answers')}' AS run_id"
+register("answer_report", report, f"""WITH {GRADES}, st AS (SELECT CASE WHEN case_id NOT IN (SELECT query_id FROM lex JOIN exact USING (query_id, doc_id)) THEN 'retrieval' WHEN NOT held THEN 'ranking' WHEN NOT answered THEN 'generation' WHEN NOT answer_success THEN 'grading' ELSE 'none' END AS failure_stage FROM gr WHERE answerable)
+  SELECT {_RUN}, 'cases' AS section, to_json(struct_pack(case_id, {", ".join(_FIELDS)}))::VARCHAR AS json FROM gr
+  UNION ALL SELECT {_RUN}, 'failures', to_json(struct_pack(failure_stage, cases))::VARCHAR FROM (SELECT failure_stage, count(*) AS cases FROM st GROUP BY 1)
+  UNION ALL SELECT {_RUN}, 'summary', to_json(struct_pack(cases, success_rate, fallbacks, {", ".join(SCORES)}))::VARCHAR FROM (SELECT count(*) AS cases, round(avg(answer_success::INT), 6) AS success_rate, 0::BIGINT AS fallbacks, {", ".join(f"round(avg({c}), 6) AS {c}" for c in SCORES)} FROM gr)""")

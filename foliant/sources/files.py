@@ -87,6 +87,39 @@ def report_rows(run: str, sections: dict[str, DataFrame]) -> DataFrame:
     return stacked(*[of(name, df) for name, df in sections.items()])
 
 
+def digest(rows: DataFrame) -> Column:
+    """A digest of (section, json) rows in any order, as an aggregate: their number, and the sum of the first 60 bits of each row's SHA-256."""
+    bits = F.conv(F.substring(F.sha2(F.concat_ws("\n", "section", "json"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(bits), F.lit(0)).cast("string"))
+
+
+def save_report(rows: DataFrame, path: str, **seals: str) -> None:
+    """Write report_rows() below ``path`` as JSON lines, and beside them their digest and ``seals``: digests of what the run read, say."""
+    rows.write.mode("errorifexists").json(f"{path}/rows")
+    saved = rows.sparkSession.read.schema(REPORT).json(f"{path}/rows")
+    seal = {name: F.lit(value) for name, value in seals.items()}
+    saved.agg(digest(saved).alias("rows")).withColumns(seal).write.json(f"{path}/seal")
+
+
+REPORT = "run_id string, section string, json string"
+
+
+def saved_report(spark: SparkSession, path: str, **seals: str) -> DataFrame:
+    """The rows of a saved report, if they are those that were saved and the run read what ``seals`` say."""
+    rows = spark.read.schema(REPORT).json(f"{path}/rows")
+    kept = spark.read.json(f"{path}/seal").first().asDict()
+    found = rows.agg(digest(rows)).first()[0]
+    wrong = [name for name, value in ({"rows": found} | seals).items() if kept.get(name) != value]
+    if wrong:
+        raise ValueError(f"the report below {path} has other {', '.join(wrong)} than it was saved with")
+    return rows
+
+
+def section(rows: DataFrame, name: str, schema: str) -> DataFrame:
+    """The rows of one section of a report, with their fields as columns."""
+    return rows.filter(F.col("section") == name).select(F.from_json("json", schema).alias("r")).select("r.*")
+
+
 def newest_report(spark: SparkSession, path: str) -> DataFrame:
     """The path and content of the file below ``path`` that was changed last."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import dense, evaluation, expansion, grounding
@@ -66,3 +67,27 @@ def test_regrade_subset_and_report(spark):
     assert len(run) == 12 and run == files.run_id("x") != files.run_id("y")
     rows = files.report_rows(run, {"cases": saved, "none": again.limit(0)}).collect()
     assert len(rows) == 3 and {r.section for r in rows} == {"cases"} and '{"case_id":"a","correctness":1.0,"completeness":null}' in {r.json for r in rows}
+
+
+def test_saved_reports_are_sealed(spark, tmp_path):
+    cases = spark.createDataFrame([(1, 0.5, None), (2, 1.0, True)], "case_id long, score double, success boolean")
+    rows = files.report_rows("run", {"cases": cases, "summary": cases.selectExpr("count(*) AS n")})
+    place = str(tmp_path / "report")
+    files.save_report(rows, place, dataset="d1")
+    saved = files.saved_report(spark, place, dataset="d1")
+    assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, rows.collect()))
+    again = files.section(saved, "cases", "case_id long, score double, success boolean")
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, cases.collect()), key=repr)
+    with pytest.raises(ValueError, match="other dataset"):
+        files.saved_report(spark, place, dataset="d2")
+    part = next(p for p in (tmp_path / "report" / "rows").iterdir() if p.suffix == ".json" and p.stat().st_size)
+    part.write_text(part.read_text().replace("0.5", "0.9").replace('"n\\":2', '"n\\":3'))
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="other rows"):
+        files.saved_report(spark, place, dataset="d1")
+
+
+def test_regrading_names_the_fields(spark):
+    saved = spark.createDataFrame([(1, 1.0, None), (2, 0.5, 1.0)], "case_id long, a double, b double")
+    again = spark.createDataFrame([(1, 1.0, None), (2, 0.4, None)], "case_id long, a double, b double")
+    assert {r.case_id: (r.state, r.fields) for r in evaluation.regraded(saved, again).collect()} == {1: ("same", None), 2: ("changed", "a,b")}
