@@ -180,8 +180,9 @@ def train(docs: DataFrame, max_rows: int = 4000, seed: int = 11) -> Model | None
     """Fit on rows (text, lang, doc_id) with a language.
 
     Document frequencies are of all rows. The regression sees about
-    ``max_rows`` rows, an equal share for each language, chosen by hashes of
-    their ids and texts; one in five of them only sets the temperature.
+    ``max_rows`` different rows, an equal share for each language, chosen by
+    hashes of their ids and texts; one in five of them only sets the temperature.
+    Languages are taken to be few: of each, a count and 2**15 weights are on the driver.
     """
     known = docs.filter("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -193,7 +194,7 @@ def train(docs: DataFrame, max_rows: int = 4000, seed: int = 11) -> Model | None
     share = max(1, max_rows // len(counts))
     cuts = spark.createDataFrame([(k, min(1.0, share / v)) for k, v in counts.items()], "lang string, part double")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
-    sample = known.join(F.broadcast(cuts), "lang").filter(place < F.col("part"))  # one row a language
+    sample = known.join(F.broadcast(cuts), "lang").filter(place < F.col("part")).dropDuplicates(["doc_id", "text", "lang"])  # cuts has a row a language
     found = tf_idf(sample.select("lang", "text"), idf).toPandas()
     languages = sorted(counts)
     rank = {k: i for i, k in enumerate(languages)}

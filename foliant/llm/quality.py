@@ -131,7 +131,7 @@ def held_out(modulus: int, kept: int) -> Column:
 
 
 def train(features: DataFrame, labels: DataFrame, cut: float = 0.3, max_labelled: int = 20_000) -> Ranker:
-    """Fit on about ``max_labelled`` labelled rows of (doc_id, features) at most, chosen by hashes of their ids.
+    """Fit on about ``max_labelled`` labelled ids of (doc_id, features) at most, chosen by their hashes, with one row each however often they occur.
 
     Held-out ids, and ids with both labels or a null one, teach nothing.
     """
@@ -141,7 +141,8 @@ def train(features: DataFrame, labels: DataFrame, cut: float = 0.3, max_labelled
     known = known.filter("low = label and label in (0, 1)").filter(~held_out(5, 0))
     share = min(1.0, max_labelled / max(1, known.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
-    sample = features.join(known.filter(place < share), "doc_id").select("features", "label").toPandas()
+    sample = features.join(known.filter(place < share), "doc_id").groupBy("doc_id", "label").agg(F.min_by("features", F.xxhash64("features")).alias("features"))
+    sample = sample.select("features", "label").toPandas()
     x = np.array(sample["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, sample["label"]))  # the fit doesn't depend on the order of arrival
     return fit(x[order], sample["label"].to_numpy(dtype=int)[order], cut)
