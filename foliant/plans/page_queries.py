@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, cleaning, evidence, numbering
-from ..tables import stacked
+from ..sources import pdf
+from ..tables import stacked, stored
 from .registry import register, table
 from .retrieval_queries import LEX, lexical_topk
 
@@ -203,3 +204,18 @@ register("character_chunks", lambda s, d: chunking.character_chunks(_files(s, d)
   SELECT file, page_number, (row_number() OVER (PARTITION BY file, page_number ORDER BY s) - 1)::INT AS chunk_index, '[Source page ' || page_number || ']' || chr(10) || body AS content FROM c WHERE body <> ''""")
 register("content_identities", identities, """SELECT content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM
   (SELECT doc_id, sha256(CAST(to_json({'chunking_version': 'v1', 'page_end': 1, 'page_start': 1, 'passage_text': text, 'section_title': NULL}) AS VARCHAR)) AS content_hash FROM documents) GROUP BY content_hash HAVING count(*) > 1""")
+
+
+def pdf_pages(spark, d: str) -> DataFrame:
+    """Every document as a PDF with a page for every four lines, written and read back; pages with little text have damaged streams."""
+    lines = F.split("text", "\n", -1)
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4)), lambda i: F.array_join(F.slice(lines, i.cast("int") * 4 + 1, 4), "\n"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), pages.alias("pages"))
+    numbered = F.transform("pages", lambda p, i: F.when(F.length(F.regexp_replace(p, r"\s", "")) < 40, i + 1))
+    files = stored(pdf.write_files(rows.withColumn("damaged", F.array_compact(numbered))), "pdf")
+    return pdf.read_pages(files).select("file", "page_number", F.sha2("text", 256).alias("sha256"), "error")
+
+
+register("pdf_pages", pdf_pages, """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, ls, unnest(range(0, len(ls), 4)) AS i FROM l),
+  t AS (SELECT doc_id, (i // 4 + 1)::INT AS page_number, array_to_string(ls[i + 1:i + 4], chr(10)) AS text FROM p), x AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) < 40 AS bad FROM t)
+  SELECT doc_id::VARCHAR AS file, page_number, sha256(CASE WHEN bad THEN '' ELSE text END) AS sha256, CASE WHEN bad THEN 'broken stream' END AS error FROM x""")
