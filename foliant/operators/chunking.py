@@ -1,14 +1,16 @@
 """Chunks from cleaned pages: structural units in SQL, packing within sections, stable hashes.
 
-Files are the unit of work: units are found by expressions and ordered by
-windows over (page, paragraph); packing, which looks at whole units one after
-the other, runs on one file at a time.
+Units are found by expressions; the section that holds is handed on from one
+block of pages to the next. Packing, borrowing and overlap look at whole units
+one after the other, but never beyond a section, so the run of units under one
+section is what a task packs: a long file is spread over as many tasks as it has
+sections, and its chunks are numbered by the counts of the runs before.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .numbering import carried, sums_before
 
 _PIECE = regex.compile(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")
 VERSION = "structure-pieces-1"
+PAGES_PER_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -48,11 +52,12 @@ class Unit:
 
 
 def units(pages: DataFrame) -> DataFrame:
-    """(file, page_number, paragraph, item, text, section, kind) from (file, page_number, cleaned_text).
+    """(file, page_number, paragraph, item, text, section, run, kind) from (file, page_number, cleaned_text).
 
     A paragraph's leading heading lines (together no longer than a heading)
     set the section from there on, across pages; paragraphs of list items are
-    a unit an item, others one.
+    a unit an item, others one. ``run`` is where the section began: it is the
+    same for all units between two headings that differ.
     """
     paragraphs = F.posexplode(F.split("cleaned_text", r"\n\s*\n", -1)).alias("paragraph", "body")
     rows = pages.select("file", "page_number", paragraphs).withColumn("lines", T.lines(F.col("body"))).filter(F.size("lines") > 0)
@@ -67,13 +72,16 @@ def units(pages: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("heads", F.aggregate("lines", start, step, lambda acc: acc["heads"]))
     rows = rows.withColumn("rest", F.slice("lines", F.size("heads") + 1, F.size("lines")))
-    order = Window.partitionBy("file").orderBy("page_number", "paragraph")
     title = F.when(F.size("heads") > 0, F.array_join("heads", " "))
-    rows = rows.withColumn("section", F.last(title, ignorenulls=True).over(order)).filter(F.size("rest") > 0)
+    order, block = ["page_number", "paragraph"], F.floor(F.col("page_number") / PAGES_PER_BLOCK)
+    rows = carried(rows, "file", block, order, title, "section")
+    new = F.when(~F.col("section").eqNullSafe(F.col("section_before")), F.struct("page_number", "paragraph"))
+    rows = carried(rows, "file", block, order, new, "run").filter(F.size("rest") > 0)
     items = F.forall("rest", T.is_list_item)
     texts = F.when(items, F.col("rest")).otherwise(F.array(F.array_join("rest", "\n")))
     kind = F.when(items, "list-item").otherwise("paragraph")
-    return rows.select("file", "page_number", "paragraph", "section", kind.alias("kind"), F.posexplode(texts).alias("item", "text"))
+    begin = F.coalesce("run", F.struct(F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("int").alias("paragraph")))
+    return rows.select("file", "page_number", "paragraph", "section", begin.alias("run"), kind.alias("kind"), F.posexplode(texts).alias("item", "text"))
 
 
 def label(first: int, last: int, section: str | None) -> str:
@@ -148,13 +156,13 @@ def _tail(group: list[Unit], own: list[Unit], size: ChunkSize) -> tuple[list[Uni
 
 
 CHUNK = (
-    "file string, chunk_index int, passage_text string, content string, page_start int, page_end int, section_title string, "
+    "file string, run_page int, run_paragraph int, chunk_index int, passage_text string, content string, page_start int, page_end int, section_title string, "
     "token_count int, overlap_token_count int, boundary_kinds array<string>"
 )
 
 
-def _chunk_file(file: str, rows: list[tuple], size: ChunkSize) -> list[tuple]:
-    """Chunks from (page_number, text, section, kind) rows in order."""
+def _chunk_run(key: tuple, rows: list[tuple], size: ChunkSize) -> list[tuple]:
+    """Chunks of a run (file, page and paragraph where it begins) from its (page_number, text, section, kind) rows in order."""
     every = [u for page, text, section, kind in rows for u in split_large(Unit(text, page, page, section, kind), size) if u.text.strip()]
     groups, out = pack(every, size), []
     for i, own in enumerate(groups):
@@ -162,7 +170,7 @@ def _chunk_file(file: str, rows: list[tuple], size: ChunkSize) -> list[tuple]:
         whole = [*extra, *own]
         first, last = min(u.page_start for u in whole), max(u.page_end for u in whole)
         content = label(first, last, own[-1].section) + "\n" + _joined(whole)
-        out.append((file, i, _joined(whole), content, first, last, own[-1].section, _size(whole), n, list(dict.fromkeys(u.kind for u in whole))))
+        out.append((*key, i, _joined(whole), content, first, last, own[-1].section, _size(whole), n, list(dict.fromkeys(u.kind for u in whole))))
     return out
 
 
@@ -174,41 +182,56 @@ def content_hash(passage: Column, first: Column, last: Column, section: Column,
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     whole, text = pa.int32(), pa.string()
-    types = [text, whole, text, text, whole, whole, text, whole, whole, pa.list_(text)]
+    types = [text, whole, whole, whole, text, text, whole, whole, text, whole, whole, pa.list_(text)]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
 def chunk_pages(pages: DataFrame, size: ChunkSize = ChunkSize()) -> DataFrame:
     """Chunks of (file, page_number, cleaned_text): passages with label, pages, section, counts, kinds and hash.
 
-    Of chunks of a file with one hash the first stays. Files are read one
-    after the other from sorted rows, so a task holds one file at a time.
+    Of chunks of a file with one hash the first stays. Runs of units under one
+    section are read one after the other from sorted rows, so a task holds one
+    run at a time.
     """
     settings = asdict(size)
     names = [c.split()[0] for c in CHUNK.split(", ")]
 
     def work(batches):
-        own, file, rows = ChunkSize(**settings), None, []
+        own, key, rows = ChunkSize(**settings), None, []
         for b in batches:
             out = []
-            for name, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if name != file and rows:
-                    out += _chunk_file(file, rows, own)
+            for file, page, paragraph, *row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if (file, page, paragraph) != key and rows:
+                    out += _chunk_run(key, rows, own)
                     rows = []
-                file = name
+                key = file, page, paragraph
                 rows.append(row)
             yield _batch(out, names)
         if rows:
-            yield _batch(_chunk_file(file, rows, own), names)
+            yield _batch(_chunk_run(key, rows, own), names)
 
-    ordered = units(pages).repartition("file").sortWithinPartitions("file", "page_number", "paragraph", "item")
-    made = ordered.select("file", F.col("page_number").cast("int"), "text", "section", "kind").mapInArrow(work, CHUNK)
+    run = [F.col(f"run.{c}").cast("int").alias(f"run_{n}") for c, n in (("page_number", "page"), ("paragraph", "paragraph"))]
+    flat = units(pages).select("file", *run, F.col("page_number").cast("int"), "text", "section", "kind", "paragraph", "item")
+    ordered = flat.repartition("file", "run_page", "run_paragraph").sortWithinPartitions("file", "run_page", "run_paragraph", "page_number", "paragraph", "item")
+    made = _numbered(ordered.drop("paragraph", "item").mapInArrow(work, CHUNK))
     own = content_hash(F.col("passage_text"), F.col("page_start"), F.col("page_end"), F.col("section_title"), F.lit(VERSION))
     first = Window.partitionBy("file", "content_hash").orderBy("chunk_index")
     rows = made.withColumn("content_hash", own).withColumn("__n", F.row_number().over(first))
     return rows.filter("__n = 1").drop("__n").withColumn("chunking_version", F.lit(VERSION))
 
 
+def _numbered(made: DataFrame) -> DataFrame:
+    """Chunks with their index in the file instead of in their run."""
+    key = ["file", "run_page", "run_paragraph"]
+    counts = made.groupBy(*key).agg(F.count(F.lit(1)).alias("chunks"))
+    block = F.floor(F.coalesce("run_page", F.lit(-1)) / PAGES_PER_BLOCK)
+    starts = sums_before(counts, "file", block, ["run_page", "run_paragraph"], "chunks", "start")  # nulls come first
+    starts = starts.select(*[F.col(c).alias(f"{c}#") for c in key], "start")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}#")) for c in key])
+    rows = made.join(starts, same)
+    return rows.withColumn("chunk_index", (F.col("chunk_index") + F.col("start")).cast("int")).select(*[c for c in made.columns if c not in key[1:]])
+
+
 def summarize(chunks: DataFrame, configuration: Column) -> DataFrame:
     """By configuration: counts, token range, pages crossed, headings, and how alike neighbouring chunks are."""
     beside = Window.partitionBy("file").orderBy("chunk_index")

@@ -1,11 +1,12 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import chunking, cleaning
+from foliant.operators import chunking, cleaning, numbering
 
 
 def one(spark, **columns):
@@ -144,3 +145,59 @@ def test_evidence_patterns(spark):
     chunks = spark.createDataFrame([("f", 0, 1, 2, "Safe–guards are Needed"), ("f", 1, 3, 3, "safe-guards")], "file string, chunk_index int, page_start int, page_end int, passage_text string")
     wanted = spark.createDataFrame([("q", "f", [2], [["safe-guard", "need"]]), ("r", "f", [3], [["nothing"], ["guards"]])], "id string, file string, pages array<int>, pattern_groups array<array<string>>")
     assert sorted(map(tuple, chunking.matching_chunks(chunks, wanted).collect())) == [("q", "f", 0), ("r", "f", 1)]
+
+
+def test_runs_of_a_file_are_chunked_apart_and_give_the_chunks_of_the_whole(spark, monkeypatch):
+    rng = random.Random(12)
+    heads = ["First Part", "Second Part", "Third Part", "1.2 Something Else"]
+    pages = []
+    for file in ("a", "b", None):
+        for number in range(1, 40):
+            body = []
+            for _ in range(rng.randint(0, 4)):
+                if rng.random() < 0.25:
+                    body.append(rng.choice(heads))
+                words = " ".join(rng.choice(["alpha", "beta", "gamma."]) for _ in range(rng.randint(1, 60)))
+                body.append(f"- {words}\n- more" if rng.random() < 0.2 else words + " end.")
+            pages.append((file, number, "\n\n".join(body)))
+    df = spark.createDataFrame(pages, "file string, page_number int, cleaned_text string")
+    size = chunking.ChunkSize(60, 10, 15)
+
+    def whole():
+        """The units of a file in order, packed as one list."""
+        rows = sorted(chunking.units(df).collect(), key=lambda r: (r.file is None, r.file or "", r.page_number, r.paragraph, r.item))
+        out = []
+        for file in ("a", "b", None):
+            own = [(r.page_number, r.text, r.section, r.kind) for r in rows if r.file == file]
+            seen = set()
+            for c in chunking._chunk_run((file, None, None), own, size):
+                key = (c[4], *c[6:9])
+                if key not in seen:
+                    seen.add(key)
+                    out.append((c[0], *c[3:]))
+        return sorted(map(repr, out))
+
+    names = ["file", "chunk_index", "passage_text", "content", "page_start", "page_end", "section_title", "token_count", "overlap_token_count", "boundary_kinds"]
+    for pages_per_block in (1, 7, 1000):
+        monkeypatch.setattr(chunking, "PAGES_PER_BLOCK", pages_per_block)
+        assert sorted(repr(tuple(r)) for r in chunking.chunk_pages(df, size).select(*names).collect()) == whole()
+    runs = chunking.units(df).select("file", "run").distinct().count()
+    assert runs > 20  # so many groups of their own
+
+
+def test_values_and_sums_go_on_over_blocks(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice(["x", "y", None]), i, rng.choice([None, None, rng.randint(0, 9)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    last, total, want = {}, {}, {}
+    for g, i, v in rows:
+        before = last.get(g)
+        last[g] = v if v is not None else before
+        want[i] = (last[g], before, total.get(g, 0))
+        total[g] = total.get(g, 0) + (v or 0)
+    for step in (1, 9, 500):
+        block = F.floor(F.col("i") / step)
+        found = numbering.carried(df, "g", block, ["i"], F.col("v"), "c")
+        assert {r.i: (r.c, r.c_before) for r in found.collect()} == {i: w[:2] for i, w in want.items()}
+        sums = numbering.sums_before(df.fillna(0, ["v"]), "g", block, ["i"], "v", "s")
+        assert {r.i: r.s for r in sums.collect()} == {i: w[2] for i, w in want.items()}
