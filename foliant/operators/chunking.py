@@ -242,9 +242,22 @@ def summarize(chunks: DataFrame, configuration: Column) -> DataFrame:
         F.count(F.lit(1)).alias("chunks"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"),
         F.round(F.avg("token_count"), 6).alias("mean_tokens"), F.sum((F.col("page_end") > F.col("page_start")).cast("int")).alias("cross_page"),
         F.count("section_title").alias("with_heading"), F.round(F.avg("alike"), 6).alias("mean_alike"), F.round(F.max("alike"), 6).alias("max_alike"),
+        F.count(F.when(F.col("alike") >= 0.8, 1)).alias("near_pairs"), (F.count(F.lit(1)) - F.count_distinct(F.struct("file", "content_hash"))).alias("duplicate_hashes"),
+        F.round(F.avg("overlap_token_count"), 6).alias("mean_overlap"), F.max("overlap_token_count").alias("max_overlap"),
     )
 
 
+def best_size(summaries: DataFrame, scores: DataFrame, near: int = 300) -> DataFrame:
+    """(configuration) of summarize() to choose, if any: it keeps all evidence whole and has no copies.
+
+    Of several that with the fewest near copies side by side, then the one
+    nearest to ``near`` pieces, then the smaller. ``scores`` is (configuration,
+    most, cases, preserved).
+    """
+    fit = summaries.join(scores, "configuration").filter((F.col("preserved") == F.col("cases")) & (F.col("duplicate_hashes") == 0))
+    return fit.agg(F.min_by("configuration", F.struct("near_pairs", F.abs(F.col("most") - near), "most")).alias("configuration")).filter("configuration is not null")
+
+
 def break_point(text: str, start: int, end: int, window: int = 200) -> int:
     """Where a chunk of characters ends: behind the last paragraph, else sentence, else line within its last ``window``."""
     low = max(start, end - window)

@@ -61,6 +61,12 @@ def macro_average(metrics: DataFrame, by: str | None = None) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in names])
 
 
+def by_tag(metrics: DataFrame, tags: DataFrame) -> DataFrame:
+    """Means by tag: a case (case_id, tags array<string>) counts for each of its different tags, and for none if it has none."""
+    each = tags.select("case_id", F.explode(F.array_distinct("tags")).alias("tag")).filter("tag is not null").distinct()
+    return macro_average(metrics.join(each, "case_id"), "tag")
+
+
 def best_configuration(results: DataFrame, order: list[str], ordinal: str, name: str) -> DataFrame:
     """The configuration with the lexicographically largest metrics; of equals, the first by ``ordinal``."""
     key = F.struct(*[F.col(c) for c in order], (-F.col(ordinal)).alias("__o"))

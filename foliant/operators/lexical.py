@@ -160,6 +160,16 @@ def of_ready_documents(docs: DataFrame, catalog: DataFrame, files: DataFrame | N
     return docs.join(ready.select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi")
 
 
+def question_problems(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(query_id, problem) of questions (query_id, question, document_id) that can't be asked: empty, or of a document that isn't there or not ready."""
+    known = catalog.groupBy("document_id").agg(F.max((F.col("status") == "ready").cast("int")).alias("ready"), F.min((F.col("status") == "superseded").cast("int")).alias("gone"))
+    rows = questions.join(known, "document_id", "left")
+    empty = F.trim(F.regexp_replace(F.coalesce("question", F.lit("")), r"\s+", " ")) == ""
+    missing = F.col("ready").isNull() | (F.col("gone") == 1)
+    problem = F.when(empty, "empty question").when(missing, "unknown document").when(F.col("ready") == 0, "document not ready")
+    return rows.select("query_id", problem.alias("problem")).filter("problem is not null")
+
+
 def supplemented(fts: DataFrame, exact: DataFrame, k: int = 20, boost: float = EXACT_BOOST) -> DataFrame:
     """The two lists, each limited by itself, as one: score = fts + boost * exact matches.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import evaluation
+
 # US dollars for a million tokens.
 INPUT_PRICE = 0.15
 OUTPUT_PRICE = 0.60
@@ -47,6 +49,27 @@ def cutoff_sweep(ranked: DataFrame, relevant: DataFrame, final_k: int = 5) -> Da
     return of.groupBy("cutoff").agg(F.count(F.lit(1)).alias("nonempty"), F.sum("hit").alias("hits"))
 
 
+def cutoff_metrics(ranked: DataFrame, judgments: DataFrame, cases: DataFrame, final_k: int = 5) -> DataFrame:
+    """By cutoff 0 to 3: the mean metrics of answerable cases, how many of the unanswerable ones keep nothing, and how much is kept.
+
+    ``ranked`` is rerank()'s; a query that fell back keeps its order whatever
+    the cutoff. ``judgments`` is (query_id, doc_id), ``cases`` (query_id, answerable).
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(TOP_SCORE))).alias("cutoff")
+    rows = ranked.select("query_id", "doc_id", "score", "fallback", "reranked_rank", every).filter(F.col("fallback") | (F.col("score") >= F.col("cutoff")))
+    place = F.row_number().over(Window.partitionBy("query_id", "cutoff").orderBy("reranked_rank"))
+    case = F.concat_ws(":", F.col("query_id").cast("string"), F.col("cutoff").cast("string")).alias("case_id")
+    run = rows.withColumn("rank", place).filter(F.col("rank") <= final_k).select("cutoff", case, "rank", F.col("doc_id").alias("label"))
+    asked = cases.select("query_id", "answerable", every).select("cutoff", "answerable", case)
+    judged = judgments.select("query_id", "doc_id", every).select(case, F.col("doc_id").alias("label"), F.lit(1).alias("grade"))
+    kept = run.groupBy("case_id").agg(F.count(F.lit(1)).alias("kept"))
+    metrics = evaluation.case_metrics(run.drop("cutoff"), judged, (1, 3, 5)).drop("first_rank")
+    each = asked.join(kept, "case_id", "left").join(metrics, "case_id", "left").fillna(0, ["kept"])
+    means = [F.round(F.avg(F.when(F.col("answerable"), F.coalesce(c, F.lit(0.0)))), 6).alias(c) for c in metrics.columns if c != "case_id"]
+    empty = F.round(F.avg(F.when(~F.col("answerable"), (F.col("kept") == 0).cast("double"))), 6)
+    return each.groupBy("cutoff").agg(empty.alias("unanswerable_empty"), F.round(F.avg("kept"), 6).alias("mean_kept"), *means)
+
+
 def overlap_score(question: Column, passage: Column) -> Column:
     """The default scorer: shared content words of the question's, in four steps."""
     from ..functions import text as T

@@ -231,3 +231,43 @@ register("selected_evidence", selected_evidence, f"""WITH RECURSIVE {LEX}, c AS
         list_filter(f.kept, lambda k: len(list_intersect(k.words, c.words))::DOUBLE / len(list_distinct(list_concat(k.words, c.words))) >= 0.3)[1].item_id AS dup
       FROM f JOIN c ON c.query_id = f.query_id AND c.rank = f.rank + 1 WHERE len(f.kept) < 5))
   SELECT query_id, item_id, rank, decision, duplicate_of FROM f WHERE rank > 0""")
+
+
+def union_metrics(spark, d: str) -> DataFrame:
+    return fusion.union_metrics([_dense_of_items(spark, d), _lexical_list(spark, d)], exact_matches(spark, d))
+
+
+def cutoff_metrics(spark, d: str) -> DataFrame:
+    exact = exact_matches(spark, d).select("query_id", "doc_id").distinct()
+    some = exact.select("query_id").distinct().withColumn("answerable", F.lit(True))
+    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(some, "query_id", "left").fillna(False, ["answerable"])
+    return rerank.cutoff_metrics(reranked(spark, d), exact, cases)
+
+
+def metrics_by_tag(spark, d: str) -> DataFrame:
+    """Vector queries that are documents too, by language and by source."""
+    tags = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.array("lang", "source").alias("tags"))
+    return evaluation.by_tag(evaluation.case_metrics(*_run(spark, d)), tags)
+
+
+def ready_dense(spark, d: str) -> DataFrame:
+    """Vector search among the documents that the labels call good."""
+    rows = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.lit("f").alias("filename"), F.when(F.col("quality") == 1, "ready").otherwise("failed").alias("status"))
+    queries, items = _vectors(spark, d)
+    ready = lexical.of_ready_documents(items.withColumnRenamed("item_id", "doc_id"), rows).withColumnRenamed("doc_id", "item_id")
+    return dense.candidates(queries, ready, 3)
+
+
+_CUT = (1, 3, 5)
+_AT = ", ".join(f"CASE WHEN coalesce(n_{k}, 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_{k}, round(coalesce(n_{k}, 0)::DOUBLE / relevant, 6) AS recall_{k}, round(coalesce(dcg_{k}, 0) / list_sum(list_transform(range(1, least({k}, relevant) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_{k}" for k in _CUT)
+register("candidate_union_metrics", union_metrics, f"""WITH {LEX}, {_dense_items_sql("dense", "cosine")}, {EXACT}, u AS (SELECT query_id, doc_id FROM dense UNION SELECT query_id, doc_id FROM lex), r AS (SELECT DISTINCT query_id, doc_id FROM exact)
+  SELECT query_id, (SELECT count(*) FROM u WHERE u.query_id = r.query_id) AS candidates, count(u.doc_id) > 0 AS hit, round(count(u.doc_id)::DOUBLE / count(*), 6) AS recall FROM r LEFT JOIN u USING (query_id, doc_id) GROUP BY r.query_id""")
+register("rerank_cutoff_metrics", cutoff_metrics, f"""WITH {RERANK}, {EXACT}, rel AS (SELECT query_id, count(DISTINCT doc_id) AS relevant FROM exact GROUP BY 1), cs AS (SELECT item_id AS query_id, relevant, cutoff FROM benchmark LEFT JOIN rel ON query_id = item_id, (SELECT unnest(range(4)) AS cutoff)),
+  run AS (SELECT query_id, doc_id, cutoff, row_number() OVER (PARTITION BY query_id, cutoff ORDER BY reranked_rank) AS rank FROM rk, (SELECT unnest(range(4)) AS cutoff) WHERE fallback OR score >= cutoff QUALIFY rank <= 5),
+  got AS (SELECT query_id, cutoff, min(rank) AS first_rank, {", ".join(f"count(*) FILTER (rank <= {k}) AS n_{k}, sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) END) AS dcg_{k}" for k in _CUT)} FROM run WHERE (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM exact) GROUP BY ALL),
+  kept AS (SELECT query_id, cutoff, count(*) AS kept FROM run GROUP BY ALL),
+  m AS (SELECT c.*, coalesce(kept, 0) AS kept, round(coalesce(1.0 / first_rank, 0), 6) AS rr, {_AT} FROM cs c LEFT JOIN got USING (query_id, cutoff) LEFT JOIN kept USING (query_id, cutoff))
+  SELECT cutoff::INT AS cutoff, round(avg(CASE WHEN relevant IS NULL THEN (kept = 0)::INT::DOUBLE END), 6) AS unanswerable_empty, round(avg(kept), 6) AS mean_kept, {", ".join(f"round(avg(CASE WHEN relevant IS NOT NULL THEN {c} END), 6) AS {c}" for c in ["rr", *[f"{n}_{k}" for k in _CUT for n in ("hit", "recall", "ndcg")]])} FROM m GROUP BY 1""")
+register("ir_metrics_by_tag", metrics_by_tag, f"WITH {METRICS} SELECT tag, count(*) AS cases, {_MEANS} FROM metrics JOIN (SELECT DISTINCT doc_id, unnest([lang, source]) AS tag FROM documents) ON doc_id = case_id WHERE tag IS NOT NULL GROUP BY tag")
+register("ready_dense_topk", ready_dense, f"""SELECT query_id, item_id, distance, dense_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS dense_rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {DIST["cosine"]} AS distance
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND v.vec_id IN (SELECT doc_id FROM labels WHERE quality = 1))) WHERE dense_rank <= 9""")

@@ -222,3 +222,36 @@ def test_every_distinct_score_is_a_threshold(spark):
     assert found == want
     none = dense.calibrate_threshold(df.limit(0)).collect()
     assert {r.threshold for r in none} == {0.0, 1.0} and all(r.accuracy is None for r in none)
+
+
+def test_questions_that_cannot_be_asked(spark):
+    questions = spark.createDataFrame([(1, "what", "a"), (2, " \n", "a"), (3, "what", "b"), (4, "what", "x"), (5, None, "x"), (6, "what", "c")], "query_id long, question string, document_id string")
+    catalog = spark.createDataFrame([("a", "ready"), ("b", "processing"), ("c", "superseded")], "document_id string, status string")
+    found = {r.query_id: r.problem for r in lexical.question_problems(questions, catalog).collect()}
+    assert found == {2: "empty question", 3: "document not ready", 4: "unknown document", 5: "empty question", 6: "unknown document"}
+
+
+def test_union_metrics_and_tags(spark):
+    a, b = ranked(spark, [(1, 10, 1), (1, 11, 2), (2, 20, 1)]), ranked(spark, [(1, 11, 1), (1, 12, 2)])
+    relevant = spark.createDataFrame([(1, 12), (1, 13), (3, 1)], "query_id long, doc_id long")
+    found = {r.query_id: tuple(r)[1:] for r in fusion.union_metrics([a, b], relevant).collect()}
+    assert found == {1: (3, True, 0.5), 3: (0, False, 0.0)}
+    metrics = spark.createDataFrame([(1, 1, 1.0), (2, None, 0.0), (3, 2, 0.5)], "case_id long, first_rank int, rr double")
+    tags = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["x", None]), (3, [])], "case_id long, tags array<string>")
+    assert {r.tag: (r.cases, r.rr) for r in evaluation.by_tag(metrics, tags).collect()} == {"x": (2, 0.5), "y": (1, 1.0)}
+
+
+def test_cutoffs_by_metrics(spark):
+    rows = [(1, 10, 3, False, 1), (1, 11, 1, False, 2), (2, 20, None, True, 1), (3, 30, 1, False, 1)]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, score int, fallback boolean, reranked_rank int")
+    judged = spark.createDataFrame([(1, 11), (2, 20)], "query_id long, doc_id long")
+    cases = spark.createDataFrame([(1, True), (2, True), (3, False)], "query_id long, answerable boolean")
+    found = {r.cutoff: r for r in rerank.cutoff_metrics(df, judged, cases).collect()}
+    assert [(found[k].unanswerable_empty, found[k].mean_kept, found[k].rr) for k in range(4)] == [(0.0, 1.333333, 0.75)] * 2 + [(1.0, 0.666667, 0.5)] * 2
+
+
+def test_candidates_are_told_apart_by_document_and_hash(spark):
+    rows = lambda r: spark.createDataFrame(r, "query_id long, doc_id long, hash string, rank int")
+    lists = {"a": rows([(1, 5, "x", 1), (1, 6, "x", 2), (1, 5, "x", 3)]), "b": rows([(1, 6, "x", 1), (1, 5, "y", 2)])}
+    found = {(r.doc_id, r.hash): (r.a_rank, r.b_rank, r.fused_rank) for r in fusion.fuse(lists, 10, identity=("doc_id", "hash")).collect()}
+    assert found == {(6, "x"): (2, 1, 1), (5, "x"): (1, None, 2), (5, "y"): (None, 2, 3)}

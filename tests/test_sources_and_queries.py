@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -42,16 +43,35 @@ def test_uploads(spark, tmp_path):
     assert found == {"a.pdf": None, "b.pdf": "no signature", "c.txt": "not a .pdf"}  # Spark's readers leave files without bytes out
 
 
+def test_names_and_content_types_of_uploads(spark):
+    rows = [("C:\\dir\\a.pdf", None), (" ", "application/pdf"), ("../x/b.PDF ", "Application/PDF"), ("c.pdf", "text/plain"), (None, "application/pdf"), ("d" * 260 + ".pdf", "application/pdf")]
+    df = spark.createDataFrame([(n, t, bytearray(b"%PDF-1")) for n, t in rows], "name string, kind string, content binary")
+    found = df.select(files.base_name(F.col("name")).alias("n"), files.upload_problem(F.col("name"), F.length("content"), F.col("content"), F.col("kind")).alias("p")).collect()
+    assert [r.p for r in found] == ["other content type", "no name", None, "other content type", "no name", "name too long"]
+    assert [r.n for r in found[:3]] == ["a.pdf", "", "b.PDF"]
+
+
 def test_judged_cases_and_reports(spark, tmp_path):
+    h, i = "a" * 64, "b" * 64
     cases = [
-        {"id": "x", "question": "q", "answerable": True, "relevant_chunk_hashes": ["h", "i"], "relevance_grades": {"h": 2}},
-        {"id": "y", "question": " ", "answerable": False, "relevant_chunk_hashes": ["h", "h"], "relevance_grades": {"z": 0}},
+        {"id": "x", "filename": "f", "question": "q", "answerable": True, "relevant_chunk_hashes": [h, i], "relevance_grades": {h: 2}},
+        {"id": "y", "filename": "f", "question": " ", "answerable": False, "relevant_chunk_hashes": [h, h], "relevance_grades": {"z": 0}},
+        {"id": "v", "filename": "f", "question": "q", "answerable": True, "relevant_chunk_indices": [3, 5], "relevant_chunk_hashes": [i, h], "relevance_grades": {"3": 2, "5": 3}, "notes": "n", "tags": ["t"]},
+        {"id": "w", "filename": "f", "question": "q", "answerable": True, "relevant_chunk_indices": [0], "document_content_hash": h},
+        {"id": "u", "question": "q", "relevant_chunk_indices": [-1, 2], "relevant_chunk_hashes": ["short"], "document_content_hash": "x", "tags": [" "]},
+        {"id": "u", "filename": "f", "question": "q", "answerable": False},
     ]
     (tmp_path / "set.json").write_text(json.dumps({"schema_version": 1, "name": "n", "split": "development", "cases": cases}))
     rows = files.judged_cases(spark, str(tmp_path / "set.json"))
-    problems = {r.id: r.problems for r in rows.collect()}
+    text = (tmp_path / "set.json").read_bytes()
+    assert {r.dataset_hash for r in rows.collect()} == {hashlib.sha256(text).hexdigest()}
+    problems = {r.id: r.problems for r in rows.filter("filename is not null").collect()}
+    assert problems["u"] == ["repeated id"] and problems["v"] == problems["w"] == []
+    broken = rows.filter("filename is null").first().problems
+    assert broken == ["empty filename", "answerable not said", "negative index", "bad hash", "hashes and indices differ", "empty tag", "repeated id"]
     assert problems["x"] == [] and set(problems["y"]) == {"empty question", "unanswerable with labels", "repeated label", "grade not positive", "grade of an unlisted chunk"}
-    assert sorted(map(tuple, files.judgments(rows).collect())) == [("x", "h", 2), ("x", "i", 1)]
+    found = sorted(map(tuple, files.judgments(rows).collect()))
+    assert found == [("v", h, 3, "hash"), ("v", i, 2, "hash"), ("w", "0", 1, "index"), ("x", h, 2, "hash"), ("x", i, 1, "hash")]
     files.write_report(spark.createDataFrame([(1, 0.5)], "k int, v double"), str(tmp_path / "out"))
     assert json.loads(files.newest_report(spark, str(tmp_path / "out")).first().content) == {"k": 1, "v": 0.5}
     assert files.as_markdown([{"a": 1, "b": None}], ["a", "b"]).splitlines() == ["| a | b |", "| --- | --- |", "| 1 |  |"]

@@ -201,3 +201,11 @@ def test_values_and_sums_go_on_over_blocks(spark):
         assert {r.i: (r.c, r.c_before) for r in found.collect()} == {i: w[:2] for i, w in want.items()}
         sums = numbering.sums_before(df.fillna(0, ["v"]), "g", block, ["i"], "v", "s")
         assert {r.i: r.s for r in sums.collect()} == {i: w[2] for i, w in want.items()}
+
+
+def test_the_best_size_keeps_evidence_and_has_no_copies(spark):
+    rows = [("a", 0, 3), ("b", 0, 1), ("c", 0, 1), ("d", 1, 0), ("e", 0, 0)]
+    summaries = spark.createDataFrame(rows, "configuration string, duplicate_hashes int, near_pairs int")
+    scores = spark.createDataFrame([("a", 300, 5, 5), ("b", 200, 5, 5), ("c", 310, 5, 5), ("d", 300, 5, 5), ("e", 300, 5, 4)], "configuration string, most int, cases int, preserved int")
+    assert [r[0] for r in chunking.best_size(summaries, scores).collect()] == ["c"]
+    assert chunking.best_size(summaries, scores.filter("configuration = 'e'")).collect() == []
