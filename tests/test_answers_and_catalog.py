@@ -81,7 +81,7 @@ def test_saved_reports_are_sealed(spark, tmp_path):
     with pytest.raises(ValueError, match="other dataset"):
         files.saved_report(spark, place, dataset="d2")
     part = next(p for p in (tmp_path / "report" / "rows").iterdir() if p.suffix == ".json" and p.stat().st_size)
-    part.write_text(part.read_text().replace("0.5", "0.9").replace('"n\\":2', '"n\\":3'))
+    part.write_text(part.read_text() * 2)
     (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match="other rows"):
         files.saved_report(spark, place, dataset="d1")
