@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..tables import stored
 
 
 DECISIONS = "query_id {query_id}, item_id long, rank int, decision string, duplicate_of long"
@@ -16,13 +17,24 @@ DECISIONS = "query_id {query_id}, item_id long, rank int, decision string, dupli
 
 def word_hashes(text: Column) -> Column:
     """A text's distinct words as sorted 64-bit hashes: what similarities are counted on."""
-    return F.array_sort(F.transform(T.word_set(text), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(T.word_set(text), lambda w: F.xxhash64(w)))
+
+
+def with_words(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """``candidates`` with ``words``, the word_hashes() of their texts (item_id, text).
+
+    Each text that is a candidate at all is hashed once, by itself, for
+    however many queries, and no text is shuffled beside a query.
+    """
+    found = stored(candidates, "candidates")
+    words = texts.join(found.select("item_id").distinct(), "item_id", "left_semi").select("item_id", word_hashes(F.col("text")).alias("words"))
+    return found.join(words, "item_id")
 
 
 def greedy_select(
     candidates: DataFrame, top_k: int = 8, duplicate: float = 0.8, threshold: float | None = None, same_document: str | None = None, identity: str | None = None
 ) -> DataFrame:
-    """(query_id, item_id, rank, decision, duplicate_of) of the candidates (query_id, item_id, rank, score, text) that are decided.
+    """(query_id, item_id, rank, decision, duplicate_of) of the candidates (query_id, item_id, rank, score, and text or its ``words``) that are decided.
 
     In rank order: ``below_threshold`` if the score is null or too low,
     ``duplicate`` of a kept one with the same ``identity`` (in the same
@@ -35,7 +47,7 @@ def greedy_select(
     rows = candidates.select(
         "query_id", F.col("item_id").cast("long").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"),
         text_of(same_document).alias("document"), (F.lit(None).cast("string") if identity is None else F.col(identity).cast("string")).alias("identity"),
-        word_hashes(F.col("text")).alias("words"),
+        (F.col("words") if "words" in candidates.columns else word_hashes(F.col("text"))).alias("words"),
     )
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:

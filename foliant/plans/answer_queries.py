@@ -10,7 +10,7 @@ from ..operators import answering, dense, embedding, lexical, numbering
 from ..tables import stored
 from . import text_queries
 from .evaluation_queries import _rules_sql
-from .registry import register, table
+from .registry import documents, register, table
 from .retrieval_queries import _QT, LEX_LIST, STOP, _fuse_sql
 
 #: A first attempt quotes so many words of each sentence; longer sentences are then covered too little.
@@ -30,7 +30,7 @@ def _signals(docs: DataFrame, items: DataFrame, asked: DataFrame) -> dict[str, D
 def four_signals(spark, d: str) -> DataFrame:
     """Original and rewritten questions, by vectors and by words, as one list; a rejected rewrite has no part in it."""
     rows = stored(text_queries.expanded_questions(spark, d), "questions")
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     items = stored(embedding.hashed_ngrams(docs.select(F.col("doc_id").alias("item_id"), "text")).drop("text"), "vectors")
     own = _signals(docs, items, rows.select("query_id", F.col("question").alias("text")))
     again = _signals(docs, items, rows.filter("used_expansion").select("query_id", F.col("alternative").alias("text")))
@@ -45,7 +45,7 @@ def answers(spark, d: str) -> DataFrame:
     """Each item as a question, answered from the four signals; a source is a file, its documents the pages."""
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     fused = stored(four_signals(spark, d).select("query_id", "doc_id", "fused_rank"), "fused")
-    pages = numbering.number_rows(table(spark, d, "documents").select(F.col("source").alias("file"), "doc_id", "text"), "file", "doc_id", "page_number")
+    pages = numbering.number_rows(documents(spark, d).select(F.col("source").alias("file"), "doc_id", "text"), "file", "doc_id", "page_number")
     terse = lambda context, asked: answering.extractive_answers(context, asked, QUOTE_WORDS)
     return answering.grounded_answers(questions, fused, pages, generate=terse)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import dense, rerank
 from ..sources import catalog, snapshots
 from ..tables import scratch_path, stacked
-from .registry import register, table
+from .registry import documents, register, table
 
 
 def _catalog(spark, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def deleted(spark, d: str) -> DataFrame:
 
 def failed(spark, d: str) -> DataFrame:
     """Documents with fewer than 300 visible characters fail, and those whose text another document had before."""
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     short = docs.filter(F.length(F.regexp_replace("text", r"\s", "")) < 300).select(F.col("doc_id").alias("document_id"), F.lit("too little text").alias("error"))
     key = F.sha2("text", 256)
     firsts = docs.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"))
@@ -87,7 +87,7 @@ def history(spark, d: str) -> DataFrame:
     A document with fewer than 300 visible characters fails, but not when its
     file's first one is tried again. Two writers finish from one snapshot: the second loses.
     """
-    docs = table(spark, d, "documents").select(F.col("source").alias("filename"), "doc_id", "text", F.sha2("text", 256).alias("content_hash"))
+    docs = documents(spark, d).select(F.col("source").alias("filename"), "doc_id", "text", F.sha2("text", 256).alias("content_hash"))
     firsts = docs.groupBy("filename").agg(F.min(F.struct("doc_id", "content_hash", "text")).alias("f")).select("filename", "f.*")
     others = docs.join(firsts.select("filename", F.col("content_hash").alias("first")), "filename").filter("content_hash <> first")
     lasts = others.groupBy("filename").agg(F.max(F.struct("doc_id", "content_hash", "text")).alias("f")).select("filename", "f.*")

@@ -10,7 +10,7 @@ from ..operators import answering, evaluation, evidence, fusion, grounding, lexi
 from ..sources import files
 from ..tables import scratch_path, stacked
 from . import page_queries, retrieval_queries, text_queries
-from .registry import register, table
+from .registry import documents, register, table
 from .retrieval_queries import EXACT, HYBRID, LEX
 
 # ---- questions with a quoted phrase, an acronym and a word, made of a benchmark text ----
@@ -27,7 +27,7 @@ def _questions(spark, d: str) -> DataFrame:
 
 
 def _documents(spark, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return documents(spark, d).select("doc_id", "text")
 
 
 def phrases(spark, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def clauses(spark, d: str) -> DataFrame:
 def of_ready(spark, d: str) -> DataFrame:
     """Text search over documents that are ready and belong to a file with a thousandth of all documents or more."""
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    rows = table(spark, d, "documents").join(labels, "doc_id", "left").select(
+    rows = documents(spark, d).join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.when(F.col("quality") == 1, "ready").otherwise("processing").alias("status")
     )
     files = rows.groupBy("filename").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10").select("filename")

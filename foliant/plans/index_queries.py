@@ -13,7 +13,7 @@ from ..functions.stemming import stem_sql
 from ..operators import lexical, textindex
 from ..tables import scratch_path
 from . import text_queries
-from .registry import register, table
+from .registry import documents, register, table
 from .retrieval_queries import LEX
 
 
@@ -24,7 +24,7 @@ def _split(text: str = "text") -> tuple[Column, Column]:
 
 
 def _index(spark, d: str, stems: bool) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     rows = textindex.analyzed(docs, *_split()) if stems else textindex.analyzed(docs, stems=False)
     return textindex.write_index(rows, scratch_path(spark, "text-index"))
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import chunking, cleaning, evidence, numbering
 from ..sources import pdf
 from ..tables import stacked, stored
-from .registry import register, table
+from .registry import documents, register, table
 from .retrieval_queries import LEX, lexical_topk
 
 TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -20,7 +20,7 @@ def _pages(spark, d: str) -> DataFrame:
 
 
 def _numbered(spark, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("source").alias("file"), "doc_id", "text")
+    docs = documents(spark, d).select(F.col("source").alias("file"), "doc_id", "text")
     return numbering.number_rows(docs, "file", "doc_id", "page_number")
 
 
@@ -28,7 +28,7 @@ def _files(spark, d: str) -> DataFrame:
     """Every document as a file, with a page for every four lines, each line a paragraph."""
     lines = F.split("text", "\n", -1)
     pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4)), lambda i: F.array_join(F.slice(lines, i.cast("int") * 4 + 1, 4), "\n\n"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(pages).alias("at", "cleaned_text"))
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("file"), F.posexplode(pages).alias("at", "cleaned_text"))
     return rows.select("file", (F.col("at") + 1).alias("page_number"), "cleaned_text")
 
 
@@ -43,13 +43,13 @@ def best_texts(spark, d: str) -> DataFrame:
     plain = F.regexp_replace("text", r"(^|\s)([A-Z][A-Za-z]{0,2}) ([a-z]{3,})", "$1$2\n$3")
     layout = F.replace(F.col("text"), F.lit("ç"), F.lit("\ufffd"))
     best = cleaning.best_text(plain, layout)
-    return table(spark, d, "documents").select("doc_id", F.sha2(best, 256).alias("sha256"), (best == layout).alias("layout"))
+    return documents(spark, d).select("doc_id", F.sha2(best, 256).alias("sha256"), (best == layout).alias("layout"))
 
 
 def extraction_summary(spark, d: str) -> DataFrame:
     """Pages by file with all kinds of warnings; a page whose text isn't in a known language counts as an extraction error."""
     error = F.when(F.col("lang").isNull(), "no language")
-    rows = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("text").alias("cleaned_text"), cleaning.warnings(F.col("text"), error).alias("warnings"))
+    rows = documents(spark, d).select(F.col("source").alias("file"), F.col("text").alias("cleaned_text"), cleaning.warnings(F.col("text"), error).alias("warnings"))
     return cleaning.summary(rows)
 
 
@@ -63,7 +63,7 @@ def evidence_chunks(spark, d: str) -> DataFrame:
     words = F.split(F.regexp_replace(T.casefold(F.substring("text", 1, 200)), r"[^a-z ]", " "), " +")
     plain = F.filter(words, lambda w: w != "")
     groups = F.array(F.slice(plain, 1, 2), F.slice(plain, 3, 1))
-    asked = table(spark, d, "documents").filter(F.size(plain) >= 3).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file"), F.array(F.lit(1), F.lit(2)).alias("pages"), groups.alias("pattern_groups"))
+    asked = documents(spark, d).filter(F.size(plain) >= 3).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file"), F.array(F.lit(1), F.lit(2)).alias("pages"), groups.alias("pattern_groups"))
     pages = _files(spark, d).select("file", F.col("page_number").alias("chunk_index"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), F.col("cleaned_text").alias("passage_text"))
     return chunking.matching_chunks(pages, asked)
 
@@ -78,12 +78,12 @@ def removed_edges(spark, d: str) -> DataFrame:
 
 def normalized(spark, d: str) -> DataFrame:
     text = T.normalized_spacing(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("sha256"), T.quality_penalty(text).cast("long").alias("penalty"), F.size(T.lines(text)).cast("long").alias("lines"))
+    return documents(spark, d).select("doc_id", F.sha2(text, 256).alias("sha256"), T.quality_penalty(text).cast("long").alias("penalty"), F.size(T.lines(text)).cast("long").alias("lines"))
 
 
 def warned(spark, d: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(
+    return documents(spark, d).groupBy(F.col("source").alias("file")).agg(
         F.count(F.lit(1)).alias("pages"), F.sum(F.length(text)).alias("characters"),
         F.sum((F.array_contains(cleaning.warnings(text, F.lit(None).cast("string")), "low-text-page")).cast("long")).alias("low_text_pages"),
     )
@@ -112,7 +112,7 @@ def islands(spark, d: str) -> DataFrame:
 
 def folded(spark, d: str) -> DataFrame:
     text = cleaning.fold_lines(F.split("text", "\n", -1))
-    return table(spark, d, "documents").select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("sha256"))
+    return documents(spark, d).select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("sha256"))
 
 
 def chunks(spark, d: str) -> DataFrame:
@@ -134,7 +134,7 @@ def identities(spark, d: str) -> DataFrame:
     """Documents with the canonical hash of their text, and how many have the same."""
     one = F.lit(1)
     own = chunking.content_hash(F.col("text"), one, one, F.lit(None).cast("string"), F.lit("v1"))
-    rows = table(spark, d, "documents").select("doc_id", own.alias("content_hash"))
+    rows = documents(spark, d).select("doc_id", own.alias("content_hash"))
     counts = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
     return counts.filter("copies > 1")
 
@@ -210,7 +210,7 @@ def pdf_pages(spark, d: str) -> DataFrame:
     """Every document as a PDF with a page for every four lines, written and read back; pages with little text have damaged streams."""
     lines = F.split("text", "\n", -1)
     pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4)), lambda i: F.array_join(F.slice(lines, i.cast("int") * 4 + 1, 4), "\n"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), pages.alias("pages"))
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("file"), pages.alias("pages"))
     numbered = F.transform("pages", lambda p, i: F.when(F.length(F.regexp_replace(p, r"\s", "")) < 40, i + 1))
     files = stored(pdf.write_files(rows.withColumn("damaged", F.array_compact(numbered))), "pdf")
     return pdf.read_pages(files).select("file", "page_number", F.sha2("text", 256).alias("sha256"), "error")

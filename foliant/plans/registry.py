@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_code
+from ..tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def queries() -> dict[str, Query]:
     """Every query by name; each makes sure that workers find this package."""
     _load()

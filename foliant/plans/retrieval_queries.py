@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dense, evaluation, evidence, fusion, lexical, rerank
-from .registry import register, table
+from .registry import documents, register, table
 
 K = 10
 
@@ -44,7 +44,7 @@ def _terms(spark, d: str) -> DataFrame:
 
 
 def _documents(spark, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return documents(spark, d).select("doc_id", "text")
 
 
 def lexical_topk(spark, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def cutoff_sweep(spark, d: str) -> DataFrame:
 def selected_evidence(spark, d: str) -> DataFrame:
     """Greedy choice among each text query's lexical candidates, near copies left out."""
     found = lexical_topk(spark, d).select("query_id", F.col("doc_id").alias("item_id"), F.col("lexical_rank").alias("rank"), F.col("fts_score").alias("score"))
-    rows = found.join(_documents(spark, d).withColumnRenamed("doc_id", "item_id"), "item_id")
+    rows = evidence.with_words(found, _documents(spark, d).withColumnRenamed("doc_id", "item_id"))
     return evidence.greedy_select(rows, 5, 0.3, 0.5)
 
 

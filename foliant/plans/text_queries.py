@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answering, evaluation, expansion, grounding, lexical
 from . import retrieval_queries
-from .registry import register, table
+from .registry import documents, register, table
 from .retrieval_queries import LEX, STOP, lexical_topk
 
 WORD = T.TOKEN
@@ -36,7 +36,7 @@ def _claims(spark, d: str) -> DataFrame:
     """Benchmark passages as claims on their three best documents."""
     found = lexical_topk(spark, d).filter(F.col("lexical_rank") <= 3)
     rows = found.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("claim")), "query_id")
-    return rows.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "lexical_rank", "claim", "text")
+    return rows.join(documents(spark, d).select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "lexical_rank", "claim", "text")
 
 
 def supported(spark, d: str) -> DataFrame:
@@ -77,9 +77,9 @@ def _terms(col: str) -> str:
     return f"list_filter(list_distinct(regexp_extract_all(lower({col}), '[a-z0-9]+')), lambda x: length(x) >= 2 AND x NOT IN ({GROUND}))"
 
 
-register("document_terms", lambda s, d: table(s, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("words"), F.size(T.word_set(F.col("text"))).cast("long").alias("distinct_words")),
+register("document_terms", lambda s, d: documents(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("words"), F.size(T.word_set(F.col("text"))).cast("long").alias("distinct_words")),
          f"SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents)")
-register("term_frequencies", lambda s, d: lexical.postings(table(s, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")),
+register("term_frequencies", lambda s, d: lexical.postings(documents(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")),
          f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents) GROUP BY term")
 TOKEN_SQL, QUOTED_SQL, NAMES_SQL = (p.replace("'", "''") for p in (T.QUERY_TOKEN, T.QUOTED, expansion.NAMES))
 
@@ -157,7 +157,7 @@ def expanded_questions(spark, d: str) -> DataFrame:
 def expanded(spark, d: str) -> DataFrame:
     """The lexical lists of questions and of their accepted rewrites as one."""
     rows = expanded_questions(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     asked = {"own": rows.select("query_id", F.col("question").alias("text")), "rewritten": rows.select("query_id", F.col("alternative").alias("text"))}
     found = {n: lexical.search(lexical.query_terms(q), docs, 20).select("query_id", "doc_id", F.col("lexical_rank").alias("rank")) for n, q in asked.items()}
     verdicts = rows.select("query_id", F.col("used_expansion").alias("accepted"))

@@ -57,6 +57,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` of a scan, dealt over all cores by ``keys`` where the scan keeps at most half of them busy; else as they are.
+
+    A row group is read by one task, so all work on a small table's texts would
+    be that task's. Spark gives each core a split as soon as there are
+    ``spark.sql.files.openCostInBytes`` for each, so what is shuffled here is
+    less than that (4 MB) a core, and a larger table never is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if 2 * rows.rdd.getNumPartitions() > cores else rows.repartition(cores, *keys)
+
+
 def stacked(*parts: DataFrame) -> DataFrame:
     """The rows of all parts, columns by name; every union of this package is made here.
 
