@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..tables import stored
 from .numbering import carried, sums_before
 
 _PIECE = regex.compile(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")
@@ -73,8 +74,10 @@ def units(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("heads", F.aggregate("lines", start, step, lambda acc: acc["heads"]))
     rows = rows.withColumn("rest", F.slice("lines", F.size("heads") + 1, F.size("lines")))
     title = F.when(F.size("heads") > 0, F.array_join("heads", " "))
+    # Sections take several passes; the texts are parsed in one, which is written.
+    rows = stored(rows.select("file", "page_number", "paragraph", title.alias("title"), "rest"), "paragraphs")
     order, block = ["page_number", "paragraph"], F.floor(F.col("page_number") / PAGES_PER_BLOCK)
-    rows = carried(rows, "file", block, order, title, "section")
+    rows = carried(rows, "file", block, order, F.col("title"), "section")
     new = F.when(~F.col("section").eqNullSafe(F.col("section_before")), F.struct("page_number", "paragraph"))
     rows = carried(rows, "file", block, order, new, "run").filter(F.size("rest") > 0)
     items = F.forall("rest", T.is_list_item)
@@ -213,7 +216,7 @@ def chunk_pages(pages: DataFrame, size: ChunkSize = ChunkSize()) -> DataFrame:
     run = [F.col(f"run.{c}").cast("int").alias(f"run_{n}") for c, n in (("page_number", "page"), ("paragraph", "paragraph"))]
     flat = units(pages).select("file", *run, F.col("page_number").cast("int"), "text", "section", "kind", "paragraph", "item")
     ordered = flat.repartition("file", "run_page", "run_paragraph").sortWithinPartitions("file", "run_page", "run_paragraph", "page_number", "paragraph", "item")
-    made = _numbered(ordered.drop("paragraph", "item").mapInArrow(work, CHUNK))
+    made = _numbered(stored(ordered.drop("paragraph", "item").mapInArrow(work, CHUNK), "chunks"))
     own = content_hash(F.col("passage_text"), F.col("page_start"), F.col("page_end"), F.col("section_title"), F.lit(VERSION))
     first = Window.partitionBy("file", "content_hash").orderBy("chunk_index")
     rows = made.withColumn("content_hash", own).withColumn("__n", F.row_number().over(first))

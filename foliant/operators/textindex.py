@@ -9,8 +9,12 @@ one and are never scored.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -38,6 +42,33 @@ def analyzed(docs: DataFrame, title: Column | None = None, body: Column | None =
     return (with_lexemes(rows) if stems else rows.withColumn("lexemes", F.col("words"))).select("doc_id", "n_title", "lexemes")
 
 
+def inverted(rows: DataFrame) -> DataFrame:
+    """(lexeme, block, doc_id, n_title, weight, places) of each row (doc_id, block, n_title, lexemes): a document's places, gathered where it is read."""
+
+    def work(batches):
+        for batch in batches:
+            lists, title = batch.column("lexemes"), np.asarray(batch.column("n_title"))
+            words = lists.flatten()
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(1, len(words) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            there = np.asarray(words.is_valid())
+            row, place, coded = row[there], place[there], pc.dictionary_encode(words.drop_null())
+            code = np.asarray(coded.indices)
+            order = np.lexsort((code, row))  # stable: places stay in order
+            row, place, code = row[order], place[order], code[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(code) != 0)]) if len(row) else np.empty(0, np.int64)
+            weight = np.add.reduceat(np.where(place <= title[row], TITLE_WEIGHT, BODY_WEIGHT), first) if len(row) else np.empty(0)
+            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(place, pa.int32()))
+            own = pa.array(row[first])
+            columns = [coded.dictionary.take(pa.array(code[first])), *(batch.column(c).take(own) for c in ("block", "doc_id", "n_title")), pa.array(weight), places]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    made = [StructField("lexeme", StringType()), *(rows.schema[c] for c in ("block", "doc_id", "n_title")), StructField("weight", DoubleType()), StructField("places", ArrayType(IntegerType()))]
+    names = [f.name for f in made]
+    return rows.mapInArrow(work, StructType(made))
+
+
 def write_index(rows: DataFrame, path: str, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
     """Write the index of analyzed() documents below ``path`` and read it again.
 
@@ -50,12 +81,13 @@ def write_index(rows: DataFrame, path: str, docs_per_block: int = DOCS_PER_BLOCK
     sized = rows.withColumn("level", level)
     classes = sized.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / docs_per_block).alias("blocks"))  # 125 rows at most, as lists have 2**31 places
     dealt = sized.join(F.broadcast(classes), "level").withColumn("block", F.col("level") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    each = dealt.select("doc_id", "block", "n_title", F.posexplode("lexemes").alias("at", "lexeme")).filter("lexeme is not null")
-    each = each.groupBy("lexeme", "block", "doc_id", "n_title").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("places"))
-    weight = F.aggregate("places", F.lit(0.0), lambda total, p: total + F.when(p <= F.col("n_title"), TITLE_WEIGHT).otherwise(BODY_WEIGHT))
-    ranged = each.withColumn("weight", weight).repartitionByRange(shuffle_partitions(rows.sparkSession), "lexeme", "block")
+    # Ranges are cut by a look at all rows, so these are written before.
+    ranged = stored(inverted(dealt.select("doc_id", "block", "n_title", "lexemes")), "postings").repartitionByRange(shuffle_partitions(rows.sparkSession), "lexeme", "block")
     entry = F.struct("doc_id", "n_title", "weight", "places")
-    blocks = ranged.groupBy("lexeme", "block").agg(F.max("weight").alias("max_weight"), F.count(F.lit(1)).alias("docs"), F.collect_list(entry).alias("entries"))
+    blocks = ranged.groupBy("lexeme", "block").agg(F.max("weight").alias("most"), F.sum("weight").alias("all"), F.collect_list(entry).alias("entries"))
+    docs = F.size(F.array_distinct("entries.doc_id"))
+    bound = F.when(docs == F.size("entries"), F.col("most")).otherwise(F.col("all"))  # rows of one id count together
+    blocks = blocks.select("lexeme", "block", bound.alias("max_weight"), docs.cast("long").alias("docs"), "entries")
     blocks.sortWithinPartitions("lexeme", "block").write.option("compression", "zstd").parquet(path)
     return read_index(rows.sparkSession, path)
 

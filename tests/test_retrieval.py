@@ -255,3 +255,22 @@ def test_candidates_are_told_apart_by_document_and_hash(spark):
     lists = {"a": rows([(1, 5, "x", 1), (1, 6, "x", 2), (1, 5, "x", 3)]), "b": rows([(1, 6, "x", 1), (1, 5, "y", 2)])}
     found = {(r.doc_id, r.hash): (r.a_rank, r.b_rank, r.fused_rank) for r in fusion.fuse(lists, 10, identity=("doc_id", "hash")).collect()}
     assert found == {(6, "x"): (2, 1, 1), (5, "x"): (1, None, 2), (5, "y"): (None, 2, 3)}
+
+
+def test_only_scans_that_leave_cores_idle_are_dealt_out(spark):
+    from foliant.tables import spread
+
+    few, enough = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 3)
+    dealt = spread(few, "id")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(100))
+    assert spread(enough, "id") is enough
+
+
+def test_words_hashed_once_decide_as_those_of_each_row(spark):
+    texts = spark.createDataFrame([(1, "red green blue"), (2, "Blue, green: red!"), (3, "something else"), (4, ""), (5, None), (9, "red")], "item_id long, text string")
+    found = spark.createDataFrame([(q, i, i, 0.9 if i != 3 else 0.1) for q in (1, 2) for i in (1, 2, 3, 4, 5)], "query_id long, item_id long, rank int, score double")
+    decided = lambda rows: sorted(tuple(r) for r in evidence.greedy_select(rows, 5, 0.8, 0.5).collect())
+    once = decided(evidence.with_words(found, texts))
+    assert once == decided(found.join(texts, "item_id"))
+    assert [r[1:] for r in once if r[0] == 1] == [(1, 1, "kept", None), (2, 2, "near_duplicate", 1), (3, 3, "below_threshold", None), (4, 4, "kept", None), (5, 5, "near_duplicate", 4)]

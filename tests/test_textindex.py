@@ -141,3 +141,23 @@ def test_an_empty_index(spark, tmp_path):
     index = textindex.write_index(textindex.analyzed(df), str(tmp_path / "index"))
     terms = textindex.lexemes_of(spark.createDataFrame([(1, "alpha")], "query_id long, text string"))
     assert textindex.best_documents(index, terms).collect() == []
+
+
+def test_inverted_rows_hold_places_in_order_and_rows_without_words_give_none(spark):
+    rows = spark.createDataFrame(
+        [(1, 7, 2, ["b", None, "a", "b"]), (2, 7, 0, []), (3, 7, 0, None), (4, 7, 0, [None, None]), (1, 7, 0, ["b"])],
+        "doc_id long, block long, n_title int, lexemes array<string>",
+    )
+    found = {(r.lexeme, r.doc_id, r.n_title, round(r.weight, 9), tuple(r.places)) for r in textindex.inverted(rows).collect()}
+    assert found == {("b", 1, 2, 1.4, (1, 4)), ("a", 1, 2, 0.4, (3,)), ("b", 1, 0, 0.4, (1,))}
+    assert textindex.inverted(rows.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_count_together_in_a_block_bound(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, ["a", "a"]), (1, 1, ["a", "a"]), (2, 0, ["a", "b"])], "doc_id long, n_title int, lexemes array<string>")
+    index = textindex.write_index(rows, str(tmp_path / "index"), docs_per_block=8)
+    a = index.filter("lexeme = 'a'").first()
+    total = sum(e.weight for e in a.entries if e.doc_id == 1)
+    assert (a.docs, len(a.entries)) == (2, 3) and a.max_weight >= total - 1e-9
+    terms = spark.createDataFrame([(5, "a")], "query_id long, lexeme string")
+    assert [(r.doc_id, r.lexical_rank) for r in textindex.best_documents(index, terms, 1).collect()] == [(1, 1)]
