@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import dense, evaluation, evidence, expansion, fusion, grounding, lexical, numbering, rerank
-from foliant.plans import registry
+from foliant.plans import registry, retrieval_queries
 
 
 def ranked(spark, rows):
@@ -36,6 +36,17 @@ def test_nearest_against_a_loop(spark, monkeypatch, metric, block):
         dense.check_sizes(3, 4)
 
 
+@pytest.mark.parametrize("cell", [5, 1000])
+def test_nearest_of_a_stored_table_with_itself(spark, monkeypatch, tmp_path, cell):
+    monkeypatch.setattr(dense, "QUERIES_PER_BLOCK", 3)
+    monkeypatch.setattr(dense, "ITEMS_PER_CELL", cell)
+    rows = [(i, [float(i), 1.0]) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = retrieval_queries._nearest(spark, str(tmp_path), "l2", 2).collect()
+    assert len(found) == 20 and all(abs(r.item_id - r.query_id) <= 2 for r in found)
+    assert {(r.item_id, r.dense_rank) for r in found if r.query_id == 20} == {(19, 1), (21, 2)}
+
+
 def test_parsing_questions(spark):
     rows = [("what is risk, Risk?",), ('find "key  phrase" in NIST 600-1',), (" ",), ("?!",)]
     found = lexical.parse_questions(spark.createDataFrame(rows, "question string")).collect()
