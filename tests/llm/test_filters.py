@@ -208,6 +208,33 @@ def test_quality_on_held_out_rows(spark, edge_docs, no_docs):
     assert quality.score_documents(no_docs, labels.limit(0)).collect() == []
 
 
+def test_every_labelled_row_teaches_quality(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ROWS_PER_CELL", 40)
+    rows = labelled(300)
+    features = quality.with_features(documents(spark, [(i, t, None) for i, t, _ in rows])).cache()
+    labels = spark.createDataFrame([(i, q if i % 7 else 1) for i, _, q in rows], "doc_id long, quality int")
+    whole, part = quality.train(features, labels), quality.train(features, labels, max_labelled=40)
+    assert np.allclose(whole.weights, part.weights, rtol=1e-4, atol=1e-6) and math.isclose(whole.threshold, part.threshold, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_quality_by_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    x, label = rng.normal(size=(90, len(quality.FEATURES))), (rng.random(90) < 0.7).astype(int)
+    ids = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 5][:90]
+    features = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "doc_id long, features array<double>")
+    found = quality.train(features, spark.createDataFrame(list(zip(ids, label.tolist(), strict=True)), "doc_id long, quality int"))
+    z = x / x.std(axis=0)
+    diff = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, x.shape[1])
+    w, per = np.zeros(x.shape[1]), 60_000 / len(diff)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(diff @ w))
+        w -= np.linalg.solve(per * (diff.T * (p * (1 - p))) @ diff + np.eye(len(w)), w - per * diff.T @ p)
+    latent, bad = np.sort(z @ w), int((label == 0).sum())
+    assert np.allclose(found.weights, w / x.std(axis=0), atol=1e-6) and math.isclose(found.threshold, (latent[bad - 1] + latent[bad]) / 2, abs_tol=1e-6)
+    values = spark.createDataFrame([(v,) for v in [3.0, 1.0, 1.0, 2.0, 9.0]], "value double")
+    assert [quality.middle(values, k, 2) for k in (1, 2, 3, 4, 5)] == [1.0, 1.5, 2.5, 6.0, 9.0]
+
+
 def test_one_label_ranks_nothing():
     ranker = quality.fit(np.ones((4, len(quality.FEATURES))), np.ones(4, int))
     assert set(ranker.weights) == {0.0} and math.isclose(ranker.threshold, math.log(0.3 / 0.7))
