@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.batches import by_words
 from ..functions.stemming import with_lexemes
 from ..tables import shuffle_partitions, stacked, stored
 
@@ -46,7 +47,7 @@ def inverted(rows: DataFrame) -> DataFrame:
     """(lexeme, block, doc_id, n_title, weight, places) of each row (doc_id, block, n_title, lexemes): a document's places, gathered where it is read."""
 
     def work(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_words(whole, "lexemes")):
             lists, title = batch.column("lexemes"), np.asarray(batch.column("n_title"))
             words = lists.flatten()
             lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))

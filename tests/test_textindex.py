@@ -2,10 +2,11 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions import stemming
+from foliant.functions import batches, stemming
 from foliant.operators import lexical, textindex
 
 # Words and stems of the published sample vocabulary.
@@ -25,6 +26,15 @@ def test_published_stems():
     assert [stemming.lexeme(w) for w in ("the", "running", "naïves", "x2", "é")] == [None, "run", "naïves", "x2", "é"]
 
 
+def test_batches_are_cut_by_their_words():
+    lists = [["a"] * 3, None, [], ["b"] * 9, ["c"], ["d", "e"], ["f"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), pa.array(range(7))], ["words", "id"])
+    parts = [*batches.by_words(batch, "words", 4)]
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert [w for p in parts for w in p.column("words").to_pylist()] == lists
+    assert [p.num_rows for p in batches.by_words(batch.slice(0, 0), "words")] == [0]
+
+
 def test_lexemes_keep_their_places(spark):
     rows = spark.createDataFrame([(1, ["the", "running", "dogs"]), (2, []), (3, None), (4, ["a", None])], "id long, words array<string>")
     assert {r.id: r.lexemes for r in stemming.with_lexemes(rows).collect()} == {1: [None, "run", "dog"], 2: [], 3: None, 4: [None, None]}
