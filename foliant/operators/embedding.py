@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import text as T
+from ..functions.batches import by_words
 
 BATCH = 64
 SIZE = 64
@@ -60,7 +61,7 @@ def hashed_ngrams(rows: DataFrame, text: str = "text", name: str = "embedding")
     keyed = rows.withColumn(words, T.tokens(F.col(text)))
 
     def work(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in by_words(whole, words)):
             flat, ends = b.column(words).flatten(), np.cumsum(b.column(words).value_lengths().to_numpy(zero_copy_only=False))
             vectors = np.zeros((b.num_rows, SIZE), np.int64)
             _add(vectors, flat, ends, 0)

@@ -157,3 +157,13 @@ def test_hashed_ngrams_are_sums_of_signs(spark):
     near = {r.id: r.embedding for r in embedding.hashed_ngrams(spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g x"), (3, "q r s t u v w z")], "id long, text string")).collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(near[a], near[b]))
     assert dot(1, 2) > 3 * abs(dot(1, 3))
+
+
+def test_hashed_ngrams_are_worked_on_in_parts(spark, monkeypatch):
+    """The same vectors, however few words are taken at a time; pairs don't go across texts."""
+    texts = ["a b c d", "", "e", "f g h i j k", "a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    whole = {r.id: r.embedding for r in embedding.hashed_ngrams(rows).collect()}
+    real = embedding.by_words
+    monkeypatch.setattr(embedding, "by_words", lambda batch, words: real(batch, words, 2))
+    assert {r.id: r.embedding for r in embedding.hashed_ngrams(rows).collect()} == whole and len(whole) == 5
