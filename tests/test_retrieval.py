@@ -285,3 +285,22 @@ def test_words_hashed_once_decide_as_those_of_each_row(spark):
     once = decided(evidence.with_words(found, texts))
     assert once == decided(found.join(texts, "item_id"))
     assert [r[1:] for r in once if r[0] == 1] == [(1, 1, "kept", None), (2, 2, "near_duplicate", 1), (3, 3, "below_threshold", None), (4, 4, "kept", None), (5, 5, "near_duplicate", 4)]
+
+
+def test_exact_matches_against_contains(spark):
+    texts = ["Ab cd. EF gh", "xab cdy", "ab  cd", "the risk-based", "RISKS, and", "a..b", None, "", "ÀB cd ef gh ij", "cd ef gh", "ß ab\ncd"]
+    asked = ["ab cd", "risk", " risk", "..", "cd. ef gh", "b cd ef", "AB", "cd ef gh", "gh", "risk", "-", "", None, "àb cd ef gh", "ab\ncd"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    docs = spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(texts)], "doc_id string, text string")
+    found = sorted(map(tuple, lexical.exact_matches(queries, docs).collect()))
+    assert found == sorted((q, f"d{i}") for q, a in enumerate(asked) if a for i, x in enumerate(texts) if x and a.lower() in x.lower())
+
+
+def test_exact_and_phrase_search_carry_no_text_from_word_to_word(spark):
+    queries = spark.createDataFrame([(1, "ab cd ef")], "query_id long, text string")
+    docs = spark.createDataFrame([(7, "Ab cd ef ab cd, ab")], "doc_id long, text string")
+    for found in (lexical.exact_matches(queries, docs), lexical.phrase_matches(queries.withColumnRenamed("text", "phrase"), docs)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" not in plan and "Generate posexplode" not in plan
+    counts = lexical.phrase_matches(spark.createDataFrame([(1, "ab, cd"), (1, "ab"), (2, "zz")], "query_id long, phrase string"), docs)
+    assert sorted(map(tuple, counts.collect())) == [(1, "ab", 7, 3), (1, "ab, cd", 7, 2)]
