@@ -80,3 +80,20 @@ def test_files_as_rows(spark):
     files = spark.createDataFrame([("a", bytearray(pdf.write_pdf(["x", "y"]))), ("b", None), ("c", bytearray(pdf.write_pdf([])))], "file string, content binary")
     found = sorted(map(tuple, pdf.read_pages(files).collect()))
     assert found == [("a", 1, "x", None), ("a", 2, "y", None), ("b", 0, "", "no root")]
+
+
+def test_a_map_is_read_once(monkeypatch):
+    calls, mapped = [], pdf._mapped
+    monkeypatch.setattr(pdf, "_mapped", lambda *a: calls.append(a) or mapped(*a))
+    pdf._known_map.cache_clear()
+    for k in range(3):
+        assert [r[1:] for r in pdf.page_texts(pdf.write_pdf(["añ\U0001F600", "b", f"c{k}"]))] == [("añ\U0001F600", None), ("b", None), (f"c{k}", None)]
+    assert len(calls) == 1
+
+
+def test_hexadecimal_strings_and_maps_with_odd_codes():
+    for raw, value in ((b"<4 1\n42>", b"AB"), (b"<414>", b"A@"), (b"<4x1\xff42>", b"AB"), (b"<>", b"")):
+        assert pdf.parse(raw, 0) == (value, len(raw))
+    table = b"1 beginbfchar <0001> <00410042> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    assert pdf._mapped(table, 2)(b"\0\1\0\x11\0\x20\x10") == "ABb\ufffda"
+    assert pdf._mapped(table, 1)(b"\1\x12") == "ABc"
