@@ -209,3 +209,17 @@ def test_the_best_size_keeps_evidence_and_has_no_copies(spark):
     scores = spark.createDataFrame([("a", 300, 5, 5), ("b", 200, 5, 5), ("c", 310, 5, 5), ("d", 300, 5, 5), ("e", 300, 5, 4)], "configuration string, most int, cases int, preserved int")
     assert [r[0] for r in chunking.best_size(summaries, scores).collect()] == ["c"]
     assert chunking.best_size(summaries, scores.filter("configuration = 'e'")).collect() == []
+
+
+def test_a_sweep_parses_pages_once_and_gives_the_chunks_of_each_size(spark, monkeypatch):
+    draw, parsed, units = random.Random(5), [], chunking.units
+    monkeypatch.setattr(chunking, "units", lambda pages: parsed.append(1) or units(pages))
+    body = lambda: "\n\n".join(draw.choice(["1.1 Some Title", "- an item\n- another one", "Plain words " * draw.randint(1, 40) + "end."]) for _ in range(6))
+    pages = spark.createDataFrame([(f, p, body()) for f in ("a", "b") for p in range(1, 7)], "file string, page_number int, cleaned_text string").persist()
+    sizes = [chunking.ChunkSize(60, 10, 12), chunking.ChunkSize(120, 0, 30)]
+    swept = chunking.chunk_sweep(pages, sizes)
+    assert len(parsed) == 1
+    rows = [r.asDict() for r in swept.collect()]
+    for k, size in enumerate(sizes):
+        own = sorted(map(str, (r.asDict() for r in chunking.chunk_pages(pages, size).collect())))
+        assert own == sorted(str({c: v for c, v in r.items() if c != "setting"}) for r in rows if r["setting"] == k) and len(own) > 6
