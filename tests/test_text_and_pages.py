@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,20 @@ def test_edges_of_a_file_with_very_many_keys(spark):
     assert gathered and all("__page" in line.split("]")[0] for line in gathered)
 
 
+def test_edges_of_a_page_with_very_many_lines(spark):
+    """A page's lines are looked at once each: edges were found again for every line. A long line may have a short one's key, if it has no more than twice its characters."""
+    body = "\n".join(str(n) for n in range(20_000))
+    rows = [("f", n, f"Top\n{body}\nEnd") for n in (1, 2, 3)]
+    rows += [("g", n, text) for n, text in enumerate(("x", "ß" * 120 + "\ny", "ß" * 120 + "\nz", "s" * 240 + "\nu\nv\nw", "s" * 241 + "\nu\nq\nr", "\nk"), 1)]
+    pages = cleaning.with_edges(spark.createDataFrame(rows, "file string, page_number int, raw_text string"))
+    began = time.time()
+    done = cleaning.remove_edges(pages, *(cleaning.repeated_edges(pages, start, 2, 0.0) for start in (True, False)))
+    found = {(r.file, r.page_number): (len(r.kept), r.removed_headers, r.removed_footers) for r in done.collect()}
+    assert time.time() - began < 60 and done.columns == ["file", "page_number", "raw_text", "kept", "removed_headers", "removed_footers"]
+    assert found["f", 1] == (20_002, [], []) and found["f", 2] == found["f", 3] == (19_998, ["Top", "0"], ["19999", "End"])
+    assert found["g", 2] == found["g", 3] == (1, ["ß" * 120], []) and found["g", 4] == (2, ["s" * 240, "u"], []) and found["g", 5] == (3, ["u"], [])
+
+
 def test_spacing_penalty_and_samples(spark):
     r = one(
         spark, s=T.normalized_spacing(F.lit("a\r\nb\rc d\x03e")), p=T.quality_penalty(F.lit("�� Th\nese are")),
