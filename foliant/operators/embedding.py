@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +43,10 @@ def embedded(rows: DataFrame, embed: Embedder, text: str = "text", name: str = "
     return rows.mapInArrow(work, StructType([*rows.schema, StructField(name, ArrayType(FloatType()))]))
 
 
-@lru_cache(maxsize=1 << 17)
-def signs(gram: str) -> np.ndarray:
-    """SIZE numbers, each 1 or -1: the bits of the gram's MD5, the first first."""
-    bits = np.unpackbits(np.frombuffer(hashlib.md5(gram.encode(), usedforsecurity=False).digest()[: SIZE // 8], np.uint8))
-    return bits.astype(np.int8) * 2 - 1
+def signs(grams: list[bytes]) -> np.ndarray:
+    """SIZE numbers for each gram, each 1 or -1: the bits of its MD5, the first first."""
+    digests = b"".join([hashlib.md5(g, usedforsecurity=False).digest()[: SIZE // 8] for g in grams])
+    return np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, SIZE).astype(np.int16) * 2 - 1
 
 
 def hashed_ngrams(rows: DataFrame, text: str = "text", name: str = "embedding") -> DataFrame:
@@ -77,11 +75,11 @@ def hashed_ngrams(rows: DataFrame, text: str = "text", name: str = "embedding")
 def _add(vectors: np.ndarray, grams: pa.Array, ends: np.ndarray, less: int) -> None:
     """Add the signs of each row's grams; a row of n words has n - ``less`` of them, from its first word's place on."""
     coded = grams.dictionary_encode()
-    known = np.array([signs(g) for g in coded.dictionary.to_pylist()], np.int8).reshape(-1, SIZE)
+    known = signs(coded.dictionary.cast(pa.binary()).to_pylist())
     index = coded.indices.to_numpy(zero_copy_only=False)
     for i, (first, last) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), (ends - less).tolist(), strict=True)):
-        for at in range(first, last, 1 << 14):
-            vectors[i] += known[index[at : min(last, at + (1 << 14))]].sum(0, dtype=np.int64)
+        for at in range(first, last, 1 << 14):  # sums of no more signs fit 16 bits
+            vectors[i] += known.take(index[at : min(last, at + (1 << 14))], axis=0).sum(0, dtype=np.int16)
 
 
 def embedding_sql(name: str, rows: str, key: str, text: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answering, dense, embedding, lexical, numbering
-from ..tables import stored
+from ..tables import stacked, stored
 from . import text_queries
 from .evaluation_queries import _rules_sql
 from .registry import documents, register, table
@@ -17,14 +17,18 @@ from .retrieval_queries import _QT, LEX_LIST, STOP, _fuse_sql
 QUOTE_WORDS = 8
 
 
-def _signals(docs: DataFrame, items: DataFrame, asked: DataFrame) -> dict[str, DataFrame]:
-    """The dense and the lexical list of questions (query_id, text); ``items`` are the documents' vectors."""
+def _dense(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """The dense list of questions (query_id, text); ``items`` are the documents' vectors."""
     near = dense.nearest(embedding.hashed_ngrams(asked).drop("text"), items, 20, "cosine", keep_self=True)
-    words = lexical.search(lexical.query_terms(asked), docs, 20)
-    return {
-        "dense": near.select("query_id", F.col("item_id").alias("doc_id"), F.col("dense_rank").alias("rank")),
-        "lexical": words.select("query_id", "doc_id", F.col("lexical_rank").alias("rank")),
-    }
+    return near.select("query_id", F.col("item_id").alias("doc_id"), F.col("dense_rank").alias("rank"))
+
+
+def _lexical(docs: DataFrame, own: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lexical lists of two sets of questions (query_id, text), searched as one, so that texts are split into words and counted once."""
+    terms = [lexical.query_terms(asked).withColumn("query_id", F.struct(F.lit(k).alias("set"), "query_id")) for k, asked in enumerate((own, again))]
+    found = stored(lexical.search(stacked(*terms), docs, 20), "lexical")
+    first, second = (found.filter(F.col("query_id.set") == k).select("query_id.query_id", "doc_id", F.col("lexical_rank").alias("rank")) for k in range(2))
+    return first, second
 
 
 def four_signals(spark, d: str) -> DataFrame:
@@ -32,9 +36,10 @@ def four_signals(spark, d: str) -> DataFrame:
     rows = stored(text_queries.expanded_questions(spark, d), "questions")
     docs = documents(spark, d).select("doc_id", "text")
     items = stored(embedding.hashed_ngrams(docs.select(F.col("doc_id").alias("item_id"), "text")).drop("text"), "vectors")
-    own = _signals(docs, items, rows.select("query_id", F.col("question").alias("text")))
-    again = _signals(docs, items, rows.filter("used_expansion").select("query_id", F.col("alternative").alias("text")))
-    out = answering.expanded_fusion(own, again, rows.select("query_id", F.col("used_expansion").alias("accepted")))
+    own = rows.select("query_id", F.col("question").alias("text"))
+    again = rows.filter("used_expansion").select("query_id", F.col("alternative").alias("text"))
+    lists = [{"dense": _dense(items, asked), "lexical": words} for asked, words in zip((own, again), _lexical(docs, own, again), strict=True)]
+    out = answering.expanded_fusion(*lists, rows.select("query_id", F.col("used_expansion").alias("accepted")))
     return out.select("query_id", "doc_id", *_RANKS, "rrf_score", "source_count", "fused_rank", "used_expansion")
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,14 @@ def test_hashed_ngrams_are_worked_on_in_parts(spark, monkeypatch):
     real = embedding.by_words
     monkeypatch.setattr(embedding, "by_words", lambda batch, words: real(batch, words, 2))
     assert {r.id: r.embedding for r in embedding.hashed_ngrams(rows).collect()} == whole and len(whole) == 5
+
+
+def test_signs_are_made_for_all_grams_at_once():
+    """A hundred thousand different grams; they were unpacked one by one. Sums of more than 16,384 signs are whole."""
+    grams = [b"gram %d" % i for i in range(100_000)]
+    known = embedding.signs(grams)
+    bits = lambda g: [(b >> (7 - k) & 1) * 2 - 1 for b in hashlib.md5(g).digest()[:8] for k in range(8)]
+    assert known.shape == (100_000, 64) and known[77].tolist() == bits(grams[77]) and known[-1].tolist() == bits(grams[-1])
+    vectors = np.zeros((2, 64), np.int64)
+    embedding._add(vectors, pa.array(["a"] * 50_000 + ["b", "a"]), np.array([50_000, 50_002]), 0)
+    assert vectors.tolist() == [[50_000 * x for x in bits(b"a")], [x + y for x, y in zip(bits(b"a"), bits(b"b"))]]
