@@ -70,20 +70,26 @@ def inverted(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, StructType(made))
 
 
-def write_index(rows: DataFrame, path: str, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+def write_index(rows: DataFrame, path: str, docs_per_block: int = DOCS_PER_BLOCK, only: DataFrame | None = None) -> DataFrame:
     """Write the index of analyzed() documents below ``path`` and read it again.
 
     (lexeme, block, max_weight, docs, entries of (doc_id, n_title, weight, places)).
     A class of lengths is dealt into as many blocks as its documents need, by
     id, so a block's size is bounded however common a lexeme is, and a lexeme
     of many blocks is spread over files. Equal ids are one document of several rows.
+    With ``only`` (lexeme), an index for known questions: every document is
+    inverted and dealt into the same blocks, but other lexemes' postings, which
+    no question meets, are not written.
     """
     level = F.floor(F.log2(F.size("lexemes") + 1) * CLASSES)
-    sized = rows.withColumn("level", level)
-    classes = sized.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / docs_per_block).alias("blocks"))  # 125 rows at most, as lists have 2**31 places
-    dealt = sized.join(F.broadcast(classes), "level").withColumn("block", F.col("level") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    # Ranges are cut by a look at all rows, so these are written before.
-    ranged = stored(inverted(dealt.select("doc_id", "block", "n_title", "lexemes")), "postings").repartitionByRange(shuffle_partitions(rows.sparkSession), "lexeme", "block")
+    postings = inverted(rows.select("doc_id", level.alias("block"), "n_title", "lexemes")).withColumnRenamed("block", "level")
+    postings = postings if only is None else postings.join(only.select("lexeme").distinct(), "lexeme", "left_semi").select(*postings.columns)
+    # Classes are counted and ranges cut by a look at all rows, so these are written before and texts are analyzed once.
+    postings = stored(postings, "postings")
+    classes = postings.groupBy("level").agg(F.ceil(F.countDistinct("doc_id") / docs_per_block).alias("blocks"))  # 125 rows at most, as lists have 2**31 places
+    block = F.col("level") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    dealt = postings.join(F.broadcast(classes), "level").withColumn("block", block).drop("level", "blocks")
+    ranged = dealt.repartitionByRange(shuffle_partitions(rows.sparkSession), "lexeme", "block")
     entry = F.struct("doc_id", "n_title", "weight", "places")
     blocks = ranged.groupBy("lexeme", "block").agg(F.max("weight").alias("most"), F.sum("weight").alias("all"), F.collect_list(entry).alias("entries"))
     docs = F.size(F.array_distinct("entries.doc_id"))
@@ -169,7 +175,6 @@ def cover_density(index: DataFrame, parts: DataFrame, k: int = 30) -> DataFrame:
     entries = index.join(lexemes.select("lexeme").distinct(), "lexeme", "left_semi").select("lexeme", F.explode("entries").alias("e"))
     weight = F.when(F.col("at") <= F.col("n_title"), TITLE_WEIGHT).otherwise(BODY_WEIGHT)
     places = entries.select("lexeme", "e.doc_id", "e.n_title", F.explode("e.places").alias("at")).withColumn("weight", weight).drop("n_title")
-    places = stored(places, "places")
     alone = lexemes.filter("single").select("query_id", "lexeme")
     words = entries.select("lexeme", "e.doc_id", "e.weight", F.size("e.places").alias("covers")).join(alone, "lexeme")
     words = words.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("raw"), F.sum("covers").alias("covers"))
@@ -196,9 +201,14 @@ def phrase_spans(places: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def phrase_covers(places: DataFrame, phrases: DataFrame, lexemes: DataFrame) -> DataFrame:
-    """(query_id, doc_id, raw, covers) of the phrases' minimal covers; ``lexemes`` is (query_id, lexeme, single) of all clauses."""
-    spans = phrase_spans(places, phrases)
-    inside = spans.withColumn("at", F.explode(F.sequence("first", "last"))).join(places, ["doc_id", "at"]).join(lexemes, ["query_id", "lexeme"])
+    """(query_id, doc_id, raw, covers) of the phrases' minimal covers; ``lexemes`` is (query_id, lexeme, single) of all clauses.
+
+    Phrases are looked for among their own lexemes' places; other places only matter in documents that have a phrase.
+    """
+    spoken = phrases.select(F.explode("parts.lexeme").alias("lexeme")).distinct()
+    spans = stored(phrase_spans(places.join(spoken, "lexeme", "left_semi"), phrases), "spans")
+    there = places.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")
+    inside = spans.withColumn("at", F.explode(F.sequence("first", "last"))).join(there, ["doc_id", "at"]).join(lexemes, ["query_id", "lexeme"])
     held = inside.groupBy("query_id", "doc_id", "first", "last").agg(
         F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("weight")).alias("inverse"), F.max("single").alias("holds_word")
     )

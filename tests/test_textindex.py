@@ -146,6 +146,29 @@ def test_best_documents_are_those_of_all_pairs(spark, tmp_path, stems):
     assert biggest <= 40 and index.filter("lexeme = 'common'").count() > 10  # a common word's documents are in many rows
 
 
+def test_an_index_for_known_questions_analyzes_texts_once(spark, tmp_path):
+    """Texts were analyzed twice, and postings written that no question meets."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(rng.randint(1, 30)))) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = textindex.analyzed(df).mapInArrow(counted, textindex.analyzed(df).schema)
+    parts = textindex.clause_parts(lexical.parse_questions(spark.createDataFrame([(1, '"alpha beta" gamma'), (2, "delta")], "query_id long, question string")))
+    asked = parts.select(F.explode("parts.lexeme").alias("lexeme"))
+    part = textindex.write_index(rows, str(tmp_path / "part"), only=asked)
+    assert seen.value == 80
+    whole = textindex.write_index(textindex.analyzed(df), str(tmp_path / "whole"))
+    assert part.select("lexeme").distinct().count() == 4 and whole.select("lexeme").distinct().count() == 5
+    found = [sorted(map(tuple, textindex.cover_density(index, parts, 100).collect())) for index in (part, whole)]
+    assert found[0] == found[1] and len(found[0]) > 80
+
+
 def test_an_empty_index(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     index = textindex.write_index(textindex.analyzed(df), str(tmp_path / "index"))
