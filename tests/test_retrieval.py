@@ -47,6 +47,34 @@ def test_nearest_of_a_stored_table_with_itself(spark, monkeypatch, tmp_path, cel
     assert {(r.item_id, r.dense_rank) for r in found if r.query_id == 20} == {(19, 1), (21, 2)}
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_nearest_of_copies(spark, monkeypatch, metric, block):
+    monkeypatch.setattr(dense, "QUERIES_PER_BLOCK", block)
+    monkeypatch.setattr(dense, "ITEMS_PER_CELL", 50)
+    rng = random.Random(2)
+    pool = [[rng.gauss(0, 1) / 8 for _ in range(64)] for _ in range(12)]
+    items = spark.createDataFrame([(i, pool[i % 12]) for i in range(240)], "item_id long, embedding array<float>").repartition(3)
+    found = dense.nearest(items.filter("item_id < 12").withColumnRenamed("item_id", "query_id"), items, 4, metric).collect()
+    # Copies are no distance apart, so that the smallest ids come first.
+    assert {(r.query_id, r.dense_rank): r.item_id for r in found} == {(q, k): q + 12 * k for q in range(12) for k in range(1, 5)}
+    assert {str(r.distance) for r in found} == {"0.0"}
+
+
+@pytest.mark.parametrize("block", [1, 1000])
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_what_has_no_distance_comes_last(spark, monkeypatch, metric, block):
+    monkeypatch.setattr(dense, "QUERIES_PER_BLOCK", block)
+    items = spark.createDataFrame([(1, None), (2, [float("nan"), 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, None)], "item_id long, embedding array<float>")
+    found = dense.nearest(items.withColumnRenamed("item_id", "query_id"), items, 4, metric).collect()
+    by = {q: [(r.item_id, str(r.distance)) for r in sorted(found, key=lambda r: r.dense_rank) if r.query_id == q] for q in range(1, 6)}
+    assert by[1] == [(i, "None") for i in (2, 3, 4, 5)] and by[5] == [(i, "None") for i in (1, 2, 3, 4)]
+    assert by[2] == [(3, "nan"), (4, "nan"), (1, "None"), (5, "None")]
+    assert by[3] == [(4, "0.0"), (2, "nan"), (1, "None"), (5, "None")]
+    with pytest.raises(Exception, match="vectors of different sizes"):
+        dense.nearest(items.withColumnRenamed("item_id", "query_id"), items.withColumn("embedding", F.expr("if(item_id = 3, array(1.0F), embedding)")).coalesce(1), 4, metric).collect()
+
+
 def test_parsing_questions(spark):
     rows = [("what is risk, Risk?",), ('find "key  phrase" in NIST 600-1',), (" ",), ("?!",)]
     found = lexical.parse_questions(spark.createDataFrame(rows, "question string")).collect()
