@@ -263,6 +263,16 @@ def test_every_distinct_score_is_a_threshold(spark):
     assert {r.threshold for r in none} == {0.0, 1.0} and all(r.accuracy is None for r in none)
 
 
+def test_calibration_with_rows_without_a_score(spark):
+    rows = [(0.2, False), (0.7, True), (float("nan"), True), (None, False), (None, True)]
+    df = spark.createDataFrame(rows, "score double, relevant boolean")
+    found = {str(r.threshold): r.accuracy for r in dense.calibrate_threshold(df, unscored=True).collect()}
+    # In order, with 0 and 1: 0, 0.2, 0.7, 1, nan, None. What is below a threshold counts if bad, the rest if good.
+    assert found == {"0.0": 0.6, "0.2": 0.6, "0.7": 0.8, "1.0": 0.6, "nan": 0.6, "None": 0.4}
+    equal = spark.createDataFrame([(float("nan"), 0.6), (None, 0.6), (1.0, 0.6), (2.0, 0.6)], "t double, accuracy double")
+    assert evaluation.best_configuration(equal, ["accuracy"], "t", "t").first().t == 1.0
+
+
 def test_questions_that_cannot_be_asked(spark):
     questions = spark.createDataFrame([(1, "what", "a"), (2, " \n", "a"), (3, "what", "b"), (4, "what", "x"), (5, None, "x"), (6, "what", "c")], "query_id long, question string, document_id string")
     catalog = spark.createDataFrame([("a", "ready"), ("b", "processing"), ("c", "superseded")], "document_id string, status string")
