@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import chunking, cleaning, numbering
+from foliant.plans import page_queries
 
 
 def one(spark, **columns):
@@ -238,3 +239,43 @@ def test_a_sweep_parses_pages_once_and_gives_the_chunks_of_each_size(spark, monk
     for k, size in enumerate(sizes):
         own = sorted(map(str, (r.asDict() for r in chunking.chunk_pages(pages, size).collect())))
         assert own == sorted(str({c: v for c, v in r.items() if c != "setting"}) for r in rows if r["setting"] == k) and len(own) > 6
+
+
+def test_a_file_that_is_a_row_gives_the_chunks_and_summary_of_its_pages(spark):
+    draw, sizes = random.Random(8), [chunking.ChunkSize(60, 10, 12), chunking.ChunkSize(120, 0, 30)]
+    blocks = ["1.1 Some Title", "Other Part", "- an item\n- another one", "“Curly” Σίγμα 日本 😀 end.", " \n", "Plain wörds. " * 3]
+    body = lambda: "\n\n".join(draw.choice([*blocks, "many " * draw.randint(1, 200)]) for _ in range(draw.randint(0, 6)))
+    files = [(f, [body() for _ in range(draw.randint(1, 9))]) for f in ("a", "b", None, "c")] + [("copies", ["Title\n\n" + "same " * 45 + "\n\nTitle Two\n\n" + "other " * 50] * 3), ("empty", [" "]), ("none", None)]
+    rows = spark.createDataFrame(files, "file string, pages array<string>").coalesce(1)
+    pages = rows.select("file", F.posexplode("pages").alias("at", "cleaned_text")).select("file", (F.col("at") + 1).alias("page_number"), "cleaned_text")
+    swept = chunking.chunk_sweep(pages, sizes).persist()
+    names = ["setting", "file", "chunk_index", "passage_text", "page_start", "page_end", "section_title", "token_count", "overlap_token_count", "boundary_kinds"]
+    every = sorted(repr(tuple(r)) for r in swept.select(*names).collect())
+    summary = lambda made: sorted(map(tuple, made.collect()))
+    for characters in (chunking.CHARACTERS, 1000, 1):  # long files are several rows
+        found = chunking.chunk_files(rows, sizes, characters)
+        own = found.select("setting", "file", F.inline("chunks")).select(*names)
+        assert sorted(repr(tuple(r)) for r in own.collect()) == every and len(every) > 40
+        assert summary(chunking.summarize_files(found, F.col("setting"))) == summary(chunking.summarize(swept, F.col("setting")))
+    twice = spark.createDataFrame([("a", ["some text"]), ("a", ["some text"])], "file string, pages array<string>").coalesce(1)
+    assert chunking.chunk_files(twice, sizes[:1]).count() == 2  # each row is a file
+
+
+def test_the_sweep_of_chunk_sizes_writes_and_deals_out_no_text(spark, monkeypatch):
+    def stored(*_):
+        raise AssertionError("texts were written")
+
+    monkeypatch.setattr(chunking, "stored", stored)
+    plan = page_queries.chunk_sizes(spark, "/root/testdata/sf0.001")
+    assert len(plan.collect()) == 3
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in text for word in ("Join", "Window", "RepartitionByExpression [file", "Sort "))
+
+
+def test_pieces_are_found_as_by_the_pattern():
+    draw = random.Random(9)
+    for marks in ("aZ_9é½²ª·­ \x85\x1c\t.-", "aΣ日😀​“ é́.-"):
+        for _ in range(300):
+            text = "".join(draw.choice(marks) for _ in range(draw.randint(0, 30)))
+            spans = [m.span() for m in chunking._PIECE.finditer(text)]
+            assert chunking.count(text) == len(spans) and list(zip(*(x.tolist() for x in chunking.spots(text)), strict=True)) == spans
