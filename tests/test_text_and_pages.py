@@ -279,3 +279,6 @@ def test_pieces_are_found_as_by_the_pattern():
             text = "".join(draw.choice(marks) for _ in range(draw.randint(0, 30)))
             spans = [m.span() for m in chunking._PIECE.finditer(text)]
             assert chunking.count(text) == len(spans) and list(zip(*(x.tolist() for x in chunking.spots(text)), strict=True)) == spans
+            longer = text.replace("a", "a" * draw.choice([1, 9, 50]))  # pieces may be cut where only the last characters are looked at
+            begins = [m.start() for m in chunking._PIECE.finditer(longer)]
+            assert [chunking.last_begin(longer, n + 1) for n in range(len(begins))] == begins[::-1]
